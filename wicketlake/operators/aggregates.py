@@ -156,10 +156,9 @@ def null_percent(df: DataFrame) -> DataFrame:
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows minus distinct rows."""
-    total = df.agg(F.count("*").alias("rows"))
-    distinct = df.distinct().agg(F.count("*").alias("distinct_rows"))
-    return total.join(distinct).select(
-        "rows", "distinct_rows", (F.col("rows") - F.col("distinct_rows")).alias("duplicates"))
+    distinct = df.distinct().agg(F.count("*")).scalar()
+    return df.agg(F.count("*").alias("rows")).select(
+        "rows", distinct.alias("distinct_rows"), (F.col("rows") - distinct).alias("duplicates"))
 
 
 # ------------------------------------------------------------------ A14 - A16
@@ -266,8 +265,18 @@ def consistency(d: DataFrame, matches: DataFrame, n: int = 5, min_matches: int =
     per_match = rec.groupBy("batting_team", "batsman", "match_id").agg(F.sum(RUN).alias("r"))
     g = per_match.groupBy(F.col("batting_team").alias("team"), "batsman").agg(
         F.count_distinct("match_id").alias("matches"), F.avg("r").alias("avg_runs"),
-        F.coalesce(F.stddev_samp("r"), F.lit(0.0)).alias("std_runs"))
-    return g.filter(F.col("matches") >= min_matches)
+        F.count("r").alias("_n"), F.sum("r").alias("_s"), F.sum(F.col("r") * F.col("r")).alias("_q"))
+    return g.filter(F.col("matches") >= min_matches).select(
+        "team", "batsman", "matches", "avg_runs", sample_std("_n", "_s", "_q").alias("std_runs"))
+
+
+def sample_std(n: str, s: str, q: str) -> Column:
+    """Sample standard deviation from exact integer count, sum and sum of
+    squares (0 below two values): the only rounding is one division and the
+    square root, so any engine gives the same bits."""
+    n_, s_, q_ = F.col(n), F.col(s), F.col(q)
+    var = (n_ * q_ - s_ * s_) / (n_ * (n_ - 1))
+    return F.when(n_ > 1, F.sqrt(var)).otherwise(F.lit(0.0))
 
 
 def batting_positions(d: DataFrame, literal_minima: bool = True) -> DataFrame:
@@ -507,9 +516,10 @@ def leaders(d: DataFrame) -> DataFrame:
     """Leading run scorer, six hitter and wicket taker (first name on
     ties), one row; each a ``max_by`` over a (value, reversed-name) key."""
     def lead(g: DataFrame, who: str, value: str) -> Column:
-        # Highest value; on ties the alphabetically first name.
-        ranked = g.select(who, value, F.dense_rank().over(Window.orderBy(F.col(value).desc())).alias("_r"))
-        return ranked.filter("_r = 1").agg(F.min(who)).scalar()
+        # Highest value; on ties the alphabetically first name. Two partial
+        # aggregates (max, then min name at the max), no global sort.
+        top = g.agg(F.max(value)).scalar()
+        return g.filter(F.col(value) == top).agg(F.min(who)).scalar()
 
     runs = d.groupBy("batsman").agg(F.sum(RUN).alias("v"))
     sixes = d.filter(RUN == 6).groupBy("batsman").agg(F.count("*").alias("v"))
@@ -567,7 +577,9 @@ def margin_histogram(matches: DataFrame, column: str, bins: int) -> DataFrame:
     pos = matches.filter(F.col(column) > 0)
     lo = pos.agg(F.min(column)).scalar()
     hi = pos.agg(F.max(column)).scalar()
-    bucket = F.least(F.width_bucket(F.col(column), lo, hi + F.lit(1e-9), F.lit(bins)), F.lit(bins))
+    v = F.col(column)
+    raw = F.floor((v - lo) * bins / F.when(hi > lo, hi - lo).otherwise(F.lit(1))).cast("bigint") + 1
+    bucket = F.when(hi > lo, F.least(raw, F.lit(bins))).otherwise(F.lit(1).cast("bigint"))
     return pos.groupBy(bucket.alias("bin")).agg(F.count("*").alias("count"),
                                                 F.min(column).alias("min_value"), F.max(column).alias("max_value"))
 

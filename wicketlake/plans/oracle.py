@@ -53,8 +53,8 @@ SELECT event_id, ts, concat('L', CAST(user_id % 5 AS VARCHAR)) AS match_id, conc
   CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS extras FROM events
 """
 
-VENUES = """
-SELECT stadium_name, concat('CITY_', regexp_extract(stadium_name, '(\\d+)$', 1)) AS city,
+VENUES = r"""
+SELECT stadium_name, concat('CITY_', regexp_extract(stadium_name, '(\d+)$', 1)) AS city,
   'Unknown' AS country, 'Balanced' AS pitch_type
 FROM (SELECT DISTINCT venue AS stadium_name FROM matches) v
 """
@@ -72,12 +72,28 @@ DUPLICATED_ORDERS = """
 SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 97 = 0
 """
 
+CLEAN_MATCHES = r"""
+SELECT match_id, match_date, venue, team1, team2, toss_winner, coalesce(toss_decision, 'bat') AS toss_decision,
+  coalesce(nullif(trim(winner), ''), 'No Result') AS winner,
+  CASE WHEN lower(coalesce(margin, '')) LIKE '%run%'
+       THEN coalesce(TRY_CAST(regexp_extract(lower(coalesce(margin, '')), '^\s*(\d+)', 1) AS INTEGER), 0) ELSE 0 END AS win_by_runs,
+  CASE WHEN lower(coalesce(margin, '')) LIKE '%wkt%' OR lower(coalesce(margin, '')) LIKE '%wicket%'
+       THEN coalesce(TRY_CAST(regexp_extract(lower(coalesce(margin, '')), '^\s*(\d+)', 1) AS INTEGER), 0) ELSE 0 END AS win_by_wickets,
+  'Unknown' AS player_of_match, false AS is_day_night,
+  CASE WHEN lower(coalesce(stage, '')) LIKE '%semi%' THEN 'Semi Final'
+       WHEN lower(coalesce(stage, '')) LIKE '%final%' THEN 'Final'
+       WHEN lower(coalesce(stage, '')) LIKE '%super%' THEN 'Super 8' ELSE 'Group Stage' END AS tournament_phase,
+  gender
+FROM (SELECT DISTINCT * FROM matches) m
+"""
+
 # Views in dependency order; later entries may reference earlier ones.
 VIEWS: dict[str, str] = {
     "deliveries": DELIVERIES,
     "matches": MATCHES,
     "live": LIVE,
     "venues": VENUES,
+    "clean_matches": CLEAN_MATCHES,
     "dirty_orders": DIRTY_ORDERS,
     "duplicated_orders": DUPLICATED_ORDERS,
 }
