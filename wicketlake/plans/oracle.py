@@ -125,3 +125,91 @@ def with_views(body: str) -> str:
     if not ctes:
         return body
     return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+PLAYERS = """
+SELECT player_name, country, role, matches, runs, batting_avg, strike_rate, hundreds, fifties, wickets, bowling_avg,
+  economy, gender, last_played_date, coalesce(last_played_date >= as_of - INTERVAL 36 MONTH, false) AS is_active,
+  concat('P', lpad(CAST(row_number() OVER (ORDER BY player_name) AS VARCHAR), 5, '0')) AS player_id
+FROM (
+  SELECT coalesce(bat.player_name, bowl.player_name) AS player_name, coalesce(bat_team, bowl_team) AS country,
+    CASE WHEN coalesce(wickets, 0) > 10 AND coalesce(runs, 0) > 100 THEN 'All-Rounder' WHEN coalesce(wickets, 0) > 5 THEN 'Bowler'
+         WHEN coalesce(runs, 0) > 100 THEN 'Batter' ELSE 'Unknown' END AS role,
+    coalesce(matches, 0) AS matches, CAST(coalesce(runs, 0) AS BIGINT) AS runs,
+    coalesce(runs, 0) / greatest(coalesce(outs, 0), 1) AS batting_avg,
+    CASE WHEN coalesce(balls_faced, 0) > 0 THEN coalesce(runs, 0) / coalesce(balls_faced, 0) * 100 ELSE 0.0 END AS strike_rate,
+    coalesce(hundreds, 0) AS hundreds, coalesce(fifties, 0) AS fifties, coalesce(wickets, 0) AS wickets,
+    CASE WHEN coalesce(wickets, 0) > 0 THEN coalesce(runs_conceded, 0) / coalesce(wickets, 0) ELSE 0.0 END AS bowling_avg,
+    CASE WHEN coalesce(balls_bowled, 0) > 0 THEN coalesce(runs_conceded, 0) / (coalesce(balls_bowled, 0) / 6) ELSE 0.0 END AS economy,
+    coalesce(app.gender, 'male') AS gender, last_played_date, (SELECT max(match_date) FROM matches) AS as_of
+  FROM (SELECT batsman AS player_name, min(batting_team) AS bat_team, sum(batsman_runs) AS runs, count(*) AS balls_faced,
+          count_if(player_dismissed = batsman) AS outs FROM deliveries GROUP BY 1) bat
+  FULL JOIN (SELECT bowler AS player_name, min(bowling_team) AS bowl_team, count_if(is_wicket) AS wickets,
+          sum(total_runs) AS runs_conceded, count(*) AS balls_bowled FROM deliveries GROUP BY 1) bowl
+    ON bat.player_name = bowl.player_name
+  LEFT JOIN (SELECT player_name, count_if(r >= 100) AS hundreds, count_if(r >= 50 AND r < 100) AS fifties
+          FROM (SELECT match_id, batsman AS player_name, sum(batsman_runs) AS r FROM deliveries GROUP BY 1, 2) x GROUP BY 1) inn
+    ON inn.player_name = coalesce(bat.player_name, bowl.player_name)
+  LEFT JOIN (SELECT a.player_name, count(a.match_id) AS matches, max(m.match_date) AS last_played_date, max(m.gender) AS gender
+          FROM (SELECT match_id, batsman AS player_name FROM deliveries UNION SELECT match_id, bowler FROM deliveries) a
+          LEFT JOIN matches m ON a.match_id = m.match_id GROUP BY 1) app
+    ON app.player_name = coalesce(bat.player_name, bowl.player_name)
+) p
+"""
+
+VIEWS["players"] = PLAYERS
+
+
+DIM_TEAM = """
+SELECT row_number() OVER (ORDER BY team_name) AS team_id, team_name,
+  CAST(row_number() OVER (ORDER BY team_name) AS INTEGER) AS icc_ranking, CAST(0.0 AS DOUBLE) AS icc_rating,
+  'TBD' AS captain, 'TBD' AS coach, team_name AS home_country
+FROM (SELECT DISTINCT trim(t) AS team_name FROM (SELECT team1 AS t FROM clean_matches UNION ALL SELECT team2 FROM clean_matches) x
+      WHERE trim(t) IS NOT NULL AND trim(t) <> '') y
+"""
+
+DIM_VENUE = """
+SELECT row_number() OVER (ORDER BY stadium_name) AS venue_id, stadium_name, city, country, pitch_type,
+  CAST(160.0 AS DOUBLE) AS avg_first_innings, 50000 AS capacity, true AS is_day_night FROM venues
+"""
+
+DIM_DATE = """
+SELECT row_number() OVER (ORDER BY match_date) AS date_id, match_date, CAST(year(match_date) AS INTEGER) AS year,
+  CAST(month(match_date) AS INTEGER) AS month, strftime(match_date, '%B') AS month_name, strftime(match_date, '%A') AS day_of_week,
+  tournament_phase, tournament_phase IN ('Semi Final', 'Final') AS is_knockout, tournament_phase = 'Final' AS is_final
+FROM (SELECT match_date, min(tournament_phase) AS tournament_phase FROM clean_matches WHERE match_date IS NOT NULL GROUP BY 1) d
+"""
+
+FACT = """
+SELECT * FROM (
+WITH bat AS (SELECT match_id, batsman AS player_name, batting_team AS bat_team, sum(batsman_runs) AS runs_scored,
+      count(*) AS balls_faced, count_if(batsman_runs = 4) AS fours, count_if(batsman_runs = 6) AS sixes FROM deliveries GROUP BY 1, 2, 3),
+bowl AS (SELECT match_id, bowler AS player_name, bowling_team AS bowl_team, count_if(is_wicket) AS wickets_taken,
+      sum(total_runs) AS runs_conceded, count(*) / 6 AS overs_bowled, sum(total_runs) / (count(*) / 6) AS economy_rate
+      FROM deliveries GROUP BY 1, 2, 3),
+f AS (SELECT coalesce(bat.match_id, bowl.match_id) AS match_id, coalesce(bat.player_name, bowl.player_name) AS player_name,
+      coalesce(bat_team, bowl_team) AS team_name, runs_scored, balls_faced, fours, sixes, wickets_taken, runs_conceded,
+      overs_bowled, economy_rate
+      FROM bat FULL JOIN bowl ON bat.match_id = bowl.match_id AND bat.player_name = bowl.player_name),
+j AS (SELECT f.*, p.player_id, t.team_id, m.winner, m.player_of_match, d.date_id, v.venue_id,
+      CASE WHEN f.team_name = m.team1 THEN m.team2 ELSE m.team1 END AS opponent_team_name
+      FROM f LEFT JOIN players p ON lower(trim(p.player_name)) = lower(trim(f.player_name))
+      LEFT JOIN dim_team t ON t.team_name = f.team_name
+      LEFT JOIN clean_matches m ON m.match_id = f.match_id
+      LEFT JOIN dim_date d ON d.match_date = m.match_date
+      LEFT JOIN dim_venue v ON v.stadium_name = m.venue)
+SELECT j.match_id, j.player_id, j.team_id, o.team_id AS opponent_team_id, coalesce(j.venue_id, 1) AS venue_id, j.date_id,
+  CAST(coalesce(runs_scored, 0) AS BIGINT) AS runs_scored, coalesce(balls_faced, 0) AS balls_faced,
+  CASE WHEN coalesce(balls_faced, 0) > 0 THEN coalesce(runs_scored, 0) / coalesce(balls_faced, 0) * 100 ELSE 0.0 END AS strike_rate,
+  coalesce(fours, 0) AS fours, coalesce(sixes, 0) AS sixes, coalesce(wickets_taken, 0) AS wickets_taken,
+  coalesce(overs_bowled, 0.0) AS overs_bowled, CAST(coalesce(runs_conceded, 0) AS BIGINT) AS runs_conceded,
+  coalesce(economy_rate, 0.0) AS economy_rate, 0 AS catches,
+  CASE WHEN j.team_name = j.winner THEN 'W' ELSE 'L' END AS match_result,
+  lower(trim(j.player_name)) = lower(trim(j.player_of_match)) AS is_player_of_match
+FROM j LEFT JOIN dim_team o ON o.team_name = j.opponent_team_name
+WHERE j.player_id IS NOT NULL AND j.team_id IS NOT NULL) fact_rows
+"""
+
+VIEWS["dim_team"] = DIM_TEAM
+VIEWS["dim_venue"] = DIM_VENUE
+VIEWS["dim_date"] = DIM_DATE
