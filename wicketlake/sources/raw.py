@@ -95,8 +95,8 @@ def read_info_lines(spark: SparkSession, path: str, key_pattern: str = r"([^/]+?
     """S3: the ragged ``info,<key>,<value>[,<value2>]`` lines of every info
     file with their line position. Each file is one small record (a few dozen
     lines), split into lines on the executor that read it."""
-    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-             .option("pathGlobFilter", glob).text(path)
+    files = (spark.read.option("recursiveFileLookup", True)
+             .option("pathGlobFilter", glob).text(path, wholetext=True)
              .select(F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1).alias("match_no"),
                      F.col("_metadata.file_path").alias("_file"), "value"))
     lines = files.select("match_no", "_file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
@@ -203,6 +203,9 @@ def write_info_files(matches: DataFrame, deliveries: DataFrame, path: str) -> No
                        F.struct(F.lit(100).alias("i"),
                                 F.concat_ws(",", F.lit("info"), F.lit("player"), "batting_team", "batsman").alias("line")).alias("x")))
     lines = head.unionByName(players).filter(F.col("x.line").isNotNull())
-    (lines.repartition("m_part").sortWithinPartitions("m_part", "x.i", "x.line")
-     .select("m_part", F.col("x.line").alias("value"))
-     .write.mode("overwrite").partitionBy("m_part").option("lineSep", "\n").text(path))
+    # One record per match holding its whole (small) file in line order, so
+    # the line order does not depend on how the writer sorts rows.
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("x.i").alias("i"), F.col("x.line").alias("line")))),
+                                    lambda r: r["line"]), "\n")
+    (lines.groupBy("m_part").agg(text.alias("value"))
+     .write.mode("overwrite").partitionBy("m_part").text(path))
