@@ -16,10 +16,6 @@ from pyspark.sql.window import Window
 from wicketlake.functions import expressions as E
 from wicketlake.operators import topk
 
-RUN = F.col("batsman_runs")
-TOTAL = F.col("total_runs")
-WKT = F.col("is_wicket")
-OVER = F.col("over_num")
 
 
 def _i(c: Column) -> Column:
@@ -39,15 +35,15 @@ def teams_long(matches: DataFrame) -> DataFrame:
 def batting_cards(d: DataFrame) -> DataFrame:
     """A1: runs, balls, fours, sixes per (match, batter, team)."""
     return d.groupBy("match_id", F.col("batsman").alias("player_name"), F.col("batting_team").alias("team")).agg(
-        F.sum(RUN).alias("runs_scored"), F.count("*").alias("balls_faced"),
-        F.count_if(RUN == 4).alias("fours"), F.count_if(RUN == 6).alias("sixes"))
+        F.sum(F.col("batsman_runs")).alias("runs_scored"), F.count("*").alias("balls_faced"),
+        F.count_if(F.col("batsman_runs") == 4).alias("fours"), F.count_if(F.col("batsman_runs") == 6).alias("sixes"))
 
 
 def bowling_cards(d: DataFrame) -> DataFrame:
     """A2: wickets (every dismissal, trap 7), runs conceded, balls per
     (match, bowler, team); overs = balls / 6, economy = runs / overs."""
     g = d.groupBy("match_id", F.col("bowler").alias("player_name"), F.col("bowling_team").alias("team")).agg(
-        F.count_if(WKT).alias("wickets_taken"), F.sum(TOTAL).alias("runs_conceded"),
+        F.count_if(F.col("is_wicket")).alias("wickets_taken"), F.sum(F.col("total_runs")).alias("runs_conceded"),
         F.count("*").alias("balls_bowled"))
     return g.withColumns({
         "overs_bowled": F.col("balls_bowled") / 6,
@@ -59,14 +55,14 @@ def bowling_cards(d: DataFrame) -> DataFrame:
 def team_batting(d: DataFrame) -> DataFrame:
     """A3: per batting team means and boundary rates."""
     return d.groupBy(F.col("batting_team").alias("team")).agg(
-        F.avg(RUN).alias("avg_runs_per_ball"), F.avg(TOTAL).alias("avg_total_runs"),
-        F.avg(_i(RUN == 6)).alias("six_rate"), F.avg(_i(RUN == 4)).alias("four_rate"))
+        F.avg(F.col("batsman_runs")).alias("avg_runs_per_ball"), F.avg(F.col("total_runs")).alias("avg_total_runs"),
+        F.avg(_i(F.col("batsman_runs") == 6)).alias("six_rate"), F.avg(_i(F.col("batsman_runs") == 4)).alias("four_rate"))
 
 
 def team_bowling(d: DataFrame) -> DataFrame:
     """A4: per bowling team wicket and run means."""
     return d.groupBy(F.col("bowling_team").alias("team")).agg(
-        F.avg(_i(WKT)).alias("avg_wickets_per_ball"), F.avg(TOTAL).alias("avg_economy"))
+        F.avg(_i(F.col("is_wicket"))).alias("avg_wickets_per_ball"), F.avg(F.col("total_runs")).alias("avg_economy"))
 
 
 def team_phase_rates(d: DataFrame, pp_last: int = E.POWERPLAY_LAST_OVER,
@@ -74,10 +70,10 @@ def team_phase_rates(d: DataFrame, pp_last: int = E.POWERPLAY_LAST_OVER,
     """A5: powerplay and death run rate (batting side), death wicket rate
     (bowling side), each a conditional mean in one pass per side."""
     bat = d.groupBy(F.col("batting_team").alias("team")).agg(
-        F.avg(F.when(OVER <= pp_last, TOTAL)).alias("pp_run_rate"),
-        F.avg(F.when(OVER >= death_first, TOTAL)).alias("death_run_rate"))
+        F.avg(F.when(F.col("over_num") <= pp_last, F.col("total_runs"))).alias("pp_run_rate"),
+        F.avg(F.when(F.col("over_num") >= death_first, F.col("total_runs"))).alias("death_run_rate"))
     bowl = d.groupBy(F.col("bowling_team").alias("team")).agg(
-        F.avg(F.when(OVER >= death_first, _i(WKT))).alias("death_wicket_rate"))
+        F.avg(F.when(F.col("over_num") >= death_first, _i(F.col("is_wicket")))).alias("death_wicket_rate"))
     return bat.join(bowl, "team", "full")
 
 
@@ -117,15 +113,15 @@ def team_stats(d: DataFrame, matches: DataFrame) -> DataFrame:
 def career_batting(d: DataFrame) -> DataFrame:
     """Batting career per player (strike rate with a zero-safe divisor)."""
     g = d.groupBy("batsman").agg(
-        F.sum(RUN).alias("total_runs"), F.count("*").alias("balls_faced"),
-        F.count_if(RUN == 6).alias("sixes"), F.count_if(RUN == 4).alias("fours"))
+        F.sum(F.col("batsman_runs")).alias("total_runs"), F.count("*").alias("balls_faced"),
+        F.count_if(F.col("batsman_runs") == 6).alias("sixes"), F.count_if(F.col("batsman_runs") == 4).alias("fours"))
     return g.withColumn("strike_rate_live", E.safe_div(F.col("total_runs"), F.col("balls_faced")) * 100)
 
 
 def career_bowling(d: DataFrame) -> DataFrame:
     g = d.groupBy("bowler").agg(
-        F.count_if(WKT).alias("wickets"), F.count("*").alias("balls_bowled"),
-        F.sum(TOTAL).alias("runs_given"))
+        F.count_if(F.col("is_wicket")).alias("wickets"), F.count("*").alias("balls_bowled"),
+        F.sum(F.col("total_runs")).alias("runs_given"))
     return g.withColumn("economy_live", E.safe_div(F.col("runs_given"), F.col("balls_bowled") / 6))
 
 
@@ -135,10 +131,10 @@ def innings_features(d: DataFrame, first_balls: int = 36, min_total: int = 50) -
     w = Window.partitionBy("match_id", "batting_team").orderBy("seq")
     numbered = d.withColumn("_n", F.row_number().over(w))
     g = numbered.groupBy("match_id", "batting_team").agg(
-        F.sum(TOTAL).alias("total_runs"), F.count("*").alias("total_balls"),
-        F.count_if(WKT).alias("wickets_lost"), F.count_if(RUN == 6).alias("sixes"),
-        F.count_if(RUN == 4).alias("fours"),
-        F.coalesce(F.sum(F.when(F.col("_n") <= first_balls, TOTAL)), F.lit(0)).alias("pp_runs"))
+        F.sum(F.col("total_runs")).alias("total_runs"), F.count("*").alias("total_balls"),
+        F.count_if(F.col("is_wicket")).alias("wickets_lost"), F.count_if(F.col("batsman_runs") == 6).alias("sixes"),
+        F.count_if(F.col("batsman_runs") == 4).alias("fours"),
+        F.coalesce(F.sum(F.when(F.col("_n") <= first_balls, F.col("total_runs"))), F.lit(0)).alias("pp_runs"))
     g = g.withColumns({
         "run_rate": E.safe_div(F.col("total_runs"), F.col("total_balls") / 6),
         "pp_run_rate": F.col("pp_runs") / 6,
@@ -166,11 +162,11 @@ def team_kpis(d: DataFrame, team: str | None = None, death_first: int = E.DEATH_
     """Per team runs scored, wickets taken, strike rate, death economy.
     Batting and bowling sides are two aggregates of the same scan."""
     bat = _maybe(d, "batting_team", team).groupBy(F.col("batting_team").alias("team")).agg(
-        F.sum(RUN).alias("total_runs"), F.count("*").alias("balls"))
+        F.sum(F.col("batsman_runs")).alias("total_runs"), F.count("*").alias("balls"))
     bowl = _maybe(d, "bowling_team", team).groupBy(F.col("bowling_team").alias("team")).agg(
-        F.count_if(WKT).alias("total_wickets"),
-        F.coalesce(F.sum(F.when(OVER >= death_first, TOTAL)), F.lit(0)).alias("death_runs"),
-        F.count_if(OVER >= death_first).alias("death_balls"))
+        F.count_if(F.col("is_wicket")).alias("total_wickets"),
+        F.coalesce(F.sum(F.when(F.col("over_num") >= death_first, F.col("total_runs"))), F.lit(0)).alias("death_runs"),
+        F.count_if(F.col("over_num") >= death_first).alias("death_balls"))
     return bat.join(bowl, "team", "full").select(
         "team",
         F.coalesce("total_runs", F.lit(0)).alias("total_runs"),
@@ -182,13 +178,13 @@ def team_kpis(d: DataFrame, team: str | None = None, death_first: int = E.DEATH_
 def runs_by_over(d: DataFrame, team: str | None = None) -> DataFrame:
     """Mean runs per ball by over with its phase, per batting team."""
     return (_maybe(d, "batting_team", team).groupBy(F.col("batting_team").alias("team"), "over_num")
-            .agg(F.avg(TOTAL).alias("avg_runs"))
+            .agg(F.avg(F.col("total_runs")).alias("avg_runs"))
             .withColumn("phase", E.phase_of_over("over_num")))
 
 
 def dismissal_kinds(d: DataFrame, team: str | None = None) -> DataFrame:
     """Wickets lost by kind per batting team."""
-    return (_maybe(d, "batting_team", team).filter(WKT)
+    return (_maybe(d, "batting_team", team).filter(F.col("is_wicket"))
             .groupBy(F.col("batting_team").alias("team"), "dismissal_kind").agg(F.count("*").alias("count")))
 
 
@@ -216,24 +212,24 @@ def recent_form(d: DataFrame, matches: DataFrame, n: int = 5, wicket_weight: int
     matches, form = runs + 20 x wickets (J13: full join, zero fill)."""
     rec = recent_matches(matches, n)
     runs = (recent_batting(d, rec).groupBy(F.col("batting_team").alias("team"), F.col("batsman").alias("player"))
-            .agg(F.sum(RUN).alias("recent_runs")))
+            .agg(F.sum(F.col("batsman_runs")).alias("recent_runs")))
     wkts = (recent_bowling(d, rec).groupBy(F.col("bowling_team").alias("team"), F.col("bowler").alias("player"))
-            .agg(F.count_if(WKT).alias("recent_wickets")))
+            .agg(F.count_if(F.col("is_wicket")).alias("recent_wickets")))
     out = runs.join(wkts, ["team", "player"], "full").na.fill({"recent_runs": 0, "recent_wickets": 0})
     return out.withColumn("form_score", F.col("recent_runs") + F.col("recent_wickets") * wicket_weight)
 
 
 def best_powerplay_batter(d: DataFrame, matches: DataFrame, n: int = 5) -> DataFrame:
     """Per team, the recent batter with most powerplay runs (ties: name)."""
-    rec = recent_batting(d, recent_matches(matches, n)).filter(OVER <= E.POWERPLAY_LAST_OVER)
-    g = rec.groupBy(F.col("batting_team").alias("team"), "batsman").agg(F.sum(RUN).alias("pp_runs"))
+    rec = recent_batting(d, recent_matches(matches, n)).filter(F.col("over_num") <= E.POWERPLAY_LAST_OVER)
+    g = rec.groupBy(F.col("batting_team").alias("team"), "batsman").agg(F.sum(F.col("batsman_runs")).alias("pp_runs"))
     return topk.top_k_per_group(g, 1, ["team"], F.col("pp_runs").desc(), "batsman").drop("rank")
 
 
 def best_middle_batter(d: DataFrame, matches: DataFrame, n: int = 5) -> DataFrame:
     """Per team, best mean of per-match runs in overs 7 to 15."""
-    rec = recent_batting(d, recent_matches(matches, n)).filter(OVER.between(E.POWERPLAY_LAST_OVER + 1, E.MIDDLE_LAST_OVER))
-    per_match = rec.groupBy("batting_team", "batsman", "match_id").agg(F.sum(RUN).alias("r"))
+    rec = recent_batting(d, recent_matches(matches, n)).filter(F.col("over_num").between(E.POWERPLAY_LAST_OVER + 1, E.MIDDLE_LAST_OVER))
+    per_match = rec.groupBy("batting_team", "batsman", "match_id").agg(F.sum(F.col("batsman_runs")).alias("r"))
     g = per_match.groupBy(F.col("batting_team").alias("team"), "batsman").agg(F.avg("r").alias("avg_runs"))
     return topk.top_k_per_group(g, 1, ["team"], F.col("avg_runs").desc(), "batsman").drop("rank")
 
@@ -241,9 +237,9 @@ def best_middle_batter(d: DataFrame, matches: DataFrame, n: int = 5) -> DataFram
 def best_death_bowler(d: DataFrame, matches: DataFrame, n: int = 5, min_balls: int = 12) -> DataFrame:
     """Per team, the recent death bowler with the lowest economy
     (at least ``min_balls`` balls)."""
-    rec = recent_bowling(d, recent_matches(matches, n)).filter(OVER >= E.DEATH_FIRST_OVER)
+    rec = recent_bowling(d, recent_matches(matches, n)).filter(F.col("over_num") >= E.DEATH_FIRST_OVER)
     g = (rec.groupBy(F.col("bowling_team").alias("team"), "bowler")
-         .agg(F.count("*").alias("balls"), F.sum(TOTAL).alias("runs"))
+         .agg(F.count("*").alias("balls"), F.sum(F.col("total_runs")).alias("runs"))
          .filter(F.col("balls") >= min_balls)
          .withColumn("economy", F.col("runs") / (F.col("balls") / 6)))
     return topk.top_k_per_group(g, 1, ["team"], F.col("economy").asc(), "bowler").drop("rank")
@@ -253,8 +249,8 @@ def duels(d: DataFrame) -> DataFrame:
     """Every batter v bowler pair that met: runs, balls, dismissals of
     that batter, strike rate."""
     g = d.groupBy("batsman", "bowler").agg(
-        F.sum(RUN).alias("runs"), F.count("*").alias("balls"),
-        F.count_if(WKT & (F.col("player_dismissed") == F.col("batsman"))).alias("dismissals"))
+        F.sum(F.col("batsman_runs")).alias("runs"), F.count("*").alias("balls"),
+        F.count_if(F.col("is_wicket") & (F.col("player_dismissed") == F.col("batsman"))).alias("dismissals"))
     return g.withColumn("strike_rate", F.col("runs") / F.greatest(F.col("balls"), F.lit(1)) * 100)
 
 
@@ -262,7 +258,7 @@ def consistency(d: DataFrame, matches: DataFrame, n: int = 5, min_matches: int =
     """Per team and batter over recent matches: matches, mean and sample
     standard deviation of per-match runs (0 when undefined)."""
     rec = recent_batting(d, recent_matches(matches, n))
-    per_match = rec.groupBy("batting_team", "batsman", "match_id").agg(F.sum(RUN).alias("r"))
+    per_match = rec.groupBy("batting_team", "batsman", "match_id").agg(F.sum(F.col("batsman_runs")).alias("r"))
     g = per_match.groupBy(F.col("batting_team").alias("team"), "batsman").agg(
         F.count_distinct("match_id").alias("matches"), F.avg("r").alias("avg_runs"),
         F.count("r").alias("_n"), F.sum("r").alias("_s"), F.sum(F.col("r") * F.col("r")).alias("_q"))
@@ -305,8 +301,8 @@ def bowling_phase_effectiveness(d: DataFrame, matches: DataFrame, n: int = 5) ->
     """Per team and phase (recent matches): balls, wickets, wickets per
     over and economy (a zero over count reads as 1)."""
     rec = recent_bowling(d, recent_matches(matches, n))
-    g = rec.groupBy(F.col("bowling_team").alias("team"), E.phase_of_over(OVER).alias("phase")).agg(
-        F.count("*").alias("balls"), F.count_if(WKT).alias("wickets"), F.sum(TOTAL).alias("runs"))
+    g = rec.groupBy(F.col("bowling_team").alias("team"), E.phase_of_over(F.col("over_num")).alias("phase")).agg(
+        F.count("*").alias("balls"), F.count_if(F.col("is_wicket")).alias("wickets"), F.sum(F.col("total_runs")).alias("runs"))
     return g.withColumns({
         "wickets_per_over": E.safe_div(F.col("wickets"), F.col("balls") / 6),
         "economy": E.safe_div(F.col("runs"), F.col("balls") / 6),
@@ -323,14 +319,14 @@ def weakness_profile(d: DataFrame) -> DataFrame:
 def batting_depth_score(d: DataFrame) -> DataFrame:
     """Total runs / distinct batters per team."""
     return d.groupBy(F.col("batting_team").alias("team")).agg(
-        F.sum(RUN).alias("total_runs"), F.count_distinct("batsman").alias("unique_batters")
+        F.sum(F.col("batsman_runs")).alias("total_runs"), F.count_distinct("batsman").alias("unique_batters")
     ).withColumn("depth_score", F.col("total_runs") / F.col("unique_batters"))
 
 
 def bowling_variety(d: DataFrame) -> DataFrame:
     """Wickets / distinct bowlers per team."""
     return d.groupBy(F.col("bowling_team").alias("team")).agg(
-        F.count_if(WKT).alias("total_wickets"), F.count_distinct("bowler").alias("unique_bowlers")
+        F.count_if(F.col("is_wicket")).alias("total_wickets"), F.count_distinct("bowler").alias("unique_bowlers")
     ).withColumn("variety_index", F.col("total_wickets") / F.col("unique_bowlers"))
 
 
@@ -351,11 +347,11 @@ def toss_decision_win(matches: DataFrame) -> DataFrame:
 def phase_run_rate_top_teams(d: DataFrame, k: int = 8) -> DataFrame:
     """Mean runs per ball by phase for the k highest-scoring teams.
     The top-k team list is at most k rows, broadcast for the semi join."""
-    totals = d.groupBy("batting_team").agg(F.sum(RUN).alias("runs"))
+    totals = d.groupBy("batting_team").agg(F.sum(F.col("batsman_runs")).alias("runs"))
     top = topk.top_k(totals, k, F.col("runs").desc(), "batting_team").select("batting_team")
     return (d.join(F.broadcast(top), "batting_team", "left_semi")
-            .groupBy(F.col("batting_team").alias("team"), E.phase_of_over(OVER).alias("phase"))
-            .agg(F.avg(TOTAL).alias("avg_runs")))
+            .groupBy(F.col("batting_team").alias("team"), E.phase_of_over(F.col("over_num")).alias("phase"))
+            .agg(F.avg(F.col("total_runs")).alias("avg_runs")))
 
 
 def ordered_pairs(matches: DataFrame) -> DataFrame:
@@ -383,7 +379,7 @@ def head_to_head(matches: DataFrame, toss_boost: float = 5.0) -> DataFrame:
 def expected_first_innings(d: DataFrame, matches: DataFrame, default: float = 160.0) -> DataFrame:
     """A32 (+ J15): for every (team, venue) where the team played: mean of the
     venue's and the team's first-innings totals, 160 for a missing side."""
-    inn = (d.filter(F.col("inning") == 1).groupBy("match_id", "batting_team").agg(F.sum(TOTAL).alias("innings_total"))
+    inn = (d.filter(F.col("inning") == 1).groupBy("match_id", "batting_team").agg(F.sum(F.col("total_runs")).alias("innings_total"))
            .join(matches.select("match_id", "venue"), "match_id", "left"))
     venue_avg = inn.groupBy("venue").agg(F.avg("innings_total").alias("venue_avg"))
     team_avg = inn.groupBy(F.col("batting_team").alias("team")).agg(F.avg("innings_total").alias("team_avg"))
@@ -419,9 +415,9 @@ def upset_proxy(matches: DataFrame) -> DataFrame:
 def team_rates(d: DataFrame) -> DataFrame:
     """Team run rate (batting) and economy (bowling), runs per over with
     at least one over in the denominator, plus A41-style dot rate (P21)."""
-    bat = d.groupBy(F.col("batting_team").alias("team")).agg(F.sum(TOTAL).alias("bat_runs"), F.count("*").alias("bat_balls"))
+    bat = d.groupBy(F.col("batting_team").alias("team")).agg(F.sum(F.col("total_runs")).alias("bat_runs"), F.count("*").alias("bat_balls"))
     bowl = d.groupBy(F.col("bowling_team").alias("team")).agg(
-        F.sum(TOTAL).alias("bowl_runs"), F.count("*").alias("bowl_balls"),
+        F.sum(F.col("total_runs")).alias("bowl_runs"), F.count("*").alias("bowl_balls"),
         (F.avg(_i(E.is_dot("batsman_runs", "extra_runs"))) * 100).alias("dot_rate"))
     return bat.join(bowl, "team", "full").select(
         "team", E.per_over(F.col("bat_runs"), F.col("bat_balls")).alias("run_rate"),
@@ -430,8 +426,8 @@ def team_rates(d: DataFrame) -> DataFrame:
 
 def phase_run_rates(d: DataFrame) -> DataFrame:
     """Run rate by phase per batting team (a zero over count reads as 1)."""
-    g = d.groupBy(F.col("batting_team").alias("team"), E.phase_of_over(OVER).alias("phase")).agg(
-        F.sum(TOTAL).alias("runs"), F.count("*").alias("balls"))
+    g = d.groupBy(F.col("batting_team").alias("team"), E.phase_of_over(F.col("over_num")).alias("phase")).agg(
+        F.sum(F.col("total_runs")).alias("runs"), F.count("*").alias("balls"))
     return g.withColumn("run_rate", E.safe_div(F.col("runs"), F.col("balls") / 6))
 
 
@@ -450,30 +446,30 @@ def qualification_approx(matches: DataFrame, season_games: int = 14, points_need
 # ------------------------------------------------------------------ A37 - A44
 def top_run_scorers(d: DataFrame, k: int = 10) -> DataFrame:
     """The k batters with most runs."""
-    g = d.groupBy("batsman").agg(F.sum(RUN).alias("total_runs"))
+    g = d.groupBy("batsman").agg(F.sum(F.col("batsman_runs")).alias("total_runs"))
     return topk.top_k(g, k, F.col("total_runs").desc(), "batsman")
 
 
 def top_wicket_takers(d: DataFrame, k: int = 10) -> DataFrame:
-    g = d.filter(WKT).groupBy("bowler").agg(F.count("*").alias("wickets"))
+    g = d.filter(F.col("is_wicket")).groupBy("bowler").agg(F.count("*").alias("wickets"))
     return topk.top_k(g, k, F.col("wickets").desc(), "bowler")
 
 
 def top_six_hitters(d: DataFrame, k: int = 10) -> DataFrame:
-    g = d.filter(RUN == 6).groupBy("batsman").agg(F.count("*").alias("sixes"))
+    g = d.filter(F.col("batsman_runs") == 6).groupBy("batsman").agg(F.count("*").alias("sixes"))
     return topk.top_k(g, k, F.col("sixes").desc(), "batsman")
 
 
 def team_totals(d: DataFrame, k: int = 12) -> DataFrame:
-    g = d.groupBy("batting_team").agg(F.sum(RUN).alias("total_runs"))
+    g = d.groupBy("batting_team").agg(F.sum(F.col("batsman_runs")).alias("total_runs"))
     return topk.top_k(g, k, F.col("total_runs").desc(), "batting_team")
 
 
 def records(d: DataFrame) -> DataFrame:
     """Highest individual score, highest team total, sixes, fours."""
-    ind = d.groupBy("match_id", "batsman").agg(F.sum(RUN).alias("s")).agg(F.max("s").alias("highest_score"))
-    team = d.groupBy("match_id", "batting_team").agg(F.sum(TOTAL).alias("s")).agg(F.max("s").alias("highest_total"))
-    counts = d.agg(F.count_if(RUN == 6).alias("total_sixes"), F.count_if(RUN == 4).alias("total_fours"))
+    ind = d.groupBy("match_id", "batsman").agg(F.sum(F.col("batsman_runs")).alias("s")).agg(F.max("s").alias("highest_score"))
+    team = d.groupBy("match_id", "batting_team").agg(F.sum(F.col("total_runs")).alias("s")).agg(F.max("s").alias("highest_total"))
+    counts = d.agg(F.count_if(F.col("batsman_runs") == 6).alias("total_sixes"), F.count_if(F.col("batsman_runs") == 4).alias("total_fours"))
     return ind.select("highest_score", team.select("highest_total").scalar().alias("highest_total"),
                       counts.select("total_sixes").scalar().alias("total_sixes"),
                       counts.select("total_fours").scalar().alias("total_fours"))
@@ -482,9 +478,9 @@ def records(d: DataFrame) -> DataFrame:
 def venue_specialists(d: DataFrame, matches: DataFrame, k: int = 5) -> DataFrame:
     """Per venue the top k run scorers and top k wicket takers."""
     dv = d.join(matches.select("match_id", "venue"), "match_id")
-    bat = (dv.groupBy("venue", F.col("batsman").alias("player")).agg(F.sum(RUN).alias("value"))
+    bat = (dv.groupBy("venue", F.col("batsman").alias("player")).agg(F.sum(F.col("batsman_runs")).alias("value"))
            .withColumn("kind", F.lit("runs")))
-    bowl = (dv.groupBy("venue", F.col("bowler").alias("player")).agg(F.count_if(WKT).alias("value"))
+    bowl = (dv.groupBy("venue", F.col("bowler").alias("player")).agg(F.count_if(F.col("is_wicket")).alias("value"))
             .withColumn("kind", F.lit("wickets")))
     both = bat.unionByName(bowl)
     return topk.top_k_per_group(both, k, ["venue", "kind"], F.col("value").desc(), "player")
@@ -492,8 +488,8 @@ def venue_specialists(d: DataFrame, matches: DataFrame, k: int = 5) -> DataFrame
 
 def fastest_scorers(d: DataFrame, min_balls: int = 60, k: int = 10) -> DataFrame:
     """Best strike rate among batters with at least ``min_balls``."""
-    g = (d.groupBy("batsman").agg(F.sum(RUN).alias("runs"), F.count("*").alias("balls"),
-                                  F.count_if(RUN == 6).alias("sixes"))
+    g = (d.groupBy("batsman").agg(F.sum(F.col("batsman_runs")).alias("runs"), F.count("*").alias("balls"),
+                                  F.count_if(F.col("batsman_runs") == 6).alias("sixes"))
          .filter(F.col("balls") >= min_balls)
          .withColumn("strike_rate", F.col("runs") / F.col("balls") * 100))
     return topk.top_k(g, k, F.col("strike_rate").desc(), "batsman")
@@ -501,14 +497,14 @@ def fastest_scorers(d: DataFrame, min_balls: int = 60, k: int = 10) -> DataFrame
 
 def momentum(d: DataFrame, from_over: int = 18, k: int = 8) -> DataFrame:
     """Mean runs per ball in the last overs, top k teams."""
-    g = d.filter(OVER >= from_over).groupBy("batting_team").agg(F.avg(TOTAL).alias("avg_runs"))
+    g = d.filter(F.col("over_num") >= from_over).groupBy("batting_team").agg(F.avg(F.col("total_runs")).alias("avg_runs"))
     return topk.top_k(g, k, F.col("avg_runs").desc(), "batting_team")
 
 
 def bowlers_vs_opponent(d: DataFrame, k: int = 10) -> DataFrame:
     """For every (bowling team, batting team) the k bowlers with most
     wickets against that opponent."""
-    g = d.groupBy("bowling_team", "batting_team", "bowler").agg(F.count_if(WKT).alias("wickets"))
+    g = d.groupBy("bowling_team", "batting_team", "bowler").agg(F.count_if(F.col("is_wicket")).alias("wickets"))
     return topk.top_k_per_group(g, k, ["bowling_team", "batting_team"], F.col("wickets").desc(), "bowler")
 
 
@@ -521,9 +517,9 @@ def leaders(d: DataFrame) -> DataFrame:
         top = g.agg(F.max(value)).scalar()
         return g.filter(F.col(value) == top).agg(F.min(who)).scalar()
 
-    runs = d.groupBy("batsman").agg(F.sum(RUN).alias("v"))
-    sixes = d.filter(RUN == 6).groupBy("batsman").agg(F.count("*").alias("v"))
-    wkts = d.groupBy("bowler").agg(F.count_if(WKT).alias("v"))
+    runs = d.groupBy("batsman").agg(F.sum(F.col("batsman_runs")).alias("v"))
+    sixes = d.filter(F.col("batsman_runs") == 6).groupBy("batsman").agg(F.count("*").alias("v"))
+    wkts = d.groupBy("bowler").agg(F.count_if(F.col("is_wicket")).alias("v"))
     return d.sparkSession.range(1).select(
         lead(runs, "batsman", "v").alias("top_run_player"),
         lead(sixes, "batsman", "v").alias("top_six_player"),
@@ -537,7 +533,7 @@ def partnerships(d: DataFrame, team: str | None = None, min_balls: int = 12, k:
           & F.col("non_striker").isNotNull() & (F.trim("non_striker") != ""))
     g = (_maybe(d, "batting_team", team).filter(ok)
          .groupBy("batting_team", F.col("batsman").alias("striker"), "non_striker")
-         .agg(F.sum(RUN).alias("runs"), F.count("*").alias("balls"))
+         .agg(F.sum(F.col("batsman_runs")).alias("runs"), F.count("*").alias("balls"))
          .filter(F.col("balls") >= min_balls))
     g = g.withColumn("partnership_sr", E.safe_div(F.col("runs"), F.col("balls")) * 100)
     return topk.top_k_per_group(g, k, ["batting_team"], F.col("runs").desc(), "striker", "non_striker")
@@ -605,7 +601,7 @@ def latest_valid_date(df: DataFrame, key: str, text: str) -> DataFrame:
 def team_batters(d: DataFrame, k: int = 10) -> DataFrame:
     """Per team the top k batters by runs with their strike rate."""
     g = d.groupBy(F.col("batting_team").alias("team"), "batsman").agg(
-        F.sum(RUN).alias("runs"), F.count("*").alias("balls"))
+        F.sum(F.col("batsman_runs")).alias("runs"), F.count("*").alias("balls"))
     g = g.withColumn("strike_rate", F.col("runs") / F.col("balls") * 100)
     return topk.top_k_per_group(g, k, ["team"], F.col("runs").desc(), "batsman")
 
