@@ -42,13 +42,16 @@ def build_session(master: str | None = None, app: str = "wicketlake",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when it is unset (local runs,
-    tests) do we create one, under a fresh temporary directory.
+    A cluster names a shared folder there. Only a local-mode session, whose
+    driver and executors are one process, gets a folder of its own when the
+    setting is absent; elsewhere a missing setting is an error, because
+    executors would write to their own disks.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="wicketlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
