@@ -27,13 +27,17 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` for the session's Python stages."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1))) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, *args) -> DataFrame:
     """``mapInArrow`` with batches of bounded bytes. ``fn(columns, *args)``
     gets one Python list per input column and returns one list (or Arrow
     array) per output column, in the order of ``schema``."""
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1))) > BATCH_BYTES:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bound_batches(df.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -44,8 +48,8 @@ def map_batches(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str,
             if batch.num_rows:
                 made = fn([c.to_pylist() for c in batch.columns], *args)
                 yield pa.RecordBatch.from_arrays(
-                    [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(made, out, strict=True)],
-                    schema=out)
+                    [x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, type=f.type)
+                     for x, f in zip(made, out, strict=True)], schema=out)
 
     return df.mapInArrow(run, schema)
 
@@ -54,9 +58,7 @@ def stream_batches(df: DataFrame, fn: Callable[[Iterator[list]], Iterator[list]]
     """``mapInArrow`` over a sorted partition: ``fn`` gets an iterator of rows
     (tuples) and yields output rows; batches are cut at ``BATCH_BYTES`` on
     the way in and by a row and size estimate on the way out."""
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1))) > BATCH_BYTES:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bound_batches(df.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -92,6 +94,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``gone``,
+    all columns as they came; a null id stays."""
+    listed = gone.toDF("gone").alias("x")
+    return docs.alias("d").join(listed, F.col(f"d.`{id_col}`") == F.col("x.gone"), "left_anti")
+
+
 class TwoGenerationCache(dict):
     """A bounded memo: when ``limit`` new entries have come in, they become
     the old generation and the older one is forgotten. Never more than twice
