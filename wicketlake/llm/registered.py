@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wicketlake.llm import chat, fingerprints, packing, pii, tokens, urls
+from wicketlake.llm import chat, decontaminate, fingerprints, jaccard, linededup, packing, pii, tokens, toxicity, urls
 from wicketlake.llm.common import table
 
 
@@ -30,20 +30,45 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, urls.labelled_urls(pages, labels))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select("doc_id", "text", "cut.n_lines", "cut.n_dropped")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbour_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-_QUERIES = (op1_pii, op2_chat, op3_urls, op6_packing, op8_fingerprints, op10_tokens)
-_ORACLES = {"op2_chat": chat.ORACLE}
+_QUERIES = (op1_pii, op2_chat, op3_urls, op4_toxicity, op5_linededup, op6_packing, op7_decontaminate, op8_fingerprints,
+            op9_jaccard, op10_tokens, pipeline)
+_ORACLES = {"op2_chat": chat.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
