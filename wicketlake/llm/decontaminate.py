@@ -128,10 +128,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS h
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS h
   FROM documents WHERE text IS NOT NULL
 ), b AS (
-  SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS g
+  SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS g
   FROM benchmark WHERE text IS NOT NULL
 ), masks(mask, places, span) AS (VALUES
   (0, [0, 1, 2, 3, 4, 5], 6), (1, [0, 1, 2, 4, 5, 6], 7), (2, [0, 1, 3, 4, 6, 7], 8)
