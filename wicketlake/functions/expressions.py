@@ -112,9 +112,16 @@ def within_months(d: Column | str, as_of: Column, months: int) -> Column:
 
 
 # ---------------------------------------------------------------- F10
+def zero_padded(n: Column, width: int) -> Column:
+    """Digits filled with zeros up to ``width``; longer numbers stay whole
+    (``lpad`` alone would cut them)."""
+    text = n.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 def padded_id(prefix: str, n: Column, width: int) -> Column:
     """'P' + zero padded number, e.g. P00042."""
-    return F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0"))
+    return F.concat(F.lit(prefix), zero_padded(n, width))
 
 
 # ---------------------------------------------------------------- F12, P17

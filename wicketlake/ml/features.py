@@ -7,21 +7,24 @@ from pyspark.sql import functions as F
 
 from wicketlake.operators import aggregates as A
 
+# Feature names of the match and player models, in the order of
+# the output schema, and the columns that players are clustered on.
 MATCH_FEATURES = ["run_rate_diff", "six_rate_diff", "four_rate_diff", "pp_run_rate_diff", "death_run_rate_diff",
                   "wicket_rate_diff", "death_wkt_rate_diff", "economy_diff", "win_rate_t1", "win_rate_t2",
                   "win_rate_diff", "toss_team1", "toss_bat_first", "toss_advantage", "is_knockout"]
 PLAYER_FEATURES = ["total_runs", "balls_faced", "strike_rate_live", "sixes", "fours", "wickets", "economy_live"]
+CLUSTER_FEATURES = ["total_runs", "strike_rate_live", "sixes", "wickets", "economy_live"]
 
 
 def match_features(d: DataFrame, cm: DataFrame) -> DataFrame:
     """M1 (J8): every match meets the stats of its two teams (two inner
-    joins on a one-row-per-team table, broadcast: bounded by team count);
+    joins on a one-row-per-team table);
     15 features and the target (team1 won)."""
     ts = A.team_stats(d, cm)
     cols = ["avg_runs_per_ball", "six_rate", "four_rate", "pp_run_rate", "death_run_rate",
             "avg_wickets_per_ball", "death_wicket_rate", "avg_economy", "win_rate"]
-    t1 = F.broadcast(ts.select(F.col("team").alias("team1"), *[F.col(c).alias(f"{c}_1") for c in cols]))
-    t2 = F.broadcast(ts.select(F.col("team").alias("team2"), *[F.col(c).alias(f"{c}_2") for c in cols]))
+    t1 = ts.select(F.col("team").alias("team1"), *[F.col(c).alias(f"{c}_1") for c in cols])
+    t2 = ts.select(F.col("team").alias("team2"), *[F.col(c).alias(f"{c}_2") for c in cols])
     m = cm.join(t1, "team1").join(t2, "team2")
 
     def diff(c: str):

@@ -89,9 +89,11 @@ def team_win_rates(matches: DataFrame) -> DataFrame:
 
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Fill nulls of numeric columns with the column median (exact
-    ``median``: one partial aggregate, one row, read as a scalar subquery)."""
-    med = df.agg(*[F.median(c).alias(c) for c in columns])
-    return df.withColumns({c: F.coalesce(F.col(c), med.select(c).scalar()) for c in columns})
+    ``median``, on a frame of one row per team): one row with all medians,
+    joined once."""
+    med = df.agg(*[F.median(c).alias(f"_median_{c}") for c in columns])
+    filled = df.crossJoin(med).withColumns({c: F.coalesce(F.col(c), F.col(f"_median_{c}")) for c in columns})
+    return filled.drop(*[f"_median_{c}" for c in columns])
 
 
 def team_stats(d: DataFrame, matches: DataFrame) -> DataFrame:
@@ -346,10 +348,10 @@ def toss_decision_win(matches: DataFrame) -> DataFrame:
 
 def phase_run_rate_top_teams(d: DataFrame, k: int = 8) -> DataFrame:
     """Mean runs per ball by phase for the k highest-scoring teams.
-    The top-k team list is at most k rows, broadcast for the semi join."""
+    The top-k team list is at most k rows."""
     totals = d.groupBy("batting_team").agg(F.sum(F.col("batsman_runs")).alias("runs"))
     top = topk.top_k(totals, k, F.col("runs").desc(), "batting_team").select("batting_team")
-    return (d.join(F.broadcast(top), "batting_team", "left_semi")
+    return (d.join(top, "batting_team", "left_semi")
             .groupBy(F.col("batting_team").alias("team"), E.phase_of_over(F.col("over_num")).alias("phase"))
             .agg(F.avg(F.col("total_runs")).alias("avg_runs")))
 
@@ -554,12 +556,14 @@ def points_table(matches: DataFrame, margin_scale: float = 0.1) -> DataFrame:
                     ((F.col("runs_for") - F.col("runs_against")) / F.greatest(F.col("played"), F.lit(1)) * margin_scale).alias("nrr"))
 
 
-def head_to_head_matrix(matches: DataFrame, teams: list[str]) -> DataFrame:
-    """Winner x beaten-team counts. The pivot gets its value list, so no
-    extra distinct job runs."""
-    m = matches.filter(F.col("winner").isin(teams) & F.col("team1").isin(teams) & F.col("team2").isin(teams))
-    loser = F.when(F.col("winner") == F.col("team1"), F.col("team2")).otherwise(F.col("team1"))
-    return (m.withColumn("loser", loser).groupBy("winner").pivot("loser", teams).count().na.fill(0))
+def head_to_head_matrix(matches: DataFrame) -> DataFrame:
+    """Wins of every team over every team it met, in long form (a pair
+    that met has a row for each side, also with no win), so no team list is
+    needed and none is cut off."""
+    sides = [matches.select(F.col(x).alias("team"), F.col(y).alias("opponent"), (F.col("winner") == F.col(x)).alias("won"))
+             for x, y in (("team1", "team2"), ("team2", "team1"))]
+    return (sides[0].unionByName(sides[1]).groupBy("team", "opponent")
+            .agg(F.count("*").alias("played"), F.count_if("won").alias("wins")))
 
 
 def run_value_counts(d: DataFrame) -> DataFrame:
@@ -582,10 +586,13 @@ def margin_histogram(matches: DataFrame, column: str, bins: int) -> DataFrame:
 
 def warehouse_snapshot(matches: DataFrame, players: DataFrame, d: DataFrame,
                        gender: str | None = None) -> DataFrame:
-    """One row of scalar counts (scalar subqueries)."""
+    """One row of scalar counts (scalar subqueries); a gender filters
+    all of them."""
     m = _maybe(matches, "gender", gender)
     p = _maybe(players, "gender", gender)
-    teams = teams_long(matches).select("team").distinct()
+    if gender is not None:
+        d = d.join(m.select("match_id"), "match_id", "left_semi")
+    teams = teams_long(m).select("team").distinct()
     return m.agg(F.count("*").alias("matches")).select(
         "matches",
         p.agg(F.count_distinct("player_name")).scalar().alias("players"),

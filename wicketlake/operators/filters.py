@@ -69,17 +69,10 @@ def recode(column: Column, mapping: dict, default=None) -> Column:
     return out if default is None else F.coalesce(out, F.lit(default))
 
 
-def capped_sample(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """A row cap, always after an explicit order so it is repeatable."""
-    return df.orderBy(*order).limit(n)
-
-
-def with_fallback_pool(players: DataFrame, country: str, minimum: int = 11) -> DataFrame:
-    """The country's players, or every player when it has fewer than
-    ``minimum``; one plan, decided by a scalar count."""
-    own = players.filter(F.col("country") == country)
-    enough = own.agg(F.count("*")).scalar() >= minimum
-    return players.filter(F.when(enough, F.col("country") == country).otherwise(F.lit(True)))
+def player_pool(players: DataFrame, country: str | None = None) -> DataFrame:
+    """The players of a country, or every player where no country is
+    asked for; the caller decides, not the number of rows."""
+    return players if country is None else players.filter(F.col("country") == country)
 
 
 def fill_defaults(df: DataFrame, defaults: dict) -> DataFrame:

@@ -23,31 +23,30 @@ XI = 11
 def scored_players(players: DataFrame) -> DataFrame:
     """F13 score and a role folded onto the quota roles."""
     role = F.when(F.col("role").isin(list(ROLE_QUOTAS)), F.col("role")).otherwise("Unknown")
+    # Rounded to two digits, half to even, before ranking: ties go by id.
     score = E.xi_score(F.col("batting_avg"), F.col("strike_rate"), F.col("bowling_avg"), F.col("economy"),
                        F.col("runs"), F.col("wickets"))
-    return players.withColumns({"role_q": role, "perf_score": score})
+    return players.withColumns({"role_q": role, "perf_score": F.bround(score.cast("decimal(18,6)"), 2).cast("double")})
 
 
 def optimal_xi(players: DataFrame) -> DataFrame:
     """G1 (W11): per country, the best players of each role up to its quota,
     then the best of the rest up to 11, ranked in selection order.
-    (Names can repeat across players, so the top-up compares ids, trap 26.)"""
-    s = scored_players(players)
+    (Names can repeat across players, so everything compares ids, trap 26.)
+
+    A player of the XI is among the best ``XI + max quota`` of the own role,
+    so that top-k (limited before the shuffle) comes first; the windows after
+    it see at most 15 players of each role of a country."""
     order = (F.col("perf_score").desc(), F.col("player_id"))
-    quota = None
-    for role, q in ROLE_QUOTAS.items():
-        part = topk.top_k_per_group(s.filter(F.col("role_q") == role), q, ["country"], *order, rank_col="_r")
-        quota = part if quota is None else quota.unionByName(part)
-    quota = quota.withColumn("_stage", F.lit(1)).drop("_r")
-    chosen = quota.groupBy("country").agg(F.count("*").alias("_n"))
-    rest = topk.top_k_per_group(s.join(quota.select("player_id"), "player_id", "left_anti"), XI, ["country"],
-                                *order, rank_col="_r")
-    rest = (rest.join(chosen, "country", "left")
-            .filter(F.col("_r") <= XI - F.coalesce(F.col("_n"), F.lit(0)))
-            .drop("_r", "_n").withColumn("_stage", F.lit(2)))
-    xi = quota.unionByName(rest)
-    w = Window.partitionBy("country").orderBy("_stage", *order)
-    return xi.withColumn("xi_rank", F.row_number().over(w)).drop("_stage", "role_q")
+    best = topk.top_k_per_group(scored_players(players), XI + max(ROLE_QUOTAS.values()), ["country", "role_q"], *order,
+                                rank_col="_r")
+    quota = F.coalesce(F.create_map(*[F.lit(x) for kv in ROLE_QUOTAS.items() for x in kv])[F.col("role_q")], F.lit(0))
+    country = Window.partitionBy("country")
+    staged = best.withColumn("_stage", F.when(F.col("_r") <= quota, 1).otherwise(2))
+    ranked = staged.withColumns({"_n": F.count_if(F.col("_stage") == 1).over(country),
+                                 "_place": F.row_number().over(country.orderBy("_stage", *order))})
+    return (ranked.filter((F.col("_stage") == 1) | (F.col("_place") <= F.greatest(F.lit(XI), F.col("_n"))))
+            .withColumnRenamed("_place", "xi_rank").drop("_r", "_n", "_stage", "role_q"))
 
 
 # Batting position labels.
@@ -92,11 +91,10 @@ def form_xi(players: DataFrame, features: DataFrame, form: DataFrame, k: int = X
 def nrr_what_if(points: DataFrame, margins: list[int], per_run: float = 0.005) -> DataFrame:
     """G4 (J16): for every team and hypothetical winning margin, the new
     margin rate and the rank it would give: 1 + teams with a larger rate.
-    The points table has one row per team (bounded by the number of teams),
-    so it is broadcast for the non-equi count."""
+    The points table has one row per team (bounded by the number of teams)."""
     hyp = points.select("team", "nrr", F.explode(F.array(*[F.lit(m) for m in margins])).alias("margin"))
     hyp = hyp.withColumn("new_nrr", F.col("nrr") + F.col("margin") * per_run)
-    other = F.broadcast(points.select(F.col("nrr").alias("other_nrr")))
+    other = points.select(F.col("nrr").alias("other_nrr"))
     j = hyp.join(other, F.col("other_nrr") > F.col("new_nrr"), "left")
     return j.groupBy("team", "margin", "nrr", "new_nrr").agg((F.count("other_nrr") + 1).alias("new_rank"))
 

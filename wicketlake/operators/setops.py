@@ -25,11 +25,3 @@ def distinct_of(df: DataFrame, *cols: str) -> DataFrame:
 def all_but(df: DataFrame, column: str, excluded: DataFrame) -> DataFrame:
     """U4: set difference (rows of ``df`` whose value is not excluded)."""
     return df.select(column).exceptAll(excluded.select(column))
-
-
-def union_unlike(*frames: DataFrame) -> DataFrame:
-    """Union of frames with different columns (missing ones are null)."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out

@@ -1,10 +1,9 @@
 """Gold star schema (B5 to B9): dimensions and the per-match player fact.
 
 Dimension sizes are bounded by the domain, not by the ball count: teams and
-venues are a few dozen, dates at most one row per calendar day. Those three
-are broadcast explicitly. The player dimension grows with the data, so its
-join is left to AQE, which broadcasts it only when the runtime size is under
-``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
+venues are a few dozen, dates at most one row per calendar day; the player
+dimension grows with the data. No join is hinted: AQE broadcasts a side only
+when its runtime size is under ``spark.sql.autoBroadcastJoinThreshold``.
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wicketlake.functions import expressions as E
-from wicketlake.operators import aggregates as A
 from wicketlake.operators.keys import dense_index, keep_first
 from wicketlake.operators.setops import clean_team_list
 
@@ -60,31 +58,28 @@ def dim_date(clean_matches: DataFrame) -> DataFrame:
 def dim_match(clean_matches: DataFrame, teams: DataFrame) -> DataFrame:
     """Toss winner id through the team dimension (J3), result type and
     margin (P15)."""
-    t = F.broadcast(teams.select(F.col("team_name").alias("toss_winner"), F.col("team_id").alias("toss_winner_id")))
+    t = teams.select(F.col("team_name").alias("toss_winner"), F.col("team_id").alias("toss_winner_id"))
     return clean_matches.join(t, "toss_winner", "left").select(
         "match_id", "toss_winner_id", "toss_decision", F.lit("Clear").alias("weather_condition"), "is_day_night",
         E.result_type("win_by_runs").alias("result_type"),
         E.result_margin("win_by_runs", "win_by_wickets").alias("result_margin"))
 
 
-def performance_fact(deliveries: DataFrame, clean_matches: DataFrame, players: DataFrame,
+def performance_fact(cards: DataFrame, clean_matches: DataFrame, players: DataFrame,
                      teams: DataFrame, venues: DataFrame, dates: DataFrame) -> DataFrame:
-    """One row per (match, player): batting (A1) full-joined with bowling
-    (A2) on (match, player) (J2), the team from whichever side has it
-    (trap 6), dimension keys by lookup joins (J3), venue default 1 and rows
-    without player or team dropped (J4), match attributes (J5), opponent and
-    result (P16), strike rate, player of the match (F16)."""
-    bat = A.batting_cards(deliveries).withColumnRenamed("team", "bat_team")
-    bowl = (A.bowling_cards(deliveries).withColumnRenamed("team", "bowl_team")
-            .select("match_id", "player_name", "bowl_team", "wickets_taken", "runs_conceded",
-                    "overs_bowled", "economy_rate"))
-    fact = bat.join(bowl, ["match_id", "player_name"], "full").withColumn(
-        "team_name", F.coalesce("bat_team", "bowl_team"))
+    """One row per (match, player): the match card (A1, A2, J2), the team
+    from whichever side has it (trap 6), dimension keys by lookup joins (J3),
+    venue default 1 and rows without player or team dropped (J4), match
+    attributes (J5), opponent and result (P16), strike rate, player of the
+    match (F16)."""
+    overs = F.when(F.col("balls_bowled") > 0, F.col("balls_bowled") / 6)
+    fact = cards.withColumns({"team_name": F.coalesce("bat_team", "bowl_team"), "overs_bowled": overs,
+                              "economy_rate": F.col("runs_conceded") / overs})
     pk = players.select(E.norm_key("player_name").alias("_pk"), "player_id")
-    tk = F.broadcast(teams.select(F.col("team_name"), "team_id"))
-    ok = F.broadcast(teams.select(F.col("team_name").alias("opponent_team_name"), F.col("team_id").alias("opponent_team_id")))
-    vk = F.broadcast(venues.select(F.col("stadium_name").alias("venue"), "venue_id"))
-    dk = F.broadcast(dates.select("match_date", "date_id"))
+    tk = teams.select(F.col("team_name"), "team_id")
+    ok = teams.select(F.col("team_name").alias("opponent_team_name"), F.col("team_id").alias("opponent_team_id"))
+    vk = venues.select(F.col("stadium_name").alias("venue"), "venue_id")
+    dk = dates.select("match_date", "date_id")
     m = clean_matches.select("match_id", "team1", "team2", "winner", "venue", "match_date", "player_of_match")
     fact = (fact.withColumn("_pk", E.norm_key("player_name"))
             .join(pk, "_pk", "left")
@@ -115,4 +110,4 @@ def fact_match_performance(t) -> DataFrame:
     """The whole gold build from the adapter views (flagship query)."""
     cm = t.clean_matches
     teams = dim_team(cm)
-    return performance_fact(t.deliveries, cm, t.players, teams, dim_venue(t.venues), dim_date(cm))
+    return performance_fact(t.cards, cm, t.players, teams, dim_venue(t.venues), dim_date(cm))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 DELIVERIES = """
-SELECT concat('M', lpad(CAST(m AS VARCHAR), 5, '0')) AS match_id, inning, over_num, ball_num, batting_team, bowling_team,
+SELECT concat('M', lpad(CAST(m AS VARCHAR), CAST(greatest(5, length(CAST(m AS VARCHAR))) AS INTEGER), '0')) AS match_id, inning, over_num, ball_num, batting_team, bowling_team,
   concat(batting_team, '_B', CAST(bk AS VARCHAR)) AS batsman,
   concat(batting_team, '_B', CAST((bk + off) % 11 AS VARCHAR)) AS non_striker,
   concat(bowling_team, '_B', CAST(wk AS VARCHAR)) AS bowler,
@@ -29,9 +29,9 @@ FROM (SELECT *, concat('NATION_', CAST(CASE WHEN inning = 1 THEN t1 ELSE t2 END
 """
 
 MATCHES = """
-SELECT concat('M', lpad(CAST(m AS VARCHAR), 5, '0')) AS match_id, match_date, concat('VENUE_', CAST(v AS VARCHAR)) AS venue,
+SELECT concat('M', lpad(CAST(m AS VARCHAR), CAST(greatest(5, length(CAST(m AS VARCHAR))) AS INTEGER), '0')) AS match_id, match_date, concat('VENUE_', CAST(v AS VARCHAR)) AS venue,
   t1n AS team1, t2n AS team2,
-  CASE WHEN p % 2 = 1 THEN t1n ELSE t2n END AS toss_winner, CASE WHEN st = 'F' THEN 'bat' ELSE 'field' END AS toss_decision,
+  CASE WHEN p % 2 = 1 THEN t1n ELSE t2n END AS toss_winner, CASE WHEN st % 2 = 1 THEN 'bat' ELSE 'field' END AS toss_decision,
   CASE WHEN w = 0 THEN 'No Result' WHEN w % 2 = 1 THEN t1n ELSE t2n END AS winner,
   CASE WHEN w = 0 THEN 'No Result' WHEN w <= 10 THEN concat(CAST(w * 3 AS VARCHAR), ' runs') ELSE concat(CAST(w - 10 AS VARCHAR), ' wickets') END AS margin,
   CASE WHEN m % 10 = 0 THEN 'Final' WHEN m % 10 = 1 THEN 'Semi-Final' WHEN m % 10 <= 4 THEN 'Super Eight' ELSE 'Group Stage' END AS stage,
@@ -39,11 +39,9 @@ SELECT concat('M', lpad(CAST(m AS VARCHAR), 5, '0')) AS match_id, match_date, co
 FROM (SELECT *, concat('NATION_', CAST(m % 25 AS VARCHAR)) AS t1n,
         concat('NATION_', CAST((m % 25 + 1 + CAST(floor(m / 25) AS BIGINT) % 24) % 25 AS VARCHAR)) AS t2n
   FROM (SELECT CAST(floor(o_orderkey / 50) AS BIGINT) AS m,
-          min_by(CAST(o_orderdate AS DATE), o_orderkey) AS match_date,
-          min_by(o_custkey % 10, o_orderkey) AS v,
-          min_by(CAST(substr(o_orderpriority, 1, 1) AS INT), o_orderkey) AS p,
-          min_by(o_orderstatus, o_orderkey) AS st,
-          min_by(CAST(floor(o_totalprice) AS BIGINT) % 20, o_orderkey) AS w
+          max(CAST(o_orderdate AS DATE)) AS match_date, CAST(sum(o_custkey) AS BIGINT) % 10 AS v,
+          sum(CAST(substr(o_orderpriority, 1, 1) AS INT)) AS p, count_if(o_orderstatus = 'F') AS st,
+          CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) % 20 AS w
         FROM orders GROUP BY 1) a) b
 """
 
@@ -130,8 +128,8 @@ def with_views(body: str) -> str:
 PLAYERS = """
 SELECT player_name, country, role, matches, runs, batting_avg, strike_rate, hundreds, fifties, wickets, bowling_avg,
   economy, gender, last_played_date, coalesce(last_played_date >= as_of - INTERVAL 36 MONTH, false) AS is_active,
-  concat('P', lpad(CAST(row_number() OVER (ORDER BY player_name) AS VARCHAR), 5, '0')) AS player_id
-FROM (
+  concat('P', lpad(CAST(n AS VARCHAR), CAST(greatest(5, length(CAST(n AS VARCHAR))) AS INTEGER), '0')) AS player_id
+FROM (SELECT *, row_number() OVER (ORDER BY player_name) AS n FROM (
   SELECT coalesce(bat.player_name, bowl.player_name) AS player_name, coalesce(bat_team, bowl_team) AS country,
     CASE WHEN coalesce(wickets, 0) > 10 AND coalesce(runs, 0) > 100 THEN 'All-Rounder' WHEN coalesce(wickets, 0) > 5 THEN 'Bowler'
          WHEN coalesce(runs, 0) > 100 THEN 'Batter' ELSE 'Unknown' END AS role,
@@ -154,7 +152,7 @@ FROM (
           FROM (SELECT match_id, batsman AS player_name FROM deliveries UNION SELECT match_id, bowler FROM deliveries) a
           LEFT JOIN matches m ON a.match_id = m.match_id GROUP BY 1) app
     ON app.player_name = coalesce(bat.player_name, bowl.player_name)
-) p
+) q) p
 """
 
 VIEWS["players"] = PLAYERS

@@ -514,20 +514,37 @@ def _a45(t):
     return A.points_table(t.clean_matches)
 
 
-def _first_teams(cm, n=12):
-    rows = (A.teams_long(cm).select("team").distinct().orderBy("team").limit(n).collect())
-    return [r[0] for r in rows]
-
-
 @query("a46_head_to_head_matrix", """
-WITH teams AS (SELECT team FROM (SELECT DISTINCT team FROM (SELECT team1 AS team FROM clean_matches UNION ALL
-               SELECT team2 FROM clean_matches) x) y ORDER BY team LIMIT 12),
-m AS (SELECT winner, CASE WHEN winner = team1 THEN team2 ELSE team1 END AS loser FROM clean_matches
-      WHERE winner IN (SELECT team FROM teams) AND team1 IN (SELECT team FROM teams) AND team2 IN (SELECT team FROM teams))
-PIVOT m ON loser USING count(*) GROUP BY winner""")
+SELECT team, opponent, count(*) AS played, count_if(winner = team) AS wins FROM (
+  SELECT team1 AS team, team2 AS opponent, winner FROM clean_matches UNION ALL SELECT team2, team1, winner FROM clean_matches) x
+GROUP BY 1, 2""")
 def _a46(t):
-    cm = t.clean_matches
-    return A.head_to_head_matrix(cm, _first_teams(cm))
+    return A.head_to_head_matrix(t.clean_matches)
+
+
+_SNAPSHOT = """
+SELECT {g} AS gender, (SELECT count(*) FROM clean_matches WHERE {m}) AS matches,
+  (SELECT count(DISTINCT player_name) FROM players WHERE {m}) AS players,
+  (SELECT count(*) FROM deliveries WHERE match_id IN (SELECT match_id FROM clean_matches WHERE {m})) AS deliveries,
+  (SELECT count(DISTINCT team) FROM (SELECT team1 AS team FROM clean_matches WHERE {m} UNION ALL SELECT team2 FROM clean_matches WHERE {m}) x) AS teams"""
+
+
+@query("a49_warehouse_snapshot", " UNION ALL ".join([
+    _SNAPSHOT.format(g="'all'", m="true"), _SNAPSHOT.format(g="'female'", m="gender = 'female'"),
+    _SNAPSHOT.format(g="'male'", m="gender = 'male'")]))
+def _a49(t):
+    out = None
+    for gender in (None, "female", "male"):
+        row = A.warehouse_snapshot(t.clean_matches, t.players, t.deliveries, gender).withColumn("gender", F.lit(gender or "all"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("a52_latest_valid_date", r"""
+SELECT priority_text, max(CASE WHEN regexp_full_match(trim(date_text), '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN CAST(trim(date_text) AS DATE) END)
+  AS last_played_date FROM dirty_orders GROUP BY 1""")
+def _a52(t):
+    return A.latest_valid_date(t.dirty_orders, "priority_text", "date_text")
 
 
 @query("a47_run_value_counts", "SELECT batsman_runs AS runs, count(*) AS count FROM deliveries GROUP BY 1")

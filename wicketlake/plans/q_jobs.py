@@ -26,7 +26,7 @@ def _b2(t):
     # job parses text exactly as it would from source files.
     path = scratch_path(t.spark, "ball-files")
     raw.write_ball_files(t.deliveries, path)
-    balls = raw.read_ball_files(t.spark, path, key_pattern=r"m_part=([^/]+)/")
+    balls = raw.read_ball_files(t.spark, path, key_pattern=None)
     return silver.transform_deliveries(balls)
 
 

@@ -41,8 +41,8 @@ SELECT m.match_id, a.team_id AS team1_id, b.team_id AS team2_id FROM clean_match
 LEFT JOIN dim_team a ON a.team_name = m.team1 LEFT JOIN dim_team b ON b.team_name = m.team2""")
 def _j3(t):
     teams = gold.dim_team(t.clean_matches)
-    a = F.broadcast(teams.select(F.col("team_name").alias("team1"), F.col("team_id").alias("team1_id")))
-    b = F.broadcast(teams.select(F.col("team_name").alias("team2"), F.col("team_id").alias("team2_id")))
+    a = teams.select(F.col("team_name").alias("team1"), F.col("team_id").alias("team1_id"))
+    b = teams.select(F.col("team_name").alias("team2"), F.col("team_id").alias("team2_id"))
     return t.clean_matches.join(a, "team1", "left").join(b, "team2", "left").select("match_id", "team1_id", "team2_id")
 
 
@@ -50,7 +50,7 @@ def _j3(t):
 SELECT m.match_id, coalesce(v.venue_id, 1) AS venue_id FROM clean_matches m
 LEFT JOIN dim_venue v ON v.stadium_name = m.venue WHERE m.team1 IS NOT NULL AND m.team2 IS NOT NULL""")
 def _j4(t):
-    v = F.broadcast(gold.dim_venue(t.venues).select(F.col("stadium_name").alias("venue"), "venue_id"))
+    v = gold.dim_venue(t.venues).select(F.col("stadium_name").alias("venue"), "venue_id")
     out = t.clean_matches.join(v, "venue", "left").na.drop(subset=["team1", "team2"])
     return out.select("match_id", F.coalesce("venue_id", F.lit(1)).alias("venue_id"))
 
@@ -116,12 +116,8 @@ def _j10(t):
 SELECT v.stadium_name, count(m.match_id) AS matches FROM venues v
 LEFT JOIN clean_matches m ON contains(m.venue, v.stadium_name) GROUP BY 1""")
 def _j11(t):
-    # The venue list is bounded by the number of grounds; broadcasting it turns
-    # the containment predicate into a broadcast nested-loop join that streams
-    # the matches once.
-    v = F.broadcast(t.venues.select("stadium_name"))
-    j = t.clean_matches.select("match_id", "venue").join(v, F.col("venue").contains(F.col("stadium_name")), "right")
-    return j.groupBy("stadium_name").agg(F.count("match_id").alias("matches"))
+    from wicketlake.retrieval.documents import venue_match_counts
+    return venue_match_counts(t.venues, t.clean_matches).select("stadium_name", "matches")
 
 
 @query("j12_update_from_join", """

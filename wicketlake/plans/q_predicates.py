@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wicketlake.functions import expressions as E
 from wicketlake.operators import filters as P
+from wicketlake.operators.selection import POSITION_LABELS
 from wicketlake.plans.registry import query
 
 # Fixed values used as the page selections in the registered queries.
@@ -126,11 +127,6 @@ def _p17(t):
     return g.select("batting_team", E.clip(F.col("a") * 20, 0, 100).alias("clipped"))
 
 
-# Batting position labels of the batting order job.
-POSITION_LABELS = {1: "Opener", 2: "Opener", 3: "No.3", 4: "Middle Order", 5: "Middle Order",
-                   6: "Finisher", 7: "Finisher", 8: "All-Rounder", 9: "All-Rounder", 10: "Tail", 11: "Tail"}
-
-
 @query("p18_recode", """
 SELECT match_id, inning, batsman, batting_position,
   CASE batting_position WHEN 1 THEN 'Opener' WHEN 2 THEN 'Opener' WHEN 3 THEN 'No.3' WHEN 4 THEN 'Middle Order'
@@ -145,11 +141,6 @@ def _p18(t):
                       P.recode(F.col("batting_position"), POSITION_LABELS).alias("role_in_order"))
 
 
-@query("p19_row_cap", "SELECT match_id, seq, batsman, batsman_runs FROM deliveries ORDER BY match_id, seq LIMIT 50000")
-def _p19(t):
-    return P.capped_sample(t.deliveries.select("match_id", "seq", "batsman", "batsman_runs"), 50000, "match_id", "seq")
-
-
 @query("p20_event_badge", """
 SELECT event_id, CASE WHEN is_wicket THEN 'WICKET' WHEN runs_scored = 6 THEN 'SIX' WHEN runs_scored = 4 THEN 'FOUR'
   ELSE concat(CAST(runs_scored AS VARCHAR), ' run(s)') END AS badge FROM live""")
@@ -164,11 +155,12 @@ def _p21(t):
         (F.avg(E.is_dot("batsman_runs", "extra_runs").cast("int")) * 100).alias("dot_rate"))
 
 
-@query("p22_fallback_pool", f"""
-SELECT player_name, country FROM players
-WHERE CASE WHEN (SELECT count(*) FROM players WHERE country = '{TEAM}') >= 11 THEN country = '{TEAM}' ELSE true END""")
+@query("p22_player_pool", f"""
+SELECT 'country' AS pool, player_name, country FROM players WHERE country = '{TEAM}'
+UNION ALL SELECT 'all' AS pool, player_name, country FROM players""")
 def _p22(t):
-    return P.with_fallback_pool(t.players, TEAM).select("player_name", "country")
+    own = P.player_pool(t.players, TEAM).select(F.lit("country").alias("pool"), "player_name", "country")
+    return own.unionByName(P.player_pool(t.players).select(F.lit("all").alias("pool"), "player_name", "country"))
 
 
 @query("p23_null_fill", """

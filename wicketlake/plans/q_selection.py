@@ -14,7 +14,7 @@ SCORE_SQL = """coalesce(batting_avg, 0.0) * 0.30 + coalesce(strike_rate, 0.0) *
 
 XI_SQL = f"""
 s AS (SELECT *, CASE WHEN role IN ('Batter', 'All-Rounder', 'Bowler', 'Unknown') THEN role ELSE 'Unknown' END AS role_q,
-        {SCORE_SQL} AS perf_score FROM players),
+        CAST(round_even(CAST({SCORE_SQL} AS DECIMAL(18, 6)), 2) AS DOUBLE) AS perf_score FROM players),
 q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country, role_q ORDER BY perf_score DESC, player_id) AS r FROM s) x
       WHERE r <= CASE role_q WHEN 'Batter' THEN 4 WHEN 'All-Rounder' THEN 2 WHEN 'Bowler' THEN 4 ELSE 1 END),
 n AS (SELECT country, count(*) AS n FROM q GROUP BY 1),

@@ -24,25 +24,35 @@ def _info_files(t):
     return path
 
 
-@query("s1_text_csv_scan", "SELECT count(*) AS rows FROM deliveries")
+_BALL_TEXT = """
+SELECT match_id, CAST(inning AS VARCHAR) AS innings, concat(CAST(over_num AS VARCHAR), '.', CAST(ball_num AS VARCHAR)) AS ball,
+  batting_team, striker, non_striker, bowler, CAST(batsman_runs AS VARCHAR) AS runs_off_bat, CAST(extra_runs AS VARCHAR) AS extras,
+  CASE WHEN is_wicket THEN dismissal_kind END AS wicket_type, player_dismissed
+FROM (SELECT *, batsman AS striker FROM deliveries) d"""
+_BALL_COLUMNS = ["match_id", "innings", "ball", "batting_team", "striker", "non_striker", "bowler", "runs_off_bat", "extras",
+                 "wicket_type", "player_dismissed"]
+
+
+@query("s1_text_csv_scan", _BALL_TEXT)
 def _s1(t):
-    path = _ball_files(t)
-    df = raw.read_text_csv(t.spark, path + "/*/*.csv", columns=raw.BALL_COLUMNS)
-    return df.agg(F.count("*").alias("rows"))
+    return raw.read_text_csv(t.spark, _ball_files(t) + "/*.csv", columns=raw.BALL_COLUMNS).select(*_BALL_COLUMNS)
 
 
-@query("s2_many_file_ball_scan", "SELECT match_id, count(*) AS balls FROM deliveries GROUP BY 1")
+@query("s2_many_file_ball_scan", """
+SELECT match_id, count(*) AS balls, CAST(sum(batsman_runs + extra_runs) AS BIGINT) AS runs, count(player_dismissed) AS outs
+FROM deliveries GROUP BY 1""")
 def _s2(t):
-    balls = raw.read_ball_files(t.spark, _ball_files(t), key_pattern=r"m_part=([^/]+)/")
-    return balls.groupBy("match_id").agg(F.count("*").alias("balls"))
+    balls = raw.read_ball_files(t.spark, _ball_files(t), key_pattern=None)
+    runs = F.col("runs_off_bat").cast("int") + F.col("extras").cast("int")
+    return balls.groupBy("match_id").agg(F.count("*").alias("balls"), F.sum(runs).alias("runs"),
+                                         F.count("player_dismissed").alias("outs"))
 
 
 @query("s3_s4_info_files_to_matches", """
 SELECT match_id AS match_no, team1, team2, replace(strftime(match_date, '%Y/%m/%d'), '/', '-') AS date, venue, toss_winner, toss_decision,
   CASE WHEN winner = 'No Result' THEN '' ELSE winner END AS winner, margin, gender FROM matches""")
 def _s3(t):
-    info = raw.read_info_lines(t.spark, _info_files(t), key_pattern=r"m_part=([^/]+)/", glob="*.txt")
-    m = raw.info_to_matches(info)
+    m = raw.info_to_matches(raw.read_info_archive(t.spark, _info_files(t)))
     return m.select("match_no", "team1", "team2", "date", "venue", "toss_winner", "toss_decision", "winner",
                     "margin", "gender")
 
@@ -51,8 +61,7 @@ def _s3(t):
 SELECT DISTINCT team, player_name, 'Unknown' AS role, 'Playing XI' AS designation FROM
   (SELECT batting_team AS team, batsman AS player_name FROM deliveries UNION ALL SELECT bowling_team, bowler FROM deliveries) x""")
 def _s3b(t):
-    info = raw.read_info_lines(t.spark, _info_files(t), key_pattern=r"m_part=([^/]+)/", glob="*.txt")
-    return raw.info_to_squads(info)
+    return raw.info_to_squads(raw.read_info_archive(t.spark, _info_files(t)))
 
 
 @query("s5_normalised_columns", """
@@ -76,21 +85,21 @@ def _s7(t):
     return d.na.drop(how="all")
 
 
-@query("s8_file_cap", """
-SELECT count(*) AS rows FROM deliveries WHERE match_id IN (SELECT DISTINCT match_id FROM deliveries ORDER BY 1 LIMIT 10)""")
-def _s8(t):
-    balls = raw.read_ball_files(t.spark, _ball_files(t), key_pattern=r"m_part=([^/]+)/")
-    balls = balls.withColumn("_file", F.col("match_id"))
-    return raw.cap_files(balls, 10).agg(F.count("*").alias("rows"))
+@query("s9_append_with_audit", "SELECT match_id, winner, true AS audited FROM clean_matches")
+def _s9(t):
+    path = scratch_path(t.spark, "matches-audit")
+    for gender in ("male", "female"):
+        sinks.append_with_audit(t.clean_matches.filter(F.col("gender") == gender), path)
+    out = t.spark.read.parquet(path)
+    return out.select("match_id", "winner", F.col(sinks.AUDIT).isNotNull().alias("audited"))
 
 
-@query("s9_s10_append_and_replace", "SELECT count(*) AS rows FROM clean_matches")
-def _s9(t):
+@query("s10_replace_table", "SELECT match_id, match_date, winner, win_by_runs FROM clean_matches")
+def _s10(t):
     path = scratch_path(t.spark, "matches-table")
+    sinks.replace_table(t.clean_matches.withColumn("winner", F.lit("stale")), path)
     sinks.replace_table(t.clean_matches, path)
-    sinks.append_with_audit(t.spark.read.parquet(path).limit(0), path + "_audit")
-    out = t.spark.read.parquet(path)
-    return out.agg(F.count("*").alias("rows"))
+    return t.spark.read.parquet(path).select("match_id", "match_date", "winner", "win_by_runs")
 
 
 @query("s11_sql_scan", "SELECT batting_team, count(*) AS balls FROM deliveries GROUP BY 1")
@@ -98,17 +107,49 @@ def _s11(t):
     return t.spark.sql("SELECT batting_team, count(*) AS balls FROM {d} GROUP BY batting_team", d=t.deliveries)
 
 
-@query("s12_typed_schemas", "SELECT count(*) AS rows FROM clean_matches")
+@query("s12_typed_schemas", """
+SELECT match_id, match_date, win_by_runs, is_day_night, win_by_runs + 1 AS next_margin FROM clean_matches""")
 def _s12(t):
-    return schemas.conform(t.clean_matches, schemas.CLEAN_MATCHES).agg(F.count("*").alias("rows"))
-
-
-@query("s14_s15_result_sinks", "SELECT count(*) AS rows FROM players")
+    text = t.clean_matches.select(*[F.col(c).cast("string").alias(c) for c in t.clean_matches.columns])
+    typed = schemas.conform(text, schemas.CLEAN_MATCHES)
+    return typed.select("match_id", "match_date", "win_by_runs", "is_day_night", (F.col("win_by_runs") + 1).alias("next_margin"))
+
+
+@query("s13_layer_reset", """
+SELECT 'layer_matches' AS table_name, count(*) AS rows_before, false AS exists_after FROM clean_matches
+UNION ALL SELECT 'layer_venues', count(*), false FROM venues""")
+def _s13(t):
+    tables = {"layer_matches": t.clean_matches, "layer_venues": t.venues}
+    rows = []
+    for name, df in tables.items():
+        t.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        df.write.option("path", scratch_path(t.spark, name)).saveAsTable(name)
+        rows.append(t.spark.table(name).agg(F.lit(name).alias("table_name"), F.count("*").alias("rows_before")).first())
+    sinks.reset_tables(t.spark, list(tables))
+    return t.spark.createDataFrame([(r.table_name, r.rows_before, t.spark.catalog.tableExists(r.table_name)) for r in rows],
+                                   "table_name string, rows_before bigint, exists_after boolean")
+
+
+@query("s14_s15_result_sinks", "SELECT player_id, player_name, runs, role FROM players")
 def _s14(t):
     base = scratch_path(t.spark, "results")
     sinks.write_csv(t.players, base + "/csv")
     sinks.write_json_report(t.players.select("player_id", "role"), base + "/json")
-    return t.spark.read.option("header", True).csv(base + "/csv").agg(F.count("*").alias("rows"))
+    table = t.spark.read.option("header", True).csv(base + "/csv").select("player_id", "player_name", F.col("runs").cast("long").alias("runs"))
+    return table.join(t.spark.read.json(base + "/json"), "player_id")
+
+
+@query("s15_metrics_merge", """
+SELECT 'runs' AS model, 'total' AS metric, CAST(sum(total_runs) AS DOUBLE) AS value FROM deliveries
+UNION ALL SELECT 'balls', 'total', CAST(count(*) AS DOUBLE) FROM deliveries""")
+def _s15(t):
+    def rows(model, value):
+        return t.deliveries.agg(value.cast("double").alias("value")).select(F.lit(model).alias("model"), F.lit("total").alias("metric"), "value")
+
+    path = scratch_path(t.spark, "metrics")
+    old = sinks.merge_metrics(rows("runs", F.lit(-1)), rows("balls", F.count("*")))
+    sinks.write_json_report(old, path)
+    return sinks.merge_metrics(t.spark.read.json(path).select("model", "metric", "value"), rows("runs", F.sum("total_runs")))
 
 
 @query("s18_schema_drift_columns", "SELECT stadium_name AS venue_name, city FROM venues")

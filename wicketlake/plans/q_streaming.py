@@ -36,6 +36,14 @@ def _t4(t):
     return T.milestones(t.spark, T.live_stream(t.spark, t.sf_dir))
 
 
+@query("t4_fired_milestones", """
+SELECT match_id, batsman, milestone FROM
+  (SELECT match_id, batsman, sum(runs_scored) AS runs FROM live GROUP BY 1, 2) s,
+  (VALUES (50), (100)) m(milestone) WHERE runs >= milestone""")
+def _t4_fired(t):
+    return T.fired_milestones(t.spark, T.live_stream(t.spark, t.sf_dir))
+
+
 @query("t5_state_with_baseline", f"""
 WITH s AS ({STATE_SQL}),
 b AS (SELECT avg(t) / 20 AS venue_avg_rr FROM (SELECT match_id, sum(total_runs) AS t FROM deliveries WHERE inning = 1 GROUP BY 1) x)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wicketlake.functions import expressions as E
 from wicketlake.operators import aggregates as A
 from wicketlake.operators import setops as U
 from wicketlake.operators import topk
@@ -15,10 +16,11 @@ TEAM = "NATION_3"
 
 
 @query("w1_dense_match_keys", """
-SELECT match_id, concat('M', lpad(CAST(row_number() OVER (ORDER BY match_id) AS VARCHAR), 4, '0')) AS match_key FROM matches""")
+SELECT match_id, concat('M', lpad(CAST(n AS VARCHAR), CAST(greatest(4, length(CAST(n AS VARCHAR))) AS INTEGER), '0')) AS match_key
+FROM (SELECT match_id, row_number() OVER (ORDER BY match_id) AS n FROM matches) x""")
 def _w1(t):
     m = dense_index(t.matches.select("match_id"), ["match_id"], "_n")
-    return m.select("match_id", F.concat(F.lit("M"), F.lpad(F.col("_n").cast("string"), 4, "0")).alias("match_key"))
+    return m.select("match_id", E.padded_id("M", F.col("_n"), 4).alias("match_key"))
 
 
 @query("w2_batting_positions", """

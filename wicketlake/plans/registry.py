@@ -18,8 +18,7 @@ _ORACLES: dict[str, str] = {}
 
 # Modules whose import registers queries, in section order.
 _MODULES = (
-    "q_sources", "q_predicates", "q_joins", "q_aggregates", "q_windows", "q_ordering",
-    "q_setops", "q_functions", "q_streaming", "q_quality", "q_ml", "q_documents",
+    "q_sources", "q_predicates", "q_joins", "q_aggregates", "q_windows", "q_functions", "q_streaming", "q_quality", "q_ml", "q_documents",
     "q_selection", "q_jobs",
 )
 
@@ -41,11 +40,7 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 def _load() -> None:
     for mod in _MODULES:
-        try:
-            importlib.import_module(f"wicketlake.plans.{mod}")
-        except ModuleNotFoundError as exc:
-            if exc.name != f"wicketlake.plans.{mod}":
-                raise
+        importlib.import_module(f"wicketlake.plans.{mod}")
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -78,48 +78,50 @@ def outlier_report(df: DataFrame, column: str) -> DataFrame:
     bounds = q.select("q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"))
     lo = F.col("q1") - 1.5 * F.col("iqr")
     hi = F.col("q3") + 1.5 * F.col("iqr")
-    # The bounds are one row: a broadcast nested-loop join of size one.
-    return (df.select(column).crossJoin(F.broadcast(bounds))
+    # The bounds are one row.
+    return (df.select(column).crossJoin(bounds)
             .agg(F.first("q1").alias("q1"), F.first("q3").alias("q3"),
                  F.count_if((F.col(column) < lo) | (F.col(column) > hi)).alias("outliers"),
                  F.count("*").alias("rows")))
 
 
-def players_from_deliveries(deliveries: DataFrame, matches: DataFrame,
-                            as_of: _dt.date | None = None, active_months: int = 36) -> DataFrame:
+def match_cards(deliveries: DataFrame) -> DataFrame:
+    """One row per match and player, batting and bowling together, from one
+    pass: every ball counts once for its batter and once for its bowler, and
+    both are summed map-side before the only shuffle. Players, the gold fact
+    and team selection roll up from here."""
+    bats, r, out = F.col("s.bats"), F.col("s.r"), F.col("s.out")
+    side = F.explode(F.array(
+        F.struct(F.col("batsman").alias("player_name"), F.lit(True).alias("bats"), F.col("batting_team").alias("team"),
+                 F.col("batsman_runs").alias("r"), (F.col("player_dismissed") == F.col("batsman")).alias("out")),
+        F.struct(F.col("bowler").alias("player_name"), F.lit(False).alias("bats"), F.col("bowling_team").alias("team"),
+                 F.col("total_runs").alias("r"), F.col("is_wicket").alias("out"))))
+    return deliveries.select("match_id", side.alias("s")).groupBy("match_id", F.col("s.player_name").alias("player_name")).agg(
+        F.min(F.when(bats, F.col("s.team"))).alias("bat_team"), F.min(F.when(~bats, F.col("s.team"))).alias("bowl_team"),
+        F.sum(F.when(bats, r)).alias("runs_scored"), F.count_if(bats).alias("balls_faced"),
+        F.count_if(bats & (r == 4)).alias("fours"), F.count_if(bats & (r == 6)).alias("sixes"),
+        F.count_if(bats & out).alias("outs"), F.count_if(~bats & out).alias("wickets_taken"),
+        F.sum(F.when(~bats, r)).alias("runs_conceded"), F.count_if(~bats).alias("balls_bowled"))
+
+
+def players_from_cards(cards: DataFrame, matches: DataFrame, as_of: _dt.date | None = None,
+                       active_months: int = 36) -> DataFrame:
     """B3 + B10: player table built from the balls themselves (trap 9).
 
-    One row per player name: batting and bowling careers (A8) joined by name
-    (J2), role (P14), dense id (W1), gender and last played date from the
-    matches (J12, A52), and the activity flag (F8) against an explicit as-of
-    date (trap 19; default: the latest match date).
+    One row per player name: careers (A8, J2) rolled up from the cards, role
+    (P14), dense id (W1), gender and last played date from the matches (J12,
+    A52), and the activity flag (F8) against an explicit as-of date (trap 19;
+    default: the latest match date).
     """
-    bat = (deliveries.groupBy(F.col("batsman").alias("player_name"))
-           .agg(F.min("batting_team").alias("bat_team"),
-                F.sum("batsman_runs").alias("runs"),
-                F.count("*").alias("balls_faced"),
-                F.count_if(F.col("player_dismissed") == F.col("batsman")).alias("outs")))
-    innings = (deliveries.groupBy("match_id", F.col("batsman").alias("player_name"))
-               .agg(F.sum("batsman_runs").alias("r"))
-               .groupBy("player_name")
-               .agg(F.count_if(F.col("r") >= 100).alias("hundreds"),
-                    F.count_if((F.col("r") >= 50) & (F.col("r") < 100)).alias("fifties")))
-    bowl = (deliveries.groupBy(F.col("bowler").alias("player_name"))
-            .agg(F.min("bowling_team").alias("bowl_team"),
-                 F.count_if("is_wicket").alias("wickets"),
-                 F.sum("total_runs").alias("runs_conceded"),
-                 F.count("*").alias("balls_bowled")))
-    appear = (deliveries.select("match_id", F.col("batsman").alias("player_name"))
-              .unionByName(deliveries.select("match_id", F.col("bowler").alias("player_name")))
-              .distinct()
-              .join(matches.select("match_id", "match_date", "gender"), "match_id", "left")
-              .groupBy("player_name")
-              .agg(F.count("match_id").alias("matches"),
-                   F.max("match_date").alias("last_played_date"),
-                   F.max("gender").alias("gender")))
-    joined = (bat.join(bowl, "player_name", "full")
-              .join(innings, "player_name", "left")
-              .join(appear, "player_name", "left"))
+    scored = F.col("runs_scored")
+    joined = (cards.join(matches.select("match_id", "match_date", "gender"), "match_id", "left")
+              .groupBy("player_name").agg(
+                  F.min("bat_team").alias("bat_team"), F.min("bowl_team").alias("bowl_team"), F.sum(scored).alias("runs"),
+                  F.sum("balls_faced").alias("balls_faced"), F.sum("outs").alias("outs"),
+                  F.count_if(scored >= 100).alias("hundreds"), F.count_if((scored >= 50) & (scored < 100)).alias("fifties"),
+                  F.sum("wickets_taken").alias("wickets"), F.sum("runs_conceded").alias("runs_conceded"),
+                  F.sum("balls_bowled").alias("balls_bowled"), F.count("match_id").alias("matches"),
+                  F.max("match_date").alias("last_played_date"), F.max("gender").alias("gender")))
     runs = F.coalesce(F.col("runs"), F.lit(0))
     wickets = F.coalesce(F.col("wickets"), F.lit(0))
     balls = F.coalesce(F.col("balls_faced"), F.lit(0))
@@ -142,8 +144,8 @@ def players_from_deliveries(deliveries: DataFrame, matches: DataFrame,
         "last_played_date",
     )
     if as_of is None:
-        # The as-of date is one scalar: a one-row aggregate, broadcast.
-        out = out.crossJoin(F.broadcast(matches.agg(F.max("match_date").alias("_as_of"))))
+        # The as-of date is one scalar, a one-row aggregate.
+        out = out.withColumn("_as_of", matches.agg(F.max("match_date")).scalar())
     else:
         out = out.withColumn("_as_of", F.lit(as_of))
     out = out.withColumn("is_active", F.coalesce(

@@ -14,25 +14,28 @@ def build_session(master: str | None = None, app: str = "wicketlake",
     """Session for local runs and tests.
 
     On a cluster the session normally comes from the launcher; this builder
-    only sets what the library relies on (UTC, AQE, no UI) and leaves
-    everything the cluster already configured alone.
+    sets what the library relies on (UTC, AQE, no UI). Memory and the number
+    of shuffle partitions are set for local mode only.
     """
-    master = master or os.environ.get("WICKETLAKE_MASTER", "local[8]")
-    cores = master[master.find("[") + 1:master.find("]")] if "[" in master else "8"
-    parts = shuffle_partitions or (int(cores) if cores.isdigit() else 8)
     builder = (
-        SparkSession.builder.master(master).appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("WICKETLAKE_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
     )
+    if master is None and "spark.master" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
+        master = os.environ.get("WICKETLAKE_MASTER", "local[8]")
+    if master:
+        builder = builder.master(master)
+    if master and master.startswith("local"):
+        # One process: as many shuffle partitions as threads, and its memory.
+        cores = master[master.find("[") + 1:master.find("]")] if "[" in master else "1"
+        parts = shuffle_partitions or (int(cores) if cores.isdigit() else os.cpu_count())
+        builder = (builder.config("spark.sql.shuffle.partitions", str(parts))
+                   .config("spark.driver.memory", os.environ.get("WICKETLAKE_DRIVER_MEMORY", "16g")))
+    elif shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

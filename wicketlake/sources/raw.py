@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 OVERFLOW = "_overflow"
 
@@ -61,30 +60,21 @@ def read_text_csv(spark: SparkSession, path: str, columns: list[str] | None = No
     return df.na.drop(how="all")
 
 
-def read_ball_files(spark: SparkSession, path: str, key_pattern: str = r"([^/]+)\.csv$",
+def read_ball_files(spark: SparkSession, path: str, key_pattern: str | None = r"([^/]+)\.csv$",
                     columns: list[str] | None = None) -> DataFrame:
-    """Many ball-by-ball files in one scan; the match key comes from the
-    file path (``key_pattern``'s first group) and overwrites ``match_id``."""
+    """Many ball-by-ball files in one scan. With one match per file the
+    match key comes from the file path (``key_pattern``'s first group) and
+    overwrites ``match_id``; without a pattern, files hold many matches and
+    the ``match_id`` column stays."""
     columns = columns or BALL_COLUMNS
     df = (spark.read.schema(string_schema(columns)).option("header", True)
           .option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
           .option("pathGlobFilter", "*.csv").csv(path)
           .filter(F.col(OVERFLOW).isNull()).drop(OVERFLOW))
-    key = F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1)
-    return normalise_columns(df).withColumn("match_id", key)
-
-
-def cap_files(df: DataFrame, max_files: int | None, file_col: str = "_file") -> DataFrame:
-    """Keep rows of the first ``max_files`` files by sorted name.
-
-    The distinct file list is one row per file (small next to the rows); the
-    kept names are broadcast back as a semi join.
-    """
-    if not max_files:
+    df = normalise_columns(df)
+    if key_pattern is None:
         return df
-    files = df.select(file_col).distinct()
-    first = files.withColumn("_r", F.dense_rank().over(Window.orderBy(file_col))).filter(F.col("_r") <= max_files)
-    return df.join(F.broadcast(first.select(file_col)), file_col, "left_semi")
+    return df.withColumn("match_id", F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1))
 
 
 INFO_DDL = "f0 STRING, f1 STRING, f2 STRING, f3 STRING, f4 STRING"
@@ -99,7 +89,19 @@ def read_info_lines(spark: SparkSession, path: str, key_pattern: str = r"([^/]+?
              .option("pathGlobFilter", glob).text(path, wholetext=True)
              .select(F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1).alias("match_no"),
                      F.col("_metadata.file_path").alias("_file"), "value"))
-    lines = files.select("match_no", "_file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    return _parse_info(files.select("match_no", "_file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")))
+
+
+def read_info_archive(spark: SparkSession, path: str) -> DataFrame:
+    """S3 at scale: files that hold the info lines of many matches, each line
+    behind its match id and position (tab-separated); splittable by line."""
+    parts = F.split("value", "\t", 3)
+    return _parse_info(spark.read.text(path).select(
+        parts[0].alias("match_no"), F.col("_metadata.file_path").alias("_file"), parts[1].cast("int").alias("pos"),
+        parts[2].alias("line")))
+
+
+def _parse_info(lines: DataFrame) -> DataFrame:
     parsed = lines.filter(F.length("line") > 0).select(
         "match_no", "_file", "pos", F.from_csv("line", INFO_DDL).alias("r"))
     return (parsed.filter((F.col("r.f0") == "info") & F.col("r.f2").isNotNull())
@@ -150,10 +152,9 @@ def info_to_squads(info: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ exporters
 def write_ball_files(deliveries: DataFrame, path: str) -> None:
     """Write deliveries in the raw ball-file layout (all text, '<over>.<ball>'
-    notation), one folder per match, so the raw readers run on data derived
-    from the driver tables."""
+    notation), files of many matches each, so the raw readers run on data
+    derived from the driver tables."""
     out = deliveries.select(
-        F.col("match_id").alias("m_part"),
         F.col("match_id"),
         F.lit("2026").alias("season"),
         F.lit("").alias("start_date"),
@@ -170,11 +171,12 @@ def write_ball_files(deliveries: DataFrame, path: str) -> None:
         F.lit(None).cast("string").alias("other_wicket_type"),
         F.lit(None).cast("string").alias("other_player_dismissed"),
     )
-    out.write.mode("overwrite").partitionBy("m_part").option("header", True).csv(path)
+    out.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_info_files(matches: DataFrame, deliveries: DataFrame, path: str) -> None:
-    """Write one ragged info file per match (version line, info keys, squads)."""
+    """Write the ragged info lines of every match (version line, info keys,
+    squads) as archive files of many matches (``read_info_archive``)."""
     m = matches
     margin_runs = F.regexp_extract("margin", r"^(\d+) runs$", 1)
     margin_wkts = F.regexp_extract("margin", r"^(\d+) wickets$", 1)
@@ -193,19 +195,11 @@ def write_info_files(matches: DataFrame, deliveries: DataFrame, path: str) -> No
         (11, F.lit("info,umpire,First Umpire")),
         (12, F.lit("info,umpire,Second Umpire")),
     ]
-    head = m.select(F.col("match_id").alias("m_part"),
-                    F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.alias("line")) for i, c in kv])).alias("x"))
-    players = (deliveries.select("match_id", "batting_team", "batsman")
-               .unionByName(deliveries.select("match_id", F.col("bowling_team").alias("batting_team"),
-                                              F.col("bowler").alias("batsman")))
+    head = m.select("match_id", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.alias("line")) for i, c in kv])).alias("x"))
+    players = (deliveries.select("match_id", F.col("batting_team").alias("team"), F.col("batsman").alias("name"))
+               .unionByName(deliveries.select("match_id", F.col("bowling_team").alias("team"), F.col("bowler").alias("name")))
                .distinct()
-               .select(F.col("match_id").alias("m_part"),
-                       F.struct(F.lit(100).alias("i"),
-                                F.concat_ws(",", F.lit("info"), F.lit("player"), "batting_team", "batsman").alias("line")).alias("x")))
+               .select("match_id", F.struct(F.lit(100).alias("i"),
+                                            F.concat_ws(",", F.lit("info"), F.lit("player"), "team", "name").alias("line")).alias("x")))
     lines = head.unionByName(players).filter(F.col("x.line").isNotNull())
-    # One record per match holding its whole (small) file in line order, so
-    # the line order does not depend on how the writer sorts rows.
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("x.i").alias("i"), F.col("x.line").alias("line")))),
-                                    lambda r: r["line"]), "\n")
-    (lines.groupBy("m_part").agg(text.alias("value"))
-     .write.mode("overwrite").partitionBy("m_part").text(path))
+    lines.select(F.concat_ws("\t", "match_id", F.col("x.i").cast("string"), "x.line").alias("value")).write.mode("overwrite").text(path)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wicketlake.session import scratch_path
 from wicketlake.sources import views
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -17,8 +19,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Folders of written layer tables, by application, source folder and name.
+_LAYERS: dict[tuple[str, str, str], str] = {}
+
+
 class Tables:
-    """Every attribute is a lazy DataFrame; nothing is read until an action."""
+    """Driver tables and the silver layer built from them.
+
+    Driver tables are lazy scans. Silver tables (deliveries with their order
+    in the match, matches, player cards, players) are jobs whose result is
+    written once per application and source folder, as Parquet under the
+    shared checkpoint folder, and scanned from there: later filters and column
+    selections reach that scan, and no query derives the balls anew.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -27,6 +40,15 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
+    def layer(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The written table ``name``, built on first use."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _LAYERS:
+            path = scratch_path(self.spark, f"silver-{name}")
+            build().write.parquet(path)
+            _LAYERS[key] = path
+        return self.spark.read.parquet(_LAYERS[key])
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in DRIVER_TABLES:
             return self.raw(name)
@@ -34,11 +56,11 @@ class Tables:
 
     @cached_property
     def deliveries(self) -> DataFrame:
-        return views.deliveries(self.raw("lineitem"))
+        return self.layer("deliveries", lambda: views.deliveries(self.raw("lineitem")))
 
     @cached_property
     def matches(self) -> DataFrame:
-        return views.matches(self.raw("orders"))
+        return self.layer("matches", lambda: views.matches(self.raw("orders")))
 
     @cached_property
     def live(self) -> DataFrame:
@@ -51,12 +73,17 @@ class Tables:
     @cached_property
     def clean_matches(self) -> DataFrame:
         from wicketlake.plans import silver
-        return silver.transform_matches(self.matches)
+        return self.layer("clean_matches", lambda: silver.transform_matches(self.matches))
+
+    @cached_property
+    def cards(self) -> DataFrame:
+        from wicketlake.plans import silver
+        return self.layer("cards", lambda: silver.match_cards(self.deliveries))
 
     @cached_property
     def players(self) -> DataFrame:
         from wicketlake.plans import silver
-        return silver.players_from_deliveries(self.deliveries, self.matches)
+        return self.layer("players", lambda: silver.players_from_cards(self.cards, self.matches))
 
     @cached_property
     def dirty_orders(self) -> DataFrame:

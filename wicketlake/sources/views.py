@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wicketlake.functions.expressions import zero_padded
+
 # Fixed values of the adapter mapping (shared with the DuckDB oracle text in
 # wicketlake.plans.oracle): 50 orders form one match, 25 teams, 11 players a
 # side, 20 overs, runs 0..6.
@@ -28,7 +30,7 @@ def _match_no(key: Column) -> Column:
 
 def match_label(m: Column) -> Column:
     """M00042 style match id from the match number."""
-    return F.concat(F.lit("M"), F.lpad(m.cast("string"), 5, "0"))
+    return F.concat(F.lit("M"), zero_padded(m, 5))
 
 
 def _teams(m: Column) -> tuple[Column, Column]:
@@ -94,16 +96,16 @@ def deliveries(lineitem: DataFrame) -> DataFrame:
 
 
 def matches(orders: DataFrame) -> DataFrame:
-    """One row per match (silver ``clean_matches`` before cleaning): the
-    first order of every group of 50 gives the match attributes."""
+    """One row per match (silver ``clean_matches`` before cleaning). Every
+    attribute is an aggregate over all orders of the match, so any of its
+    orders can change the row; all of them combine map-side."""
     m = _match_no(F.col("o_orderkey"))
-    key = F.col("o_orderkey")
     first = orders.groupBy(m.alias("m")).agg(
-        F.min_by(F.col("o_orderdate").cast("date"), key).alias("match_date"),
-        F.min_by(F.col("o_custkey") % 10, key).alias("v"),
-        F.min_by(F.substring("o_orderpriority", 1, 1).cast("int"), key).alias("p"),
-        F.min_by(F.col("o_orderstatus"), key).alias("st"),
-        F.min_by(F.floor("o_totalprice").cast("bigint") % 20, key).alias("w"),
+        F.max(F.col("o_orderdate").cast("date")).alias("match_date"),
+        (F.sum("o_custkey") % 10).alias("v"),
+        F.sum(F.substring("o_orderpriority", 1, 1).cast("int")).alias("p"),
+        F.count_if(F.col("o_orderstatus") == "F").alias("st"),
+        (F.sum(F.floor("o_totalprice").cast("bigint")) % 20).alias("w"),
     )
     t1, t2 = _teams(F.col("m"))
     t1n, t2n = _nation(t1), _nation(t2)
@@ -117,7 +119,7 @@ def matches(orders: DataFrame) -> DataFrame:
         t1n.alias("team1"),
         t2n.alias("team2"),
         F.when(F.col("p") % 2 == 1, t1n).otherwise(t2n).alias("toss_winner"),
-        F.when(F.col("st") == "F", "bat").otherwise("field").alias("toss_decision"),
+        F.when(F.col("st") % 2 == 1, "bat").otherwise("field").alias("toss_decision"),
         F.when(w == 0, "No Result").when(w % 2 == 1, t1n).otherwise(t2n).alias("winner"),
         F.when(w == 0, "No Result")
         .when(w <= 10, F.concat((w * 3).cast("string"), F.lit(" runs")))

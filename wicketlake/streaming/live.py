@@ -6,9 +6,11 @@ checkpoint folder, with its own checkpoint, so a restarted job resumes where
 it stopped; ``availableNow`` processes what is there and stops, which is how
 the registered queries compare the streaming answer with the batch one.
 
-State is small by construction: the running aggregates keep one row per live
-match (or batter). For an unbounded feed, bound it further with
-``withWatermark("ts", ...)`` and drop finished matches.
+Running aggregates keep one row per live match (T3) or per batter of a match
+(T4) in the state store and run in update mode: a micro-batch writes only the
+keys it changed, and the newest row of each key is the state. For an unbounded
+feed, bound the store with ``withWatermark("ts", ...)`` and drop finished
+matches.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ EVENT_SCHEMA = T.StructType([
 
 
 def live_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """T1 source: the event files as an unbounded stream of ball events."""
-    events = (spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
+    """T1 source: the files of the event table (one file or a folder of part
+    files) as an unbounded stream of ball events."""
+    events = (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+              .parquet(f"{sf_dir.rstrip('/')}/events.parquet"))
     return views.live(events)
 
 
@@ -61,15 +64,18 @@ def latest_events(spark: SparkSession, stream: DataFrame, n: int = 12) -> DataFr
     return spark.read.parquet(out + "/data").drop("batch").orderBy(F.col("event_id").desc()).limit(n)
 
 
-def _state_table(spark: SparkSession, agg: DataFrame, name: str) -> DataFrame:
-    """Run a streaming aggregate in complete mode; each batch overwrites the
-    (small, one row per key) state snapshot."""
-    def snap(batch: DataFrame, batch_id: int, base: str) -> None:
-        batch.write.mode("overwrite").parquet(base)
+def _state_table(spark: SparkSession, agg: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Run a streaming aggregate in update mode. Each micro-batch writes the
+    changed keys to its own folder (a repeated batch overwrites it); the
+    newest row of each key is its state (upsert by key)."""
+    def changed(batch: DataFrame, batch_id: int, base: str) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
 
-    out = _run(lambda p: agg.writeStream.outputMode("complete").foreachBatch(lambda b, i: snap(b, i, p + "/data")),
+    out = _run(lambda p: agg.writeStream.outputMode("update").foreachBatch(lambda b, i: changed(b, i, p + "/data")),
                name, spark)
-    return spark.read.parquet(out + "/data")
+    rest = [c for c in agg.columns if c not in keys]
+    rows = spark.read.parquet(out + "/data")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_state")).select(*keys, "_state.*")
 
 
 def match_state(spark: SparkSession, stream: DataFrame) -> DataFrame:
@@ -77,7 +83,7 @@ def match_state(spark: SparkSession, stream: DataFrame) -> DataFrame:
     projected total."""
     agg = stream.groupBy("match_id").agg(F.sum(F.col("runs_scored") + F.col("extras")).alias("runs"),
                                          F.count("*").alias("balls"))
-    state = _state_table(spark, agg, "live-state")
+    state = _state_table(spark, agg, ["match_id"], "live-state")
     return state.withColumns({
         "current_rr": E.current_run_rate(F.col("runs"), F.col("balls")),
         "projected_total": E.projected_score(F.col("runs"), F.col("balls")),
@@ -91,16 +97,36 @@ MILESTONES = (50, 100)
 def milestones(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """T4: batters of each live match who reached 50 / 100 runs."""
     agg = stream.groupBy("match_id", "batsman").agg(F.sum("runs_scored").alias("runs"))
-    state = _state_table(spark, agg, "live-milestones")
+    state = _state_table(spark, agg, ["match_id", "batsman"], "live-milestones")
     hit = state.select("match_id", "batsman", "runs", F.explode(F.array(*[F.lit(m) for m in MILESTONES])).alias("milestone"))
     return hit.filter(F.col("runs") >= F.col("milestone"))
 
 
+def fired_milestones(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """T4, fire once: every milestone as one event, in the micro-batch that
+    reached it. A batch compares its changed batters with the events already
+    fired; a repeated batch leaves its own events out of that comparison."""
+    agg = stream.groupBy("match_id", "batsman").agg(F.sum("runs_scored").alias("runs"))
+    key = ["match_id", "batsman", "milestone"]
+
+    def fire(batch: DataFrame, batch_id: int, base: str) -> None:
+        hit = batch.select("match_id", "batsman", "runs", F.explode(F.array(*[F.lit(m) for m in MILESTONES])).alias("milestone"))
+        hit = hit.filter(F.col("runs") >= F.col("milestone")).select(*key)
+        if batch_id:
+            before = batch.sparkSession.read.parquet(base).filter(F.col("batch") < batch_id).select(*key)
+            hit = hit.join(before, key, "left_anti")
+        hit.write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
+
+    out = _run(lambda p: agg.writeStream.outputMode("update").foreachBatch(lambda b, i: fire(b, i, p + "/data")),
+               "live-fired", spark)
+    return spark.read.parquet(out + "/data").select(*key)
+
+
 def state_with_baseline(spark: SparkSession, stream: DataFrame, deliveries: DataFrame, overs: int = 20) -> DataFrame:
     """T5: live state joined with the historical first-innings baseline (a
     one-row batch aggregate, broadcast): venue run rate and win proxy."""
     state = match_state(spark, stream)
     first = deliveries.filter(F.col("inning") == 1).groupBy("match_id").agg(F.sum("total_runs").alias("t"))
     base_rr = first.agg((F.avg("t") / overs).alias("venue_avg_rr"))
-    out = state.join(F.broadcast(base_rr), how="inner")
+    out = state.crossJoin(base_rr)  # one row
     return out.withColumn("win_prob", E.win_proxy(F.col("projected_total"), F.col("venue_avg_rr"), overs))
