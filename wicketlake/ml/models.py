@@ -8,22 +8,48 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator, ClusteringEvaluator,
                                    MulticlassClassificationEvaluator, RegressionEvaluator)
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.fpm import FPGrowth
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from wicketlake.session import scratch_path
 
 SEED = 42
 
 
-def split(df: DataFrame, key: str, train_pct: int = 80, seed: int = SEED) -> DataFrame:
-    """M3: a stable 80/20 split by a hash of the key (the same on every
-    partitioning and rerun); applied within each label it keeps the class
-    balance close to the data's."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
-    return df.withColumn("split", F.when(bucket < train_pct, "train").otherwise("test"))
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written under the shared checkpoint folder and read back: the
+    many passes of a training read a table, not the lineage behind it."""
+    path = scratch_path(df.sparkSession, f"ml-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def hash_bucket(key: str, buckets: int) -> Column:
+    """A bucket of the key's MD5 digest: the same on every partitioning, rerun
+    and engine."""
+    return F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(buckets))
+
+
+def split(df: DataFrame, key: str, label: str | None = None, train_pct: int = 80, buckets: int = 1000) -> DataFrame:
+    """M3: a stable 80/20 split by hash buckets of the key, stratified by
+    ``label`` if given: within each label the buckets are taken in order while
+    their rows make up at most ``train_pct`` percent of the label. The
+    histogram (labels x buckets rows) is a partial aggregate; no label's rows
+    are gathered or sorted."""
+    stratum = F.lit(0) if label is None else F.col(label)
+    marked = df.withColumns({"_bucket": hash_bucket(key, buckets), "_stratum": stratum})
+    hist = marked.groupBy("_stratum", "_bucket").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("_stratum").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    share = hist.select("_stratum", "_bucket", F.sum("_n").over(upto).alias("_upto"),
+                        F.sum("_n").over(Window.partitionBy("_stratum")).alias("_all"))
+    train = F.col("_upto") * 100 <= F.col("_all") * train_pct
+    return (marked.join(share.select("_stratum", "_bucket", F.when(train, "train").otherwise("test").alias("split")),
+                        ["_stratum", "_bucket"]).select(*df.columns, "split"))
 
 
 def _metrics(spark: SparkSession, model: str, pairs: list[tuple[str, float]]) -> DataFrame:
@@ -33,7 +59,7 @@ def _metrics(spark: SparkSession, model: str, pairs: list[tuple[str, float]]) ->
 def train_outcome_model(features: DataFrame, cols: list[str], max_iter: int = 200, depth: int = 4,
                         step: float = 0.05) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """M4: gradient-boosted trees on the match features (train split)."""
-    data = split(features, "match_id")
+    data = written(split(features, "match_id", "target"), "outcome-split")
     gbt = GBTClassifier(labelCol="target", featuresCol="features", maxIter=max_iter, maxDepth=depth, stepSize=step,
                         subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), gbt])
@@ -42,21 +68,29 @@ def train_outcome_model(features: DataFrame, cols: list[str], max_iter: int = 20
 
 
 def classification_metrics(spark: SparkSession, scored: DataFrame) -> DataFrame:
-    """M5: accuracy, weighted F1, ROC-AUC, and per-class support."""
+    """M5: accuracy, weighted F1, ROC-AUC, and the per-class report
+    (precision, recall, F1 and support of each class)."""
     acc = MulticlassClassificationEvaluator(labelCol="target", metricName="accuracy").evaluate(scored)
     f1 = MulticlassClassificationEvaluator(labelCol="target", metricName="weightedFMeasure").evaluate(scored)
     auc = BinaryClassificationEvaluator(labelCol="target", rawPredictionCol="rawPrediction").evaluate(scored)
-    return _metrics(spark, "match_outcome", [("accuracy", acc), ("f1_weighted", f1), ("roc_auc", auc)])
+    report = [("accuracy", acc), ("f1_weighted", f1), ("roc_auc", auc)]
+    support = {float(r["target"]): r["n"] for r in scored.groupBy("target").agg(F.count("*").alias("n")).collect()}
+    for label in (0.0, 1.0):
+        for name, metric in (("precision", "precisionByLabel"), ("recall", "recallByLabel"), ("f1", "fMeasureByLabel")):
+            ev = MulticlassClassificationEvaluator(labelCol="target", metricName=metric, metricLabel=label)
+            report.append((f"{name}_{int(label)}", ev.evaluate(scored) if support.get(label) else 0.0))
+        report.append((f"support_{int(label)}", support.get(label, 0)))
+    return _metrics(spark, "match_outcome", report)
 
 
 def cross_validated_accuracy(spark: SparkSession, features: DataFrame, cols: list[str], folds: int = 5,
                              max_iter: int = 200) -> DataFrame:
     """M6: k-fold accuracy with a hash fold column (stable folds)."""
-    data = features.withColumn("fold", F.pmod(F.xxhash64("match_id", F.lit(SEED)), F.lit(folds)).cast("int"))
+    data = written(features.withColumn("fold", hash_bucket("match_id", folds).cast("int")), "outcome-folds")
     gbt = GBTClassifier(labelCol="target", featuresCol="features", maxIter=max_iter, maxDepth=4, stepSize=0.05,
                         subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), gbt])
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), foldCol="fold",
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), foldCol="fold", numFolds=folds,
                         evaluator=MulticlassClassificationEvaluator(labelCol="target", metricName="accuracy"),
                         parallelism=4)
     fitted = cv.fit(data)
@@ -73,9 +107,9 @@ def importances(spark: SparkSession, model: PipelineModel, cols: list[str], top:
 def train_score_model(innings: DataFrame, cols: list[str], max_iter: int = 300, depth: int = 5,
                       step: float = 0.05) -> tuple[PipelineModel, DataFrame]:
     """M8: gradient-boosted regression of the innings total."""
-    data = split(innings.withColumn("_key", F.concat_ws("|", "match_id", "batting_team")), "_key")
+    data = written(split(innings.withColumn("_key", F.concat_ws("|", "match_id", "batting_team")), "_key"), "innings-split")
     gbt = GBTRegressor(labelCol="total_runs", featuresCol="features", maxIter=max_iter, maxDepth=depth,
-                       stepSize=step, seed=SEED)
+                       stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), gbt])
     model = pipe.fit(data.filter("split = 'train'"))
     return model, model.transform(data.filter("split = 'test'"))
@@ -87,35 +121,43 @@ def regression_metrics(spark: SparkSession, scored: DataFrame) -> DataFrame:
     return _metrics(spark, "score", [(m, ev.setMetricName(m).evaluate(scored)) for m in ("rmse", "mae", "r2")])
 
 
+def _standardised(features: DataFrame, cols: list[str]) -> tuple[PipelineModel, DataFrame]:
+    prep = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="_raw"),
+                            StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)]).fit(features)
+    return prep, prep.transform(features)
+
+
+def _best_of(data: DataFrame, k: int, starts: int, max_iter: int):
+    """The K-Means model of least training cost of ``starts`` seeds."""
+    models = (KMeans(k=k, maxIter=max_iter, seed=SEED + s, featuresCol="features", predictionCol="_cluster").fit(data)
+              for s in range(starts))
+    return min(models, key=lambda m: m.summary.trainingCost)
+
+
+# Player types by cluster number, in the order of the centroids.
+PLAYER_TYPES = {0: "Aggressive Batter", 1: "Anchor / Accumulator", 2: "Pure Bowler", 3: "All-Rounder", 4: "Death Specialist"}
+
+
 def cluster_players(features: DataFrame, cols: list[str], k: int = 5, starts: int = 10,
                     max_iter: int = 300) -> tuple[PipelineModel, DataFrame]:
-    """Standardise, K-Means with k clusters, best of ``starts`` seeds
-    by training cost; clusters are renumbered by centroid order (trap 16)."""
-    prep = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="_raw"),
-                            StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)])
-    prepped_model = prep.fit(features)
-    data = prepped_model.transform(features).cache()
-    best = None
-    for s in range(starts):
-        m = KMeans(k=k, maxIter=max_iter, seed=SEED + s, featuresCol="features", predictionCol="cluster").fit(data)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
-    out = best.transform(data)
-    # Stable names: rank clusters by the first standardised centroid value.
+    """Standardise, K-Means with k clusters, best of ``starts`` seeds by
+    training cost; clusters are renumbered by centroid order (trap 16). The
+    renumbering is a stage of the returned pipeline, so a saved model labels
+    like the returned rows."""
+    features = written(features, "player-features")
+    prep, data = _standardised(features, cols)
+    best = _best_of(data, k, starts, max_iter)
     order = sorted(range(k), key=lambda i: tuple(best.clusterCenters()[i]))
-    remap = F.create_map(*[F.lit(x) for i, c in enumerate(order) for x in (c, i)])
-    out = out.withColumn("cluster", remap[F.col("cluster")]).drop("_raw")
-    data.unpersist()
-    return PipelineModel(stages=[prepped_model, best]), out
+    cases = " ".join(f"WHEN {c} THEN {i}" for i, c in enumerate(order))
+    renumber = SQLTransformer(statement=f"SELECT *, CAST(CASE _cluster {cases} END AS INT) AS cluster FROM __THIS__")
+    model = PipelineModel(stages=[*prep.stages, best, renumber])
+    return model, model.transform(features).drop("_raw", "_cluster")
 
 
-def elbow(features: DataFrame, cols: list[str], ks=range(2, 9)) -> DataFrame:
-    """Training cost for k = 2..8."""
-    prep = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="_raw"),
-                            StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)])
-    data = prep.fit(features).transform(features).cache()
-    rows = [(k, float(KMeans(k=k, maxIter=300, seed=SEED).fit(data).summary.trainingCost)) for k in ks]
-    data.unpersist()
+def elbow(features: DataFrame, cols: list[str], ks=range(2, 9), starts: int = 10) -> DataFrame:
+    """Least training cost of ``starts`` seeds for k = 2..8."""
+    _, data = _standardised(written(features, "player-features"), cols)
+    rows = [(k, float(_best_of(data, k, starts, 300).summary.trainingCost)) for k in ks]
     return features.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 
@@ -137,22 +179,22 @@ def frequent_itemsets(baskets: DataFrame, min_support: float = 0.2, min_confiden
 def association_rules(itemsets: DataFrame, n_baskets: int | DataFrame, min_confidence: float = 0.5,
                       strict_won: bool = False) -> DataFrame:
     """Rules with any split of a frequent itemset into antecedent and
-    consequent (MLlib gives single-item consequents only): self-join of the
-    itemsets on 'antecedent is a proper subset'; lift from consequent support.
-    The consequent filter keeps 'won' anywhere (trap 21) unless strict."""
+    consequent (MLlib gives single-item consequents only). Each itemset lists
+    its own proper subsets (2^k - 2 for k items; a basket has five), which are
+    looked up by equality; lift from the consequent's support. The consequent
+    filter keeps 'won' anywhere (trap 21) unless strict."""
     s = itemsets.select(F.sort_array("items").alias("items"), "freq")
+    number = F.explode(F.sequence(F.lit(1), F.pow(F.lit(2), F.size("items")).cast("int") - 2)).alias("m")
+    splits = s.filter(F.size("items") > 1).select("items", F.col("freq").alias("full_freq"), number)
+    ant = F.filter("items", lambda _, k: F.expr("m").bitwiseAND(F.pow(F.lit(2), k).cast("int")) != 0)
+    splits = splits.withColumn("ant", ant).withColumn("cons", F.array_except("items", "ant"))
     a = s.select(F.col("items").alias("ant"), F.col("freq").alias("ant_freq"))
-    full = s.select(F.col("items").alias("full"), F.col("freq").alias("full_freq"))
-    # Candidate pairs share size and subset structure; itemsets are few (one row
-    # per frequent set), bounded by minimum support.
-    j = full.join(a, (F.size("ant") < F.size("full")) & (F.size(F.array_except("ant", "full")) == 0))
-    j = j.withColumn("cons", F.sort_array(F.array_except("full", "ant")))
     c = s.select(F.col("items").alias("cons"), F.col("freq").alias("cons_freq"))
-    r = j.join(c, "cons")
     total = n_baskets if isinstance(n_baskets, int) else n_baskets.agg(F.count("*")).scalar()
-    r = r.select("ant", "cons", (F.col("full_freq") / total).alias("support"),
-                 (F.col("full_freq") / F.col("ant_freq")).alias("confidence"),
-                 (F.col("full_freq") / F.col("ant_freq") / (F.col("cons_freq") / total)).alias("lift"))
+    r = splits.join(a, "ant").join(c, "cons").select(
+        "ant", "cons", (F.col("full_freq") / total).alias("support"),
+        (F.col("full_freq") / F.col("ant_freq")).alias("confidence"),
+        (F.col("full_freq") / F.col("ant_freq") / (F.col("cons_freq") / total)).alias("lift"))
     r = r.filter(F.col("confidence") >= min_confidence)
     won = (F.exists("cons", lambda x: x.endswith("_won") & ~x.startswith("toss")) if strict_won
            else F.exists("cons", lambda x: x.contains("won")))
@@ -161,10 +203,15 @@ def association_rules(itemsets: DataFrame, n_baskets: int | DataFrame, min_confi
 
 def train_upset_model(labelled: DataFrame, cols: list[str]) -> tuple[PipelineModel, DataFrame]:
     """Logistic regression with balanced class weights."""
-    data = split(labelled, "match_id")
+    data = written(split(labelled, "match_id", "is_upset"), "upset-split")
     train = data.filter("split = 'train'")
-    pos = train.agg(F.avg("is_upset")).scalar()
-    weighted = train.withColumn("w", F.when(F.col("is_upset") == 1, 0.5 / pos).otherwise(0.5 / (1 - pos)))
+    # Each class weighs half of the rows; with one class only, all rows weigh alike.
+    sizes = {r["is_upset"]: r["n"] for r in train.groupBy("is_upset").agg(F.count("*").alias("n")).collect()}
+    weight = F.lit(1.0)
+    if len(sizes) == 2:
+        for label, n in sizes.items():
+            weight = F.when(F.col("is_upset") == label, sum(sizes.values()) / (2.0 * n)).otherwise(weight)
+    weighted = train.withColumn("w", weight)
     lr = LogisticRegression(labelCol="is_upset", featuresCol="features", weightCol="w", maxIter=1000,
                             standardization=False)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), lr])
@@ -173,20 +220,21 @@ def train_upset_model(labelled: DataFrame, cols: list[str]) -> tuple[PipelineMod
 
 
 def permutation_importance(model: PipelineModel, data: DataFrame, cols: list[str], key: str = "match_id",
-                           label: str = "target", buckets: int = 64) -> DataFrame:
+                           label: str = "target", bucket_rows: int = 10_000) -> DataFrame:
     """M18 (re-aimed from tree SHAP): accuracy drop when one column is
-    permuted. Rows are hashed into buckets and the column is shuffled inside
-    each bucket (random order against key order), so every window is bounded
-    by a bucket, never the whole table; scoring stays distributed."""
-    from pyspark.sql.window import Window
-
+    permuted. Rows are hashed into buckets of about ``bucket_rows`` rows and
+    the column is shuffled inside each bucket (order of a second hash against
+    key order), so a window holds a bounded number of rows at any size and
+    scoring stays distributed."""
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+    data = written(data, "importance-rows")
+    buckets = max(1, -(-data.count() // bucket_rows))
     base = ev.evaluate(model.transform(data))
-    b = data.withColumn("_b", F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(buckets)))
+    b = data.withColumn("_b", hash_bucket(key, buckets))
     by_key = b.withColumn("_j", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
     rows = []
-    for c in cols:
-        donor = b.select("_b", c, F.row_number().over(Window.partitionBy("_b").orderBy(F.rand(SEED))).alias("_j"))
+    for i, c in enumerate(cols):
+        donor = b.select("_b", c, F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(key, F.lit(i)), key)).alias("_j"))
         shuffled = by_key.drop(c).join(donor, ["_b", "_j"])
         rows.append((c, base - ev.evaluate(model.transform(shuffled))))
     return data.sparkSession.createDataFrame(sorted(rows, key=lambda r: -r[1]), "feature string, importance double")

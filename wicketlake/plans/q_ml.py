@@ -2,20 +2,23 @@
 
 Feature matrices are compared with DuckDB; trained models are checked by
 invariants in the tests (MLlib and the reference's libraries differ, trap 16).
-A trained model is cached per data folder inside one process, so the metric
-queries of one model do not retrain it.
+A trained pipeline is saved in the model store (S16), one folder per
+application and data folder under the shared checkpoint folder; metric and
+scoring queries load it from there and train only where it is missing.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from wicketlake.ml import features as MF
 from wicketlake.ml import models as M
+from wicketlake.operators import aggregates as A
 from wicketlake.plans.q_aggregates import TEAM_STATS_SQL
 from wicketlake.plans.registry import query
+from wicketlake.session import scratch_path
+from wicketlake.sources import sinks
 
 _TS = TEAM_STATS_SQL.strip()
 assert _TS.startswith("WITH ")
@@ -62,88 +65,136 @@ def _m2(t):
     return MF.player_features(t.deliveries)
 
 
-@query("m3_train_test_split")
+@query("m3_train_test_split", f"""
+WITH {MATCH_FEATURES_SQL},
+h AS (SELECT match_id, target, CAST(concat('0x', substr(md5(match_id), 1, 8)) AS BIGINT) % 1000 AS bucket FROM mf),
+c AS (SELECT target, bucket, sum(count(*)) OVER (PARTITION BY target ORDER BY bucket) AS upto,
+        sum(count(*)) OVER (PARTITION BY target) AS total FROM h GROUP BY 1, 2)
+SELECT match_id, h.target, CASE WHEN upto * 100 <= total * 80 THEN 'train' ELSE 'test' END AS split
+FROM h JOIN c ON c.target = h.target AND c.bucket = h.bucket""")
 def _m3(t):
-    return M.split(MF.match_features(t.deliveries, t.clean_matches), "match_id").groupBy("split", "target").count()
+    return M.split(_match_features(t), "match_id", "target").select("match_id", "target", "split")
+
+
+def _match_features(t):
+    return t.layer("match_features", lambda: MF.match_features(t.deliveries, t.clean_matches))
+
+
+_STORE: dict[tuple[str, str, str], str] = {}
+
 
+def _stored(t, name: str, train):
+    """The pipeline ``name`` from the model store, trained and saved on first use."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    if key not in _STORE:
+        path = scratch_path(t.spark, f"model-{name}")
+        sinks.save_model(train(), path)
+        _STORE[key] = path
+    return sinks.load_pipeline_model(_STORE[key])
 
-@lru_cache(maxsize=4)
-def _outcome(spark, sf_dir):
-    from wicketlake.sources.tables import Tables
-    t = Tables(spark, sf_dir)
-    feats = MF.match_features(t.deliveries, t.clean_matches).cache()
-    model, train, scored = M.train_outcome_model(feats, MF.MATCH_FEATURES)
-    return feats, model, train, scored.cache()
+
+def _outcome(t):
+    """The outcome model and its scored test rows."""
+    model = _stored(t, "outcome", lambda: M.train_outcome_model(_match_features(t), MF.MATCH_FEATURES)[0])
+    return model, model.transform(M.split(_match_features(t), "match_id", "target").filter("split = 'test'"))
 
 
 @query("m4_outcome_predictions")
 def _m4(t):
-    _, _, _, scored = _outcome(t.spark, t.sf_dir)
-    return scored.select("match_id", "target", "prediction", F.col("probability").cast("string").alias("probability"))
+    return _outcome(t)[1].select("match_id", "target", "prediction", F.col("probability").cast("string").alias("probability"))
 
 
 @query("m5_classification_metrics")
 def _m5(t):
-    return M.classification_metrics(t.spark, _outcome(t.spark, t.sf_dir)[3])
+    return M.classification_metrics(t.spark, _outcome(t)[1])
 
 
 @query("m6_cross_validated_accuracy")
 def _m6(t):
-    return M.cross_validated_accuracy(t.spark, _outcome(t.spark, t.sf_dir)[0], MF.MATCH_FEATURES)
+    return M.cross_validated_accuracy(t.spark, _match_features(t), MF.MATCH_FEATURES)
 
 
 @query("m7_feature_importances")
 def _m7(t):
-    return M.importances(t.spark, _outcome(t.spark, t.sf_dir)[1], MF.MATCH_FEATURES)
+    return M.importances(t.spark, _outcome(t)[0], MF.MATCH_FEATURES)
 
 
 INNINGS_COLS = ["total_balls", "wickets_lost", "sixes", "fours", "pp_runs", "pp_run_rate", "boundary_pct"]
 
 
-@lru_cache(maxsize=4)
-def _score(spark, sf_dir):
-    from wicketlake.operators.aggregates import innings_features
-    from wicketlake.sources.tables import Tables
-    inn = innings_features(Tables(spark, sf_dir).deliveries)
-    return M.train_score_model(inn, INNINGS_COLS)
+def _innings(t):
+    return t.layer("innings_features", lambda: A.innings_features(t.deliveries))
+
+
+def _score(t):
+    return _stored(t, "score", lambda: M.train_score_model(_innings(t), INNINGS_COLS)[0])
+
+
+def _scored_innings(t):
+    keyed = _innings(t).withColumn("_key", F.concat_ws("|", "match_id", "batting_team"))
+    return _score(t).transform(M.split(keyed, "_key").filter("split = 'test'"))
 
 
 @query("m8_score_predictions")
 def _m8(t):
-    return _score(t.spark, t.sf_dir)[1].select("match_id", "batting_team", "total_runs", "prediction")
+    return _scored_innings(t).select("match_id", "batting_team", "total_runs", "prediction")
 
 
 @query("m9_regression_metrics")
 def _m9(t):
-    return M.regression_metrics(t.spark, _score(t.spark, t.sf_dir)[1])
+    return M.regression_metrics(t.spark, _scored_innings(t))
 
 
-@lru_cache(maxsize=4)
-def _clusters(spark, sf_dir):
-    from wicketlake.sources.tables import Tables
-    feats = MF.player_features(Tables(spark, sf_dir).deliveries)
-    return M.cluster_players(feats, MF.PLAYER_FEATURES)
+def _clustered(t):
+    feats = t.layer("player_features", lambda: MF.player_features(t.deliveries))
+    model = _stored(t, "clusters", lambda: M.cluster_players(feats, MF.CLUSTER_FEATURES)[0])
+    return model.transform(feats).drop("_raw", "_cluster")
 
 
 @query("m10_player_clusters")
 def _m10(t):
-    return _clusters(t.spark, t.sf_dir)[1].select("player_name", "cluster")
+    kind = F.create_map(*[F.lit(x) for kv in M.PLAYER_TYPES.items() for x in kv])
+    return _clustered(t).select("player_name", "cluster", kind[F.col("cluster")].alias("player_type"))
 
 
 @query("m11_elbow_scan")
 def _m11(t):
-    return M.elbow(MF.player_features(t.deliveries), MF.PLAYER_FEATURES)
+    return M.elbow(MF.player_features(t.deliveries), MF.CLUSTER_FEATURES)
 
 
 @query("m12_silhouette")
 def _m12(t):
-    value = M.silhouette(_clusters(t.spark, t.sf_dir)[1])
+    value = M.silhouette(_clustered(t))
     return t.spark.createDataFrame([("silhouette", float(value))], "metric string, value double")
 
 
 @query("a51_cluster_profile")
 def _a51(t):
-    return M.cluster_profile(_clusters(t.spark, t.sf_dir)[1], MF.PLAYER_FEATURES)
+    return M.cluster_profile(_clustered(t), MF.CLUSTER_FEATURES)
+
+
+@query("j14_xi_player_types")
+def _j14(t):
+    """The form XI with the cluster label of each player."""
+    from wicketlake.operators import selection as G
+    form = A.recent_form(t.deliveries, t.clean_matches)
+    types = _m10(t).select("player_name", "player_type")
+    feats = t.layer("player_features", lambda: MF.player_features(t.deliveries))
+    xi = G.form_xi(t.players, feats, form)
+    return xi.join(types, "player_name", "left").select("country", "rank", "player_name", "player_type", "recent_runs",
+                                                        "recent_wickets", "selection_score")
+
+
+@query("s16_saved_model_scores")
+def _s16(t):
+    """Train, save, load, and score with both; the rows say whether they agree."""
+    feats = t.layer("player_features", lambda: MF.player_features(t.deliveries))
+    model, rows = M.cluster_players(feats, MF.CLUSTER_FEATURES, starts=1)
+    path = scratch_path(t.spark, "model-round-trip")
+    sinks.save_model(model, path)
+    loaded = sinks.load_pipeline_model(path).transform(feats).select("player_name", F.col("cluster").alias("loaded"))
+    return rows.select("player_name", "cluster").join(loaded, "player_name").select(
+        "player_name", "cluster", (F.col("cluster") == F.col("loaded")).alias("same"))
 
 
 @query("m13_match_baskets", """
@@ -156,13 +207,34 @@ def _m13(t):
     return MF.baskets(t.clean_matches)
 
 
-@query("m14_frequent_itemsets")
+_ITEMSETS_SQL = """
+items AS (SELECT CASE WHEN toss_winner = winner THEN 'toss_won' ELSE 'toss_lost' END AS a,
+  CASE WHEN toss_decision = 'bat' THEN 'chose_bat' ELSE 'chose_bowl' END AS b,
+  CASE WHEN tournament_phase IN ('Semi Final', 'Final') THEN 'knockout_match' ELSE 'group_match' END AS c,
+  CASE WHEN coalesce(is_day_night, false) THEN 'day_night' ELSE 'day_match' END AS d,
+  CASE WHEN winner = team1 THEN 'team1_won' ELSE 'team2_won' END AS e FROM clean_matches),
+total AS (SELECT count(*) AS n FROM items),
+sets AS (SELECT list_sort(list_filter([a, b, c, d, e], lambda x: x IS NOT NULL)) AS items, freq FROM
+  (SELECT a, b, c, d, e, count(*) AS freq FROM items GROUP BY CUBE (a, b, c, d, e)) g
+  WHERE freq >= 0.2 * (SELECT n FROM total) AND coalesce(a, b, c, d, e) IS NOT NULL)"""
+
+
+@query("m14_frequent_itemsets", f"""
+WITH {_ITEMSETS_SQL}
+SELECT array_to_string(items, ',') AS itemset, freq FROM sets""")
 def _m14(t):
     model = M.frequent_itemsets(MF.baskets(t.clean_matches))
     return model.freqItemsets.select(F.array_join(F.sort_array("items"), ",").alias("itemset"), "freq")
 
 
-@query("m15_association_rules")
+@query("m15_association_rules", f"""
+WITH {_ITEMSETS_SQL},
+r AS (SELECT x.items AS ant, list_sort(list_filter(f.items, lambda i: NOT list_contains(x.items, i))) AS cons, f.freq AS full_freq, x.freq AS ant_freq
+      FROM sets f JOIN sets x ON len(x.items) < len(f.items) AND list_has_all(f.items, x.items))
+SELECT array_to_string(ant, ',') AS antecedents, array_to_string(cons, ',') AS consequents, full_freq / n AS support,
+  full_freq / ant_freq AS confidence, full_freq / ant_freq / (c.freq / n) AS lift
+FROM r JOIN sets c ON c.items = r.cons, total
+WHERE full_freq / ant_freq >= 0.5 AND len(list_filter(cons, lambda i: contains(i, 'won'))) > 0""")
 def _m15(t):
     b = MF.baskets(t.clean_matches)
     sets = M.frequent_itemsets(b).freqItemsets
@@ -183,46 +255,44 @@ UPSET_COLS = ["win_rate_diff", "run_rate_diff", "toss_team1", "toss_bat_first",
               "death_wkt_rate_diff", "is_knockout"]
 
 
+def _labelled(t):
+    return MF.upset_labels(_match_features(t))
+
+
+def _upset(t):
+    return _stored(t, "upset", lambda: M.train_upset_model(_labelled(t), UPSET_COLS)[0])
+
+
 @query("m17_upset_model")
 def _m17(t):
-    labelled = MF.upset_labels(MF.match_features(t.deliveries, t.clean_matches))
-    _, scored = M.train_upset_model(labelled, UPSET_COLS)
-    return scored.select("match_id", "is_upset", "prediction")
+    test = M.split(_labelled(t), "match_id", "is_upset").filter("split = 'test'")
+    return _upset(t).transform(test).select("match_id", "is_upset", "prediction")
 
 
 @query("m18_permutation_importance")
 def _m18(t):
-    feats, model, _, _ = _outcome(t.spark, t.sf_dir)
-    return M.permutation_importance(model, feats, MF.MATCH_FEATURES)
+    return M.permutation_importance(_outcome(t)[0], _match_features(t), MF.MATCH_FEATURES)
 
 
 @query("m19_score_match_requests")
 def _m19(t):
-    # Requests: every fixture of the data, scored with the trained pipeline
+    # Requests: every fixture of the data, scored with the stored pipeline
     # on features built from the same team statistics as training (trap 20).
-    feats, model, _, _ = _outcome(t.spark, t.sf_dir)
-    vec = F.udf if False else None  # noqa: F841 (no Python UDF needed)
-    scored = model.transform(feats)
-    from pyspark.ml.functions import vector_to_array
     p = vector_to_array("probability")[1]
-    return scored.select("match_id", "team1", "team2", p.alias("team1_win_prob"),
-                         F.when(p >= 0.5, F.col("team1")).otherwise(F.col("team2")).alias("predicted_winner"))
+    return _outcome(t)[0].transform(_match_features(t)).select(
+        "match_id", "team1", "team2", p.alias("team1_win_prob"),
+        F.when(p > 0.5, F.col("team1")).otherwise(F.col("team2")).alias("predicted_winner"))
 
 
 @query("m20_score_innings_requests")
 def _m20(t):
-    model, _ = _score(t.spark, t.sf_dir)
-    from wicketlake.operators.aggregates import innings_features
-    scored = model.transform(innings_features(t.deliveries))
-    return scored.select("match_id", "batting_team", "prediction",
-                         F.when(F.col("prediction") >= 160, "above 160").otherwise("below 160").alias("band"))
+    whole = F.col("prediction").cast("int")
+    return _score(t).transform(_innings(t)).select(
+        "match_id", "batting_team", "prediction", F.when(whole > 160, "above 160").otherwise("below 160").alias("band"))
 
 
 @query("m21_score_upset_requests")
 def _m21(t):
-    labelled = MF.upset_labels(MF.match_features(t.deliveries, t.clean_matches))
-    model, _ = M.train_upset_model(labelled, UPSET_COLS)
-    from pyspark.ml.functions import vector_to_array
     p = vector_to_array(F.col("probability"))[1] * 100
-    return model.transform(labelled).select("match_id", p.alias("upset_pct"),
-                                            F.when(p > 35, "HIGH RISK").otherwise("normal").alias("risk"))
+    return _upset(t).transform(_labelled(t)).select("match_id", p.alias("upset_pct"),
+                                                    F.when(p > 35, "HIGH RISK").otherwise("normal").alias("risk"))
