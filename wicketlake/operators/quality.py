@@ -90,6 +90,13 @@ def table_health(name: str, df: DataFrame) -> DataFrame:
                     F.when((F.col("null_pct") < 5) & (F.col("duplicates") == 0), "Healthy").otherwise("Warning").alias("health"))
 
 
+def _sample_stddev(x: Column) -> Column:
+    """From the sums of values and squares, which are exact for whole numbers
+    and the same in any order of summation."""
+    n, total, squares = F.count(x), F.sum(x), F.sum(x * x)
+    return F.when(n > 1, F.sqrt((squares - total * total / n) / (n - 1)))
+
+
 def column_profile(df: DataFrame, numeric: list[str]) -> DataFrame:
     """Q7: per numeric column: count, nulls, distinct, min, max, mean, sample
     standard deviation, quartiles (exact), zeros. One aggregate pass."""
@@ -99,7 +106,7 @@ def column_profile(df: DataFrame, numeric: list[str]) -> DataFrame:
         aggs.append(F.struct(
             F.lit(c).alias("column_name"), F.count(x).alias("count"), F.count_if(x.isNull()).alias("nulls"),
             F.count_distinct(x).alias("distinct"), F.min(x).alias("min"), F.max(x).alias("max"),
-            F.avg(x).alias("mean"), F.percentile(x, 0.25).alias("q1"), F.median(x).alias("median"),
+            F.avg(x).alias("mean"), _sample_stddev(x).alias("stddev"), F.percentile(x, 0.25).alias("q1"), F.median(x).alias("median"),
             F.percentile(x, 0.75).alias("q3"), F.count_if(x == 0).alias("zeros")).alias(c))
     row = df.agg(*aggs)
     return row.select(F.explode(F.array(*[F.col(c) for c in numeric])).alias("p")).select("p.*")

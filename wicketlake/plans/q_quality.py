@@ -79,6 +79,7 @@ _PROFILE_COLS = ["batsman_runs", "extra_runs", "total_runs", "over_num"]
 @query("q7_column_profile", " UNION ALL ".join(f"""
 SELECT '{c}' AS column_name, count({c}) AS count, count_if({c} IS NULL) AS nulls, count(DISTINCT {c}) AS distinct,
   CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, avg({c}) AS mean,
+  CASE WHEN count({c}) > 1 THEN sqrt((sum(CAST({c} AS DOUBLE) * {c}) - sum(CAST({c} AS DOUBLE)) * sum(CAST({c} AS DOUBLE)) / count({c})) / (count({c}) - 1)) END AS stddev,
   quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median,
   quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3, count_if({c} = 0) AS zeros FROM deliveries""" for c in _PROFILE_COLS))
 def _q7(t):

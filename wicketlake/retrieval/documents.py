@@ -1,11 +1,11 @@
 """Document building and vector retrieval (X rows).
 
 Documents are rows (id, doc_type, text, meta struct) built from the tables
-with string templates. Search is brute force and exact: the query set is
-small and broadcast, every candidate vector is scored once on the executor
-that holds it, and a per-query ``row_number() <= k`` (with its partial
-group limit) keeps the top k. For a large query set too, swap in
-``BucketedRandomProjectionLSH`` as the candidate generator.
+with string templates. Vector search is brute force and exact: the vectors are
+dealt into salts, the stated query set is copied to every salt, and both meet
+in an equi-join on the salt; a per-query ``row_number() <= k`` (with its
+partial group limit) keeps the top k. Text search counts shared words of the
+documents that name the subject.
 """
 
 from __future__ import annotations
@@ -17,48 +17,71 @@ from pyspark.sql.window import Window
 from wicketlake.operators import topk
 
 
+def one_digit(c: Column) -> Column:
+    """A rate to one decimal, half to even, so no formatter meets a tie."""
+    return F.bround(F.coalesce(c, F.lit(0)).cast("decimal(18,6)"), 1).cast("double")
+
+
 def match_documents(cm: DataFrame) -> DataFrame:
     """One summary document per match."""
-    text = F.format_string("Match %s: %s vs %s at %s on %s. Winner: %s (%s). Toss: %s chose to %s.",
-                           "match_id", "team1", "team2", "venue", F.col("match_date").cast("string"), "winner",
-                           "tournament_phase", "toss_winner", "toss_decision")
+    result = (F.when(F.col("winner") == "No Result", F.lit("no result"))
+              .when(F.col("win_by_runs") > 0, F.format_string("%s won by %d runs", "winner", "win_by_runs"))
+              .when(F.col("win_by_wickets") > 0, F.format_string("%s won by %d wickets", "winner", "win_by_wickets"))
+              .otherwise(F.format_string("%s won", "winner")))
+    text = F.format_string("%s against %s, played on %s at %s. %s took the toss and chose to %s. Outcome: %s. "
+                           "Best player: %s. Phase: %s.", "team1", "team2", F.col("match_date").cast("string"), "venue",
+                           "toss_winner", "toss_decision", result, "player_of_match", "tournament_phase")
     return cm.select(F.concat(F.lit("match_"), "match_id").alias("id"), F.lit("match").alias("doc_type"),
                      text.alias("text"),
-                     F.struct(F.lit("match").alias("type"), "match_id", "team1", "team2", "venue").alias("meta"))
+                     F.struct(F.lit("match").alias("type"), "team1", "team2", "winner",
+                              F.col("tournament_phase").alias("phase")).alias("meta"))
 
 
 def player_documents(players: DataFrame) -> DataFrame:
     """One profile per player."""
-    # Rates are printed as whole numbers so the text does not depend on how a
-    # formatter breaks decimal ties.
-    text = F.format_string("%s (%s, %s): %d runs, strike rate %d, %d wickets, economy %d.",
-                           "player_name", "country", "role", "runs", F.floor("strike_rate").cast("int"), "wickets",
-                           F.floor("economy").cast("int"))
+    text = F.format_string("%s plays for %s as %s. With the bat: %d runs, average %.1f, strike rate %.1f, %d hundreds, %d fifties. "
+                           "With the ball: %d wickets, average %.1f, economy %.1f.",
+                           "player_name", "country", "role", "runs", one_digit(F.col("batting_avg")),
+                           one_digit(F.col("strike_rate")), "hundreds", "fifties", "wickets",
+                           one_digit(F.col("bowling_avg")), one_digit(F.col("economy")))
     return players.select(F.concat(F.lit("player_"), "player_id").alias("id"), F.lit("player").alias("doc_type"),
                           text.alias("text"),
-                          F.struct(F.lit("player").alias("type"), "player_name", "country").alias("meta"))
+                          F.struct(F.lit("player").alias("type"), F.col("player_name").alias("name"), "country", "role").alias("meta"))
 
 
-def team_stats(cm: DataFrame) -> DataFrame:
-    """Per-team statistics for the team documents, one aggregate."""
+def team_stats(cm: DataFrame, d: DataFrame) -> DataFrame:
+    """Per-team statistics for the team documents: matches, and the
+    team's batting and bowling over all balls."""
     long = cm.select("winner", F.explode(F.array("team1", "team2")).alias("team"))
     g = long.groupBy("team").agg(F.count("*").alias("matches"), F.count_if(F.col("winner") == F.col("team")).alias("wins"))
-    return g.withColumn("win_pct", F.col("wins") / F.col("matches") * 100)
-
-
-def team_documents(cm: DataFrame) -> DataFrame:
-    s = team_stats(cm)
-    text = F.format_string("%s played %d matches and won %d.", "team", "matches", "wins")
+    bat = d.groupBy(F.col("batting_team").alias("team")).agg(
+        F.sum("batsman_runs").alias("runs"), F.count_if(F.col("batsman_runs") == 6).alias("sixes"),
+        (F.sum("batsman_runs") / F.count("*") * 100).alias("strike_rate"))
+    bowl = d.groupBy(F.col("bowling_team").alias("team")).agg(F.count_if("is_wicket").alias("wickets"))
+    zero = F.lit(0).cast("long")
+    return g.join(bat, "team", "left").join(bowl, "team", "left").select(
+        "team", "matches", "wins", (F.col("matches") - F.col("wins")).alias("lost"),
+        (F.col("wins") / F.col("matches") * 100).alias("win_pct"), F.coalesce("runs", zero).alias("runs"),
+        F.coalesce("wickets", zero).alias("wickets"), F.coalesce("strike_rate", F.lit(0.0)).alias("strike_rate"),
+        F.coalesce("sixes", zero).alias("sixes"))
+
+
+def team_documents(cm: DataFrame, d: DataFrame) -> DataFrame:
+    s = team_stats(cm, d)
+    text = F.format_string("%s played %d matches, won %d and lost %d, a win share of %.1f percent. Runs: %d, wickets: %d, "
+                           "strike rate: %.1f, sixes: %d.", "team", "matches", "wins", "lost", one_digit(F.col("win_pct")),
+                           "runs", "wickets", one_digit(F.col("strike_rate")), "sixes")
     return s.select(F.concat(F.lit("team_"), "team").alias("id"), F.lit("team").alias("doc_type"), text.alias("text"),
                     F.struct(F.lit("team").alias("type"), "team").alias("meta"))
 
 
 def venue_match_counts(venues: DataFrame, cm: DataFrame) -> DataFrame:
     """Matches whose venue text contains the stadium name (plain
-    containment, not a pattern: trap 22). Venues are broadcast."""
-    v = F.broadcast(venues.select("stadium_name", "city"))
-    j = cm.select("match_id", "venue").join(v, F.col("venue").contains(F.col("stadium_name")), "right")
-    return j.groupBy("stadium_name", "city").agg(F.count("match_id").alias("matches"))
+    containment, not a pattern: trap 22). Matches are counted per venue text
+    first, so the containment test sees one row per text, not per match."""
+    texts = cm.groupBy("venue").agg(F.count("match_id").alias("n"))
+    j = venues.select("stadium_name", "city").join(texts, F.col("venue").contains(F.col("stadium_name")), "left")
+    return j.groupBy("stadium_name", "city").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("matches"))
 
 
 def venue_documents(venues: DataFrame, cm: DataFrame) -> DataFrame:
@@ -84,7 +107,7 @@ def fact_documents(cm: DataFrame, d: DataFrame) -> DataFrame:
 def all_documents(cm: DataFrame, players: DataFrame, venues: DataFrame, d: DataFrame) -> DataFrame:
     """Union of unlike document sets (missing columns become null)."""
     out = match_documents(cm)
-    for f in (player_documents(players), team_documents(cm), venue_documents(venues, cm), fact_documents(cm, d)):
+    for f in (player_documents(players), team_documents(cm, d), venue_documents(venues, cm), fact_documents(cm, d)):
         out = out.unionByName(f, allowMissingColumns=True)
     return out
 
@@ -112,8 +135,11 @@ def squared_distance(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
             vec_col: str = "embedding") -> DataFrame:
     """The k nearest vectors of every query (exact). ``queries`` has
-    (query_id, query_vec) and is broadcast; its size is the caller's bound."""
-    scored = vectors.select(id_col, vec_col).join(F.broadcast(queries)).select(
+    (query_id, query_vec), the caller's stated query set."""
+    salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copied = queries.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    dealt = vectors.select(id_col, vec_col, F.pmod(F.xxhash64(id_col), F.lit(salts)).alias("_salt"))
+    scored = dealt.join(copied, "_salt").select(
         "query_id", id_col, squared_distance(F.col(vec_col), F.col("query_vec")).alias("dist"))
     return topk.top_k_per_group(scored, k, ["query_id"], F.col("dist").asc(), id_col)
 
@@ -141,15 +167,37 @@ def chat_history(conversations: DataFrame, turns: int = 4) -> DataFrame:
         "conv_id", F.array_join(F.transform("_l", lambda x: F.concat(F.initcap(x["role"]), F.lit(": "), x["text"])), "\n").alias("history"))
 
 
+def word_set(text: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(text), "[^a-z0-9_]+"))
+
+
+def text_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """The ``k`` documents of every query (query_id, subject, question, k)
+    that share most words with it, among those that name its subject (an
+    equi-join on that word); ties by id."""
+    named = docs.select("id", "text", word_set(F.col("text")).alias("words")).withColumn("subject", F.explode("words"))
+    asked = queries.select("query_id", F.lower("subject").alias("subject"), word_set(F.col("question")).alias("asked"), "k")
+    met = named.join(asked, "subject").select("query_id", "id", "text", "k", F.size(F.array_intersect("words", "asked")).alias("shared"))
+    best = Window.partitionBy("query_id").orderBy(F.col("shared").desc(), "id")
+    return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= F.least("k", F.lit(3)))
+
+
 def preview_contexts(cm: DataFrame, docs: DataFrame) -> DataFrame:
-    """Per fixture, the prompt context from the two team documents and
-    the venue document (equi-joins on document ids)."""
-    t = docs.select("id", "text")
-    fx = cm.select("match_id", "team1", "team2", "venue")
-    a = t.select(F.col("id").alias("a_id"), F.col("text").alias("team1_doc"))
-    b = t.select(F.col("id").alias("b_id"), F.col("text").alias("team2_doc"))
-    v = t.select(F.col("id").alias("v_id"), F.col("text").alias("venue_doc"))
-    j = (fx.join(a, F.concat(F.lit("team_"), "team1") == F.col("a_id"), "left")
-         .join(b, F.concat(F.lit("team_"), "team2") == F.col("b_id"), "left")
-         .join(v, F.concat(F.lit("venue_"), "venue") == F.col("v_id"), "left"))
-    return j.select("match_id", F.concat_ws("\n", "team1_doc", "team2_doc", "venue_doc").alias("context"))
+    """Per fixture, the prompt context: three retrievals (3 documents for
+    each team, 2 for the venue). Every team and venue is asked for once, and
+    its hits are joined to the fixtures."""
+    def asked(kind: str, columns: list[str], words: str, k: int) -> DataFrame:
+        subject = cm.select(F.explode(F.array(*columns)).alias("subject")).distinct()
+        return subject.select(F.concat(F.lit(kind), "subject").alias("query_id"), "subject",
+                              F.concat("subject", F.lit(words)).alias("question"), F.lit(k).alias("k"))
+
+    queries = asked("team:", ["team1", "team2"], " matches won lost strike rate wickets", 3).unionByName(
+        asked("venue:", ["venue"], " hosted matches", 2))
+    lines = F.sort_array(F.collect_list(F.struct("rank", "text")))
+    blocks = text_hits(docs, queries).groupBy("query_id").agg(
+        F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("block"))
+    out = cm.select("match_id", "team1", "team2", "venue")
+    for n, (kind, column) in enumerate((("team:", "team1"), ("team:", "team2"), ("venue:", "venue"))):
+        part = blocks.select(F.col("query_id").alias(f"q{n}"), F.col("block").alias(f"b{n}"))
+        out = out.join(part, F.concat(F.lit(kind), column) == F.col(f"q{n}"), "left")
+    return out.select("match_id", F.concat_ws("\n", "b0", "b1", "b2").alias("context"))

@@ -33,8 +33,9 @@ EVENT_SCHEMA = T.StructType([
 def live_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
     """T1 source: the files of the event table (one file or a folder of part
     files) as an unbounded stream of ball events."""
+    # As a pattern, the name may be a file or a folder; as a plain path Spark takes folders only.
     events = (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-              .parquet(f"{sf_dir.rstrip('/')}/events.parquet"))
+              .parquet(f"{sf_dir.rstrip('/')}/{{events.parquet}}"))
     return views.live(events)
 
 
