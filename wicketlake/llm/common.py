@@ -14,6 +14,10 @@ from wicketlake.session import scratch_path
 #: the default 10,000 rows has no byte bound, so very long texts could fill a
 #: worker's memory.
 BATCH_BYTES = 16 * 1024 * 1024
+#: Rows of a few numbers each that are broadcast at most, after a count.
+BROADCAST_ROWS = 1_000_000
+#: Rows of one id that are broadcast at most, after a count.
+BROADCAST_IDS = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +98,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint where its counted rows are within
+    ``limit``; beyond that the same join shuffles both sides."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """``docs`` without the rows whose id is in the one column of ``gone``,
     all columns as they came; a null id stays."""

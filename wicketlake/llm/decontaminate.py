@@ -36,11 +36,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wicketlake.llm.common import without_ids, written
+from wicketlake.llm.common import BROADCAST_ROWS, small, without_ids, written
 
 MASKS = ("111111", "1110111", "11011011")
-#: Rows of seeds (24 bytes each) and of document ids that are broadcast at most.
-BROADCAST_ROWS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -70,11 +68,6 @@ def seeds_of(df: DataFrame, keep: list[str], hashes: Column, masks: tuple[str, .
     return seeds.filter("seed is not null") if whole else seeds
 
 
-def small(df: DataFrame, limit: int) -> DataFrame:
-    """``df`` with a broadcast hint where its counted rows are within ``limit``."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, min_overlap: int = 8,
              min_identity: float = 0.8, min_score: int = 10, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -11,8 +11,7 @@ spaces in which distances are below 1, and the metric join works in these:
 1. Equal sets are one node.
 2. Signatures. Sets of sizes a <= b that link differ in at most D = floor(0.15
    / 1.85 * (a + b)) shingles. Shingles are dealt by hash into m = D + 1 +
-   spare classes: at least one class (1 + spare of them) has equal content on
-   both sides. Each set gives the hash of each non-empty class's content; a
+   spare classes: at least 1 + spare classes have equal content on both sides. Each set gives the hash of each non-empty class's content; a
    set with so many empty classes that all equal ones might be empty (m - D or
    more) also gives one signature that says so. Sizes go by intervals [l, l /
    0.85], and a set signs for its own interval and for the one below, so D is
@@ -53,22 +52,19 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicketlake.llm.common import TwoGenerationCache, bound_batches, map_batches, stream_batches, texts_of, without_ids, written
+from wicketlake.llm.common import TwoGenerationCache, map_batches, small, stream_batches, texts_of, without_ids, written
 from wicketlake.llm.components import connected_components
-from wicketlake.llm.decontaminate import BROADCAST_ROWS, small
 
 #: Least similarity as a fraction of whole numbers, so that no rounding decides.
 SIMILARITY = (85, 100)
-SPARE = 2
 #: Shingles of a leaf (8 bytes each).
 LEAF = 2_000_000
-PIVOTS, MAX_DEPTH = 8, 4
+PIVOTS, MAX_DEPTH, SALTS = 8, 4, 16
 
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -129,7 +125,9 @@ def classes_of(interval: int, similarity: tuple[int, int]) -> tuple[int, int]:
     b = a * den // num
     # The difference is a + b - 2 i, and a link has (den + num) * i >= num * (a + b).
     most = (a + b) * (den - num) // (den + num)
-    return most + 1 + (SPARE if most else 0), most
+    # Spare classes, so that a set has m - D empty ones by chance next to never (of five shingles a
+    # class about 0.8 % are empty): else sets would meet by their empty classes alone.
+    return most + 1 + (3 + most // 40 if most else 0), most
 
 
 def signatures(shingles, similarity: tuple[int, int] = SIMILARITY):
@@ -321,17 +319,18 @@ def split_regions(spaces: DataFrame, leaf: int, eps: float, depth: int = 0) -> D
     large = written(spaces.join(heavy, "region"), f"jaccard-large-{depth}")
     if depth >= MAX_DEPTH:
         return fits.unionByName(_block_pairs(large, leaf))
-    # Pivots: the sets of smallest hash of each space; a salted copy of them meets each share of its sets.
+    # Pivots: one set of each hash slot of a space; copies of them meet the space's sets in every salt.
     drawn = (large.select("region", F.pmod(F.xxhash64("key", F.lit(depth + 100)), F.lit(PIVOTS)).alias("slot"), "key", "data")
-             .groupBy("region", "slot").agg(F.min_by("data", F.xxhash64("key")).alias("data"))
-             .groupBy("region").agg(F.array_sort(F.collect_list(F.struct("slot", "data"))).alias("p"))
-             .select("region", F.transform("p", lambda s: s["data"]).alias("pivots")))
-    salts = 16
-    salted = drawn.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = large.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(salted, ["region", "salt"])
-    placed = written(_place(met, eps), f"jaccard-regions-{depth}")
-    children = placed.select("region", "weight", F.explode("home").alias("slot"), "key", "n", "data").withColumn(
-        "child", F.xxhash64("region", "slot", F.lit(depth)))
+             .groupBy("region", "slot").agg(F.min_by("data", F.xxhash64("key")).alias("data")))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    own = large.select("region", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("member"),
+                       "key", "n", "weight", "data")
+    met = own.unionByName(drawn.select("region", salts.alias("salt"), F.lit(0).alias("member"), F.col("slot").alias("key"),
+                                       F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("weight"), "data"))
+    dealt = met.repartition("region", "salt").sortWithinPartitions("region", "salt", "member", "key")
+    placed = written(stream_batches(dealt, lambda rows: _place(rows, eps),
+                                    "region bigint, weight bigint, slot int, key bigint, n bigint, data binary"), f"jaccard-regions-{depth}")
+    children = placed.withColumn("child", F.xxhash64("region", "slot", F.lit(depth)))
     grown = children.groupBy("region", "weight", "child").agg(F.sum("n").alias("own"))
     # A space whose largest region keeps most of it does not split by distance.
     stuck = grown.filter(F.col("own") > 0.8 * F.col("weight")).select("region").distinct()
@@ -340,14 +339,18 @@ def split_regions(spaces: DataFrame, leaf: int, eps: float, depth: int = 0) -> D
     return fits.unionByName(blocks).unionByName(split_regions(down, leaf, eps, depth + 1))
 
 
-def _place(met: DataFrame, eps: float) -> DataFrame:
-    bound_batches(met.sparkSession)
-
-    @F.pandas_udf("array<int>")
-    def home(data: pd.Series, pivots: pd.Series) -> pd.Series:
-        return pd.Series([_regions(d, list(p), eps) for d, p in zip(data, pivots)])
-
-    return met.select("region", "weight", "key", "n", "data", home("data", "pivots").alias("home"))
+def _place(rows: Iterator[tuple], eps: float) -> Iterator[tuple]:
+    """Each set once for its home region and once for each replica; the
+    pivots of a (region, salt) come before its sets."""
+    space, pivots = None, []
+    for region, salt, member, key, n, weight, data in rows:
+        if (region, salt) != space:
+            space, pivots = (region, salt), []
+        if not member:
+            pivots.append(data)
+        else:
+            for slot in _regions(data, pivots, eps):
+                yield region, weight, slot, key, n, data
 
 
 def _block_pairs(large: DataFrame, leaf: int) -> DataFrame:
@@ -381,7 +384,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, similarity: tuple[int,
         made = [(r, k, s) for t, r, k in zip(*columns) if len(s := shingler(shingle).shingles(t)) and key_of(s) == k]
         return [[r for r, _, _ in made], [k for _, k, _ in made], [len(s) for _, _, s in made], [s.tobytes() for _, _, s in made]]
 
-    texts = own.join(small(bearers, BROADCAST_ROWS), "doc_id").select("text", "region", "key")
+    texts = own.join(small(bearers), "doc_id").select("text", "region", "key")
     made = written(map_batches(texts, sets, "region bigint, key bigint, n bigint, data binary"), "jaccard-members")
     ready = split_regions(made, leaf, 1 - similarity[0] / similarity[1]).repartition("region").sortWithinPartitions("region", "key")
     links = stream_batches(ready, lambda rows: _leaves(rows, similarity), "a bigint, b bigint")
@@ -402,3 +405,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     groups = jaccard_components(docs, id_col=id_col, **options)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     return without_ids(docs, written(gone, "jaccard-gone"), id_col)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingles FROM w
+), x AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY ALL
+), link AS (SELECT a, b FROM met WHERE 100 * shared >= 85 * (na + nb - shared)),
+sym AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT DISTINCT a AS doc_id, a AS seen FROM sym UNION SELECT r.doc_id, y.b FROM reach r JOIN sym y ON y.a = r.seen)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY 1) m ON m.doc_id = s.doc_id
+"""

@@ -43,8 +43,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wicketlake.llm.common import TwoGenerationCache, bound_batches, texts_of
-from wicketlake.llm.decontaminate import BROADCAST_ROWS, small
+from wicketlake.llm.common import TwoGenerationCache, bound_batches, small, texts_of
 
 FOLDS, HELD_OUT, CALIBRATING = 5, 0, 4
 #: Thresholds that calibration chooses from: (slack, gap) in bytes.
@@ -192,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, max_training: int = 20_000, max_wo
     for (calibrating, toxic), n in sizes.items():
         share = F.when(((F.col("fold") == CALIBRATING) == calibrating) & (F.col("toxic") == toxic), min(1.0, max_training / n)).otherwise(share)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = own.join(small(known.filter(place < share), BROADCAST_ROWS), "doc_id")
+    chosen = own.join(small(known.filter(place < share)), "doc_id")
 
     training = chosen.filter(F.col("fold") != CALIBRATING)
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), 0))
