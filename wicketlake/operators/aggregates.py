@@ -468,13 +468,21 @@ def team_totals(d: DataFrame, k: int = 12) -> DataFrame:
 
 
 def records(d: DataFrame) -> DataFrame:
-    """Highest individual score, highest team total, sixes, fours."""
-    ind = d.groupBy("match_id", "batsman").agg(F.sum(F.col("batsman_runs")).alias("s")).agg(F.max("s").alias("highest_score"))
-    team = d.groupBy("match_id", "batting_team").agg(F.sum(F.col("total_runs")).alias("s")).agg(F.max("s").alias("highest_total"))
-    counts = d.agg(F.count_if(F.col("batsman_runs") == 6).alias("total_sixes"), F.count_if(F.col("batsman_runs") == 4).alias("total_fours"))
-    return ind.select("highest_score", team.select("highest_total").scalar().alias("highest_total"),
-                      counts.select("total_sixes").scalar().alias("total_sixes"),
-                      counts.select("total_fours").scalar().alias("total_fours"))
+    """Highest individual score, highest team total, sixes, fours. One
+    pass sums each batter's innings; the sums count once for the batter and
+    once for the team."""
+    card = d.groupBy("match_id", "batting_team", "batsman").agg(
+        F.sum("batsman_runs").alias("r"), F.sum("total_runs").alias("t"),
+        F.count_if(F.col("batsman_runs") == 6).alias("sixes"), F.count_if(F.col("batsman_runs") == 4).alias("fours"))
+    none = F.lit(0).cast("bigint")
+    sides = card.select("match_id", F.explode(F.array(
+        F.struct(F.lit("player").alias("kind"), F.col("batsman").alias("name"), F.col("r").alias("v"), "sixes", "fours"),
+        F.struct(F.lit("team").alias("kind"), F.col("batting_team").alias("name"), F.col("t").alias("v"), none.alias("sixes"),
+                 none.alias("fours")))).alias("x")).select("match_id", "x.*")
+    total = sides.groupBy("kind", "match_id", "name").agg(F.sum("v").alias("v"), F.sum("sixes").alias("sixes"), F.sum("fours").alias("fours"))
+    best = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("v")))
+    return total.agg(best("player").alias("highest_score"), best("team").alias("highest_total"),
+                     F.sum("sixes").alias("total_sixes"), F.sum("fours").alias("total_fours"))
 
 
 def venue_specialists(d: DataFrame, matches: DataFrame, k: int = 5) -> DataFrame:
@@ -511,21 +519,23 @@ def bowlers_vs_opponent(d: DataFrame, k: int = 10) -> DataFrame:
 
 
 def leaders(d: DataFrame) -> DataFrame:
-    """Leading run scorer, six hitter and wicket taker (first name on
-    ties), one row; each a ``max_by`` over a (value, reversed-name) key."""
-    def lead(g: DataFrame, who: str, value: str) -> Column:
-        # Highest value; on ties the alphabetically first name. Two partial
-        # aggregates (max, then min name at the max), no global sort.
-        top = g.agg(F.max(value)).scalar()
-        return g.filter(F.col(value) == top).agg(F.min(who)).scalar()
-
-    runs = d.groupBy("batsman").agg(F.sum(F.col("batsman_runs")).alias("v"))
-    sixes = d.filter(F.col("batsman_runs") == 6).groupBy("batsman").agg(F.count("*").alias("v"))
-    wkts = d.groupBy("bowler").agg(F.count_if(F.col("is_wicket")).alias("v"))
-    return d.sparkSession.range(1).select(
-        lead(runs, "batsman", "v").alias("top_run_player"),
-        lead(sixes, "batsman", "v").alias("top_six_player"),
-        lead(wkts, "bowler", "v").alias("top_wicket_player"))
+    """Leading run scorer, six hitter and wicket taker, one row. Every
+    ball counts once for its batter and once for its bowler in one map-side
+    combined pass; the leader is the least (negative value, name), so ties go
+    to the first name."""
+    none = F.lit(None).cast("int")
+    side = F.explode(F.array(
+        F.struct(F.col("batsman").alias("who"), F.col("batsman_runs").cast("int").alias("runs"), none.alias("out")),
+        F.struct(F.col("bowler").alias("who"), none.alias("runs"), F.col("is_wicket").cast("int").alias("out"))))
+    g = d.select(side.alias("s")).groupBy("s.who").agg(
+        F.sum("s.runs").alias("runs"), F.count_if(F.col("s.runs") == 6).alias("sixes"), F.sum("s.out").alias("wickets"))
+
+    def lead(value: str, played: Column) -> Column:
+        return F.min(F.when(played, F.struct((-F.col(value)).alias("v"), "who")))["who"]
+
+    return g.agg(lead("runs", F.col("runs").isNotNull()).alias("top_run_player"),
+                 lead("sixes", F.col("sixes") > 0).alias("top_six_player"),
+                 lead("wickets", F.col("wickets").isNotNull()).alias("top_wicket_player"))
 
 
 def partnerships(d: DataFrame, team: str | None = None, min_balls: int = 12, k: int = 15) -> DataFrame:

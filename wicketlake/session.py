@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import site
 import tempfile
 import uuid
 
@@ -67,3 +69,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     checkpoint folder (never a machine-local temporary folder)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/wicketlake/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers.
+
+    Workers find it by themselves where the driver was started in its folder
+    or has it on PYTHONPATH (or it is installed on every node). Elsewhere it
+    is sent once per application, as a Spark job's other Python files are."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep), site.getsitepackages()[0]]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or root in map(os.path.abspath, filter(None, known)):
+        return
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="wicketlake-package-"), "wicketlake"), "zip", root, "wicketlake")
+    spark.sparkContext.addPyFile(made)  # from the driver's own folder; Spark serves it to the executors
+    _SHIPPED.add(app)
