@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wicketlake.session import scratch_path
+from wicketlake.session import scratch_path, ship_package
 
 #: Bytes of one Arrow batch between the JVM and a Python worker. A batch of
 #: the default 10,000 rows has no byte bound, so very long texts could fill a
@@ -32,7 +32,9 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most ``BATCH_BYTES`` for the session's Python stages."""
+    """Arrow batches of at most ``BATCH_BYTES`` for the session's Python
+    stages, whose workers must find this package."""
+    ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1))) > BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
