@@ -133,27 +133,37 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def mix(x):
+    m = 2**64 - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
 def simhash(found):
-    import xxhash
+    """By definition: the bits that more than half of the distinct words set."""
+    base, m = 0x9E3779B97F4A7C15, 2**64 - 1
+    hashes = {mix(sum(c * pow(base, k, 2**64) for k, c in enumerate(w)) & m) >> 24 for w in found}
+    votes = [mix(h + base & m).to_bytes(8, "little") for h in hashes]
+    return sum((2 * sum(v[k // 8] >> (7 - k % 8) & 1 for v in votes) > len(votes)) << (63 - k) for k in range(64))
+
 
-    total = [0] * 64
-    for w in found:
-        h = xxhash.xxh3_64_intdigest(w)
-        bits = [h.to_bytes(8, "little")[k // 8] >> (7 - k % 8) & 1 for k in range(64)]
-        total = [t + b for t, b in zip(total, bits)]
-    return sum((2 * t > len(found)) << (63 - k) for k, t in enumerate(total))
+def line_words(line):
+    for c in "\u00a0«»¡¿·‐‑‒–—―‘’‚“”„•…\u2028\u2029\u3000、。":
+        line = line.replace(c, " ")
+    return re.findall(rb"[0-9a-z_\x80-\xff]+", line.encode())
 
 
 def brute_dedup(texts, min_words=5, share=0.8):
     keys, places = {}, {}
     for d, t in enumerate(texts):
-        for k, line in enumerate((t or "").split("\n") if t is not None else []):
-            found = re.findall(r"\w+", line.lower())
+        for k, line in enumerate(t.lower().split("\n") if t is not None else []):
+            found = line_words(line)
             if len(found) >= min_words:
-                keys.setdefault(" ".join(found), len(keys))
-                places.setdefault(" ".join(found), []).append((d, k))
+                keys.setdefault(b" ".join(found), len(keys))
+                places.setdefault(b" ".join(found), []).append((d, k))
     norm = list(keys)
-    sims = [simhash(n.split(" ")) for n in norm]
+    sims = [simhash(n.split(b" ")) for n in norm]
     links = [(a, b) for a, b in combinations(range(len(norm)), 2) if (sims[a] ^ sims[b]).bit_count() <= 3
              and edit_distance(norm[a].split(), norm[b].split()) <= (1 - share) * max(len(norm[a].split()), len(norm[b].split())) + 1e-9]
     group = components(len(norm), links)
@@ -202,8 +212,18 @@ def test_line_dedup_on_the_table(spark):
 
 def test_simhash_and_forest():
     rng = random.Random(4)
-    lists = [words(rng, n) for n in (5, 17, 254, 255, 256, 700)]
-    assert [int(x) & (2**64 - 1) for x in linededup.Sketcher().simhashes(lists)] == [simhash(x) for x in lists]
+    lists = [words(rng, n) for n in (5, 17, 254, 255, 256, 700, 3000)] + [["the"] * 300 + ["é", "ß_1", "日本"]]
+    text = "\n\n".join(", ".join(x) for x in lists) + "\n too short"
+    numbers, keys, sims = linededup.Sketcher().lines(linededup.normalised(text), 5)
+    assert numbers.tolist() == list(range(0, 2 * len(lists), 2)) and len(set(keys.tolist())) == len(lists)
+    assert [int(x) & (2**64 - 1) for x in sims] == [simhash([w.encode() for w in x]) for x in lists]
+    linededup.CHUNK, kept = 64, linededup.CHUNK  # pieces cut at line ends give the same lines
+    try:
+        cut = linededup._lines([[7, 8, 9], [text, "", text.replace("\n\n", "\n")]], 5)
+    finally:
+        linededup.CHUNK = kept
+    assert cut[0].to_pylist() == [7] * len(lists) + [9] * len(lists)
+    assert cut[1].to_pylist() == numbers.tolist() + list(range(len(lists))) and cut[2].to_pylist() == keys.tolist() * 2
     base = [rng.getrandbits(64) for _ in range(40)]
     near = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4))) for b in base for _ in range(220)}
     sims = np.array(sorted(near), dtype=np.uint64)

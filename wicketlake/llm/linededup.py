@@ -2,13 +2,14 @@
 
 A line (text between newlines) is normalised to its lower-case words. Lines of
 fewer than ``min_words`` words are always kept. Every distinct normalised line
-gets a 64-bit SimHash of its words.
+gets a 64-bit SimHash of its distinct words (distinct, as words like "the"
+would else make unrelated lines alike).
 
 Candidates are all pairs of SimHashes at most three bits apart, found exactly
 by the pigeonhole principle: the 64 bits are cut into ``b`` blocks, three
 differing bits leave at least ``b - 3`` blocks equal, and for each choice of
 ``b - 3`` blocks the SimHashes are grouped by those blocks. ``b`` is the
-smallest number for which such a key has six bits more than the count of
+smallest number for which such a key has three bits more than the count of
 distinct SimHashes needs, so groups stay small at any size; the pairs found
 are the same for every ``b``. Inside a group a search over the unvisited
 SimHashes emits a spanning forest, never all pairs; a very large group is cut
@@ -24,7 +25,9 @@ then line number. The others are cut out of their documents.
 Scale. One pass over the texts gives keys of 30 bytes per line; the texts of
 candidate lines are fetched by a second pass over the documents that hold
 them, and the third pass cuts lines out. A repeated line, however frequent, is
-one row after a partial aggregate. Components with failed edges are joined in
+one row after a partial aggregate. Ids of the documents that hold candidates
+are broadcast up to four million, the line numbers to cut up to a million;
+beyond that the same joins shuffle the texts. Components with failed edges are joined in
 one task each; they hold lines with nearly the same words in another order and
 are small unless a corpus is made of them.
 
@@ -47,101 +50,176 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicketlake.llm.common import map_batches, stream_batches, written
+from wicketlake.llm.common import BROADCAST_IDS, BROADCAST_ROWS, map_batches, small, stream_batches, written
 from wicketlake.llm.components import connected_components
 
 MAX_BITS = 3
-_WORD = re.compile(r"\w+")
-#: Words whose hash bits are held at once.
-_HELD = 100_000
-
-
-class _Words(dict):
-    """Row numbers of words in a growing table of hash bits."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh = []
+#: Bytes of text whose words are hashed at once.
+CHUNK = 1 << 22
+#: Base of the polynomial word hash and multiplier of a line's word places (odd numbers).
+_BASE, _PLACE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+_MASK = (1 << 64) - 1
+
+# Non-ASCII characters that separate words; every other one is part of a word.
+_SEPARATORS = "\u00a0«»¡¿·‐‑‒–—―‘’‚“”„•…\u2028\u2029\u3000、。"
+_WORD = re.compile(rb"[0-9a-z_\x80-\xff]+")
+
+
+def normalised(text: str) -> bytes:
+    """Lower case, non-ASCII separators as spaces, UTF-8. Lines keep their
+    number; words are runs of ASCII letters, digits, ``_`` and other
+    non-ASCII characters."""
+    text = text.lower()
+    if not text.isascii():
+        for c in _SEPARATORS:
+            if c in text:
+                text = text.replace(c, " ")
+    return text.encode()
+
+
+def _mixed(x):
+    """A 64-bit finaliser over a uint64 array."""
+    import numpy as np
 
-    def __missing__(self, word):
-        self.fresh.append(word)
-        n = self[word] = len(self)
-        return n
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 class Sketcher:
-    """SimHashes of word lists. A word's 64 hash bits are 64 bytes of 0 or 1,
-    read as eight 64-bit numbers, so that sums over up to 255 words add up
-    bytewise without a carry."""
+    """Keys and SimHashes of the lines of a text, over whole arrays of bytes.
+
+    A word's hash is a polynomial of its bytes, read off the running sums of
+    the text. A line's key is a hash of its word hashes in order. Its SimHash
+    votes with the distinct words: their 64 hash bits are 64 bytes of 0 or 1,
+    read as eight 64-bit numbers, so that up to 255 of them add up bytewise
+    without a carry."""
 
     def __init__(self):
         import numpy as np
 
-        self.words = _Words()
-        self.table = np.zeros((1 << 12, 8), dtype=np.uint64)
+        self.powers = {}
+        self.is_word = np.zeros(256, dtype=bool)
+        self.is_word[[b for b in range(256) if _WORD.match(bytes([b]))]] = True
 
-    def _fill(self):
+    def _powers(self, base: int, n: int):
+        """``base`` to the powers 0 to n - 1, modulo 2^64; kept and grown."""
         import numpy as np
-        import xxhash
 
-        fresh, n = self.words.fresh, len(self.words)
-        while n > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in fresh), dtype=np.uint64, count=len(fresh))
-        self.table[n - len(fresh):n] = np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).view(np.uint64)
-        self.words.fresh = []
+        have = self.powers.get(base)
+        if have is None or len(have) < n:
+            steps = np.full(1 << max(16, (n - 1).bit_length()), base, dtype=np.uint64)
+            steps[0] = 1
+            have = self.powers[base] = np.cumprod(steps)
+        return have[:n]
+
+    def lines(self, data: bytes, min_words: int):
+        """``(number, key, simhash)`` arrays of the lines with enough words."""
+        import numpy as np
 
-    def simhashes(self, lines: list[list[str]]):
+        text = np.frombuffer(data, dtype=np.uint8)
+        inside = np.concatenate([[False], self.is_word[text], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[0::2], edges[1::2]
+        line = np.searchsorted(np.flatnonzero(text == 10), starts)
+        counts = np.bincount(line) if len(line) else np.zeros(0, dtype=np.int64)
+        numbers = np.flatnonzero(counts >= min_words)
+        empty = np.zeros(0, dtype=np.int64)
+        if not len(numbers):
+            return empty, empty, empty
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(text * self._powers(_BASE, len(text)))])
+        wanted = counts[line] >= min_words
+        starts, ends = starts[wanted], ends[wanted]
+        inverse = self._powers(pow(_BASE, -1, 1 << 64), len(text))
+        words = _mixed((sums[ends] - sums[starts]) * inverse[starts])
+
+        n = counts[numbers]
+        first = np.concatenate([[0], np.cumsum(n)[:-1]])
+        place = np.arange(len(words)) - np.repeat(first, n)
+        keys = _mixed(np.add.reduceat(words * self._powers(_PLACE, int(n.max()))[place], first) + n.astype(np.uint64))
+
+        # Distinct words of each line: sorted by line and 40 bits of the hash.
+        ranked = np.sort(np.repeat(np.arange(len(numbers), dtype=np.uint64), n) << np.uint64(40) | words >> np.uint64(24))
+        ranked = ranked[np.concatenate([[True], ranked[1:] != ranked[:-1]])]
+        sizes = np.bincount((ranked >> np.uint64(40)).astype(np.int64), minlength=len(numbers))
+        votes = _mixed((ranked & np.uint64((1 << 40) - 1)) + np.uint64(_BASE))
+        return numbers, keys.view(np.int64), self._vote(votes, sizes)
+
+    def _vote(self, votes, sizes):
+        """SimHashes of groups of so many votes each."""
         import numpy as np
 
-        if len(self.words) > 400_000:
-            self.words = _Words()
-        out, begin = [], 0
-        while begin < len(lines):
-            rows, chunks, first, sizes, end = [], [], [], [], begin
-            while end < len(lines) and len(rows) < _HELD:
-                first.append(len(chunks))
-                words = lines[end]
-                chunks += range(len(rows), len(rows) + len(words), 255)
-                rows += map(self.words.__getitem__, words)
-                sizes.append(len(words))
-                end += 1
-            if self.words.fresh:
-                self._fill()
-            sums = np.add.reduceat(self.table[np.array(rows)], chunks, axis=0).view(np.uint8)
-            if len(chunks) > len(first):
-                sums = np.add.reduceat(sums.astype(np.int64), first, axis=0)
-            bits = 2 * sums.astype(np.int64) > np.array(sizes)[:, None]
-            out.append(np.packbits(bits, axis=1).view(">i8").reshape(-1).astype(np.int64))
-            begin = end
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        out, line = np.empty(len(sizes), dtype=np.int64), 0
+        while line < len(sizes):
+            stop = max(line + 1, int(np.searchsorted(begin, begin[line] + 100_000, side="right")) - 1)
+            own = votes[begin[line]:begin[stop]]
+            lanes = np.unpackbits(own.view(np.uint8)).reshape(-1, 64).view(np.uint64)
+            pieces = -(-sizes[line:stop] // 255)
+            which = np.repeat(np.arange(stop - line), pieces)
+            nth = np.arange(len(which)) - np.repeat(np.concatenate([[0], np.cumsum(pieces)[:-1]]), pieces)
+            sums = np.add.reduceat(lanes, begin[line:stop][which] - begin[line] + 255 * nth, axis=0).view(np.uint8).astype(np.int64)
+            if len(which) > stop - line:
+                sums = np.add.reduceat(sums, np.flatnonzero(nth == 0), axis=0)
+            bits = 2 * sums > sizes[line:stop, None]
+            out[line:stop] = np.packbits(bits, axis=1).view(">i8").reshape(-1)
+            line = stop
+        return out
 
 
 _SKETCHER = None
 
 
+def _pieces(texts: list[str]) -> Iterator[tuple[int, int, bytes]]:
+    """``(row, first line, bytes)``: texts, long ones cut at line ends."""
+    for row, text in enumerate(texts):
+        data, line = normalised(text), 0
+        while len(data) > CHUNK:
+            cut = data.rfind(b"\n", 0, CHUNK)
+            cut = data.find(b"\n", CHUNK) if cut < 0 else cut
+            if cut < 0:
+                break
+            yield row, line, data[:cut]
+            line += data.count(b"\n", 0, cut) + 1
+            data = data[cut + 1:]
+        yield row, line, data
+
+
 def _lines(columns: list[list], min_words: int) -> list:
+    """All lines of a batch, in chunks of joined texts."""
     global _SKETCHER
-    import xxhash
+    import numpy as np
 
     if _SKETCHER is None:
         _SKETCHER = Sketcher()
-    ids, numbers, keys, words = [], [], [], []
-    for doc_id, text in zip(*columns):
-        for number, line in enumerate(text.lower().split("\n")):
-            found = _WORD.findall(line)
-            if len(found) >= min_words:
-                ids.append(doc_id)
-                numbers.append(number)
-                keys.append(xxhash.xxh3_64_intdigest(" ".join(found)) - (1 << 63))
-                words.append(found)
-    return [ids, numbers, keys, pa.array(_SKETCHER.simhashes(words), pa.int64())]
+    ids, texts = columns
+    rows, numbers, keys, sims = [], [], [], []
+
+    def flush(held):
+        found, key, sim = _SKETCHER.lines(b"\n".join(d for _, _, d in held), min_words)
+        begin = np.cumsum([0] + [d.count(b"\n") + 1 for _, _, d in held])
+        piece = np.searchsorted(begin, found, side="right") - 1
+        rows.append(np.array([r for r, _, _ in held])[piece])
+        numbers.append(found - begin[piece] + np.array([n for _, n, _ in held])[piece])
+        keys.append(key)
+        sims.append(sim)
+
+    held, size = [], 0
+    for piece in _pieces(texts):
+        if held and size + len(piece[2]) > CHUNK:
+            flush(held)
+            held, size = [], 0
+        held.append(piece)
+        size += len(piece[2])
+    flush(held)
+    return [pa.array(ids).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(numbers)),
+            pa.array(np.concatenate(keys)), pa.array(np.concatenate(sims))]
 
 
 def block_masks(distinct: int) -> list[int]:
     """Masks of the equal blocks, as signed 64-bit numbers, for a corpus of so
     many distinct SimHashes."""
-    need = max(1, distinct).bit_length() + 6
+    need = max(1, distinct).bit_length() + 3
     b = next((b for b in range(MAX_BITS + 1, 17) if (64 // b) * (b - MAX_BITS) >= need), 16)
     edges = [round(64 * k / b) for k in range(b + 1)]
     blocks = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(b)]
@@ -187,7 +265,8 @@ def _search(sims) -> list[tuple[int, int]]:
 
 
 def _block_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forest edges of every key's group, from batches sorted by key."""
+    """Forest edges of every block's group, from ``(choice, block, sim)``
+    sorted by choice and block."""
     import numpy as np
 
     def signed(x):
@@ -205,11 +284,13 @@ def _block_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held_k, held_s = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     for batch in batches:
-        keys = np.concatenate([held_k, batch.column(0).to_numpy()])
-        sims = np.concatenate([held_s, batch.column(1).to_numpy().view(np.uint64)])
+        choice, block, sim = (c.to_numpy() for c in batch.columns)
+        # One number for choice and block; two blocks that met in it would only be searched together.
+        keys = np.concatenate([held_k, _mixed(block.view(np.uint64) + choice.astype(np.uint64)).view(np.int64)])
+        sims = np.concatenate([held_s, sim.view(np.uint64)])
         if not len(keys):
             continue
-        last = np.searchsorted(keys, keys[-1])  # the last group may go on in the next batch
+        last = len(keys) - int(np.argmax(keys[::-1] != keys[-1])) if (keys != keys[-1]).any() else 0  # it may go on in the next batch
         if last:
             yield from edges(keys[:last], sims[:last])
         held_k, held_s = keys[last:], np.unique(sims[last:])
@@ -249,26 +330,30 @@ def within_edits(a: list, b: list, limit: int) -> bool:
     return False
 
 
-def similar(a: str, b: str, share: float) -> bool:
-    x, y = a.split(" "), b.split(" ")
+def similar(a: bytes, b: bytes, share: float) -> bool:
+    x, y = a.split(b" "), b.split(b" ")
     return within_edits(x, y, int((1 - share) * max(len(x), len(y)) + 1e-9))
 
 
-def line_groups(docs: DataFrame, min_words: int, min_similarity: float) -> tuple[DataFrame, DataFrame]:
-    """``lines (doc_id, line, line_key, sim)`` of every occurrence, and
-    ``groups (line_key, group)`` of the keys that are in a group of two keys
-    or more."""
+def line_groups(docs: DataFrame, min_words: int, min_similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``lines (doc_id, line, line_key, sim)`` of every occurrence, ``keys
+    (line_key, n, first)`` of the distinct lines, and ``groups (line_key,
+    group)`` of the keys that are in a group of two keys or more."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    lines = written(map_batches(docs, _lines, f"doc_id {kind}, line int, line_key bigint, sim bigint", min_words), "lines")
-    distinct = written(lines.groupBy("line_key").agg(F.min("sim").alias("sim"), F.min(F.struct("doc_id", "line")).alias("first")),
-                       "line-keys")
+    lines = written(map_batches(docs.select("doc_id", "text"), _lines, f"doc_id {kind}, line bigint, line_key bigint, sim bigint", min_words), "lines")
+    distinct = written(lines.groupBy("line_key").agg(F.min("sim").alias("sim"), F.count("*").alias("n"),
+                                                     F.min(F.struct("doc_id", "line")).alias("first")), "line-keys")
     reps = written(distinct.groupBy("sim").agg(F.min("line_key").alias("rep")), "line-sims")
 
     # Candidate forest over the SimHashes, then over the lines.
     masks = block_masks(reps.count())
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("sim").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)]))
-    blocks = reps.select(keys.alias("key"), "sim").repartition("key").sortWithinPartitions("key")
+    # Only choice and SimHash are shuffled; the block follows from them.
+    mask = F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("choice") + 1)
+    block = F.col("sim").bitwiseAND(mask)
+    chosen = reps.select(F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("choice"), "sim")
+    blocks = (chosen.repartition("choice", block).select("choice", block.alias("block"), "sim")
+              .sortWithinPartitions("choice", "block"))
     near = blocks.mapInArrow(_block_edges, "a bigint, b bigint").distinct()
     rep = lambda s: reps.select(F.col("sim").alias(s), F.col("rep").alias(f"r{s}"))
     across = near.join(rep("a"), "a").join(rep("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
@@ -279,7 +364,8 @@ def line_groups(docs: DataFrame, min_words: int, min_similarity: float) -> tuple
     ends = edges.select(F.explode(F.array("a", "b")).alias("line_key")).distinct()
     wanted = (distinct.join(ends, "line_key").groupBy(F.col("first.doc_id").alias("doc_id"))
               .agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "line_key")).alias("wanted")))
-    texts = written(map_batches(docs.join(wanted, "doc_id").select("text", "wanted"), _fetch, "line_key bigint, words string")
+    bearers = docs.join(small(wanted.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
+    texts = written(map_batches(bearers.join(wanted, "doc_id").select("text", "wanted"), _fetch, "line_key bigint, words binary")
                     .dropDuplicates(["line_key"]), "line-words")
     word = lambda s: texts.select(F.col("line_key").alias(s), F.col("words").alias(f"w{s}"))
     checked = written(map_batches(edges.join(word("a"), "a").join(word("b"), "b").select("a", "b", "wa", "wb"), _verify,
@@ -288,7 +374,7 @@ def line_groups(docs: DataFrame, min_words: int, min_similarity: float) -> tuple
     failed = (checked.filter("not holds").select(F.col("a").alias("node")).join(whole, "node").select("component").distinct())
     unsure = whole.join(failed, "component", "left_semi")
     if unsure.isEmpty():
-        return lines, whole.select(F.col("node").alias("line_key"), F.col("component").alias("group"))
+        return lines, distinct, whole.select(F.col("node").alias("line_key"), F.col("component").alias("group"))
     # Components with a failed edge: every pair three bits apart at most is verified.
     members = (unsure.join(texts, unsure["node"] == texts["line_key"]).join(distinct.select("line_key", "sim"), "line_key")
                .select("component", "line_key", "sim", "words"))
@@ -307,33 +393,36 @@ def line_groups(docs: DataFrame, min_words: int, min_similarity: float) -> tuple
     sure = whole.join(failed, "component", "left_anti").select(F.col("node").alias("a"), F.col("component").alias("b"))
     links = connected_components(again, "line-rejoined").unionByName(
         sure.select(F.col("a").alias("node"), F.col("b").alias("component")))
-    return lines, links.select(F.col("node").alias("line_key"), F.col("component").alias("group"))
+    return lines, distinct, links.select(F.col("node").alias("line_key"), F.col("component").alias("group"))
 
 
 def _pairs(held: list, share: float) -> Iterator[tuple]:
     """Forest of verified links among lines of one component."""
-    left = held
-    while left:
+    import numpy as np
+
+    sims = np.array([s for _, s, _ in held], dtype=np.uint64)
+    left = np.arange(len(held))
+    while len(left):
         queue, left = [left[0]], left[1:]
-        while queue and left:
-            u, rest = queue.pop(), []
-            for v in left:
-                if (u[1] ^ v[1]).bit_count() <= MAX_BITS and similar(u[2], v[2], share):
-                    yield u[0], v[0]
-                    queue.append(v)
-                else:
-                    rest.append(v)
-            left = rest
+        while queue and len(left):
+            u = queue.pop()
+            near = left[np.bitwise_count(sims[left] ^ sims[u]) <= MAX_BITS]
+            found = [v for v in near if similar(held[u][2], held[v][2], share)]
+            for v in found:
+                yield held[u][0], held[v][0]
+            if found:
+                queue += found
+                left = np.setdiff1d(left, found, assume_unique=True)
 
 
 def _fetch(columns: list[list]) -> list[list]:
     keys, words = [], []
     for text, wanted in zip(*columns):
-        lines = text.lower().split("\n")
+        lines = normalised(text).split(b"\n")
         for w in wanted:
             if w["line"] < len(lines):
                 keys.append(w["line_key"])
-                words.append(" ".join(_WORD.findall(lines[w["line"]])))
+                words.append(b" ".join(_WORD.findall(lines[w["line"]])))
     return [keys, words]
 
 
@@ -345,10 +434,9 @@ def _verify(columns: list[list], share: float) -> list[list]:
 def dropped_lines(docs: DataFrame, min_words: int = 5, min_similarity: float = 0.8) -> DataFrame:
     """``(doc_id, dropped)``: the line numbers to cut, for the documents that
     lose any. ``docs`` is ``(doc_id, text)`` without nulls."""
-    lines, groups = line_groups(docs, min_words, min_similarity)
-    # Occurrences of keys that are repeated or grouped; the first of each group stays.
-    repeated = lines.groupBy("line_key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
-    grouped = repeated.join(groups, "line_key", "left").withColumn("group", F.coalesce("group", "line_key"))
+    lines, keys, groups = line_groups(docs, min_words, min_similarity)
+    # Of keys that are repeated or grouped, the first occurrence of each group stays.
+    grouped = keys.join(groups, "line_key", "left").withColumn("group", F.coalesce("group", "line_key"))
     kept = grouped.groupBy("group").agg(F.sum("n").alias("n"), F.min("first").alias("kept")).filter("n > 1")
     doomed = grouped.join(kept.select("group", "kept"), "group").select("line_key", "kept")
     gone = lines.join(doomed, "line_key").filter("not (doc_id = kept.doc_id and line = kept.line)")
@@ -362,7 +450,10 @@ def cut_lines(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_
     lines = F.split(text, "\n")
     rest = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains(gone, k)), "\n")
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines))
-    joined = docs.alias("d").join(dropped.alias("x"), F.col(f"d.`{id_col}`") == F.col("x.doc_id"), "left")
+    # Broadcast only when all line numbers together are counted to be few; else both sides are shuffled.
+    total = dropped.agg(F.coalesce(F.sum(F.size("dropped")), F.lit(0))).first()[0]
+    listed = F.broadcast(dropped) if total <= BROADCAST_ROWS else dropped
+    joined = docs.alias("d").join(listed.alias("x"), F.col(f"d.`{id_col}`") == F.col("x.doc_id"), "left")
     return joined.select(
         *[F.when(gone.isNotNull(), rest).otherwise(text).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns],
         F.struct(n_lines.alias("n_lines"), F.when(text.isNull() | gone.isNull(), 0).otherwise(
