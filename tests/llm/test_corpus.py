@@ -191,15 +191,15 @@ def test_line_dedup_equals_brute_force(spark, seed):
     texts = line_corpus(random.Random(seed))
     want, links, _ = brute_dedup(texts)
     assert links  # the corpus has near-duplicate lines, not only equal ones
-    docs = frame(spark, texts).withColumn("dropped", F.lit("clash")).withColumn("cut_", F.lit(1))
+    docs = frame(spark, texts).withColumn("dropped", F.lit("clash")).withColumn("cut", F.lit(1))
     got = linededup.dedup_lines(docs)
-    assert got.columns == ["doc_id", "text", "dropped", "cut_", "cut"]
+    assert got.columns == ["doc_id", "text", "dropped", "cut", "cut_"]
     rows = {r.doc_id: r for r in got.collect()}
     for k, t in enumerate(want):
         assert rows[k].text == t or (t == "" and rows[k].text == ""), (texts[k], rows[k].text, t)
         n = 0 if texts[k] is None else len(texts[k].split("\n"))
-        kept = 0 if t is None or (t == "" and rows[k].cut.n_dropped == n) else len(t.split("\n"))
-        assert rows[k].cut.n_lines == n and rows[k].cut.n_dropped == n - kept
+        kept = 0 if t is None or (t == "" and rows[k].cut_.n_dropped == n) else len(t.split("\n"))
+        assert rows[k].cut_.n_lines == n and rows[k].cut_.n_dropped == n - kept
 
 
 def test_line_dedup_on_the_table(spark):

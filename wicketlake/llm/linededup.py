@@ -445,7 +445,11 @@ def dropped_lines(docs: DataFrame, min_words: int = 5, min_similarity: float = 0
 
 def cut_lines(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines of ``dropped``, all columns as they came,
-    and a last column ``cut`` with the numbers of lines before and cut."""
+    and a last column ``cut (n_lines, n_dropped)``, the numbers of lines before
+    and cut; where ``docs`` has that name already, underscores are added."""
+    name = "cut"
+    while name in docs.columns:
+        name += "_"
     text, gone = F.col(f"d.`{text_col}`"), F.col("x.dropped")
     lines = F.split(text, "\n")
     rest = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains(gone, k)), "\n")
@@ -457,13 +461,13 @@ def cut_lines(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_
     return joined.select(
         *[F.when(gone.isNotNull(), rest).otherwise(text).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns],
         F.struct(n_lines.alias("n_lines"), F.when(text.isNull() | gone.isNull(), 0).otherwise(
-            F.size(F.array_distinct(F.filter(gone, lambda k: k < F.size(lines))))).alias("n_dropped")).alias("cut"))
+            F.size(F.array_distinct(F.filter(gone, lambda k: k < F.size(lines))))).alias("n_dropped")).alias(name))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, min_similarity: float = 0.8, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """Every document with its near-duplicate lines cut out, all columns as
-    they came, and the struct ``cut (n_lines, n_dropped)`` at the end."""
+    they came, and the struct of ``cut_lines`` at the end."""
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     dropped = dropped_lines(own.filter("doc_id is not null and text is not null"), min_words, min_similarity)
     return cut_lines(docs, dropped, id_col, text_col)
