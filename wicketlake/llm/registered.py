@@ -68,7 +68,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (op1_pii, op2_chat, op3_urls, op4_toxicity, op5_linededup, op6_packing, op7_decontaminate, op8_fingerprints,
             op9_jaccard, op10_tokens, pipeline)
-_ORACLES = {"op2_chat": chat.ORACLE, "op7_decontaminate": decontaminate.ORACLE}
+_ORACLES = {"op2_chat": chat.ORACLE, "op3_urls": urls.ORACLE, "op7_decontaminate": decontaminate.ORACLE,
+            "op9_jaccard": jaccard.ORACLE}
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,8 +16,9 @@ Scale. Distinct URL shapes (token sets) are judged once each and joined back,
 so a host with a third of all pages is one aggregated row per shape. Mining
 reads all labelled URLs; the support is a share of them, so the number of
 frequent combinations, and with it the rule table, is bounded by the share and
-by ``max_rule`` tokens and does not grow with the pages. No size is assumed in
-the plan: the index is joined as it is, and Spark broadcasts it if it is small.
+by ``max_rule`` tokens and does not grow with the pages. The shapes at which a
+rule fires are written, counted, and broadcast up to 100,000; beyond that the
+same join shuffles, and Spark splits a shape with very many pages.
 
 Defined results: a null URL, or one without ``://``, has an empty host and
 path, no tokens, fits no rule and is allowed; labels with nulls are not used;
@@ -30,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wicketlake.llm.common import small, written
+
 BLOCK = "class=block"
 
 # Rules of the contract as (verdict, host, path prefix).
@@ -120,8 +123,8 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", u
     own = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url")).withColumn("tokens", tokens_of(url))
     rules = mine_rules(labelled.filter("url is not null and blocked is not null")
                        .select(tokens_of(url).alias("tokens"), "blocked").filter(F.size("tokens") > 0), **mining)
-    verdicts = fired(own.select("tokens").filter(F.size("tokens") > 0).distinct(), rules)
-    judged = own.join(verdicts, "tokens", "left").withColumn("host", host_of(url)).withColumn("path", path_of(url))
+    verdicts = written(fired(own.select("tokens").filter(F.size("tokens") > 0).distinct(), rules), "url-verdicts")
+    judged = own.join(small(verdicts, 100_000), "tokens", "left").withColumn("host", host_of(url)).withColumn("path", path_of(url))
     judged = judged.withColumn("fixed", fixed_rule(F.col("host"), F.col("path")))
     return judged.select("page_id", "host", "path", F.col("fixed.rule").alias("rule"),
                          F.coalesce("fixed.verdict", F.when(F.col("n_rules") > 0, "block").otherwise("allow")).alias("verdict"),
@@ -137,3 +140,46 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     bad = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(
         F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
     return own.join(bad, "doc_id").select("url", "blocked")
+
+
+ORACLE = r"""
+WITH p AS (
+  SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), parts AS (
+  SELECT *, string_split(host, '.') AS labels, regexp_extract(url, '(?s)\?([^#]*)', 1) AS query FROM p
+), t AS (
+  SELECT page_id, url, host, path, CASE WHEN contains(url, '://') THEN list_sort(list_distinct(list_concat(
+      ['scheme=' || regexp_extract(url, '(?s)^(.*?)://', 1), 'domain=' || array_to_string(list_reverse(labels)[1:2], '<')],
+      list_transform(labels, lambda x: 'host=' || x),
+      list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'path=' || regexp_replace(x, '[0-9]+', '9', 'g')),
+      list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: 'query=' || string_split(x, '=')[1])))) ELSE [] END AS tokens,
+    TRY_CAST(nullif(regexp_extract(path, '/([0-9]{1,18})(?:[^0-9/][^/]*)?(?:/|$)', 1), '') AS BIGINT) AS doc_id FROM parts
+), l AS (SELECT doc_id, max(quality = 0 OR toxic = 1) AS blocked FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY 1),
+train AS (SELECT row_number() OVER () AS row, tokens, blocked FROM t JOIN l USING (doc_id) WHERE len(tokens) > 0),
+total AS (SELECT count(*) AS n, count_if(blocked) AS bad FROM train),
+one AS (SELECT row, blocked, unnest(tokens) AS x FROM train),
+sets AS (
+  SELECT [x] AS tokens, blocked FROM one
+  UNION ALL SELECT [a.x, b.x], a.blocked FROM one a JOIN one b ON a.row = b.row AND a.x < b.x
+  UNION ALL SELECT [a.x, b.x, c.x], a.blocked FROM one a JOIN one b ON a.row = b.row AND a.x < b.x JOIN one c ON c.row = a.row AND b.x < c.x
+), mined AS (
+  SELECT tokens, count_if(blocked) / count(*) AS confidence FROM sets GROUP BY 1
+  HAVING count_if(blocked) >= greatest(1, ceil(0.002 * (SELECT n FROM total))) AND count_if(blocked) / count(*) >= 0.6
+     AND (count_if(blocked) / count(*)) / ((SELECT bad FROM total) / (SELECT n FROM total)) >= 1.2
+), rules AS (
+  SELECT * FROM mined m WHERE NOT EXISTS (SELECT 1 FROM mined k WHERE len(k.tokens) < len(m.tokens) AND list_has_all(m.tokens, k.tokens))
+), fired AS (
+  SELECT s.tokens, count(*) AS n_rules, max(r.confidence) AS confidence FROM (SELECT DISTINCT tokens FROM t) s
+  JOIN rules r ON list_has_all(s.tokens, r.tokens) GROUP BY 1
+), fixed AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM t,
+    (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'),
+            ('block', 'com', '/de/')) f(verdict, h, prefix), LATERAL (SELECT h || prefix AS rule) z
+  WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, prefix) GROUP BY 1
+)
+SELECT t.page_id, host, path, fixed.rule, coalesce(fixed.verdict, CASE WHEN n_rules > 0 THEN 'block' ELSE 'allow' END) AS verdict,
+  CAST(coalesce(n_rules, 0) AS BIGINT) AS n_rules, confidence
+FROM t LEFT JOIN fired ON fired.tokens = t.tokens AND len(t.tokens) > 0 LEFT JOIN fixed ON fixed.page_id = t.page_id
+"""
