@@ -13,7 +13,7 @@ from wicketlake.session import scratch_path, ship_package
 #: Bytes of one Arrow batch between the JVM and a Python worker. A batch of
 #: the default 10,000 rows has no byte bound, so very long texts could fill a
 #: worker's memory.
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 #: Rows of a few numbers each that are broadcast at most, after a count.
 BROADCAST_ROWS = 1_000_000
 #: Rows of one id that are broadcast at most, after a count.
@@ -113,6 +113,19 @@ def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     return docs.alias("d").join(listed, F.col(f"d.`{id_col}`") == F.col("x.gone"), "left_anti")
 
 
+_STATE: dict = {}
+
+
+def worker_state(name, build: Callable):
+    """What an operator keeps in a Python worker between batches and tasks.
+    Workers outlive a stage; only the latest operator's state is kept, so the
+    stages of a pipeline do not add up."""
+    if name not in _STATE:
+        _STATE.clear()
+        _STATE[name] = build()
+    return _STATE[name]
+
+
 class TwoGenerationCache(dict):
     """A bounded memo: when ``limit`` new entries have come in, they become
     the old generation and the older one is forgotten. Never more than twice

@@ -48,6 +48,7 @@ shingles in two compared sets could change a result, with a chance under
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
@@ -57,7 +58,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicketlake.llm.common import TwoGenerationCache, map_batches, small, stream_batches, texts_of, without_ids, written
+from wicketlake.llm.common import TwoGenerationCache, map_batches, small, stream_batches, texts_of, without_ids, worker_state, written
 from wicketlake.llm.components import connected_components
 
 #: Least similarity as a fraction of whole numbers, so that no rounding decides.
@@ -86,7 +87,8 @@ class Shingler:
         import xxhash
 
         self.size = size
-        self.word = TwoGenerationCache(lambda w: xxhash.xxh3_64_intdigest(w), 400_000)
+        self.word = TwoGenerationCache(lambda w: xxhash.xxh3_64_intdigest(w), 150_000)
+        self.task, self.signed = None, None
 
     def shingles(self, text: str):
         import numpy as np
@@ -125,9 +127,17 @@ def classes_of(interval: int, similarity: tuple[int, int]) -> tuple[int, int]:
     b = a * den // num
     # The difference is a + b - 2 i, and a link has (den + num) * i >= num * (a + b).
     most = (a + b) * (den - num) // (den + num)
-    # Spare classes, so that a set has m - D empty ones by chance next to never (of five shingles a
-    # class about 0.8 % are empty): else sets would meet by their empty classes alone.
-    return most + 1 + (3 + most // 40 if most else 0), most
+    if not most:
+        return 1, 0
+    # As few spare classes as leave a set of the least size with D or fewer occupied classes next to
+    # never (three and a half deviations): else sets would meet by their empty classes alone.
+    n, m = intervals(similarity)[interval], most + 2
+    while True:
+        free = math.exp(-n / m)
+        deviation = math.sqrt(max(0.0, m * free * (1 - (1 + n / m) * free)))
+        if m * (1 - free) - 3.5 * deviation > most:
+            return m, most
+        m += 1 + m // 100
 
 
 def signatures(shingles, similarity: tuple[int, int] = SIMILARITY):
@@ -151,13 +161,8 @@ def signatures(shingles, similarity: tuple[int, int] = SIMILARITY):
     return np.concatenate(out).view(np.int64)
 
 
-_SHINGLERS: dict[int, Shingler] = {}
-
-
 def shingler(size: int) -> Shingler:
-    if size not in _SHINGLERS:
-        _SHINGLERS[size] = Shingler(size)
-    return _SHINGLERS[size]
+    return worker_state(("jaccard", size), lambda: Shingler(size))
 
 
 def key_of(shingles) -> int:
@@ -168,19 +173,15 @@ def key_of(shingles) -> int:
     return int(_mix(total).view(np.int64)[0])
 
 
-_SIGNED = (None, None)
-
-
 def _sign(columns: list[list], size: int, similarity: tuple[int, int]) -> list:
     """Batches of texts to ``(doc_id, n, key, signatures)``; the signatures of
     a set are given once per task, as far as a bounded memory reaches."""
-    global _SIGNED
     import numpy as np
 
-    task = TaskContext.get().taskAttemptId()
-    if _SIGNED[0] != task:
-        _SIGNED = (task, TwoGenerationCache(lambda key: True, 100_000))
-    seen, find = _SIGNED[1], shingler(size).shingles
+    own, task = shingler(size), TaskContext.get().taskAttemptId()
+    if own.task != task:
+        own.task, own.signed = task, TwoGenerationCache(lambda key: True, 50_000)
+    seen, find = own.signed, own.shingles
     ids, texts = columns
     ns, keys, flat, offsets = [], [], [np.zeros(0, np.int64)], [0]
     for text in texts:

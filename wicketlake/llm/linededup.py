@@ -50,12 +50,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicketlake.llm.common import BROADCAST_IDS, BROADCAST_ROWS, map_batches, small, stream_batches, written
+from wicketlake.llm.common import BROADCAST_IDS, BROADCAST_ROWS, map_batches, small, stream_batches, worker_state, written
 from wicketlake.llm.components import connected_components
 
 MAX_BITS = 3
 #: Bytes of text whose words are hashed at once.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Base of the polynomial word hash and multiplier of a line's word places (odd numbers).
 _BASE, _PLACE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _MASK = (1 << 64) - 1
@@ -167,9 +167,6 @@ class Sketcher:
         return out
 
 
-_SKETCHER = None
-
-
 def _pieces(texts: list[str]) -> Iterator[tuple[int, int, bytes]]:
     """``(row, first line, bytes)``: texts, long ones cut at line ends."""
     for row, text in enumerate(texts):
@@ -187,16 +184,14 @@ def _pieces(texts: list[str]) -> Iterator[tuple[int, int, bytes]]:
 
 def _lines(columns: list[list], min_words: int) -> list:
     """All lines of a batch, in chunks of joined texts."""
-    global _SKETCHER
     import numpy as np
 
-    if _SKETCHER is None:
-        _SKETCHER = Sketcher()
+    sketcher = worker_state("linededup", Sketcher)
     ids, texts = columns
     rows, numbers, keys, sims = [], [], [], []
 
     def flush(held):
-        found, key, sim = _SKETCHER.lines(b"\n".join(d for _, _, d in held), min_words)
+        found, key, sim = sketcher.lines(b"\n".join(d for _, _, d in held), min_words)
         begin = np.cumsum([0] + [d.count(b"\n") + 1 for _, _, d in held])
         piece = np.searchsorted(begin, found, side="right") - 1
         rows.append(np.array([r for r, _, _ in held])[piece])

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicketlake.llm.common import TwoGenerationCache, stream_batches, texts_of
+from wicketlake.llm.common import TwoGenerationCache, stream_batches, texts_of, worker_state
 from wicketlake.llm.tokens import byte_symbols
 
 TIERS = (512, 1024, 2048, 4096)
@@ -83,15 +83,6 @@ class Encoder:
         return b"".join(map(self.word.__getitem__, text.encode().lower().split()))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 class Pool:
     """Pieces waiting to be packed. A piece is ``(doc, start, n)`` of a
     document kept in ``docs``; each tier holds its pieces sorted by length."""
@@ -185,7 +176,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, tiers:
     longest, end = tiers[-1], struct.pack("<I", end_id)
 
     def pack(rows: Iterator[tuple]) -> Iterator[tuple]:
-        encode = encoder(tokenizer_path).ids
+        encode = worker_state(("packing", tokenizer_path), lambda: Encoder(tokenizer_path)).ids
         part = TaskContext.get().partitionId() << 36
         pool, docs, sequence, step, full = Pool(tiers), {}, 0, 0, []
 

@@ -25,7 +25,7 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicketlake.llm.common import TwoGenerationCache, map_batches, texts_of
+from wicketlake.llm.common import TwoGenerationCache, map_batches, texts_of, worker_state
 
 # Fixed value: the byte-level pre-token pattern of the tokenizer family.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -110,18 +110,9 @@ class Counter:
         return self._plain(text)
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
-def counter(path: str) -> Counter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
-    return _COUNTERS[path]
-
-
 def _count(columns: list[list], path: str) -> list[list]:
     ids, sizes, texts = columns
-    count = counter(path).count
+    count = worker_state(("tokens", path), lambda: Counter(path)).count
     return [ids, sizes, [count(t) for t in texts]]
 
 

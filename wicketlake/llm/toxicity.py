@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wicketlake.llm.common import TwoGenerationCache, bound_batches, small, texts_of
+from wicketlake.llm.common import TwoGenerationCache, bound_batches, small, texts_of, worker_state
 
 FOLDS, HELD_OUT, CALIBRATING = 5, 0, 4
 #: Thresholds that calibration chooses from: (slack, gap) in bytes.
@@ -116,9 +116,6 @@ class Windows:
         return [len(codes)] + [sum(n for c, n in seen if c >> k & 1) for k in range(len(THRESHOLDS))]
 
 
-_WINDOWS: dict[int, Windows] = {}
-
-
 @dataclass(frozen=True)
 class Model:
     toxic: bytes
@@ -127,11 +124,7 @@ class Model:
     weights: tuple[float, ...] = ()
 
     def windows(self) -> Windows:
-        key = hash((self.toxic, self.ordinary))
-        if key not in _WINDOWS:
-            _WINDOWS.clear()
-            _WINDOWS[key] = Windows(self.toxic, self.ordinary)
-        return _WINDOWS[key]
+        return worker_state(("toxicity", self.toxic, self.ordinary), lambda: Windows(self.toxic, self.ordinary))
 
     def probability(self, counts: list[int]) -> float:
         import math
