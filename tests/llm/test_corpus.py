@@ -376,3 +376,27 @@ def test_pipeline_stage_by_stage(spark):
         ids = b"".join(r.ids for r in sorted(own, key=lambda r: r.start))
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(steps["decontamination"][k].text, add_special_tokens=False).ids + [2]
     assert cp.run(spark, sf).count() == sum(map(len, pieces.values()))
+
+
+def test_line_rejoin_in_bounded_leaves(spark, monkeypatch):
+    """Lines of the same words in other orders fail their forest edges; their
+    pairs are found in leaves of a bounded size, never in one task."""
+    rng = random.Random(8)
+    base = words(rng, 12)
+    lines = []
+    for _ in range(30):
+        order = rng.sample(base, 12)
+        lines += [order, order[1:2] + order[:1] + order[2:]]  # two places differ: similar
+    rng.shuffle(lines)
+    texts = [" ".join(x) for x in lines]
+    want, _, _ = brute_dedup(texts)
+    most, leaves = [], linededup.leaves
+
+    def counted(members):
+        dealt = leaves(members, leaf_lines=20)
+        most.append(dealt.groupBy("region").count().agg(F.max("count")).first()[0])
+        return dealt
+
+    monkeypatch.setattr(linededup, "leaves", counted)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == want and most and max(most) <= 40 < len(texts)

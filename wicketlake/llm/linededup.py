@@ -18,8 +18,9 @@ by the same principle again.
 Forest edges, and edges from each line to the first line of its SimHash, are
 verified: edit similarity over words, one minus edits by the longer length,
 must reach ``min_similarity``. Where all edges of a candidate component hold,
-it is a group; where some fail, the component's lines are joined anew, line by
-line. Of each connected group one occurrence stays: the first by document id,
+it is a group; where some fail, they are dropped and the component's lines are
+joined anew: lines that share a quarter of the SimHash bits meet in leaves of
+bounded size, and pairs that no edge has joined yet are verified. Of each connected group one occurrence stays: the first by document id,
 then line number. The others are cut out of their documents.
 
 Scale. One pass over the texts gives keys of 30 bytes per line; the texts of
@@ -27,9 +28,10 @@ candidate lines are fetched by a second pass over the documents that hold
 them, and the third pass cuts lines out. A repeated line, however frequent, is
 one row after a partial aggregate. Ids of the documents that hold candidates
 are broadcast up to four million, the line numbers to cut up to a million;
-beyond that the same joins shuffle the texts. Components with failed edges are joined in
-one task each; they hold lines with nearly the same words in another order and
-are small unless a corpus is made of them.
+beyond that the same joins shuffle the texts. Components with failed edges are
+cut into leaves of about a thousand lines or 4 MB, which are tasks of their
+own; lines with the same words in other orders stay quadratic in number, spread
+over pairs of blocks.
 
 Defined results: a null text stays null and a null id drops nothing; an empty
 text stays; documents with equal ids are ordered by text and none of their
@@ -44,7 +46,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,6 +61,10 @@ CHUNK = 1 << 20
 #: Base of the polynomial word hash and multiplier of a line's word places (odd numbers).
 _BASE, _PLACE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _MASK = (1 << 64) - 1
+#: Bytes and number of the lines that are compared with each other in one place.
+LEAF_BYTES, LEAF_LINES = 4 << 20, 1000
+#: Masks of the four quarters of a SimHash, as signed 64-bit numbers.
+QUARTERS = (0xFFFF, 0xFFFF << 16, 0xFFFF << 32, -(1 << 48))
 
 # Non-ASCII characters that separate words; every other one is part of a word.
 _SEPARATORS = "\u00a0«»¡¿·‐‑‒–—―‘’‚“”„•…\u2028\u2029\u3000、。"
@@ -325,11 +331,14 @@ def within_edits(a: list, b: list, limit: int) -> bool:
     return False
 
 
-def similar(a: bytes, b: bytes, share: float) -> bool:
-    x, y = a.split(b" "), b.split(b" ")
+def similar_words(x: list, y: list, share: float) -> bool:
     return within_edits(x, y, int((1 - share) * max(len(x), len(y)) + 1e-9))
 
 
+def similar(a: bytes, b: bytes, share: float) -> bool:
+    return similar_words(a.split(b" "), b.split(b" "), share)
+
+
 def line_groups(docs: DataFrame, min_words: int, min_similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``lines (doc_id, line, line_key, sim)`` of every occurrence, ``keys
     (line_key, n, first)`` of the distinct lines, and ``groups (line_key,
@@ -365,49 +374,73 @@ def line_groups(docs: DataFrame, min_words: int, min_similarity: float) -> tuple
     word = lambda s: texts.select(F.col("line_key").alias(s), F.col("words").alias(f"w{s}"))
     checked = written(map_batches(edges.join(word("a"), "a").join(word("b"), "b").select("a", "b", "wa", "wb"), _verify,
                                   "a bigint, b bigint, holds boolean", min_similarity), "line-links")
-    whole = connected_components(edges, "line-candidates")
-    failed = (checked.filter("not holds").select(F.col("a").alias("node")).join(whole, "node").select("component").distinct())
-    unsure = whole.join(failed, "component", "left_semi")
-    if unsure.isEmpty():
-        return lines, distinct, whole.select(F.col("node").alias("line_key"), F.col("component").alias("group"))
-    # Components with a failed edge: every pair three bits apart at most is verified.
-    members = (unsure.join(texts, unsure["node"] == texts["line_key"]).join(distinct.select("line_key", "sim"), "line_key")
-               .select("component", "line_key", "sim", "words"))
-
-    def rejoin(rows: Iterator[tuple]) -> Iterator[tuple]:
-        key, held = None, []
-        for component, line_key, sim, words in rows:
-            if component != key:
-                yield from _pairs(held, min_similarity)
-                key, held = component, []
-            held.append((line_key, sim & 0xFFFFFFFFFFFFFFFF, words))
-        yield from _pairs(held, min_similarity)
-
-    again = stream_batches(members.repartition("component").sortWithinPartitions("component", "line_key"), rejoin,
-                           "a bigint, b bigint")
-    sure = whole.join(failed, "component", "left_anti").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    links = connected_components(again, "line-rejoined").unionByName(
-        sure.select(F.col("a").alias("node"), F.col("b").alias("component")))
-    return lines, distinct, links.select(F.col("node").alias("line_key"), F.col("component").alias("group"))
-
-
-def _pairs(held: list, share: float) -> Iterator[tuple]:
-    """Forest of verified links among lines of one component."""
+    held = checked.filter("holds").select("a", "b")
+    groups = connected_components(held, "line-held")
+    failed = checked.filter("not holds").select(F.col("a").alias("node"))
+    if not failed.isEmpty():
+        # Candidate components with a failed edge: every pair three bits apart at most that is not joined yet is verified.
+        whole = connected_components(edges, "line-candidates")
+        unsure = whole.join(failed.join(whole, "node").select("component").distinct(), "component", "left_semi")
+        members = (unsure.join(groups.select("node", F.col("component").alias("joined")), "node", "left")
+                   .select(F.col("node").alias("line_key"), "component", F.coalesce("joined", "node").alias("joined"))
+                   .join(distinct.select("line_key", "sim"), "line_key").join(texts, "line_key"))
+        again = written(rejoined(leaves(written(members, "line-unsure")), min_similarity), "line-again")
+        groups = connected_components(held.unionByName(again), "line-rejoined")
+    return lines, distinct, groups.select(F.col("node").alias("line_key"), F.col("component").alias("group"))
+
+
+def leaves(members: DataFrame, leaf_bytes: int = LEAF_BYTES, leaf_lines: int = LEAF_LINES) -> DataFrame:
+    """Places ``(region, part, block, own, line_key, joined, sim, words)`` at
+    which ``members (line_key, component, joined, sim, words)`` meet that are
+    not in one group ``joined`` yet: by each quarter of their SimHashes, and
+    where such a group exceeds a leaf, its lines are cut into blocks and the
+    pairs of blocks are leaves."""
+    quarter = F.element_at(F.array(*[F.lit(m) for m in QUARTERS]), F.col("part") + 1)
+    rows = (members.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("bytes", F.length("words"))
+            .select("line_key", "joined", "sim", "part", "bytes", F.xxhash64("component", "part", F.col("sim").bitwiseAND(quarter)).alias("at")))
+    # Lines of one SimHash meet in the first quarter already.
+    sizes = (rows.groupBy("at", "part").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.min("joined").alias("low"),
+                                            F.max("joined").alias("high"), F.min("sim").alias("s"), F.max("sim").alias("t"))
+             .filter("low <> high and (part = 0 or s <> t)")
+             .select("at", F.greatest(F.lit(1), F.ceil(F.col("bytes") * 2 / leaf_bytes), F.ceil(F.col("n") * 2 / leaf_lines)).cast("int").alias("parts")))
+    blocks = (rows.join(sizes, "at").withColumn("block", F.pmod(F.xxhash64("line_key", F.lit(7)), F.col("parts")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+              .withColumn("region", F.xxhash64("at", F.least("block", "other"), F.greatest("block", "other")))
+              .select("line_key", "region", "part", "block", (F.col("block") == F.col("other")).alias("own"), "joined", "sim"))
+    return blocks.join(members.select("line_key", "words"), "line_key").select(
+        "region", "part", "block", "own", "line_key", "joined", "sim", "words")
+
+
+def rejoined(dealt: DataFrame, min_similarity: float) -> DataFrame:
+    """Verified links ``(a, b)`` that join the groups of every leaf."""
+    def pairs(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for _, leaf in groupby(rows, lambda r: r[:1]):
+            yield from _pairs(list(leaf), min_similarity)
+
+    return stream_batches(dealt.repartition("region").sortWithinPartitions("region", "line_key"), pairs, "a bigint, b bigint")
+
+
+def _pairs(leaf: list, share: float) -> Iterator[tuple]:
+    """Verified links that join the groups of a leaf, from rows ``(region,
+    part, block, own, line_key, joined, sim, words)``. In a leaf of two blocks
+    only lines of different blocks are compared."""
     import numpy as np
 
-    sims = np.array([s for _, s, _ in held], dtype=np.uint64)
-    left = np.arange(len(held))
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            u = queue.pop()
-            near = left[np.bitwise_count(sims[left] ^ sims[u]) <= MAX_BITS]
-            found = [v for v in near if similar(held[u][2], held[v][2], share)]
-            for v in found:
-                yield held[u][0], held[v][0]
-            if found:
-                queue += found
-                left = np.setdiff1d(left, found, assume_unique=True)
+    part, own = leaf[0][1], leaf[0][3]
+    sims = np.array([r[6] for r in leaf], dtype=np.int64).view(np.uint64)
+    block, joined = np.array([r[2] for r in leaf]), np.array([r[5] for r in leaf], dtype=np.int64)
+    words = [r[7].split(b" ") for r in leaf]
+    for u in range(len(leaf) - 1):
+        bits = sims[u + 1:] ^ sims[u]
+        near = (np.bitwise_count(bits) <= MAX_BITS) & (joined[u + 1:] != joined[u])
+        for earlier in QUARTERS[:part]:  # pairs that meet in an earlier quarter are compared there
+            near &= (bits & np.uint64(earlier & _MASK)) != 0
+        if not own:
+            near &= block[u + 1:] != block[u]
+        for v in np.flatnonzero(near) + u + 1:
+            if joined[v] != joined[u] and similar_words(words[u], words[v], share):
+                yield leaf[u][4], leaf[v][4]
+                joined[joined == joined[v]] = joined[u]
 
 
 def _fetch(columns: list[list]) -> list[list]:
