@@ -400,3 +400,28 @@ def test_line_rejoin_in_bounded_leaves(spark, monkeypatch):
     monkeypatch.setattr(linededup, "leaves", counted)
     got = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, texts)).collect()}
     assert [got[k] for k in range(len(texts))] == want and most and max(most) <= 40 < len(texts)
+
+
+def test_wide_line_dedup_by_edit_similarity_alone(spark):
+    """No bound on the bits: of pairs at an edit similarity of 0.8 and more,
+    wide candidates miss next to none, and dedup joins what brute force does."""
+    rng = random.Random(9)
+    lines = []
+    for n in (5, 5, 6, 8, 9, 10, 12, 20, 35, 60, 100):
+        base = words(rng, n)
+        lines += [base, *[mutated(rng, base, k) for k in {1, n // 10, n // 5} if k], base + ["tail"], base[1:] if n > 5 else base]
+    rng.shuffle(lines)
+    texts = [" ".join(x) for x in lines]
+    pairs = [(a, b) for a, b in combinations(range(len(lines)), 2)
+             if edit_distance(lines[a], lines[b]) <= 0.2 * max(len(lines[a]), len(lines[b])) + 1e-9]
+    far = [p for p in pairs if (simhash([w.encode() for w in lines[p[0]]]) ^ simhash([w.encode() for w in lines[p[1]]])).bit_count() > 3]
+    assert len(far) > len(pairs) / 2
+    group = components(len(lines), pairs)
+    kept = {k for k in range(len(lines)) if group[k] == k}
+    for leaf in (linededup.RUN_GROUP, 4):
+        linededup.run_forest.__defaults__, usual = (leaf,), linededup.run_forest.__defaults__
+        try:
+            got = {r.doc_id for r in linededup.dedup_lines(frame(spark, texts), wide=True).collect() if r.text}
+        finally:
+            linededup.run_forest.__defaults__ = usual
+        assert got == kept

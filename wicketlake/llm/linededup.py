@@ -15,6 +15,16 @@ are the same for every ``b``. Inside a group a search over the unvisited
 SimHashes emits a spanning forest, never all pairs; a very large group is cut
 by the same principle again.
 
+Few pairs at an edit similarity of 0.8 are so near in bits (about 13 bits are
+expected to differ). With ``wide``, lines therefore also meet at places: a line
+of 8 words and more at the runs of three words that follow its 12 anchors, the
+words of least hash under 12 hashes (two lines with a fifth of the words
+changed have a given run in common with a chance of about 0.43), a line of up
+to 9 words at what is left when any one word is taken out (exact, as one edit
+is allowed there). SimHashes that share a run and differ in at most 24 bits are
+candidates, searched group by group; groups of more than 20,000 are cut into
+blocks and searched by pairs of blocks.
+
 Forest edges, and edges from each line to the first line of its SimHash, are
 verified: edit similarity over words, one minus edits by the longer length,
 must reach ``min_similarity``. Where all edges of a candidate component hold,
@@ -61,6 +71,11 @@ CHUNK = 1 << 20
 #: Base of the polynomial word hash and multiplier of a line's word places (odd numbers).
 _BASE, _PLACE = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _MASK = (1 << 64) - 1
+#: Words of a run, anchors of a line, most bits apart of lines that share a run, and from which number of words lines
+#: have runs and up to which they have deletions (at most one edit is allowed there).
+RUN, ANCHORS, RUN_BITS, RUN_FROM, DELETE_TO = 3, 12, 24, 8, 9
+#: SimHashes that share a run and are compared in one place.
+RUN_GROUP = 20_000
 #: Bytes and number of the lines that are compared with each other in one place.
 LEAF_BYTES, LEAF_LINES = 4 << 20, 1000
 #: Masks of the four quarters of a SimHash, as signed 64-bit numbers.
@@ -119,8 +134,10 @@ class Sketcher:
             have = self.powers[base] = np.cumprod(steps)
         return have[:n]
 
-    def lines(self, data: bytes, min_words: int):
-        """``(number, key, simhash)`` arrays of the lines with enough words."""
+    def lines(self, data: bytes, min_words: int, wide: bool = False):
+        """``(number, key, simhash)`` arrays of the lines with enough words;
+        with ``wide`` also the places at which they meet, as ``(line, place)``
+        arrays sorted by line."""
         import numpy as np
 
         text = np.frombuffer(data, dtype=np.uint8)
@@ -132,7 +149,7 @@ class Sketcher:
         numbers = np.flatnonzero(counts >= min_words)
         empty = np.zeros(0, dtype=np.int64)
         if not len(numbers):
-            return empty, empty, empty
+            return (empty, empty, empty, (empty, empty)) if wide else (empty, empty, empty)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(text * self._powers(_BASE, len(text)))])
         wanted = counts[line] >= min_words
         starts, ends = starts[wanted], ends[wanted]
@@ -142,14 +159,50 @@ class Sketcher:
         n = counts[numbers]
         first = np.concatenate([[0], np.cumsum(n)[:-1]])
         place = np.arange(len(words)) - np.repeat(first, n)
-        keys = _mixed(np.add.reduceat(words * self._powers(_PLACE, int(n.max()))[place], first) + n.astype(np.uint64))
+        terms = words * self._powers(_PLACE, int(n.max()))[place]
+        keys = _mixed(np.add.reduceat(terms, first) + n.astype(np.uint64))
 
         # Distinct words of each line: sorted by line and 40 bits of the hash.
         ranked = np.sort(np.repeat(np.arange(len(numbers), dtype=np.uint64), n) << np.uint64(40) | words >> np.uint64(24))
         ranked = ranked[np.concatenate([[True], ranked[1:] != ranked[:-1]])]
         sizes = np.bincount((ranked >> np.uint64(40)).astype(np.int64), minlength=len(numbers))
         votes = _mixed((ranked & np.uint64((1 << 40) - 1)) + np.uint64(_BASE))
-        return numbers, keys.view(np.int64), self._vote(votes, sizes)
+        found = numbers, keys.view(np.int64), self._vote(votes, sizes)
+        return (*found, self._meeting_places(words, terms, first, n)) if wide else found
+
+    def _meeting_places(self, words, terms, first, n):
+        """Long lines meet by runs of words after their anchors, the words of
+        least hash under several hashes; short ones by what is left when a word
+        is taken out. The lowest bit of a place is set for the latter."""
+        import numpy as np
+
+        at = np.arange(len(words)) + 1
+        at[first + n - 1] = first  # the first word follows the last one
+        run, follower = words.copy(), at
+        for k in range(1, RUN):
+            run += words[follower] * np.uint64(pow(_BASE, k, 1 << 64))
+            follower = at[follower]
+        run = _mixed(run) & ~np.uint64(1)
+        chosen = np.empty((len(n), ANCHORS), dtype=np.uint64)
+        for k in range(ANCHORS):
+            ranked = words * np.uint64(pow(_PLACE, 2 * k + 1, 1 << 64))
+            least = np.repeat(np.minimum.reduceat(ranked, first), n)
+            chosen[:, k] = np.minimum.reduceat(np.where(ranked == least, run, np.uint64(_MASK)), first)
+        chosen.sort(axis=1)
+        fresh = np.concatenate([np.ones((len(n), 1), bool), chosen[:, 1:] != chosen[:, :-1]], axis=1) & (n >= RUN_FROM)[:, None]
+        line, _ = np.nonzero(fresh)
+
+        short = np.flatnonzero(n <= DELETE_TO)
+        of = np.repeat(np.arange(len(n)), n)
+        word = np.flatnonzero((n <= DELETE_TO)[of])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
+        begin, end = first[of[word]], (first + n)[of[word]]
+        rest = (sums[word] - sums[begin]) + (sums[end] - sums[word + 1]) * np.uint64(pow(_PLACE, -1, 1 << 64))
+        whole = sums[(first + n)[short]] - sums[first[short]]
+        left = _mixed(np.concatenate([rest + (n[of[word]] - 1).astype(np.uint64), whole + n[short].astype(np.uint64)]) ^ np.uint64(_BASE))
+        lines = np.concatenate([line, of[word], short])
+        order = np.argsort(lines, kind="stable")
+        return lines[order], np.concatenate([chosen[fresh], left | np.uint64(1)])[order].view(np.int64)
 
     def _vote(self, votes, sizes):
         """SimHashes of groups of so many votes each."""
@@ -188,16 +241,19 @@ def _pieces(texts: list[str]) -> Iterator[tuple[int, int, bytes]]:
         yield row, line, data
 
 
-def _lines(columns: list[list], min_words: int) -> list:
+def _lines(columns: list[list], min_words: int, wide: bool = False) -> list:
     """All lines of a batch, in chunks of joined texts."""
     import numpy as np
 
     sketcher = worker_state("linededup", Sketcher)
     ids, texts = columns
-    rows, numbers, keys, sims = [], [], [], []
+    rows, numbers, keys, sims, places, counts = [], [], [], [], [], []
 
     def flush(held):
-        found, key, sim = sketcher.lines(b"\n".join(d for _, _, d in held), min_words)
+        found, key, sim, *meets = sketcher.lines(b"\n".join(d for _, _, d in held), min_words, wide)
+        for line, place in meets:
+            counts.append(np.bincount(line, minlength=len(found)))
+            places.append(place)
         begin = np.cumsum([0] + [d.count(b"\n") + 1 for _, _, d in held])
         piece = np.searchsorted(begin, found, side="right") - 1
         rows.append(np.array([r for r, _, _ in held])[piece])
@@ -213,8 +269,12 @@ def _lines(columns: list[list], min_words: int) -> list:
         held.append(piece)
         size += len(piece[2])
     flush(held)
-    return [pa.array(ids).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(numbers)),
-            pa.array(np.concatenate(keys)), pa.array(np.concatenate(sims))]
+    out = [pa.array(ids).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(numbers)),
+           pa.array(np.concatenate(keys)), pa.array(np.concatenate(sims))]
+    if wide:
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(places), pa.int64())))
+    return out
 
 
 def block_masks(distinct: int) -> list[int]:
@@ -248,7 +308,7 @@ def near_forest(sims) -> list[tuple[int, int]]:
     return edges
 
 
-def _search(sims) -> list[tuple[int, int]]:
+def _search(sims, bits: int = MAX_BITS) -> list[tuple[int, int]]:
     import numpy as np
 
     edges, left = [], sims
@@ -256,7 +316,7 @@ def _search(sims) -> list[tuple[int, int]]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             u = queue.pop()
-            near = np.bitwise_count(left ^ u) <= MAX_BITS
+            near = np.bitwise_count(left ^ u) <= bits
             if near.any():
                 found = left[near]
                 edges += [(int(u), int(v)) for v in found]
@@ -300,6 +360,65 @@ def _block_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from edges(held_k, held_s)
 
 
+def _run_edges(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    """Forest edges ``(a, b)`` of the SimHashes at each place, from ``(at,
+    sim)`` sorted by both. A group of more than ``most`` is given back as rows
+    ``(sim, null, at)``."""
+    import numpy as np
+
+    def edges(places, sims):
+        cuts = np.flatnonzero(np.diff(places)) + 1
+        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(places)]])
+        found = []
+        for k in np.flatnonzero(ends - starts > 1):
+            own = np.unique(sims[starts[k]:ends[k]])
+            if most and len(own) > most:
+                yield batch(own, None, np.full(len(own), places[starts[k]]))
+            elif len(own) > 1:
+                found += _search(own, 64 if places[starts[k]] & 1 else RUN_BITS)
+        if found:
+            yield batch(*(np.array(x, dtype=np.uint64) for x in zip(*found)), None)
+
+    def batch(a, b, at):
+        null = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), null if b is None else pa.array(b.view(np.int64)),
+                                           null if at is None else pa.array(at)], names=["a", "b", "at"])
+
+    held_p, held_s = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    for rows in batches:
+        places, sims = (c.to_numpy() for c in rows.columns)
+        places, sims = np.concatenate([held_p, places]), np.concatenate([held_s, sims.view(np.uint64)])
+        if not len(places):
+            continue
+        last = int(np.searchsorted(places, places[-1]))  # it may go on in the next batch
+        if last:
+            yield from edges(places[:last], sims[:last])
+        held_s = np.unique(sims[last:])
+        held_p = np.full(len(held_s), places[-1])
+    if len(held_p):
+        yield from edges(held_p, held_s)
+
+
+def run_forest(meets: DataFrame, group: int = RUN_GROUP) -> DataFrame:
+    """Edges ``(a, b)`` that span, at each place of ``meets (at, sim)``, the
+    components of SimHashes at most ``RUN_BITS`` apart. Groups of more than
+    ``group`` are cut into blocks, and each pair of blocks is searched."""
+    def searched(df, most):
+        dealt = df.repartition("at").sortWithinPartitions("at", "sim")
+        return dealt.mapInArrow(lambda batches: _run_edges(batches, most), "a bigint, b bigint, at bigint")
+
+    found = written(searched(meets, group), "line-runs")
+    edges, heavy = found.filter("b is not null").select("a", "b"), found.filter("b is null").select("at", F.col("a").alias("sim"))
+    if heavy.isEmpty():
+        return edges
+    parts = heavy.groupBy("at").agg(F.ceil(F.count("*") * 2 / group).cast("int").alias("parts"))
+    cut = (heavy.join(parts, "at").withColumn("block", F.pmod(F.xxhash64("sim", F.lit(7)), F.col("parts")).cast("int"))
+           .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+    # The lowest bit says which bound holds at a place.
+    region = F.xxhash64("at", F.least("block", "other"), F.greatest("block", "other")).bitwiseAND(F.lit(-2)).bitwiseOR(F.col("at").bitwiseAND(F.lit(1)))
+    return edges.unionByName(searched(cut.select(region.alias("at"), "sim"), None).select("a", "b"))
+
+
 def within_edits(a: list, b: list, limit: int) -> bool:
     """Whether at most ``limit`` insertions, deletions and substitutions turn
     one list into the other: furthest reach per diagonal after the common
@@ -339,15 +458,17 @@ def similar(a: bytes, b: bytes, share: float) -> bool:
     return similar_words(a.split(b" "), b.split(b" "), share)
 
 
-def line_groups(docs: DataFrame, min_words: int, min_similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def line_groups(docs: DataFrame, min_words: int, min_similarity: float, wide: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``lines (doc_id, line, line_key, sim)`` of every occurrence, ``keys
     (line_key, n, first)`` of the distinct lines, and ``groups (line_key,
     group)`` of the keys that are in a group of two keys or more."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    lines = written(map_batches(docs.select("doc_id", "text"), _lines, f"doc_id {kind}, line bigint, line_key bigint, sim bigint", min_words), "lines")
+    lines = written(map_batches(docs.select("doc_id", "text"), _lines, f"doc_id {kind}, line bigint, line_key bigint, sim bigint"
+                                + ", places array<bigint>" * wide, min_words, wide), "lines")
     distinct = written(lines.groupBy("line_key").agg(F.min("sim").alias("sim"), F.count("*").alias("n"),
-                                                     F.min(F.struct("doc_id", "line")).alias("first")), "line-keys")
+                                                     F.min(F.struct("doc_id", "line")).alias("first"),
+                                                     *[F.first("places").alias("places")] * wide), "line-keys")
     reps = written(distinct.groupBy("sim").agg(F.min("line_key").alias("rep")), "line-sims")
 
     # Candidate forest over the SimHashes, then over the lines.
@@ -358,7 +479,10 @@ def line_groups(docs: DataFrame, min_words: int, min_similarity: float) -> tuple
     chosen = reps.select(F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("choice"), "sim")
     blocks = (chosen.repartition("choice", block).select("choice", block.alias("block"), "sim")
               .sortWithinPartitions("choice", "block"))
-    near = blocks.mapInArrow(_block_edges, "a bigint, b bigint").distinct()
+    near = blocks.mapInArrow(_block_edges, "a bigint, b bigint")
+    if wide:
+        near = near.unionByName(run_forest(distinct.select(F.explode("places").alias("at"), "sim")))
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rep = lambda s: reps.select(F.col("sim").alias(s), F.col("rep").alias(f"r{s}"))
     across = near.join(rep("a"), "a").join(rep("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     inside = distinct.join(reps, "sim").filter("line_key <> rep").select(F.col("line_key").alias("a"), F.col("rep").alias("b"))
@@ -383,7 +507,7 @@ def line_groups(docs: DataFrame, min_words: int, min_similarity: float) -> tuple
         unsure = whole.join(failed.join(whole, "node").select("component").distinct(), "component", "left_semi")
         members = (unsure.join(groups.select("node", F.col("component").alias("joined")), "node", "left")
                    .select(F.col("node").alias("line_key"), "component", F.coalesce("joined", "node").alias("joined"))
-                   .join(distinct.select("line_key", "sim"), "line_key").join(texts, "line_key"))
+                   .join(distinct.select("line_key", "sim", *["places"] * wide), "line_key").join(texts, "line_key"))
         again = written(rejoined(leaves(written(members, "line-unsure")), min_similarity), "line-again")
         groups = connected_components(held.unionByName(again), "line-rejoined")
     return lines, distinct, groups.select(F.col("node").alias("line_key"), F.col("component").alias("group"))
@@ -392,12 +516,17 @@ def line_groups(docs: DataFrame, min_words: int, min_similarity: float) -> tuple
 def leaves(members: DataFrame, leaf_bytes: int = LEAF_BYTES, leaf_lines: int = LEAF_LINES) -> DataFrame:
     """Places ``(region, part, block, own, line_key, joined, sim, words)`` at
     which ``members (line_key, component, joined, sim, words)`` meet that are
-    not in one group ``joined`` yet: by each quarter of their SimHashes, and
-    where such a group exceeds a leaf, its lines are cut into blocks and the
+    not in one group ``joined`` yet: by each quarter of their SimHashes, by
+    ``places`` (parts 4 and 5) if there is such a column, and where such a group exceeds a leaf, its lines are cut into blocks and the
     pairs of blocks are leaves."""
     quarter = F.element_at(F.array(*[F.lit(m) for m in QUARTERS]), F.col("part") + 1)
-    rows = (members.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("bytes", F.length("words"))
+    bare = members.withColumn("bytes", F.length("words"))
+    rows = (bare.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(3))))
             .select("line_key", "joined", "sim", "part", "bytes", F.xxhash64("component", "part", F.col("sim").bitwiseAND(quarter)).alias("at")))
+    if "places" in members.columns:
+        placed = bare.withColumn("place", F.explode("places"))
+        rows = rows.unionByName(placed.select("line_key", "joined", "sim", (F.col("place").bitwiseAND(F.lit(1)) + 4).cast("int").alias("part"),
+                                              "bytes", F.xxhash64("component", F.lit(4), "place").alias("at")))
     # Lines of one SimHash meet in the first quarter already.
     sizes = (rows.groupBy("at", "part").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.min("joined").alias("low"),
                                             F.max("joined").alias("high"), F.min("sim").alias("s"), F.max("sim").alias("t"))
@@ -432,8 +561,10 @@ def _pairs(leaf: list, share: float) -> Iterator[tuple]:
     words = [r[7].split(b" ") for r in leaf]
     for u in range(len(leaf) - 1):
         bits = sims[u + 1:] ^ sims[u]
-        near = (np.bitwise_count(bits) <= MAX_BITS) & (joined[u + 1:] != joined[u])
-        for earlier in QUARTERS[:part]:  # pairs that meet in an earlier quarter are compared there
+        apart = np.bitwise_count(bits)
+        near = joined[u + 1:] != joined[u]
+        near &= apart <= MAX_BITS if part < 4 else (apart > MAX_BITS) & (apart <= (RUN_BITS if part == 4 else 64))
+        for earlier in QUARTERS[:part] if part < 4 else ():  # pairs that meet in an earlier quarter are compared there
             near &= (bits & np.uint64(earlier & _MASK)) != 0
         if not own:
             near &= block[u + 1:] != block[u]
@@ -459,10 +590,10 @@ def _verify(columns: list[list], share: float) -> list[list]:
     return [a, b, [similar(x, y, share) for x, y in zip(wa, wb)]]
 
 
-def dropped_lines(docs: DataFrame, min_words: int = 5, min_similarity: float = 0.8) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_words: int = 5, min_similarity: float = 0.8, wide: bool = False) -> DataFrame:
     """``(doc_id, dropped)``: the line numbers to cut, for the documents that
     lose any. ``docs`` is ``(doc_id, text)`` without nulls."""
-    lines, keys, groups = line_groups(docs, min_words, min_similarity)
+    lines, keys, groups = line_groups(docs, min_words, min_similarity, wide)
     # Of keys that are repeated or grouped, the first occurrence of each group stays.
     grouped = keys.join(groups, "line_key", "left").withColumn("group", F.coalesce("group", "line_key"))
     kept = grouped.groupBy("group").agg(F.sum("n").alias("n"), F.min("first").alias("kept")).filter("n > 1")
@@ -493,9 +624,11 @@ def cut_lines(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5, min_similarity: float = 0.8, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
+                text_col: str = "text", wide: bool = False) -> DataFrame:
     """Every document with its near-duplicate lines cut out, all columns as
-    they came, and the struct of ``cut_lines`` at the end."""
+    they came, and the struct of ``cut_lines`` at the end. Links are pairs of
+    SimHashes three bits apart; ``wide`` finds those of the edit similarity
+    alone."""
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    dropped = dropped_lines(own.filter("doc_id is not null and text is not null"), min_words, min_similarity)
+    dropped = dropped_lines(own.filter("doc_id is not null and text is not null"), min_words, min_similarity, wide)
     return cut_lines(docs, dropped, id_col, text_col)

@@ -37,7 +37,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.dedup_lines(docs).select("doc_id", "text", "cut.n_lines", "cut.n_dropped")
+    return linededup.dedup_lines(docs, wide=True).select("doc_id", "text", "cut.n_lines", "cut.n_dropped")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
