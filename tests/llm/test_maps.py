@@ -1,6 +1,7 @@
 """Operators 1, 2, 3, 6, 8, 10 against brute force, round trips and planted cases."""
 
 import hashlib
+import os
 import re
 import struct
 import zlib
@@ -127,6 +128,34 @@ def test_chat_detects_rewriting_templates(spark):
     assert [r.rewrites for r in got] == [False, True]
 
 
+def test_chat_templates_see_their_whole_conversation(spark):
+    def no_old_thoughts(turns):  # a counter, and history before the last user turn is rewritten
+        asked = max((k for k, (r, _) in enumerate(turns) if r == "user"), default=-1)
+        return "".join(f"[{k} {r}]{t.split('#')[-1] if r == 'assistant' and k < asked else t}." for k, (r, t) in enumerate(turns))
+
+    def alternating(turns):
+        assert all(r == ("assistant" if k % 2 else "user") for k, (r, _) in enumerate(turns))
+        return "".join(f"[{k}]{r}:{t};" for k, (r, t) in enumerate(turns))
+
+    # Few user turns: the first assistant turns are far from the user turn that rewrites them.
+    few = [("user" if k in (0, 69) else "assistant", f"thought#t{k}") for k in range(70)]
+    turns = [("assistant" if k % 2 else "user", f"t{k}") for k in range(70)]
+    for template, said in ((no_old_thoughts, few), (alternating, turns)):
+        rows = [(c, k + 20 * c, r, t) for c in (0, 1) for k, (r, t) in enumerate(said)]
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        got = {}
+        for r in chat.format_turns(df, template).orderBy("conv_id", "block", "pos").collect():
+            got.setdefault(r.conv_id, []).append(r)
+        for own in got.values():
+            before = ""
+            for k, r in enumerate(own):
+                after = template(said[:k + 1])
+                assert r.rewrites == (not after.startswith(before))
+                assert r.piece == after[len(os.path.commonprefix([before, after])):] and r.pos == k
+                before = after
+            assert len(own) == 70
+
+
 def test_chat_oracle(spark):
     got = registered.op2_chat(spark, SF).toPandas().sort_values("conv_id").reset_index(drop=True)
     con = duckdb.connect()

@@ -14,11 +14,15 @@ rendered with its text and with an empty text, and the common prefix and
 suffix of the two outputs bound the text (what the template does to a text,
 such as escaping, is kept).
 
-Scale. A conversation is cut into blocks of ``block_turns`` turns by turn
-number, and each block is rendered with the last turn before it as context, so
-one conversation of any length spreads over many tasks and no prefix grows
-beyond a block. Conversations within one block, the usual case, are rendered
-whole. Offsets across blocks come from a prefix sum over one row per block.
+Scale. A template is rendered over the whole prefix of its conversation, in
+one task for each conversation, unless it is declared (``turn_local``) that
+what it makes of a turn depends on that turn and at most the one before it.
+A conversation of a turn-local template is cut into blocks of ``block_turns``
+turns by turn number, and each block is rendered with the last turn before it
+as context, so one conversation of any length spreads over many tasks and no
+prefix grows beyond a block. Without the declaration a conversation's prefix
+is held in its task, and rendering it takes time quadratic in its length.
+Offsets across blocks come from a prefix sum over one row per block.
 The digests of a conversation are SHA-256 streams over its turns in order, so
 that step alone reads a conversation in one task, row by row, holding one turn.
 
@@ -66,6 +70,14 @@ def _unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m.group(1) == "n" else m.group(1), unescape(role))
 
 
+def turn_local(template: Callable) -> Callable:
+    """Declares that the rendering of a turn depends on it and the turn before
+    at most, and that any turn may come first."""
+    template.turn_local = True
+    return template
+
+
+@turn_local
 def marked_template(turns: list[tuple[str, str]]) -> str:
     """The default template: each turn between markers, its role on the first
     line, control strings escaped."""
@@ -101,12 +113,14 @@ def format_turns(conversations: DataFrame, template: Callable = marked_template,
     conversation is the concatenation of its pieces; ``text_start`` and
     ``text_end`` are code points inside the piece, under the loss mask where
     ``loss`` is true; ``rewrites`` marks turns at which the template changed
-    what it had rendered before."""
+    what it had rendered before. ``block`` is 0 unless the template is
+    ``turn_local``."""
     name = lambda c: F.col(f"`{c}`")
     turns = conversations.select(
         name(conv_col).alias("conv_id"), name(turn_col).alias("turn"), F.coalesce(name(role_col), F.lit("")).alias("role"),
         F.coalesce(name(text_col), F.lit("")).alias("text")
-    ).withColumn("block", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-(2**62))).cast("long"))
+    ).withColumn("block", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-(2**62))).cast("long")
+                if getattr(template, "turn_local", False) else F.lit(0).cast("long"))
     # The last turn of each block is the context of the next block there is.
     last = (turns.groupBy("conv_id", "block").agg(F.max(F.struct("turn", "role", "text")).alias("ctx"))
             .withColumn("block", F.lead("block").over(Window.partitionBy("conv_id").orderBy("block")))
