@@ -164,6 +164,19 @@ def test_chat_oracle(spark):
     assert got[want.columns].equals(want)
 
 
+def test_pii_anchors_that_expand_to_the_right():
+    anchors = pii.automaton()
+    for text, kind, want in (
+            ("call tel:0301234567 now", "url", ["tel:0301234567"]), ("tel:+49-30-123456.", "url", ["tel:+49-30-123456"]),
+            ("hotel:0301234567 tel:12", "url", []), ("mailto:a.b@c.de?x", "url", ["mailto:a.b@c.de"]),
+            ("au 12 rue de la Paix, Paris", "address", ["12 rue de la Paix"]), ("12, Rue Victor Hugo", "address", ["12, Rue Victor Hugo"]),
+            ("Calle Mayor 5 y", "address", ["Calle Mayor 5"]), ("la calle 5 true Paix 7", "address", []), ("dans la rue de la Paix", "address", []),
+            ("Hauptstraße 12.", "address", ["Hauptstraße 12"]), ("Lange Straße 3a und", "address", ["Lange Straße 3a"]),
+            ("HAUPTSTRASSE 12, Karl-Marx-Strasse 7", "address", ["HAUPTSTRASSE 12", "Karl-Marx-Strasse 7"]),
+            ("eine Straße ohne", "address", []), ("5 Old Mill Road", "address", ["5 Old Mill Road"])):
+        assert [text[a:b] for a, b in pii.expand(text, anchors).get(kind, [])] == want, text
+
+
 # Operator 3 -----------------------------------------------------------------
 
 def test_url_rules(spark):

@@ -8,8 +8,10 @@ Luhn, IBAN checksum).
 
 Kinds and order: email, ip, card, phone (the base kinds: leftmost,
 non-overlapping per kind, failing matches dropped without retries), then the
-added kinds ``url`` (scheme, host with a dot), ``address`` (house number,
-capitalised words, street word) and ``account`` (identifier after a cue: a
+added kinds ``url`` (scheme, host with a dot; ``mailto:`` and an address;
+``tel:`` and 5 to 15 digits), ``address`` (house number, words, street word;
+``rue`` or ``calle``, a capitalised name and a number before or after; a name
+ending in or followed by ``straße``, and a number) and ``account`` (identifier after a cue: a
 checked IBAN, a long token, or a number of 6 and more digits).
 
 Defined results: a null text is empty, and an empty text has no spans; a null
@@ -45,6 +47,31 @@ _URL_TAIL = re.compile(r"(?:[^\s/?#@<>\"']*@)?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(
 _IDENT = re.compile(r"[\x20:=#\"'.]{1,6}([A-Za-z0-9][A-Za-z0-9_-]{5,63})(?![A-Za-z0-9_-])")
 _IBAN = re.compile(r"[\x20:=#\"'.]{1,6}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 _BEFORE_STREET = re.compile(r"(?<![\w.+-])[0-9]{1,5}[A-Za-z]?,?(?:\x20[^\W\d_][\w'’-]{0,30}){1,3}\x20\Z")
+# Forms whose cue does not end them: what stands before and after the cue.
+_NAME = r"[^\W\d_a-zß-öø-ÿ][\w'’-]{0,30}"
+_AFTER_RUE = re.compile(r"(?:\x20(?:d[eu]|des|del|la|le|les|las|los|el))*\x20(?:[dlDL]['’])?" + _NAME + r"(?:\x20" + _NAME + r"){0,2}")
+_NUMBER_AFTER = re.compile(r",?\x20(?:n[º°]\x20?)?[0-9]{1,5}[A-Za-z]?(?!\w)")
+_NUMBER_BEFORE = re.compile(r"(?<![\w.+-])[0-9]{1,5}(?:[A-Za-z]|\x20(?:bis|ter))?,?\x20\Z")
+_BEFORE_STRASSE = re.compile(r"(?<![\w-])(?:" + _NAME + r"\x20|[^\W\d_][^\W\d_-]{0,40}(?:-[^\W\d_-]{1,40}){0,3}-?)?\Z")
+_MAILTO = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_TEL = re.compile(r"[+(]?[0-9](?:[().-]{0,2}[0-9]){4,14}(?![0-9])")
+
+
+def _street(text: str, at: int, end: int, low: int) -> tuple[int, int] | None:
+    """The address around a cue at ``at`` to ``end``, from ``low`` on at the
+    earliest, where the number or the name follows the cue."""
+    cue = text[at:end].lower()
+    if cue in ("rue", "calle"):
+        name = None if text[at - 1:at].isalnum() else _AFTER_RUE.match(text, end)
+        if name:
+            before, after = _NUMBER_BEFORE.search(text[low:at]), _NUMBER_AFTER.match(text, name.end())
+            if before or after:
+                return low + before.start() if before else at, after.end() if after and not before else name.end()
+    elif cue in ("straße", "strasse"):
+        number, before = _NUMBER_AFTER.match(text, end), _BEFORE_STRASSE.search(text[low:at])
+        if number and before:
+            return low + before.start(), number.end()
+    return None
 
 
 def _luhn(digits: str) -> bool:
@@ -137,6 +164,10 @@ def expand(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
                 m = _URL_TAIL.match(text, last + 1)
                 if m and start < at:
                     add("url", start, m.end())
+            elif size > 3 and at >= done["url"] and not text[at - 1:at].isalnum():
+                m = (_TEL if size == 4 else _MAILTO).match(text, last + 1)
+                if m:
+                    add("url", at, m.end())
         elif group == "c":
             if at >= done["account"] and not text[at - 1:at].isalnum():
                 m = _IBAN.match(text, last + 1)
@@ -149,8 +180,9 @@ def expand(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
         elif not text[last + 1:last + 2].isalnum():
             low = max(done["address"], at - 110)
             m = _BEFORE_STREET.search(text[low:at])
-            if m:
-                add("address", low + m.start(), last + 1)
+            found = (low + m.start(), last + 1) if m else at >= done["address"] and _street(text, at, last + 1, low)
+            if found:
+                add("address", *found)
     return spans
 
 
