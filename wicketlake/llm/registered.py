@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wicketlake.llm import chat, decontaminate, fingerprints, jaccard, linededup, packing, pii, tokens, toxicity, urls
+from wicketlake.llm import audit, chat, decontaminate, fingerprints, jaccard, linededup, packing, pii, resample, tokens, toxicity, urls
 from wicketlake.llm.common import table
 
 
@@ -60,6 +60,14 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(spark, f"{sf_dir.rstrip('/')}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,9 +75,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (op1_pii, op2_chat, op3_urls, op4_toxicity, op5_linededup, op6_packing, op7_decontaminate, op8_fingerprints,
-            op9_jaccard, op10_tokens, pipeline)
+            op9_jaccard, op10_tokens, op11_resample, op12_audit, pipeline)
 _ORACLES = {"op2_chat": chat.ORACLE, "op3_urls": urls.ORACLE, "op7_decontaminate": decontaminate.ORACLE,
-            "op9_jaccard": jaccard.ORACLE}
+            "op9_jaccard": jaccard.ORACLE, "op11_resample": resample.ORACLE, "op12_audit": audit.ORACLE}
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
