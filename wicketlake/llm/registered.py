@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wicketlake.llm import audit, chat, decontaminate, fingerprints, jaccard, linededup, packing, pii, resample, tokens, toxicity, urls
+from wicketlake.llm import audit, chat, decontaminate, fingerprints, jaccard, linededup, packing, pii, resample, tokens, toxicity, urls, warc
 from wicketlake.llm.common import table
 
 
@@ -68,6 +68,10 @@ def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_filters(spark, f"{sf_dir.rstrip('/')}/documents.parquet", table(spark, sf_dir, "labels"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_digest(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,9 +79,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (op1_pii, op2_chat, op3_urls, op4_toxicity, op5_linededup, op6_packing, op7_decontaminate, op8_fingerprints,
-            op9_jaccard, op10_tokens, op11_resample, op12_audit, pipeline)
+            op9_jaccard, op10_tokens, op11_resample, op12_audit, op13_warc,
+            pipeline)
 _ORACLES = {"op2_chat": chat.ORACLE, "op3_urls": urls.ORACLE, "op7_decontaminate": decontaminate.ORACLE,
-            "op9_jaccard": jaccard.ORACLE, "op11_resample": resample.ORACLE, "op12_audit": audit.ORACLE}
+            "op9_jaccard": jaccard.ORACLE, "op11_resample": resample.ORACLE, "op12_audit": audit.ORACLE,
+            "op13_warc": warc.ORACLE}
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
