@@ -11,6 +11,10 @@ counted with E at once. Every micro-batch writes its counter changes to a
 folder of its own, which a repeated batch overwrites, and the counters are the
 sums of all changes. All orders and steps follow from at most 32 masks a part.
 
+The state store is asked once for a bucket of texts, not once for every text:
+digests are dealt into one bucket for each ``BUCKET_BYTES`` of input files (a
+few hundred texts of about 60 bytes each), at any size of the input.
+
 Rows of one task that share a text are reduced to the smallest id before the
 state (the others fail E whatever comes), so a text that holds a third of all
 rows sends at most a row per task, part and ``HELD_TEXTS`` distinct texts. The
@@ -32,9 +36,10 @@ import re
 from collections.abc import Iterator
 from hashlib import sha256
 from itertools import permutations
+from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
@@ -48,10 +53,14 @@ REPEATED = 1 << FILTERS.index("E")
 HELD_TEXTS = 100_000
 #: Micro-batches that the files are dealt into.
 MICRO_BATCHES = 4
+#: Bytes of input files for each bucket of the state.
+BUCKET_BYTES = 256 << 10
 
 _SPECIAL = re.compile(rb"[#$%&*|]")
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
-_ROWS = "key binary, doc_id bigint, part string, mask int, good boolean, toxic boolean, n bigint"
+_ROWS = "bucket bigint, key binary, doc_id bigint, part string, mask int, good boolean, toxic boolean, n bigint"
+_HELD = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("good", pa.bool_()),
+                   ("toxic", pa.bool_()), ("n", pa.int64())])
 
 
 def own_mask(data: bytes, min_words: int = 200) -> int:
@@ -74,16 +83,17 @@ def masked(docs: DataFrame, id_col: str, text_col: str, part_col: str) -> DataFr
         for batch in batches:
             texts = [t.encode() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([sha256(t).digest() for t in texts], pa.binary()),
+                [batch.column(0), batch.column(1), pa.array([sha256(t).digest()[:16] for t in texts], pa.binary()),
                  pa.array(map(own_mask, texts), pa.int32())], names=["doc_id", "part", "key", "mask"])
 
     return part.mapInArrow(judge, "doc_id bigint, part string, key binary, mask int")
 
 
-def reduced(rows: DataFrame) -> DataFrame:
-    """Rows of one task by text: those with the smallest id wait for the
-    state; every other one fails E for certain, and a row without an id holds
-    it, so both leave as counter changes without an id."""
+def reduced(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows of one task by text: those with the smallest id go to the state,
+    by the bucket of their text; every other one fails E for certain, and a
+    row without an id holds it, so both leave as counter changes without an
+    id, by any bucket."""
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lowest: dict[bytes, tuple[int, dict]] = {}
         final: dict[tuple, int] = {}
@@ -96,13 +106,12 @@ def reduced(rows: DataFrame) -> DataFrame:
                 count((part, mask | REPEATED, *labels), n)
 
         def packed() -> pa.RecordBatch:
-            out = [(key, low, *entry, n) for key, (low, entries) in lowest.items() for entry, n in entries.items()]
-            # Counter changes go by their own short keys, to any task.
-            out += [(repr(entry).encode(), None, *entry, n) for entry, n in final.items()]
-            names = ("key", "doc_id", "part", "mask", "good", "toxic", "n")
-            types = (pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64())
-            columns = zip(*out) if out else [()] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
+            out = [(int.from_bytes(key[:8], "big") % buckets, key, low, *entry, n)
+                   for key, (low, entries) in lowest.items() for entry, n in entries.items()]
+            out += [(crc32(repr(entry).encode()) % buckets, None, None, *entry, n) for entry, n in final.items()]
+            schema = pa.schema([("bucket", pa.int64()), *_HELD])
+            columns = zip(*out) if out else [()] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         for batch in batches:
             for doc_id, part, key, mask, good, toxic in zip(*(c.to_pylist() for c in batch.columns)):
@@ -129,47 +138,52 @@ def reduced(rows: DataFrame) -> DataFrame:
 
 
 class SmallestId(StatefulProcessor):
-    """State of one text: its smallest id so far and what is counted for it.
-    Yields counter changes."""
+    """State of the texts of a bucket: the smallest id so far of each, and
+    what is counted for it, as Arrow bytes. Yields counter changes."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "doc_id bigint, entries array<struct<part string, mask int, good boolean, toxic boolean, n bigint>>")
+        self.held = handle.getValueState("held", "texts binary")
 
-    def handleInputRows(self, key, rows, timerValues):
-        from pyspark.sql import Row
+    def _texts(self) -> dict[bytes, tuple[int, dict]]:
+        texts: dict[bytes, tuple[int, dict]] = {}
+        if self.held.exists():
+            batch = pa.ipc.read_record_batch(pa.py_buffer(self.held.get()[0]), _HELD)
+            for key, low, *entry, n in zip(*(c.to_pylist() for c in batch.columns)):
+                texts.setdefault(key, (low, {}))[1][tuple(entry)] = n
+        return texts
 
+    def handleInputRows(self, key, rows, timerValues):
         changes: dict[tuple, int] = {}
+        texts = None
 
         def change(entry: tuple, n: int) -> None:
             changes[entry] = changes.get(entry, 0) + n
 
-        def with_repeat(entry: tuple) -> tuple:
+        def repeat(entry: tuple) -> tuple:
             return (entry[0], entry[1] | REPEATED, *entry[2:])
 
-        low, entries, known, dirty = None, {}, False, False
-        for r in rows:
-            entry = (r.part, r.mask, r.good, r.toxic)
-            if r.doc_id is None:  # a finished count
-                change(entry, r.n)
+        for _, text, doc_id, *entry, n in rows:
+            entry = tuple(entry)
+            if doc_id is None:  # a finished count
+                change(entry, n)
                 continue
-            if not known:
-                known = True
-                if self.held.exists():
-                    low, kept = self.held.get()
-                    entries = {tuple(e[:4]): e[4] for e in kept}
-            if low is None or r.doc_id < low:
-                for earlier, n in entries.items():
-                    change(earlier, -n)
-                    change(with_repeat(earlier), n)
-                low, entries, dirty = r.doc_id, {entry: r.n}, True
-                change(entry, r.n)
-            elif r.doc_id == low:
-                entries[entry], dirty = entries.get(entry, 0) + r.n, True
-                change(entry, r.n)
+            texts = self._texts() if texts is None else texts
+            low, entries = texts.get(bytes(text), (None, None))
+            if low is None or doc_id < low:
+                for earlier, m in (entries or {}).items():
+                    change(earlier, -m)
+                    change(repeat(earlier), m)
+                texts[bytes(text)] = (doc_id, {entry: n})
+                change(entry, n)
+            elif doc_id == low:
+                entries[entry] = entries.get(entry, 0) + n
+                change(entry, n)
             else:
-                change(with_repeat(entry), r.n)
-        if dirty:
-            self.held.update((low, [(*e, n) for e, n in entries.items()]))
+                change(repeat(entry), n)
+        if texts is not None:
+            out = [(t, low, *entry, n) for t, (low, entries) in texts.items() for entry, n in entries.items()]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _HELD)], schema=_HELD)
+            self.held.update((batch.serialize().to_pybytes(),))
         for (part, mask, good, toxic), n in changes.items():
             if n:
                 yield Row(part=part, mask=mask, good=good, toxic=toxic, n=n)
@@ -183,7 +197,9 @@ def mask_counts(spark: SparkSession, path: str, labels: DataFrame, batches: int
     """``(part, mask, good, toxic, n)`` over all Parquet files at ``path``
     (a folder or one file), by available-now micro-batches."""
     given = spark.read.parquet(path)
-    files = max(1, -(-len(given.inputFiles()) // batches))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    size = listed.agg(F.count("*").alias("files"), F.sum("length").alias("bytes")).first()
+    files, buckets = max(1, -(-size.files // batches)), max(1, -(-(size.bytes or 0) // BUCKET_BYTES))
     folder, name = path.rstrip("/").rsplit("/", 1)
     # As a pattern, the name may be a file or a folder; as a plain path Spark takes folders only.
     stream = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/{{{name}}}")
@@ -194,7 +210,7 @@ def mask_counts(spark: SparkSession, path: str, labels: DataFrame, batches: int
     no = F.lit(False)
     rows = masked(stream, id_col, text_col, part_col).join(flags, "doc_id", "left").withColumns(
         {"good": F.coalesce("good", no), "toxic": F.coalesce("toxic", no)})
-    changes = reduced(rows).groupBy("key").transformWithState(
+    changes = reduced(rows, buckets).groupBy("bucket").transformWithState(
         SmallestId(), "part string, mask int, good boolean, toxic boolean, n bigint", "Update", "None")
     out = scratch_path(spark, "audit")
     by = ["part", "mask", "good", "toxic"]
