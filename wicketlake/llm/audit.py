@@ -222,6 +222,8 @@ def mask_counts(spark: SparkSession, path: str, labels: DataFrame, batches: int
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+        # Many small stores: no disk is reserved before it is written.
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }):
         run = (changes.writeStream.outputMode("update").foreachBatch(keep)
                .option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start())
