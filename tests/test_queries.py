@@ -85,7 +85,7 @@ def test_clusters_and_split_invariants(spark):
     feats = MF.player_features(t.deliveries)
     _, out = M.cluster_players(feats, MF.PLAYER_FEATURES, starts=2, max_iter=20)
     assert {r.cluster for r in out.select("cluster").distinct().collect()} <= set(range(5))
-    s = M.split(MF.match_features(t.deliveries, t.clean_matches), "match_id")
+    s = M.split(MF.match_features(t.team_stats, t.clean_matches), "match_id")
     counts = {r["split"]: r["count"] for r in s.groupBy("split").count().collect()}
     assert counts["train"] > counts.get("test", 0)
 

@@ -136,7 +136,7 @@ def test_model_queries(spark):
     for label in {r.target for r in parts}:
         train, test = by.get((label, "train"), 0), by.get((label, "test"), 0)
         assert 0.6 <= train / (train + test) <= 0.8
-    feats = MF.match_features(t.deliveries, t.clean_matches)
+    feats = MF.match_features(t.team_stats, t.clean_matches)
     report = {r.metric: r.value for r in M.cross_validated_accuracy(spark, feats, MF.MATCH_FEATURES, max_iter=2).collect()}
     assert 0 <= report["cv_accuracy"] <= 1
     # No upset at all: every row weighs alike, nothing divides by zero.
@@ -150,7 +150,7 @@ def test_outcome_model_report(spark):
     from wicketlake.ml import models as M
 
     t = Tables(spark, SF)
-    _, train, scored = M.train_outcome_model(MF.match_features(t.deliveries, t.clean_matches), MF.MATCH_FEATURES, max_iter=3)
+    _, train, scored = M.train_outcome_model(MF.match_features(t.team_stats, t.clean_matches), MF.MATCH_FEATURES, max_iter=3)
     report = {r.metric: r.value for r in M.classification_metrics(spark, scored).collect()}
     assert report["support_0"] + report["support_1"] == scored.count()
     assert {"precision_0", "recall_1", "f1_1", "accuracy"} <= set(report)
@@ -161,7 +161,7 @@ def test_permutation_importance_reads_all_rows(spark):
     from wicketlake.ml import models as M
 
     t = Tables(spark, SF)
-    feats = MF.match_features(t.deliveries, t.clean_matches)
+    feats = MF.match_features(t.team_stats, t.clean_matches)
     model, _, _ = M.train_outcome_model(feats, MF.MATCH_FEATURES, max_iter=2)
     rows = M.permutation_importance(model, feats, MF.MATCH_FEATURES[:3], bucket_rows=10).collect()
     assert sorted(r.feature for r in rows) == sorted(MF.MATCH_FEATURES[:3])

@@ -16,11 +16,10 @@ PLAYER_FEATURES = ["total_runs", "balls_faced", "strike_rate_live", "sixes", "fo
 CLUSTER_FEATURES = ["total_runs", "strike_rate_live", "sixes", "wickets", "economy_live"]
 
 
-def match_features(d: DataFrame, cm: DataFrame) -> DataFrame:
+def match_features(ts: DataFrame, cm: DataFrame) -> DataFrame:
     """M1 (J8): every match meets the stats of its two teams (two inner
-    joins on a one-row-per-team table);
+    joins on ``ts``, the one-row-per-team table of A7);
     15 features and the target (team1 won)."""
-    ts = A.team_stats(d, cm)
     cols = ["avg_runs_per_ball", "six_rate", "four_rate", "pp_run_rate", "death_run_rate",
             "avg_wickets_per_ball", "death_wicket_rate", "avg_economy", "win_rate"]
     t1 = ts.select(F.col("team").alias("team1"), *[F.col(c).alias(f"{c}_1") for c in cols])

@@ -96,19 +96,59 @@ def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
     return filled.drop(*[f"_median_{c}" for c in columns])
 
 
+def team_cards(d: DataFrame, matches: DataFrame, pp_last: int = E.POWERPLAY_LAST_OVER,
+               death_first: int = E.DEATH_FIRST_OVER) -> DataFrame:
+    """Sums and counts per team that A3 to A6 are ratios of, in one aggregate:
+    every ball counts for its batting and its bowling team, every match for
+    its two teams and its winner, and all are summed map-side before the only
+    shuffle, which carries one row per team and task."""
+    def row(team: str, kind: str, r, t, w, o):
+        return F.struct(F.col(team).alias("team"), F.lit(kind).alias("kind"), r.alias("r"), t.alias("t"), w.alias("w"), o.alias("o"))
+
+    no = F.lit(None).cast("int")
+    wicket = _i(F.col("is_wicket"))
+    total, over = F.col("total_runs").cast("int"), F.col("over_num").cast("int")
+    balls = d.select(F.explode(F.array(
+        row("batting_team", "bat", F.col("batsman_runs").cast("int"), total, wicket, over),
+        row("bowling_team", "bowl", no, total, wicket, over))).alias("x"))
+    games = matches.select(F.explode(F.array(
+        row("team1", "played", no, no, no, no), row("team2", "played", no, no, no, no), row("winner", "won", no, no, no, no))).alias("x"))
+    x = balls.unionByName(games).select("x.*")
+    bat, bowl = F.col("kind") == "bat", F.col("kind") == "bowl"
+    pp, death = F.col("o") <= pp_last, F.col("o") >= death_first
+
+    def total_of(condition, column: str):
+        return F.sum(F.when(condition, F.col(column)))
+
+    return x.groupBy("team").agg(
+        F.count_if(bat).alias("bat_balls"), total_of(bat, "r").alias("bat_runs"), total_of(bat, "t").alias("bat_total"),
+        F.count_if(bat & (F.col("r") == 6)).alias("sixes"), F.count_if(bat & (F.col("r") == 4)).alias("fours"),
+        F.count_if(bat & pp).alias("pp_balls"), total_of(bat & pp, "t").alias("pp_runs"),
+        F.count_if(bat & death).alias("death_balls"), total_of(bat & death, "t").alias("death_runs"),
+        F.count_if(bowl).alias("bowl_balls"), total_of(bowl, "w").alias("wickets"), total_of(bowl, "t").alias("conceded"),
+        F.count_if(bowl & death).alias("death_bowled"), total_of(bowl & death, "w").alias("death_wickets"),
+        F.count_if(F.col("kind") == "played").alias("played"), F.count_if(F.col("kind") == "won").alias("won"))
+
+
 def team_stats(d: DataFrame, matches: DataFrame) -> DataFrame:
-    """A3 + A4 + A6 + A5 chained on team (J7), median-imputed."""
-    wr = team_win_rates(matches)
-    stats = (team_batting(d).join(team_bowling(d), "team", "full")
-             .join(wr.select("team", "total_wins", "total_matches"), "team", "left")
-             .withColumn("win_rate", F.coalesce(
-                 F.col("total_wins") / F.when(F.col("total_matches") == 0, 1).otherwise(F.col("total_matches")),
-                 F.lit(0.5)))
-             .join(team_phase_rates(d), "team", "left"))
-    numeric = ["avg_runs_per_ball", "avg_total_runs", "six_rate", "four_rate", "avg_wickets_per_ball",
-               "avg_economy", "total_wins", "total_matches", "win_rate", "pp_run_rate",
-               "death_run_rate", "death_wicket_rate"]
-    return impute_median(stats, numeric)
+    """A3 to A6 per team that batted or bowled (J7), rolled up from the team
+    cards and median-imputed (A7)."""
+    def mean(top: str, count: str):
+        return F.when(F.col(count) > 0, F.col(top) / F.col(count))
+
+    def known(count: str):
+        return F.when(F.col(count) > 0, F.col(count))
+
+    cards = team_cards(d, matches).filter((F.col("bat_balls") > 0) | (F.col("bowl_balls") > 0))
+    stats = cards.select(
+        "team", mean("bat_runs", "bat_balls").alias("avg_runs_per_ball"), mean("bat_total", "bat_balls").alias("avg_total_runs"),
+        mean("sixes", "bat_balls").alias("six_rate"), mean("fours", "bat_balls").alias("four_rate"),
+        mean("wickets", "bowl_balls").alias("avg_wickets_per_ball"), mean("conceded", "bowl_balls").alias("avg_economy"),
+        known("won").alias("total_wins"), known("played").alias("total_matches"),
+        F.coalesce(known("won") / known("played"), F.lit(0.5)).alias("win_rate"),
+        mean("pp_runs", "pp_balls").alias("pp_run_rate"), mean("death_runs", "death_balls").alias("death_run_rate"),
+        mean("death_wickets", "death_bowled").alias("death_wicket_rate"))
+    return impute_median(stats, [c for c in stats.columns if c != "team"])
 
 
 # ------------------------------------------------------------------ A8, A9
@@ -583,15 +623,15 @@ def run_value_counts(d: DataFrame) -> DataFrame:
 
 def margin_histogram(matches: DataFrame, column: str, bins: int) -> DataFrame:
     """Equal-width histogram of positive margins (``bins`` buckets
-    between the min and max, as the charting library draws them)."""
-    pos = matches.filter(F.col(column) > 0)
-    lo = pos.agg(F.min(column)).scalar()
-    hi = pos.agg(F.max(column)).scalar()
-    v = F.col(column)
+    between the min and max, as the charting library draws them). Margins are
+    counted by value first; bounds and bins are read from the counts."""
+    counted = matches.filter(F.col(column) > 0).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    bounds = counted.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))  # one row
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
     raw = F.floor((v - lo) * bins / F.when(hi > lo, hi - lo).otherwise(F.lit(1))).cast("bigint") + 1
     bucket = F.when(hi > lo, F.least(raw, F.lit(bins))).otherwise(F.lit(1).cast("bigint"))
-    return pos.groupBy(bucket.alias("bin")).agg(F.count("*").alias("count"),
-                                                F.min(column).alias("min_value"), F.max(column).alias("max_value"))
+    return counted.crossJoin(bounds).groupBy(bucket.alias("bin")).agg(
+        F.sum("n").alias("count"), F.min("v").alias("min_value"), F.max("v").alias("max_value"))
 
 
 def warehouse_snapshot(matches: DataFrame, players: DataFrame, d: DataFrame,

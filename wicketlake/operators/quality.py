@@ -9,6 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wicketlake.operators.quantiles import exact_quantiles
+from wicketlake.session import written
+
 # The check names of the silver layer report.
 MATCH_CHECKS = ["Row count > 50", "No duplicate match_ids", "winner has no nulls",
                 "toss_decision values valid", "match_date is not null"]
@@ -90,23 +93,31 @@ def table_health(name: str, df: DataFrame) -> DataFrame:
                     F.when((F.col("null_pct") < 5) & (F.col("duplicates") == 0), "Healthy").otherwise("Warning").alias("health"))
 
 
-def _sample_stddev(x: Column) -> Column:
-    """From the sums of values and squares, which are exact for whole numbers
-    and the same in any order of summation."""
-    n, total, squares = F.count(x), F.sum(x), F.sum(x * x)
-    return F.when(n > 1, F.sqrt((squares - total * total / n) / (n - 1)))
-
-
 def column_profile(df: DataFrame, numeric: list[str]) -> DataFrame:
     """Q7: per numeric column: count, nulls, distinct, min, max, mean, sample
-    standard deviation, quartiles (exact), zeros. One aggregate pass."""
-    aggs = []
-    for c in numeric:
-        x = F.col(c).cast("double")
-        aggs.append(F.struct(
-            F.lit(c).alias("column_name"), F.count(x).alias("count"), F.count_if(x.isNull()).alias("nulls"),
-            F.count_distinct(x).alias("distinct"), F.min(x).alias("min"), F.max(x).alias("max"),
-            F.avg(x).alias("mean"), _sample_stddev(x).alias("stddev"), F.percentile(x, 0.25).alias("q1"), F.median(x).alias("median"),
-            F.percentile(x, 0.75).alias("q3"), F.count_if(x == 0).alias("zeros")).alias(c))
-    row = df.agg(*aggs)
-    return row.select(F.explode(F.array(*[F.col(c) for c in numeric])).alias("p")).select("p.*")
+    standard deviation, quartiles (exact), zeros.
+
+    The columns are unpivoted into (column, value) and counted once, with
+    partial counts before the shuffle; everything else is an aggregate over
+    the distinct values with their counts. Sums of values and squares are
+    exact for whole numbers and the same in any order of summation. Quartiles
+    are selected from the counted values, of any number."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in numeric])).alias("v"))
+    counted = long.groupBy(F.col("v.column_name").alias("column_name"), F.col("v.x").alias("x")).agg(F.count("*").alias("n"))
+    counted = written(counted, "profile-counts")
+    x, n = F.col("x"), F.col("n")
+    total, squares = F.sum(x * n), F.sum(x * x * n)
+    count = F.coalesce(F.sum(F.when(x.isNotNull(), n)), F.lit(0))
+    stats = counted.groupBy("column_name").agg(
+        count.alias("count"), F.coalesce(F.sum(F.when(x.isNull(), n)), F.lit(0)).alias("nulls"), F.count(x).alias("distinct"),
+        F.min(x).alias("min"), F.max(x).alias("max"), (total / count).alias("mean"),
+        F.when(count > 1, F.sqrt((squares - total * total / count) / (count - 1))).alias("stddev"),
+        F.coalesce(F.sum(F.when(x == 0, n)), F.lit(0)).alias("zeros"))
+    wide = counted.select("n", *[F.when(F.col("column_name") == c, x).alias(c) for c in numeric])
+    quartiles = exact_quantiles(wide, numeric, [0.25, 0.5, 0.75], "n")
+    rows = df.sparkSession.createDataFrame([(c, *q) for c, q in quartiles.items()], "column_name string, q1 double, median double, q3 double")
+    empty = df.sparkSession.createDataFrame([(c,) for c in numeric], "column_name string")
+    whole = empty.join(stats, "column_name", "left").join(rows, "column_name")
+    zero = F.lit(0).cast("long")
+    return whole.select("column_name", *[F.coalesce(c, zero).alias(c) for c in ("count", "nulls", "distinct")], "min", "max", "mean", "stddev",
+                        "q1", "median", "q3", F.coalesce("zeros", zero).alias("zeros"))

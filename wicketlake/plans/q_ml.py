@@ -2,9 +2,9 @@
 
 Feature matrices are compared with DuckDB; trained models are checked by
 invariants in the tests (MLlib and the reference's libraries differ, trap 16).
-A trained pipeline is saved in the model store (S16), one folder per
-application and data folder under the shared checkpoint folder; metric and
-scoring queries load it from there and train only where it is missing.
+Trained pipelines are filed in the model store (S16) under a digest of their
+rows, parameters and features; metric and scoring queries of this and later
+applications load them from there and train only where one is missing.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from wicketlake.ml import attribution as AT
 from wicketlake.ml import features as MF
 from wicketlake.ml import models as M
+from wicketlake.ml.registry import stored
 from wicketlake.operators import aggregates as A
 from wicketlake.plans.q_aggregates import TEAM_STATS_SQL
 from wicketlake.plans.registry import query
@@ -43,12 +45,12 @@ mf AS (SELECT m.match_id, m.team1, m.team2,
 
 @query("m1_match_features", f"WITH {MATCH_FEATURES_SQL}\nSELECT * FROM mf")
 def _m1(t):
-    return MF.match_features(t.deliveries, t.clean_matches)
+    return MF.match_features(t.team_stats, t.clean_matches)
 
 
 @query("j8_two_sided_dimension_join", f"WITH {MATCH_FEATURES_SQL}\nSELECT match_id, win_rate_t1, win_rate_t2 FROM mf")
 def _j8(t):
-    return MF.match_features(t.deliveries, t.clean_matches).select("match_id", "win_rate_t1", "win_rate_t2")
+    return MF.match_features(t.team_stats, t.clean_matches).select("match_id", "win_rate_t1", "win_rate_t2")
 
 
 @query("m2_player_features", """
@@ -77,25 +79,13 @@ def _m3(t):
 
 
 def _match_features(t):
-    return t.layer("match_features", lambda: MF.match_features(t.deliveries, t.clean_matches))
-
-
-_STORE: dict[tuple[str, str, str], str] = {}
-
-
-def _stored(t, name: str, train):
-    """The pipeline ``name`` from the model store, trained and saved on first use."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
-    if key not in _STORE:
-        path = scratch_path(t.spark, f"model-{name}")
-        sinks.save_model(train(), path)
-        _STORE[key] = path
-    return sinks.load_pipeline_model(_STORE[key])
+    return t.layer("match_features", lambda: MF.match_features(t.team_stats, t.clean_matches))
 
 
 def _outcome(t):
     """The outcome model and its scored test rows."""
-    model = _stored(t, "outcome", lambda: M.train_outcome_model(_match_features(t), MF.MATCH_FEATURES)[0])
+    feats, size = _match_features(t), {"max_iter": 200, "depth": 4, "step": 0.05}
+    model = stored("outcome", feats, size, MF.MATCH_FEATURES, lambda: M.train_outcome_model(feats, MF.MATCH_FEATURES, **size)[0])
     return model, model.transform(M.split(_match_features(t), "match_id", "target").filter("split = 'test'"))
 
 
@@ -127,7 +117,8 @@ def _innings(t):
 
 
 def _score(t):
-    return _stored(t, "score", lambda: M.train_score_model(_innings(t), INNINGS_COLS)[0])
+    innings, size = _innings(t), {"max_iter": 300, "depth": 5, "step": 0.05}
+    return stored("score", innings, size, INNINGS_COLS, lambda: M.train_score_model(innings, INNINGS_COLS, **size)[0])
 
 
 def _scored_innings(t):
@@ -147,7 +138,8 @@ def _m9(t):
 
 def _clustered(t):
     feats = t.layer("player_features", lambda: MF.player_features(t.deliveries))
-    model = _stored(t, "clusters", lambda: M.cluster_players(feats, MF.CLUSTER_FEATURES)[0])
+    size = {"k": 5, "starts": 10, "max_iter": 300}
+    model = stored("clusters", feats, size, MF.CLUSTER_FEATURES, lambda: M.cluster_players(feats, MF.CLUSTER_FEATURES, **size)[0])
     return model.transform(feats).drop("_raw", "_cluster")
 
 
@@ -208,13 +200,13 @@ def _m13(t):
 
 
 _ITEMSETS_SQL = """
-items AS (SELECT CASE WHEN toss_winner = winner THEN 'toss_won' ELSE 'toss_lost' END AS a,
+items AS MATERIALIZED (SELECT CASE WHEN toss_winner = winner THEN 'toss_won' ELSE 'toss_lost' END AS a,
   CASE WHEN toss_decision = 'bat' THEN 'chose_bat' ELSE 'chose_bowl' END AS b,
   CASE WHEN tournament_phase IN ('Semi Final', 'Final') THEN 'knockout_match' ELSE 'group_match' END AS c,
   CASE WHEN coalesce(is_day_night, false) THEN 'day_night' ELSE 'day_match' END AS d,
   CASE WHEN winner = team1 THEN 'team1_won' ELSE 'team2_won' END AS e FROM clean_matches),
-total AS (SELECT count(*) AS n FROM items),
-sets AS (SELECT list_sort(list_filter([a, b, c, d, e], lambda x: x IS NOT NULL)) AS items, freq FROM
+total AS MATERIALIZED (SELECT count(*) AS n FROM items),
+sets AS MATERIALIZED (SELECT list_sort(list_filter([a, b, c, d, e], lambda x: x IS NOT NULL)) AS items, freq FROM
   (SELECT a, b, c, d, e, count(*) AS freq FROM items GROUP BY CUBE (a, b, c, d, e)) g
   WHERE freq >= 0.2 * (SELECT n FROM total) AND coalesce(a, b, c, d, e) IS NOT NULL)"""
 
@@ -247,7 +239,7 @@ def _m15(t):
 WITH {MATCH_FEATURES_SQL}
 SELECT match_id, win_rate_diff, target, CAST(win_rate_diff > 0.05 AND target = 0 AS INTEGER) AS is_upset FROM mf""")
 def _m16(t):
-    f = MF.upset_labels(MF.match_features(t.deliveries, t.clean_matches))
+    f = MF.upset_labels(MF.match_features(t.team_stats, t.clean_matches))
     return f.select("match_id", "win_rate_diff", "target", "is_upset")
 
 
@@ -260,7 +252,8 @@ def _labelled(t):
 
 
 def _upset(t):
-    return _stored(t, "upset", lambda: M.train_upset_model(_labelled(t), UPSET_COLS)[0])
+    labelled = _labelled(t)
+    return stored("upset", labelled, {"max_iter": 1000}, UPSET_COLS, lambda: M.train_upset_model(labelled, UPSET_COLS)[0])
 
 
 @query("m17_upset_model")
@@ -274,6 +267,25 @@ def _m18(t):
     return M.permutation_importance(_outcome(t)[0], _match_features(t), MF.MATCH_FEATURES)
 
 
+def _attributions(t):
+    """Every match with the outcome model's exact attributions; the training
+    rows are the background."""
+    model = _outcome(t)[0]
+    train = M.split(_match_features(t), "match_id", "target").filter("split = 'train'")
+    explainer = AT.Explainer.of(model, train, MF.MATCH_FEATURES)
+    return AT.row_attributions(explainer, _match_features(t), MF.MATCH_FEATURES, "match_id")
+
+
+@query("m18_feature_attribution")
+def _m18_attribution(t):
+    return AT.mean_attributions(_attributions(t))
+
+
+@query("m18_match_attributions")
+def _m18_rows(t):
+    return _attributions(t)
+
+
 @query("m19_score_match_requests")
 def _m19(t):
     # Requests: every fixture of the data, scored with the stored pipeline

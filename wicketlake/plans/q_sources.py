@@ -4,6 +4,8 @@ back with the raw readers, so every query's work grows with the tables."""
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from wicketlake.plans import silver
@@ -119,14 +121,15 @@ def _s12(t):
 SELECT 'layer_matches' AS table_name, count(*) AS rows_before, false AS exists_after FROM clean_matches
 UNION ALL SELECT 'layer_venues', count(*), false FROM venues""")
 def _s13(t):
-    tables = {"layer_matches": t.clean_matches, "layer_venues": t.venues}
+    # Names of this run only, so no table of the user's catalogue is touched.
+    run = uuid4().hex[:12]
+    tables = {f"{name}_{run}": (name, df) for name, df in (("layer_matches", t.clean_matches), ("layer_venues", t.venues))}
     rows = []
-    for name, df in tables.items():
-        t.spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for name, (layer, df) in tables.items():
         df.write.option("path", scratch_path(t.spark, name)).saveAsTable(name)
-        rows.append(t.spark.table(name).agg(F.lit(name).alias("table_name"), F.count("*").alias("rows_before")).first())
+        rows.append((layer, t.spark.table(name).count(), name))
     sinks.reset_tables(t.spark, list(tables))
-    return t.spark.createDataFrame([(r.table_name, r.rows_before, t.spark.catalog.tableExists(r.table_name)) for r in rows],
+    return t.spark.createDataFrame([(layer, n, t.spark.catalog.tableExists(name)) for layer, n, name in rows],
                                    "table_name string, rows_before bigint, exists_after boolean")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from wicketlake.plans.registry import query
 from wicketlake.streaming import live as T
+from wicketlake.streaming import state as S
 
 
 @query("t1_event_append", "SELECT * FROM live")
@@ -28,6 +29,11 @@ def _t3(t):
     return T.match_state(t.spark, T.live_stream(t.spark, t.sf_dir))
 
 
+@query("t3_timed_match_state", STATE_SQL)
+def _t3_timed(t):
+    return S.timed_match_state(t.spark, T.live_stream(t.spark, t.sf_dir))
+
+
 @query("t4_milestones", """
 SELECT match_id, batsman, runs, milestone FROM
   (SELECT match_id, batsman, CAST(sum(runs_scored) AS BIGINT) AS runs FROM live GROUP BY 1, 2) s,
@@ -36,10 +42,18 @@ def _t4(t):
     return T.milestones(t.spark, T.live_stream(t.spark, t.sf_dir))
 
 
-@query("t4_fired_milestones", """
+FIRED_SQL = """
 SELECT match_id, batsman, milestone FROM
   (SELECT match_id, batsman, sum(runs_scored) AS runs FROM live GROUP BY 1, 2) s,
-  (VALUES (50), (100)) m(milestone) WHERE runs >= milestone""")
+  (VALUES (50), (100)) m(milestone) WHERE runs >= milestone"""
+
+
+@query("t4_timed_milestones", FIRED_SQL)
+def _t4_timed(t):
+    return S.timed_milestones(t.spark, T.live_stream(t.spark, t.sf_dir))
+
+
+@query("t4_fired_milestones", FIRED_SQL)
 def _t4_fired(t):
     return T.fired_milestones(t.spark, T.live_stream(t.spark, t.sf_dir))
 

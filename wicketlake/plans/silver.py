@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wicketlake.functions import expressions as E
 from wicketlake.operators.keys import dense_index
+from wicketlake.operators.quantiles import exact_quantiles
 from wicketlake.sources.raw import normalise_columns
 
 AUDIT_COLUMNS = ("_ingested_at",)
@@ -73,16 +74,16 @@ def transform_deliveries(raw: DataFrame) -> DataFrame:
 
 
 def outlier_report(df: DataFrame, column: str) -> DataFrame:
-    """A10: IQR outlier count (rows are kept); one row."""
-    q = df.agg(F.percentile(column, 0.25).alias("q1"), F.percentile(column, 0.75).alias("q3"))
-    bounds = q.select("q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"))
-    lo = F.col("q1") - 1.5 * F.col("iqr")
-    hi = F.col("q3") + 1.5 * F.col("iqr")
-    # The bounds are one row.
-    return (df.select(column).crossJoin(bounds)
-            .agg(F.first("q1").alias("q1"), F.first("q3").alias("q3"),
-                 F.count_if((F.col(column) < lo) | (F.col(column) > hi)).alias("outliers"),
-                 F.count("*").alias("rows")))
+    """A10: IQR outlier count (rows are kept); one row. The quartiles are
+    exact, by distributed selection."""
+    q1, q3 = exact_quantiles(df, [column], [0.25, 0.75])[column]
+    x = F.col(column)
+    if q1 is None:
+        return df.agg(F.lit(None).cast("double").alias("q1"), F.lit(None).cast("double").alias("q3"),
+                      F.lit(0).cast("long").alias("outliers"), F.count("*").alias("rows"))
+    lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    return df.agg(F.lit(q1).alias("q1"), F.lit(q3).alias("q3"), F.count_if((x < lo) | (x > hi)).alias("outliers"),
+                  F.count("*").alias("rows"))
 
 
 def match_cards(deliveries: DataFrame) -> DataFrame:
@@ -104,6 +105,13 @@ def match_cards(deliveries: DataFrame) -> DataFrame:
         F.sum(F.when(~bats, r)).alias("runs_conceded"), F.count_if(~bats).alias("balls_bowled"))
 
 
+def merged_cards(cards: DataFrame, *within: str) -> DataFrame:
+    """Partial cards of the same match and player added up."""
+    sums = [c for c in cards.columns if c not in ("match_id", "player_name", "bat_team", "bowl_team", *within)]
+    return cards.groupBy(*within, "match_id", "player_name").agg(
+        F.min("bat_team").alias("bat_team"), F.min("bowl_team").alias("bowl_team"), *[F.sum(c).alias(c) for c in sums])
+
+
 def players_from_cards(cards: DataFrame, matches: DataFrame, as_of: _dt.date | None = None,
                        active_months: int = 36) -> DataFrame:
     """B3 + B10: player table built from the balls themselves (trap 9).

@@ -1,11 +1,11 @@
 """Document building and vector retrieval (X rows).
 
 Documents are rows (id, doc_type, text, meta struct) built from the tables
-with string templates. Vector search is brute force and exact: the vectors are
-dealt into salts, the stated query set is copied to every salt, and both meet
-in an equi-join on the salt; a per-query ``row_number() <= k`` (with its
-partial group limit) keeps the top k. Text search counts shared words of the
-documents that name the subject.
+with string templates. Vector search goes through ``vector_index`` and text
+search through ``text_index``; ``nearest_by_scan`` compares every vector: the
+vectors are dealt into salts, the stated query set is copied to every salt,
+both meet in an equi-join on the salt, and a per-query ``row_number() <= k``
+(with its partial group limit) keeps the top k.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wicketlake.operators import topk
+from wicketlake.retrieval import text_index
+from wicketlake.retrieval.vector_index import squared_distance
+from wicketlake.session import written
 
 
 def one_digit(c: Column) -> Column:
@@ -126,15 +129,9 @@ def text_vectors(docs: DataFrame, text_col: str = "text", features: int = 1 << 1
     return pipe.fit(docs).transform(docs).drop("_tok", "_tf", "_idf")
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance of two equal-length arrays (in double)."""
-    diffs = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(diffs, F.lit(0.0), lambda acc, v: acc + v)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
+def nearest_by_scan(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
             vec_col: str = "embedding") -> DataFrame:
-    """The k nearest vectors of every query (exact). ``queries`` has
+    """The k nearest vectors of every query (exact), without an index. ``queries`` has
     (query_id, query_vec), the caller's stated query set."""
     salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     copied = queries.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
@@ -167,35 +164,21 @@ def chat_history(conversations: DataFrame, turns: int = 4) -> DataFrame:
         "conv_id", F.array_join(F.transform("_l", lambda x: F.concat(F.initcap(x["role"]), F.lit(": "), x["text"])), "\n").alias("history"))
 
 
-def word_set(text: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(text), "[^a-z0-9_]+"))
-
-
-def text_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """The ``k`` documents of every query (query_id, subject, question, k)
-    that share most words with it, among those that name its subject (an
-    equi-join on that word); ties by id."""
-    named = docs.select("id", "text", word_set(F.col("text")).alias("words")).withColumn("subject", F.explode("words"))
-    asked = queries.select("query_id", F.lower("subject").alias("subject"), word_set(F.col("question")).alias("asked"), "k")
-    met = named.join(asked, "subject").select("query_id", "id", "text", "k", F.size(F.array_intersect("words", "asked")).alias("shared"))
-    best = Window.partitionBy("query_id").orderBy(F.col("shared").desc(), "id")
-    return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= F.least("k", F.lit(3)))
-
-
-def preview_contexts(cm: DataFrame, docs: DataFrame) -> DataFrame:
-    """Per fixture, the prompt context: three retrievals (3 documents for
-    each team, 2 for the venue). Every team and venue is asked for once, and
-    its hits are joined to the fixtures."""
+def preview_contexts(cm: DataFrame, docs: DataFrame, index: DataFrame, team_docs: int = 3, venue_docs: int = 2) -> DataFrame:
+    """Per fixture, the prompt context: three retrievals, of ``team_docs``
+    documents for each team and ``venue_docs`` for the venue. Every team and
+    venue is asked for once, in one search of the text index; its block of
+    texts is joined to the fixtures."""
     def asked(kind: str, columns: list[str], words: str, k: int) -> DataFrame:
         subject = cm.select(F.explode(F.array(*columns)).alias("subject")).distinct()
-        return subject.select(F.concat(F.lit(kind), "subject").alias("query_id"), "subject",
-                              F.concat("subject", F.lit(words)).alias("question"), F.lit(k).alias("k"))
+        return subject.select(F.concat(F.lit(kind), "subject").alias("query_id"), F.concat("subject", F.lit(words)).alias("question"),
+                              F.lit(k).alias("k"))
 
-    queries = asked("team:", ["team1", "team2"], " matches won lost strike rate wickets", 3).unionByName(
-        asked("venue:", ["venue"], " hosted matches", 2))
+    queries = asked("team:", ["team1", "team2"], " matches won lost strike rate wickets", team_docs).unionByName(
+        asked("venue:", ["venue"], " hosted matches", venue_docs))
+    hits = text_index.search(index, queries).hits.join(docs.select("id", "text"), "id")
     lines = F.sort_array(F.collect_list(F.struct("rank", "text")))
-    blocks = text_hits(docs, queries).groupBy("query_id").agg(
-        F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("block"))
+    blocks = written(hits.groupBy("query_id").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("block")), "context-blocks")
     out = cm.select("match_id", "team1", "team2", "venue")
     for n, (kind, column) in enumerate((("team:", "team1"), ("team:", "team2"), ("venue:", "venue"))):
         part = blocks.select(F.col("query_id").alias(f"q{n}"), F.col("block").alias(f"b{n}"))

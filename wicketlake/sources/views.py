@@ -43,9 +43,13 @@ def _nation(t: Column) -> Column:
     return F.concat(F.lit("NATION_"), t.cast("string"))
 
 
-def deliveries(lineitem: DataFrame) -> DataFrame:
-    """Ball-by-ball deliveries (silver ``clean_deliveries`` plus
-    ``player_dismissed``, ``non_striker`` and a per-match order key ``seq``)."""
+# Columns that order the balls of a match; the deliveries layer keeps them.
+ORDER_COLUMNS = ["m", "k", "pk", "sk", "xp"]
+
+
+def delivery_rows(lineitem: DataFrame) -> DataFrame:
+    """One row per ball from any subset of the source rows: the delivery
+    without its place in the match, and the columns that order the match."""
     m = _match_no(F.col("l_orderkey"))
     base = lineitem.select(
         m.alias("m"),
@@ -70,7 +74,6 @@ def deliveries(lineitem: DataFrame) -> DataFrame:
     bat = _nation(F.when(first, t1).otherwise(t2))
     bowl = _nation(F.when(first, t2).otherwise(t1))
     batsman = F.concat(F.col("batting_team"), F.lit("_B"), F.col("bk").cast("string"))
-    order = Window.partitionBy("m").orderBy("inning", "over_num", "k", "ball_num", "pk", "sk", "xp")
     return (
         base.withColumns({"batting_team": bat, "bowling_team": bowl})
         .select(
@@ -87,26 +90,52 @@ def deliveries(lineitem: DataFrame) -> DataFrame:
             F.when(~F.col("is_wicket"), "not_out").when(F.col("flag") == "R", "caught")
             .when(F.col("flag") == "A", "bowled").otherwise("lbw").alias("dismissal_kind"),
             F.when(F.col("is_wicket"), batsman).alias("player_dismissed"),
-            # A delivery's position in its match. The window is bounded by the
-            # game (one match is a few hundred balls), so partitioning by match
-            # never concentrates a large share of the table in one task.
-            F.row_number().over(order).alias("seq"),
+            *ORDER_COLUMNS,
         )
     )
 
 
-def matches(orders: DataFrame) -> DataFrame:
-    """One row per match (silver ``clean_matches`` before cleaning). Every
-    attribute is an aggregate over all orders of the match, so any of its
-    orders can change the row; all of them combine map-side."""
+def sequenced(rows: DataFrame, *within: str) -> DataFrame:
+    """``rows`` with each delivery's position in its match. The window is
+    bounded by the game (one match is a few hundred balls), so partitioning by
+    match never concentrates a large share of the table in one task; rows that
+    are dealt by the columns ``within`` are not moved again."""
+    order = Window.partitionBy(*within, "m").orderBy("inning", "over_num", "k", "ball_num", "pk", "sk", "xp")
+    return rows.withColumn("seq", F.row_number().over(order))
+
+
+def deliveries(lineitem: DataFrame) -> DataFrame:
+    """Ball-by-ball deliveries (silver ``clean_deliveries`` plus
+    ``player_dismissed``, ``non_striker`` and a per-match order key ``seq``)."""
+    return sequenced(delivery_rows(lineitem)).drop(*ORDER_COLUMNS)
+
+
+def match_sums(orders: DataFrame) -> DataFrame:
+    """What a match takes from its orders, as sums, counts and maxima that add
+    up over any split of the orders. Every attribute is an aggregate over all
+    orders of the match, so any of its orders can change the row."""
     m = _match_no(F.col("o_orderkey"))
-    first = orders.groupBy(m.alias("m")).agg(
+    return orders.groupBy(m.alias("m")).agg(
         F.max(F.col("o_orderdate").cast("date")).alias("match_date"),
-        (F.sum("o_custkey") % 10).alias("v"),
+        F.sum("o_custkey").alias("v"),
         F.sum(F.substring("o_orderpriority", 1, 1).cast("int")).alias("p"),
         F.count_if(F.col("o_orderstatus") == "F").alias("st"),
-        (F.sum(F.floor("o_totalprice").cast("bigint")) % 20).alias("w"),
+        F.sum(F.floor("o_totalprice").cast("bigint")).alias("w"),
     )
+
+
+def merged_match_sums(sums: DataFrame, *within: str) -> DataFrame:
+    """Partial rows of ``match_sums`` added up."""
+    return sums.groupBy(*within, "m").agg(F.max("match_date").alias("match_date"), *[F.sum(c).alias(c) for c in ("v", "p", "st", "w")])
+
+
+def matches(orders: DataFrame) -> DataFrame:
+    """One row per match (silver ``clean_matches`` before cleaning)."""
+    return matches_from_sums(match_sums(orders))
+
+
+def matches_from_sums(sums: DataFrame) -> DataFrame:
+    first = sums.withColumns({"v": F.col("v") % 10, "w": F.col("w") % 20})
     t1, t2 = _teams(F.col("m"))
     t1n, t2n = _nation(t1), _nation(t2)
     w = F.col("w")
