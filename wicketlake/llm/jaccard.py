@@ -18,12 +18,11 @@ spaces in which distances are below 1, and the metric join works in these:
    known to both sides. Sets of a link share a signature, hence are in one
    component of the graph of sets and signatures: the components are the
    spaces, and no link leaves one.
-3. In a space of more shingles than ``leaf`` holds, pivots are drawn; each set
-   goes to the Voronoi region of its nearest pivot p and, as a replica, to the
-   region of every pivot q with d(x, q) <= d(x, p) + 2 eps: by the triangle
-   inequality each link has both ends in some region. Regions recurse until
-   they fit a leaf. Where distances are too alike for regions to shrink, the
-   region is cut into blocks and the pairs of blocks are leaves.
+3. Spaces of more shingles than ``leaf`` holds are split (``regions``): by
+   signatures of their rare shingles, by Voronoi regions of pivots with windows
+   of twice eps and a region of the sets that no pivot is near to, and by
+   blocks against a group of near copies that a pivot has joined already.
+   Regions recurse until they fit a leaf.
 4. A leaf is joined exactly with its own inverted index, by a search over the
    sets not reached yet: each set is compared with all others of the leaf once
    and only a spanning forest of the links leaves it, so a group of n near
@@ -51,7 +50,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -60,12 +59,12 @@ from pyspark.sql import functions as F
 
 from wicketlake.llm.common import TwoGenerationCache, map_batches, small, stream_batches, texts_of, without_ids, worker_state, written
 from wicketlake.llm.components import connected_components
+from wicketlake.llm.regions import split_regions
 
 #: Least similarity as a fraction of whole numbers, so that no rounding decides.
 SIMILARITY = (85, 100)
-#: Shingles of a leaf (8 bytes each).
-LEAF = 2_000_000
-PIVOTS, MAX_DEPTH, SALTS = 8, 4, 16
+#: Shingles of a leaf (8 bytes each): some sixty documents of usual length.
+LEAF = 20_000
 
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -140,27 +139,54 @@ def classes_of(interval: int, similarity: tuple[int, int]) -> tuple[int, int]:
         m += 1 + m // 100
 
 
-def signatures(shingles, similarity: tuple[int, int] = SIMILARITY):
-    """Signatures of a non-empty set, as an int64 array."""
+def signatures(shingles, similarity: tuple[int, int] = SIMILARITY, rare=None):
+    """Signatures of a non-empty set, as an int64 array. With ``rare``, some of
+    the set's shingles, the classes hold only these; a set that leaves too many
+    of them empty signs with all shingles too, in classes of their own."""
     import numpy as np
 
     own = bisect_right(intervals(similarity), len(shingles)) - 1
-    deal, content = _mix(shingles), _mix(shingles ^ np.uint64(_MIX[0]))
-    out = []
+    dealt = shingles if rare is None else rare
+    deal, content = _mix(dealt), _mix(dealt ^ np.uint64(_MIX[0]))
+    out = [np.zeros(0, np.uint64)]
     for interval in {own, max(own - 1, 0)}:
         m, most = classes_of(interval, similarity)
-        cls = (deal % np.uint64(m)).astype(np.int64)
-        order = np.argsort(cls, kind="stable")
-        ranked = cls[order]
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(ranked)) + 1])
-        sums = np.add.reduceat(content[order], starts)
-        place = ranked[starts].astype(np.uint64) + np.uint64((interval + 1) << 40)
-        out.append(_mix(sums ^ _mix(place)))
-        if m - len(starts) >= m - most:
-            out.append(_mix(np.array([(interval + 1) << 41 | 1 << 62], dtype=np.uint64)))
+        sums, places = _contents(deal, content, m)
+        tag = (interval + 1) << 40 if rare is None else (interval + 1) << 40 | 1 << 61
+        out.append(_mix(sums ^ _mix(places + np.uint64(tag))))
+        if m - len(places) >= m - most:
+            if rare is None:
+                out.append(_mix(np.array([(interval + 1) << 41 | 1 << 62], dtype=np.uint64)))
+            else:
+                out.append(_interval_signatures(shingles, interval, similarity))
     return np.concatenate(out).view(np.int64)
 
 
+def _contents(deal, content, m: int):
+    """``(sums, classes)``: the content hash of every non-empty class."""
+    import numpy as np
+
+    if not len(deal):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    cls = (deal % np.uint64(m)).astype(np.int64)
+    order = np.argsort(cls, kind="stable")
+    ranked = cls[order]
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(ranked)) + 1])
+    return np.add.reduceat(content[order], starts), ranked[starts].astype(np.uint64)
+
+
+def _interval_signatures(shingles, interval: int, similarity: tuple[int, int]):
+    """The signatures of all shingles for one interval."""
+    import numpy as np
+
+    m, most = classes_of(interval, similarity)
+    sums, places = _contents(_mix(shingles), _mix(shingles ^ np.uint64(_MIX[0])), m)
+    out = _mix(sums ^ _mix(places + np.uint64((interval + 1) << 40)))
+    if m - len(places) >= m - most:
+        out = np.append(out, _mix(np.array([(interval + 1) << 41 | 1 << 62], dtype=np.uint64)))
+    return out
+
+
 def shingler(size: int) -> Shingler:
     return worker_state(("jaccard", size), lambda: Shingler(size))
 
@@ -290,80 +316,6 @@ def _leaves(rows: Iterator[tuple], similarity: tuple[int, int]) -> Iterator[tupl
     yield from leaf_links(keys, sets, similarity)
 
 
-def _distances(data: bytes, pivots: list[bytes]) -> list[float]:
-    import numpy as np
-
-    own, out = np.frombuffer(data, dtype=np.uint64), []
-    for p in pivots:
-        other = np.frombuffer(p, dtype=np.uint64)
-        at = np.searchsorted(other, own)
-        both = int((other[np.minimum(at, len(other) - 1)] == own).sum())
-        out.append(1 - both / (len(own) + len(other) - both))
-    return out
-
-
-def _regions(data: bytes, pivots: list[bytes], eps: float) -> list[int]:
-    """Home and replica regions of a set, among its space's pivots."""
-    d = _distances(data, pivots)
-    reach = min(d) + 2 * eps + 1e-9
-    return [k for k, x in enumerate(d) if x <= reach]
-
-
-def split_regions(spaces: DataFrame, leaf: int, eps: float, depth: int = 0) -> DataFrame:
-    """``(region, key, data)`` of regions that fit a leaf, from spaces
-    ``(region, key, n, data)``."""
-    weight = spaces.groupBy("region").agg(F.sum("n").alias("weight"))
-    heavy = weight.filter(F.col("weight") > leaf)
-    fits = spaces.join(heavy.select("region"), "region", "left_anti").select("region", "key", "data")
-    if heavy.isEmpty():
-        return fits
-    large = written(spaces.join(heavy, "region"), f"jaccard-large-{depth}")
-    if depth >= MAX_DEPTH:
-        return fits.unionByName(_block_pairs(large, leaf))
-    # Pivots: one set of each hash slot of a space; copies of them meet the space's sets in every salt.
-    drawn = (large.select("region", F.pmod(F.xxhash64("key", F.lit(depth + 100)), F.lit(PIVOTS)).alias("slot"), "key", "data")
-             .groupBy("region", "slot").agg(F.min_by("data", F.xxhash64("key")).alias("data")))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    own = large.select("region", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("member"),
-                       "key", "n", "weight", "data")
-    met = own.unionByName(drawn.select("region", salts.alias("salt"), F.lit(0).alias("member"), F.col("slot").alias("key"),
-                                       F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("weight"), "data"))
-    dealt = met.repartition("region", "salt").sortWithinPartitions("region", "salt", "member", "key")
-    placed = written(stream_batches(dealt, lambda rows: _place(rows, eps),
-                                    "region bigint, weight bigint, slot int, key bigint, n bigint, data binary"), f"jaccard-regions-{depth}")
-    children = placed.withColumn("child", F.xxhash64("region", "slot", F.lit(depth)))
-    grown = children.groupBy("region", "weight", "child").agg(F.sum("n").alias("own"))
-    # A space whose largest region keeps most of it does not split by distance.
-    stuck = grown.filter(F.col("own") > 0.8 * F.col("weight")).select("region").distinct()
-    blocks = _block_pairs(large.join(stuck, "region", "left_semi"), leaf)
-    down = children.join(stuck, "region", "left_anti").select(F.col("child").alias("region"), "key", "n", "data")
-    return fits.unionByName(blocks).unionByName(split_regions(down, leaf, eps, depth + 1))
-
-
-def _place(rows: Iterator[tuple], eps: float) -> Iterator[tuple]:
-    """Each set once for its home region and once for each replica; the
-    pivots of a (region, salt) come before its sets."""
-    space, pivots = None, []
-    for region, salt, member, key, n, weight, data in rows:
-        if (region, salt) != space:
-            space, pivots = (region, salt), []
-        if not member:
-            pivots.append(data)
-        else:
-            for slot in _regions(data, pivots, eps):
-                yield region, weight, slot, key, n, data
-
-
-def _block_pairs(large: DataFrame, leaf: int) -> DataFrame:
-    """Leaves of two blocks each: every pair of blocks of a space meets."""
-    parts = F.ceil(F.col("weight") * 2 / leaf).cast("int")
-    cut = large.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("key", F.lit(7)), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    return (cut.withColumn("other", other)
-            .withColumn("region", F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"), F.lit("blocks")))
-            .select("region", "key", "data"))
-
-
 def jaccard_components(docs: DataFrame, shingle: int = 4, similarity: tuple[int, int] = SIMILARITY, leaf: int = LEAF,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every document; the component
@@ -387,9 +339,11 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, similarity: tuple[int,
 
     texts = own.join(small(bearers), "doc_id").select("text", "region", "key")
     made = written(map_batches(texts, sets, "region bigint, key bigint, n bigint, data binary"), "jaccard-members")
-    ready = split_regions(made, leaf, 1 - similarity[0] / similarity[1]).repartition("region").sortWithinPartitions("region", "key")
-    links = stream_batches(ready, lambda rows: _leaves(rows, similarity), "a bigint, b bigint")
-    joined = connected_components(links, "jaccard-links")
+    found, links = split_regions(made, leaf, 1 - similarity[0] / similarity[1], lambda n, m, both: linked(n, m, both, similarity),
+                                 lambda own, rare: signatures(own, similarity, rare), _stars)
+    ready = found.repartition("region").sortWithinPartitions("region", "key")
+    links.append(stream_batches(ready, lambda rows: _leaves(rows, similarity), "a bigint, b bigint"))
+    joined = connected_components(reduce(DataFrame.unionByName, links), "jaccard-links")
 
     # The smallest id of each component, from one row per set.
     ids = classes.join(joined, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("component", "key"))
