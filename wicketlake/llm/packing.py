@@ -46,7 +46,9 @@ TIERS = (512, 1024, 2048, 4096)
 POOL_TOKENS = 1_500_000
 STEP_TOKENS = 8 * 4096
 
-_TRAILING = re.compile(rb"[a-z]+[.,]\Z")
+# Fixed value: the pre-token pattern of the tokenizer family, for words of visible ASCII.
+_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_VISIBLE = re.compile(rb"[!-~]+\Z")
 
 
 class Encoder:
@@ -68,15 +70,21 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: bytes) -> bytes:
-        if _TRAILING.match(word):  # letters, then one mark: two pre-tokens
-            return self.word[word[:-1]] + self.word[word[-1:]]
+        if _VISIBLE.match(word):
+            parts = _PARTS.findall(word)
+            if len(parts) > 1:  # several pre-tokens, each a word of its own
+                return b"".join(map(self.word.__getitem__, parts))
+            return self._merged(word)
         text = word.decode()
         if text.isalpha() and text.islower() and unicodedata.is_normalized("NFC", text) and text.lower() == text:
             # One pre-token of lower-case letters: the merges alone.
-            ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.stand_in))]
-            return struct.pack(f"<{len(ids)}I", *ids)
+            return self._merged(word)
         return self._library(text)
 
+    def _merged(self, token: bytes) -> bytes:
+        ids = [t.id for t in self.model.tokenize(token.decode("latin-1").translate(self.stand_in))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def ids(self, text: str) -> bytes:
         if "<|" in text:  # may hold a special string: read as a whole
             return self._library(text)
