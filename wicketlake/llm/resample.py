@@ -105,11 +105,12 @@ class Scanner:
 
 def feature_counts(docs: DataFrame, buckets: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_words, n_features, met, n)``: the buckets that a
-    document's features meet, ascending, and how often; no shuffle."""
+    document's features meet, ascending, and how often, both as the bytes of
+    little-endian unsigned 32-bit numbers; no shuffle."""
     own = texts_of(docs, id_col, text_col)
     bound_batches(own.sparkSession)
     kind = own.schema["doc_id"].dataType.simpleString()
-    schema = pa.schema([("n_words", pa.int64()), ("n_features", pa.int64()), ("met", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+    names = ["doc_id", "n_words", "n_features", "met", "n"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = worker_state(("resample", buckets), lambda: Scanner(buckets))
@@ -117,13 +118,15 @@ def feature_counts(docs: DataFrame, buckets: int = 10_000, id_col: str = "doc_id
             if not batch.num_rows:
                 continue
             found = [scanner.counts(t.as_py()) for t in batch.column(1)]
-            ends = np.cumsum([0] + [len(met) for _, met, _ in found]).astype(np.int32)
-            met, n = (np.concatenate([f[k] for f in found]) for k in (1, 2))
-            columns = [pa.array([f[0] for f in found], pa.int64()), pa.array([int(f[2].sum()) for f in found], pa.int64()),
-                       pa.ListArray.from_arrays(ends, met), pa.ListArray.from_arrays(ends, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=pa.schema([batch.schema.field(0), *schema]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([int(f[2].sum()) for f in found], pa.int64()),
+                 *(pa.array([f[k].astype("<u4").tobytes() for f in found], pa.binary()) for k in (1, 2))], names=names)
 
-    return own.mapInArrow(scan, f"doc_id {kind}, n_words bigint, n_features bigint, met array<int>, n array<bigint>")
+    return own.mapInArrow(scan, f"doc_id {kind}, n_words bigint, n_features bigint, met binary, n binary")
+
+
+def _numbers(column: pa.Array) -> Iterator[np.ndarray]:
+    return (np.frombuffer(x.as_py(), "<u4") for x in column)
 
 
 def bucket_totals(counts: DataFrame, buckets: int) -> list[int]:
@@ -132,7 +135,8 @@ def bucket_totals(counts: DataFrame, buckets: int) -> list[int]:
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            np.add.at(total, batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy())
+            for met, n in zip(*map(_numbers, batch.columns)):
+                total[met] += n
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(total[met], pa.int64())], names=["bucket", "n"])
 
@@ -158,10 +162,7 @@ def document_weights(counts: DataFrame, gain: list[int]) -> DataFrame:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            met, n = batch.column("met"), batch.column("n")
-            sums = np.concatenate([[0], np.cumsum(worth[met.flatten().to_numpy()] * n.flatten().to_numpy())])
-            ends = np.concatenate([[0], np.cumsum(met.value_lengths().to_numpy())]).astype(np.int64)
-            weight = sums[ends[1:]] - sums[ends[:-1]]
+            weight = [int(worth[met] @ n.astype(np.int64)) for met, n in zip(_numbers(batch.column("met")), _numbers(batch.column("n")))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(weight, pa.int64())],
                                              names=["doc_id", "n_words", "n_features", "weight"])
 
