@@ -59,10 +59,12 @@ from collections.abc import Iterator
 from itertools import combinations, groupby
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicketlake.llm.common import BROADCAST_IDS, BROADCAST_ROWS, map_batches, small, stream_batches, worker_state, written
+from wicketlake.llm.common import (BROADCAST_IDS, BROADCAST_ROWS, TwoGenerationCache, map_batches, small, stream_batches, worker_state,
+                                   written)
 from wicketlake.llm.components import connected_components
 
 MAX_BITS = 3
@@ -120,6 +122,7 @@ class Sketcher:
         import numpy as np
 
         self.powers = {}
+        self.task, self.given = None, None
         self.is_word = np.zeros(256, dtype=bool)
         self.is_word[[b for b in range(256) if _WORD.match(bytes([b]))]] = True
 
@@ -241,40 +244,70 @@ def _pieces(texts: list[str]) -> Iterator[tuple[int, int, bytes]]:
         yield row, line, data
 
 
-def _lines(columns: list[list], min_words: int, wide: bool = False) -> list:
-    """All lines of a batch, in chunks of joined texts."""
+def _chunks(texts: list[str]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Pieces of a batch, gathered up to ``CHUNK`` bytes."""
+    held, size = [], 0
+    for piece in _pieces(texts):
+        if held and size + len(piece[2]) > CHUNK:
+            yield held
+            held, size = [], 0
+        held.append(piece)
+        size += len(piece[2])
+    if held:
+        yield held
+
+
+def _lines(columns: list[list], min_words: int) -> list:
+    """``(doc_id, line, line_key, sim)`` of all lines of a batch, in chunks of
+    joined texts."""
     import numpy as np
 
     sketcher = worker_state("linededup", Sketcher)
     ids, texts = columns
-    rows, numbers, keys, sims, places, counts = [], [], [], [], [], []
-
-    def flush(held):
-        found, key, sim, *meets = sketcher.lines(b"\n".join(d for _, _, d in held), min_words, wide)
-        for line, place in meets:
-            counts.append(np.bincount(line, minlength=len(found)))
-            places.append(place)
+    rows, numbers, keys, sims = [], [], [], []
+    for held in _chunks(texts):
+        found, key, sim = sketcher.lines(b"\n".join(d for _, _, d in held), min_words)
         begin = np.cumsum([0] + [d.count(b"\n") + 1 for _, _, d in held])
         piece = np.searchsorted(begin, found, side="right") - 1
         rows.append(np.array([r for r, _, _ in held])[piece])
         numbers.append(found - begin[piece] + np.array([n for _, n, _ in held])[piece])
         keys.append(key)
         sims.append(sim)
+    return [pa.array(ids).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(numbers)),
+            pa.array(np.concatenate(keys)), pa.array(np.concatenate(sims))]
 
-    held, size = [], 0
-    for piece in _pieces(texts):
-        if held and size + len(piece[2]) > CHUNK:
-            flush(held)
-            held, size = [], 0
-        held.append(piece)
-        size += len(piece[2])
-    flush(held)
-    out = [pa.array(ids).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(numbers)),
-           pa.array(np.concatenate(keys)), pa.array(np.concatenate(sims))]
-    if wide:
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-        out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(places), pa.int64())))
-    return out
+
+def _places(columns: list[list], min_words: int) -> list:
+    """``(at, sim)`` of the lines of a batch; lines that a task has given
+    already are left out, as far as a bounded memory reaches."""
+    import numpy as np
+
+    sketcher, task = worker_state("linededup", Sketcher), TaskContext.get().taskAttemptId()
+    if sketcher.task != task:
+        sketcher.task, sketcher.given = task, TwoGenerationCache(lambda key: True, 100_000)
+    given, at, of = sketcher.given, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for held in _chunks(columns[0]):
+        _, keys, sims, (line, place) = sketcher.lines(b"\n".join(d for _, _, d in held), min_words, True)
+        fresh = np.zeros(len(keys), bool)
+        for k, key in enumerate(keys.tolist()):
+            if key not in given:
+                given[key]
+                fresh[k] = True
+        wanted = fresh[line]
+        at.append(place[wanted])
+        of.append(sims[line[wanted]])
+    return [pa.array(np.concatenate(at)), pa.array(np.concatenate(of))]
+
+
+def _meet(columns: list[list]) -> list:
+    """``(line_key, component, joined, sim, bytes, place)`` of the places of
+    lines that are given by their words."""
+    import numpy as np
+
+    words = columns[-1]
+    *_, (line, place) = worker_state("linededup", Sketcher).lines(b"\n".join(words), 1, True)
+    sizes = [len(w) for w in words]
+    return [pa.array(np.array(c, dtype=np.int64)[line]) for c in (*columns[:-1], sizes)] + [pa.array(place)]
 
 
 def block_masks(distinct: int) -> list[int]:
@@ -464,11 +497,9 @@ def line_groups(docs: DataFrame, min_words: int, min_similarity: float, wide: bo
     group)`` of the keys that are in a group of two keys or more."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    lines = written(map_batches(docs.select("doc_id", "text"), _lines, f"doc_id {kind}, line bigint, line_key bigint, sim bigint"
-                                + ", places array<bigint>" * wide, min_words, wide), "lines")
+    lines = written(map_batches(docs.select("doc_id", "text"), _lines, f"doc_id {kind}, line bigint, line_key bigint, sim bigint", min_words), "lines")
     distinct = written(lines.groupBy("line_key").agg(F.min("sim").alias("sim"), F.count("*").alias("n"),
-                                                     F.min(F.struct("doc_id", "line")).alias("first"),
-                                                     *[F.first("places").alias("places")] * wide), "line-keys")
+                                                     F.min(F.struct("doc_id", "line")).alias("first")), "line-keys")
     reps = written(distinct.groupBy("sim").agg(F.min("line_key").alias("rep")), "line-sims")
 
     # Candidate forest over the SimHashes, then over the lines.
@@ -481,7 +512,8 @@ def line_groups(docs: DataFrame, min_words: int, min_similarity: float, wide: bo
               .sortWithinPartitions("choice", "block"))
     near = blocks.mapInArrow(_block_edges, "a bigint, b bigint")
     if wide:
-        near = near.unionByName(run_forest(distinct.select(F.explode("places").alias("at"), "sim")))
+        # Places are read off the texts again: twelve numbers a line are more to keep than to make.
+        near = near.unionByName(run_forest(map_batches(docs.select("text"), _places, "at bigint, sim bigint", min_words)))
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rep = lambda s: reps.select(F.col("sim").alias(s), F.col("rep").alias(f"r{s}"))
     across = near.join(rep("a"), "a").join(rep("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
@@ -507,24 +539,26 @@ def line_groups(docs: DataFrame, min_words: int, min_similarity: float, wide: bo
         unsure = whole.join(failed.join(whole, "node").select("component").distinct(), "component", "left_semi")
         members = (unsure.join(groups.select("node", F.col("component").alias("joined")), "node", "left")
                    .select(F.col("node").alias("line_key"), "component", F.coalesce("joined", "node").alias("joined"))
-                   .join(distinct.select("line_key", "sim", *["places"] * wide), "line_key").join(texts, "line_key"))
-        again = written(rejoined(leaves(written(members, "line-unsure")), min_similarity), "line-again")
+                   .join(distinct.select("line_key", "sim"), "line_key").join(texts, "line_key"))
+        unsure = written(members, "line-unsure")
+        again = written(rejoined(leaves(unsure, wide=True) if wide else leaves(unsure), min_similarity), "line-again")
         groups = connected_components(held.unionByName(again), "line-rejoined")
     return lines, distinct, groups.select(F.col("node").alias("line_key"), F.col("component").alias("group"))
 
 
-def leaves(members: DataFrame, leaf_bytes: int = LEAF_BYTES, leaf_lines: int = LEAF_LINES) -> DataFrame:
+def leaves(members: DataFrame, leaf_bytes: int = LEAF_BYTES, leaf_lines: int = LEAF_LINES, wide: bool = False) -> DataFrame:
     """Places ``(region, part, block, own, line_key, joined, sim, words)`` at
     which ``members (line_key, component, joined, sim, words)`` meet that are
-    not in one group ``joined`` yet: by each quarter of their SimHashes, by
-    ``places`` (parts 4 and 5) if there is such a column, and where such a group exceeds a leaf, its lines are cut into blocks and the
-    pairs of blocks are leaves."""
+    not in one group ``joined`` yet: by each quarter of their SimHashes, with
+    ``wide`` by their places (parts 4 and 5), and where such a group exceeds a
+    leaf, its lines are cut into blocks and the pairs of blocks are leaves."""
     quarter = F.element_at(F.array(*[F.lit(m) for m in QUARTERS]), F.col("part") + 1)
     bare = members.withColumn("bytes", F.length("words"))
     rows = (bare.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(3))))
             .select("line_key", "joined", "sim", "part", "bytes", F.xxhash64("component", "part", F.col("sim").bitwiseAND(quarter)).alias("at")))
-    if "places" in members.columns:
-        placed = bare.withColumn("place", F.explode("places"))
+    if wide:
+        placed = map_batches(members.select("line_key", "component", "joined", "sim", "words"), _meet,
+                             "line_key bigint, component bigint, joined bigint, sim bigint, bytes bigint, place bigint")
         rows = rows.unionByName(placed.select("line_key", "joined", "sim", (F.col("place").bitwiseAND(F.lit(1)) + 4).cast("int").alias("part"),
                                               "bytes", F.xxhash64("component", F.lit(4), "place").alias("at")))
     # Lines of one SimHash meet in the first quarter already.
