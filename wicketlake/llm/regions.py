@@ -19,7 +19,8 @@ Each round looks at the regions above ``leaf`` shingles:
   1 - eps: an end of a link that is near a pivot has its other end there.
   Windows are computed without moving sets; a region is divided where its
   children weigh at most ``GROWTH`` times as much and the largest is smaller.
-  Elsewhere only the labels are kept.
+  Elsewhere only the labels are kept, and the region is a leaf if it has at
+  most ``LAST_LEAF`` shingles.
 * Where one label holds nearly all of a region, as in a large group of near
   copies, the others (at most half a leaf) meet its sets in blocks: the sets
   of the label are written once, the others once for each block.
@@ -103,10 +104,10 @@ def _place(rows: Iterator[tuple], eps: float, is_link: Callable) -> Iterator[tup
                [pivots[k][0] if k >= 0 and tied[k] else label for k in slots], ties)
 
 
-def by_pivots(large: DataFrame, eps: float, is_link: Callable, round_no: int) -> tuple[DataFrame, DataFrame]:
-    """``(regions, links)`` of the regions ``large``, which come with their
-    ``weight`` and ``most`` (the label of most weight). Pivots are drawn from
-    the sets of other labels, one for each hash slot."""
+def by_pivots(large: DataFrame, eps: float, is_link: Callable, round_no: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(children, undivided, links)`` of the regions ``large``, which come
+    with their ``weight`` and ``most`` (the label of most weight). Pivots are
+    drawn from the sets of other labels, one for each hash slot."""
     low, high = PIVOTS
     slots = F.least(F.lit(high), F.greatest(F.lit(low), F.ceil(F.col("weight") * 2 / F.col("leaf")))).cast("int")
     drawn = (large.filter("label is null or most is null or label <> most")
@@ -135,8 +136,9 @@ def by_pivots(large: DataFrame, eps: float, is_link: Callable, round_no: int) ->
     sets = large.select("region", "key", "data")
     down = (each.join(verdict.filter("divide").select("region"), "region").join(sets, ["region", "key"])
             .select(F.xxhash64("region", "to.slots", F.lit(round_no)).alias("region"), "key", "n", F.col("to.labels").alias("label"), "data"))
-    same = placed.select("region", "key", "n", "label").join(verdict.filter("not divide").select("region"), "region").join(sets, ["region", "key"])
-    return down.unionByName(same), links
+    same = placed.select("region", "key", "n", "label").join(verdict.filter("not divide").select("region"), "region").join(
+        large.select("region", "key", "data", "weight"), ["region", "key"])
+    return down, same, links
 
 
 def by_rare_shingles(large: DataFrame, often: int, sign: Callable, stars: Callable, round_no: int) -> DataFrame:
@@ -215,8 +217,11 @@ def split_regions(spaces: DataFrame, leaf: int, eps: float, is_link: Callable, s
             break
         large = written(rest.join(heavy, "region"), f"jaccard-large-{round_no}")
         if how == "pivots":
-            rest, found = by_pivots(large, eps, is_link, round_no)
+            rest, same, found = by_pivots(large, eps, is_link, round_no)
             links.append(found)
+            # Undivided regions that fit the last leaf are done; larger ones try other pivots.
+            leaves.append(same.filter(F.col("weight") <= last_leaf).select("region", "key", "data"))
+            rest = rest.unionByName(same.filter(F.col("weight") > last_leaf).drop("weight"))
         elif how == "rare":
             rest = by_rare_shingles(large, often, sign, stars, round_no)
         else:
