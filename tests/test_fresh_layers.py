@@ -52,9 +52,12 @@ def expected(t):
             "clean_matches": silver.transform_matches(matches)}
 
 
-def check_layers(spark, folder):
+def check_layers(spark, folder, *names):
+    """The named layers (default: all) equal a build from all files."""
     t = Tables(spark, folder)
     for name, want in expected(t).items():
+        if names and name not in names:
+            continue
         got = getattr(t, name)
         assert sorted(got.columns) == sorted(want.columns), name
         assert rows_of(got) == rows_of(want), name
@@ -71,8 +74,8 @@ def spoil(folder, name):
 
 def test_appended_files_change_the_next_query(spark, source):
     folder, halves = source
-    check_layers(spark, folder)
     first = Tables(spark, folder).deliveries.count()
+    Tables(spark, folder).players  # noqa: B018
     for name, (_, second) in halves.items():
         add_file(second, f"{folder}/{name}.parquet", "b")
     check_layers(spark, folder)  # equals a full build; matches that both files hold are merged
@@ -108,21 +111,23 @@ def test_untouched_buckets_keep_their_files(spark, source):
     after = table.head()
     changed = [b for b in after.folders if after.folders[b] != before.folders.get(b)]
     assert after.number == before.number + 1 and 0 < len(changed) < len(after.folders)
-    check_layers(spark, folder)
+    check_layers(spark, folder, "cards")
 
 
 def test_changed_and_removed_files_rebuild(spark, source):
     folder, halves = source
-    check_layers(spark, folder)
+    t = Tables(spark, folder)
+    t.deliveries, t.players  # noqa: B018
     for name, (_, second) in halves.items():
         os.remove(f"{folder}/{name}.parquet/a.parquet")
         add_file(second, f"{folder}/{name}.parquet", "b")
-    check_layers(spark, folder)
+    check_layers(spark, folder, "deliveries", "players")
 
 
 def test_unchanged_sources_build_nothing(spark, source, monkeypatch):
     folder, _ = source
-    check_layers(spark, folder)
+    t = Tables(spark, folder)
+    t.deliveries, t.players, t.clean_matches  # noqa: B018
     layers._HEADS.clear()
     tables._DERIVED.clear()  # as a second application would start
 
@@ -144,7 +149,7 @@ def test_empty_source(spark, source):
     assert t.deliveries.count() == t.cards.count() == t.matches.count() == 0
     for name, (first, _) in halves.items():
         add_file(first, f"{folder}/{name}.parquet", "a")
-    check_layers(spark, folder)
+    check_layers(spark, folder, "cards", "matches")
 
 
 # Upserts ---------------------------------------------------------------------

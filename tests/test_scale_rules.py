@@ -165,3 +165,16 @@ def test_permutation_importance_reads_all_rows(spark):
     model, _, _ = M.train_outcome_model(feats, MF.MATCH_FEATURES, max_iter=2)
     rows = M.permutation_importance(model, feats, MF.MATCH_FEATURES[:3], bucket_rows=10).collect()
     assert sorted(r.feature for r in rows) == sorted(MF.MATCH_FEATURES[:3])
+
+
+def _initial_plan(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("== Initial Plan ==")[-1]
+
+
+@pytest.mark.parametrize("name, exchanges, scans", [
+    ("m1_match_features", 6, 4), ("j8_two_sided_dimension_join", 6, 4), ("a48_win_by_runs_histogram", 6, 2),
+    ("a7_team_stats_median_imputed", 8, 4), ("x2_player_documents", 0, 1)])
+def test_plans_stay_small(spark, name, exchanges, scans):
+    plan = _initial_plan(registry.spark_queries()[name](spark, SF))
+    assert plan.count("Exchange") <= exchanges and plan.count("FileScan") <= scans, plan
