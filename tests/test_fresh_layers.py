@@ -84,6 +84,30 @@ def test_appended_files_change_the_next_query(spark, source):
     assert rows_of(q(spark, folder)) == rows_of(q(spark, SF))
 
 
+def test_layers_are_dealt_as_numbers(spark, source, monkeypatch):
+    """A whole build shuffles every ball once, without the texts made from its
+    numbers, sorts no sides of balls, and has buckets for large sources."""
+    folder, _ = source
+    plans, commit = {}, VersionedTable.commit
+
+    def caught(table, rows, *args, **kwargs):
+        explain = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString
+        plans[table.root.rsplit("/", 1)[-1]] = explain(rows._jdf.queryExecution(), "formatted").split("\n\n")
+        return commit(table, rows, *args, **kwargs)
+
+    monkeypatch.setattr(VersionedTable, "commit", caught)
+    monkeypatch.setattr(layers, "BUCKET_BYTES", os.path.getsize(f"{folder}/lineitem.parquet/a.parquet") // 20)
+    t = Tables(spark, folder)
+    t.deliveries, t.cards  # noqa: B018
+    for name in ("deliveries", "cards"):
+        moved = [block for block in plans[name] if ") Exchange" in block]
+        assert len(moved) == 1, plans[name]
+        assert not any(c in moved[0] for c in ("batsman", "bowler", "team", "match_id", "dismissal")), moved
+        assert VersionedTable(spark, f"{t.store}/{name}", []).head().buckets >= 20
+    assert any(") HashAggregate" in block for block in plans["cards"])
+    check_layers(spark, folder)
+
+
 def test_old_files_are_not_read_again(spark, source):
     folder, halves = source
     t = Tables(spark, folder)
