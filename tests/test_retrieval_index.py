@@ -137,6 +137,29 @@ def test_pruning_scores_fewer_documents(spark):
     index.unpersist()
 
 
+def test_candidates_meet_documents_by_id(spark):
+    """No row for each candidate and each term of its query is made to be
+    joined: with every join a shuffle, none is dealt by term and id."""
+    docs = [(i, "common words here " + " ".join(f"w{(i * j) % 37}" for j in range(1, 9))) for i in range(60)]
+    index = TI.postings(spark.createDataFrame(docs, "id long, text string"))
+    queries = spark.createDataFrame([(1, "common words w3 w5 w8", 4), (2, "here w1 w36", 2)], "query_id long, question string, k int")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = TI.search(index, queries).hits
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        found = {(r.query_id, r["rank"]): (r.id, r.score) for r in hits.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert not re.search(r"hashpartitioning\(term#\d+L?, id#", plan), plan
+    held = {}
+    for r in index.collect():
+        held.setdefault(r.id, {})[r.term] = r.impact
+    for q in queries.collect():
+        sums = sorted((-sum(own[t] for t in q.question.split() if t in own), i) for i, own in held.items() if set(own) & set(q.question.split()))
+        assert [found[q.query_id, n + 1] for n in range(q.k)] == [(i, -s) for s, i in sums[:q.k]]
+
+
 def test_postings_of_nothing(spark):
     index = TI.postings(spark.createDataFrame([], "id string, text string"))
     queries = spark.createDataFrame([("q", "a", 3)], "query_id string, question string, k int")
