@@ -160,6 +160,21 @@ def test_candidates_meet_documents_by_id(spark):
         assert [found[q.query_id, n + 1] for n in range(q.k)] == [(i, -s) for s, i in sums[:q.k]]
 
 
+def test_sizes_come_from_the_term_counts(spark, monkeypatch):
+    """The texts are cut into terms once; equal ids count as documents of
+    their own, as they did."""
+    read, kept = [], TI.written
+    monkeypatch.setattr(TI, "written", lambda df, name: read.append(name) or kept(df, name))
+    docs = [(1, "a b b"), (1, "a c d"), (2, "a"), (3, None), (4, "..."), (5, "e f g h")]
+    index = TI.postings(spark.createDataFrame(docs, "id long, text string").coalesce(1))
+    assert read == ["term-counts"] and "split(" not in index._jdf.queryExecution().optimizedPlan().toString()
+    n, mean, df = 4, 11 / 4, {"a": 2, "b": 1, "c": 1, "d": 1, "e": 1, "f": 1, "g": 1, "h": 1}
+    tf = {(1, "a"): (2, 3), (1, "b"): (2, 3), (1, "c"): (1, 3), (1, "d"): (1, 3), (2, "a"): (1, 1), **{(5, t): (1, 4) for t in "efgh"}}
+    want = {key: math.floor(1000 * math.log(1 + (n - df[key[1]] + 0.5) / (df[key[1]] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean)))
+            for key, (f, length) in tf.items()}
+    assert {(r.id, r.term): r.impact for r in index.collect()} == want
+
+
 def test_postings_of_nothing(spark):
     index = TI.postings(spark.createDataFrame([], "id string, text string"))
     queries = spark.createDataFrame([("q", "a", 3)], "query_id string, question string, k int")
