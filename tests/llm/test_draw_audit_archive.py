@@ -6,7 +6,9 @@ import hashlib
 import itertools
 import math
 import os
+import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -92,6 +94,32 @@ def test_resample_blocks_of_a_long_text(monkeypatch):
     assert Counter(line[a:b].decode() for a, b in scanner.spans(line)) == Counter(brute_features(text)[1])
 
 
+def test_resample_blocks_cut_at_any_word(monkeypatch):
+    rng = random.Random(11)
+    for _ in range(300):
+        text = "".join(rng.choice("aBé -_\n9 ") for _ in range(rng.randrange(60)))
+        monkeypatch.setattr(resample, "BLOCK_FEATURES", rng.choice([1, 4, 12, 45]))
+        words, met, n = resample.Scanner(97).counts(text)
+        brute = Counter(zlib.crc32(f.encode()) % 97 for f in brute_features(text)[1])
+        assert words == len(brute_features(text)[0]) and dict(zip(met.tolist(), n.tolist())) == brute
+
+
+def test_resample_takes_no_python_step_per_word():
+    scanner, steps = resample.Scanner(10_000), []
+    text = " ".join(f"w{i % 700}" for i in range(5000))
+
+    def step(frame, event, arg):
+        steps.append(event)
+        return step
+
+    sys.settrace(lambda frame, event, arg: step if frame.f_code.co_name == "counts" else None)
+    try:
+        scanner.counts(text)
+    finally:
+        sys.settrace(None)
+    assert 0 < len(steps) < 1000
+
+
 def test_resample_on_the_table(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     target = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

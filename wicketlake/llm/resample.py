@@ -3,9 +3,10 @@ scanning.
 
 A text's ASCII capitals become small letters and every run of separators one
 space; one regular expression, run with ``overlapped=True``, then matches at
-every word start, and its groups are the spans of the runs of one, two and
-three words from there: neighbouring matches share the space between them, and
-a lookahead closes the last word. Each span's bytes give a CRC and a bucket.
+every word start, and its groups are the runs of three, two and one words from
+there: neighbouring matches share the space between them, and a lookahead
+closes the last word. Each run's bytes give a CRC and a bucket; the groups of a
+block of matches are taken at once, without a step of Python per word.
 
 Jobs: (1) every text is scanned once, and its sparse bucket counts are written
 (at most ``buckets`` entries a document, whatever its length); (2) each task
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +57,9 @@ class Scanner:
         import regex
 
         self.buckets, self.table = buckets, word_bytes()
-        word = rb"([^ ]++)"
-        self.runs = regex.compile(rb" " + word + rb"(?: " + word + rb"(?: " + word + rb")?+)?+(?= )")
+        # Groups of a match: three, two and one words; where words are missing, a group equals the next one.
+        word = rb"[^ ]++"
+        self.runs = regex.compile(rb" (((" + word + rb")(?: " + word + rb")?+)(?: " + word + rb")?+)(?= )")
 
     def collapsed(self, text: str) -> bytes:
         words = text.encode().translate(self.table).split()
@@ -65,43 +68,38 @@ class Scanner:
     def spans(self, line: bytes) -> Iterator[tuple[int, int]]:
         """Byte spans of all runs in a collapsed line, ``(start, end)``."""
         for match in self.runs.finditer(line, overlapped=True):
-            (start, one), (_, two), (_, three) = match.regs[1:]
+            (start, three), (_, two), (_, one) = match.regs[1:]
             yield start, one
-            if two > 0:
+            if two > one:
                 yield start, two
-                if three > 0:
+                if three > two:
                     yield start, three
 
     def counts(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
-        """``(words, buckets met, their counts)`` of one text."""
+        """``(words, buckets met, their counts)`` of one text: the features of
+        ``spans``, whose bytes the expression gives for a block of word starts
+        at once."""
         from zlib import crc32
 
         line = self.collapsed(text)
-        held, total, words, buckets = [], None, 0, self.buckets
-        add = held.append
-        # The loop of ``spans``, without a generator step per span.
-        for match in self.runs.finditer(line, overlapped=True):
-            (start, one), (_, two), (_, three) = match.regs[1:]
-            add(crc32(line[start:one]))
-            if two > 0:
-                add(crc32(line[start:two]))
-                if three > 0:
-                    add(crc32(line[start:three]))
-            words += 1
-            if len(held) >= BLOCK_FEATURES:
-                total = self._more(total, held)
-                held.clear()
-        if total is None:
-            met, n = np.unique(np.array(held, np.uint32) % buckets, return_counts=True)
-            return words, met.astype(np.int32), n.astype(np.int64)
-        total = self._more(total, held)
+        total, words, begin = np.zeros(self.buckets, np.int64), 0, 0
+        block = max(1, BLOCK_FEATURES * 2 // 3)  # bytes: a word and its space take two at least, and start three features
+        while begin < len(line) - 1:
+            # The two words after a block are scanned with it and start the next block's own matches.
+            cut = line.find(b" ", begin + block)
+            after = line.find(b" ", line.find(b" ", cut + 1) + 1) if 0 <= cut < len(line) - 1 else -1
+            last = after <= cut
+            found = self.runs.findall(line, begin, len(line) if last else after + 1, overlapped=True)
+            ones = len(found) if last else len(found) - 2
+            threes, twos, single = zip(*found)
+            pairs, triples = (max(0, ones - 1), max(0, ones - 2)) if last else (ones, ones)
+            held = np.fromiter(map(crc32, chain(single[:ones], twos[:pairs], threes[:triples])), np.uint32, ones + pairs + triples)
+            total += np.bincount(held % self.buckets, minlength=self.buckets)
+            words += ones
+            begin = len(line) if last else cut
         met = np.flatnonzero(total)
         return words, met.astype(np.int32), total[met]
 
-    def _more(self, total: np.ndarray | None, held: list[int]) -> np.ndarray:
-        more = np.bincount(np.array(held, np.uint32) % self.buckets, minlength=self.buckets)
-        return more if total is None else total + more
-
 
 def feature_counts(docs: DataFrame, buckets: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_words, n_features, met, n)``: the buckets that a
