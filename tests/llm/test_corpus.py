@@ -421,6 +421,36 @@ def test_line_rejoin_in_bounded_leaves(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == want and most and max(most) <= 40 < len(texts)
 
 
+def test_line_words_are_dealt_in_rounds(spark, monkeypatch):
+    """The words of unsure lines go to their leaves a share of the leaves at a
+    time; the rounds together hold every leaf and find every link."""
+    rng = random.Random(8)
+    lines = []
+    for base in (words(rng, 12), words(rng, 12)):
+        for _ in range(15):
+            order = rng.sample(base, 12)
+            lines += [order, order[1:2] + order[:1] + order[2:]]
+    texts = [" ".join(x) for x in lines]
+    want, _, _ = brute_dedup(texts)
+    dealt, all_at_once, leaves, rejoined = [], [], linededup.leaves, linededup.rejoined
+
+    def met(members):
+        found = leaves(members, leaf_lines=6)
+        all_at_once.append(found.count())
+        return found
+
+    def counted(df, share):
+        dealt.append(df.count())
+        return rejoined(df, share)
+
+    monkeypatch.setattr(linededup, "ROUND_ROWS", 1, raising=False)
+    monkeypatch.setattr(linededup, "leaves", met)
+    monkeypatch.setattr(linededup, "rejoined", counted)
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    assert sum(dealt) == all_at_once[0] and max(dealt) <= all_at_once[0] / 3
+
+
 def test_wide_line_dedup_by_edit_similarity_alone(spark):
     """No bound on the bits: of pairs at an edit similarity of 0.8 and more,
     wide candidates miss next to none, and dedup joins what brute force does."""

@@ -2,12 +2,15 @@
 operators whose other tests leave them out."""
 
 import hashlib
+import os
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from test_maps import base_spans, digest
-from wicketlake.llm import chat, decontaminate, fingerprints, linededup, packing, pii, registered, tokens, toxicity, urls
+from wicketlake.llm import chat, common, decontaminate, fingerprints, linededup, packing, pii, registered, tokens, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 LONG = "lorem ipsum a.b@example.org 10.0.0.1 dolor\n" * 6000
@@ -130,3 +133,22 @@ def test_pipeline_of_nothing_and_of_odd_rows(spark):
         # The repeated line of document 4 is cut; empty documents and rows without an id or text stay.
         assert {r.doc_id for r in packed.collect()} == ({None, 1, 2, 3, 4} if rows else set())
         assert {r.doc_id for r in packed.collect() if r.doc_tokens > 1} <= {None, 3}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """The files of the shuffles behind a written table go with it, so those of
+    an operator's many steps do not add up on disk."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(common.FREE_SHUFFLES)
+    rows = spark.range(20_000).withColumn("k", F.xxhash64("id"))
+    made = common.written(rows.repartition(8, "k").groupBy("k").agg(F.max("id").alias("id")), "freed")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(common.FREE_SHUFFLES) == setting
+    assert made.count() == 20_000 and made.agg(F.max("id")).first()[0] == 19_999

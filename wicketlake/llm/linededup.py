@@ -40,7 +40,8 @@ one row after a partial aggregate. Ids of the documents that hold candidates
 are broadcast up to four million, the line numbers to cut up to a million;
 beyond that the same joins shuffle the texts. Components with failed edges are
 cut into leaves of about a thousand lines or 4 MB, which are tasks of their
-own; lines with the same words in other orders stay quadratic in number, spread
+own and get their words in up to eight rounds, so that an eighth of these words
+is on disk at once; lines with the same words in other orders stay quadratic in number, spread
 over pairs of blocks.
 
 Defined results: a null text stays null and a null id drops nothing; an empty
@@ -80,6 +81,9 @@ RUN, ANCHORS, RUN_BITS, RUN_FROM, DELETE_TO = 3, 12, 24, 8, 9
 RUN_GROUP = 20_000
 #: Bytes and number of the lines that are compared with each other in one place.
 LEAF_BYTES, LEAF_LINES = 4 << 20, 1000
+#: Rounds in which the words of lines are dealt to their leaves, and rows of a round at least: a round's words lie on
+#: disk at once, so many rounds take that part of the space.
+ROUNDS, ROUND_ROWS = 8, 25_000
 #: Masks of the four quarters of a SimHash, as signed 64-bit numbers.
 QUARTERS = (0xFFFF, 0xFFFF << 16, 0xFFFF << 32, -(1 << 48))
 
@@ -541,13 +545,13 @@ def line_groups(docs: DataFrame, min_words: int, min_similarity: float, wide: bo
                    .select(F.col("node").alias("line_key"), "component", F.coalesce("joined", "node").alias("joined"))
                    .join(distinct.select("line_key", "sim"), "line_key").join(texts, "line_key"))
         unsure = written(members, "line-unsure")
-        again = written(rejoined(leaves(unsure, wide=True) if wide else leaves(unsure), min_similarity), "line-again")
-        groups = connected_components(held.unionByName(again), "line-rejoined")
+        met = written(leaves(unsure, wide=True) if wide else leaves(unsure), "line-meetings")
+        groups = connected_components(held.unionByName(rejoined_in_rounds(met, unsure, min_similarity)), "line-rejoined")
     return lines, distinct, groups.select(F.col("node").alias("line_key"), F.col("component").alias("group"))
 
 
 def leaves(members: DataFrame, leaf_bytes: int = LEAF_BYTES, leaf_lines: int = LEAF_LINES, wide: bool = False) -> DataFrame:
-    """Places ``(region, part, block, own, line_key, joined, sim, words)`` at
+    """Places ``(line_key, region, part, block, own, joined, sim)`` at
     which ``members (line_key, component, joined, sim, words)`` meet that are
     not in one group ``joined`` yet: by each quarter of their SimHashes, with
     ``wide`` by their places (parts 4 and 5), and where such a group exceeds a
@@ -566,12 +570,24 @@ def leaves(members: DataFrame, leaf_bytes: int = LEAF_BYTES, leaf_lines: int = L
                                             F.max("joined").alias("high"), F.min("sim").alias("s"), F.max("sim").alias("t"))
              .filter("low <> high and (part = 0 or s <> t)")
              .select("at", F.greatest(F.lit(1), F.ceil(F.col("bytes") * 2 / leaf_bytes), F.ceil(F.col("n") * 2 / leaf_lines)).cast("int").alias("parts")))
-    blocks = (rows.join(sizes, "at").withColumn("block", F.pmod(F.xxhash64("line_key", F.lit(7)), F.col("parts")).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-              .withColumn("region", F.xxhash64("at", F.least("block", "other"), F.greatest("block", "other")))
-              .select("line_key", "region", "part", "block", (F.col("block") == F.col("other")).alias("own"), "joined", "sim"))
-    return blocks.join(members.select("line_key", "words"), "line_key").select(
-        "region", "part", "block", "own", "line_key", "joined", "sim", "words")
+    return (rows.join(sizes, "at").withColumn("block", F.pmod(F.xxhash64("line_key", F.lit(7)), F.col("parts")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .withColumn("region", F.xxhash64("at", F.least("block", "other"), F.greatest("block", "other")))
+            .select("line_key", "region", "part", "block", (F.col("block") == F.col("other")).alias("own"), "joined", "sim"))
+
+
+def rejoined_in_rounds(met: DataFrame, members: DataFrame, min_similarity: float) -> DataFrame:
+    """Verified links ``(a, b)`` that join the groups of all leaves ``met``, a
+    share of the leaves at a time: a line's words are shuffled to each of its
+    leaves, which for all leaves together is several times the texts. What a
+    round shuffled is freed before the next."""
+    rounds, links = max(1, min(ROUNDS, met.count() // ROUND_ROWS)), None
+    for k in range(rounds):
+        dealt = met.filter(F.pmod("region", F.lit(rounds)) == k).join(members.select("line_key", "words"), "line_key").select(
+            "region", "part", "block", "own", "line_key", "joined", "sim", "words")
+        found = written(rejoined(dealt, min_similarity), "line-again")
+        links = found if links is None else links.unionByName(found)
+    return links
 
 
 def rejoined(dealt: DataFrame, min_similarity: float) -> DataFrame:
