@@ -192,6 +192,14 @@ def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
     assert {r.text for r in table.read(one).select("text").distinct().collect()} == {"old"}  # older readers go on
 
 
+def test_a_bucket_has_a_task_of_its_own(spark, tmp_path):
+    docs = spark.range(3000).select("id", (F.col("id") % 7).alias("x")).unionByName(spark.sql("SELECT CAST(NULL AS bigint) AS id, 1L AS x"))
+    table = VersionedTable(spark, f"file://{tmp_path}/docs", ["id"], buckets=48)
+    dealt = table.placed(docs).groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct(versioned.BUCKET).alias("n"), F.count("*").alias("rows"))
+    found = dealt.collect()
+    assert len(found) == 48 and {r.n for r in found} == {1} and sum(r.rows for r in found) == 3001
+
+
 def test_a_failed_write_leaves_the_version_before(spark, tmp_path):
     docs = spark.createDataFrame([(f"d{i}", "old") for i in range(40)], "id string, text string")
     table = VersionedTable(spark, f"file://{tmp_path}/docs", ["id"], buckets=4)

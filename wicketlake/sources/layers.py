@@ -99,7 +99,7 @@ def _refreshed(table: VersionedTable, layer: Layer, files: DataFrame, source: st
                 # What merging adds (the ball number) is left out and made anew.
                 old = held.withColumn(BUCKET, table.bucket_of(head.buckets)).select(*fresh.columns)
                 fresh = old.unionByName(fresh)
-            merged = layer.merge(fresh.repartition(head.buckets, BUCKET))
+            merged = layer.merge(fresh.repartitionById(head.buckets, BUCKET))
             return table.commit(merged, head, files, source, touched)
     size = files.agg(F.coalesce(F.sum("number"), F.lit(0))).first()[0]
     table.wanted = max(table.wanted, -(-size // BUCKET_BYTES))

@@ -88,9 +88,10 @@ class VersionedTable:
         return self.spark.read.parquet(*[f"{self.root}/{f}" for f in folders])
 
     def placed(self, rows: DataFrame, buckets: int | None = None) -> DataFrame:
-        """``rows`` with their bucket, one task per bucket."""
+        """``rows`` with their bucket, one task per bucket: the bucket is the
+        partition, where a hash of it would put several into one task."""
         n = buckets or self.wanted
-        return rows.withColumn(BUCKET, self.bucket_of(n)).repartition(n, BUCKET)
+        return rows.withColumn(BUCKET, self.bucket_of(n)).repartitionById(n, BUCKET)
 
     def commit(self, rows: DataFrame, before: Version | None, sources: DataFrame | None = None, source: str = "",
                replaced: set[int] | None = None) -> Version:
