@@ -152,3 +152,25 @@ def test_written_tables_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not files() - before and spark.conf.get(common.FREE_SHUFFLES) == setting
     assert made.count() == 20_000 and made.agg(F.max("id")).first()[0] == 19_999
+
+
+def test_jaccard_frees_signatures_and_shingles(spark):
+    """What a step has used up does not stay on disk beside later steps."""
+    from wicketlake.llm import jaccard
+    from wicketlake.session import ensure_checkpoint_dir
+
+    base = os.path.join(ensure_checkpoint_dir(spark).removeprefix("file:"), "wicketlake")
+
+    def made():
+        return {f for f in os.listdir(base) if f.startswith(("jaccard-sets-", "jaccard-shingles-"))} if os.path.isdir(base) else set()
+
+    before = made()
+    common_part = " ".join(f"c{i}" for i in range(40))
+    texts = [f"{common_part} " + " ".join(f"w{k}x{i}" for i in range(60)) for k in range(40)]
+    texts += [t + " end" for t in texts[:5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, leaf=200).collect()}
+    assert got == {k: k if k < 40 else k - 40 for k in range(45)}
+    fresh = made() - before
+    assert any(f.startswith("jaccard-sets-") for f in fresh) and any(f.startswith("jaccard-shingles-") for f in fresh)
+    assert all(spark.read.parquet(f"file://{base}/{f}").isEmpty() for f in fresh)

@@ -57,7 +57,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicketlake.llm.common import TwoGenerationCache, map_batches, small, stream_batches, texts_of, without_ids, worker_state, written
+from wicketlake.llm.common import TwoGenerationCache, discard, map_batches, small, stream_batches, texts_of, without_ids, worker_state, written
 from wicketlake.llm.components import connected_components
 from wicketlake.llm.regions import split_regions
 
@@ -327,6 +327,9 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, similarity: tuple[int,
     pairs = signed.select(F.explode("signatures").alias("sig"), "key")
     stars = pairs.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_stars, "a bigint, b bigint")
     spaces = connected_components(stars, "jaccard-spaces")
+    # The signatures are most of the bytes, and nothing reads them from here on.
+    whole, signed = signed, written(signed.select("doc_id", "n", "key"), "jaccard-keys")
+    discard(whole)
 
     # One document for each set of a space of two sets or more; its set is made anew from the text.
     classes = signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))

@@ -43,7 +43,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicketlake.llm.common import map_batches, stream_batches, written
+from wicketlake.llm.common import discard, map_batches, stream_batches, written
 from wicketlake.llm.components import connected_components
 
 #: What each round does, with the bound of a rare shingle.
@@ -179,6 +179,7 @@ def by_rare_shingles(large: DataFrame, often: int, sign: Callable, stars: Callab
     pairs = sigs.select(F.xxhash64("region", "sig").alias("sig"), node.alias("key"))
     edges = pairs.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(stars, "a bigint, b bigint")
     parts = connected_components(edges, f"jaccard-parts-{round_no}")
+    discard(held)
     return large.withColumn("node", node).join(parts, "node").select(
         F.xxhash64("region", "component", F.lit(round_no)).alias("region"), "key", "n", "label", "data")
 
@@ -191,11 +192,13 @@ def split_regions(spaces: DataFrame, leaf: int, eps: float, is_link: Callable, s
                   rounds: tuple = ROUNDS, last_leaf: int = LAST_LEAF) -> tuple[DataFrame, list[DataFrame]]:
     """``(region, key, data)`` of the leaves of ``spaces (region, key, n,
     data)``, and the tables of links ``(a, b)`` that were emitted on the way."""
-    leaves, links = [], []
+    leaves, links, spent = [], [], []
     rest = spaces.withColumn("label", F.lit(None).cast("bigint"))
     for round_no, (how, often) in enumerate((*rounds, ("last", 0))):
         if round_no:
             rest = written(rest, f"jaccard-round-{round_no}")
+            discard(*spent)
+            spent = []
         sums = rest.groupBy("region", "label").agg(F.sum("n").alias("own"))
         known = F.when(F.col("label").isNotNull(), F.struct("own", "label"))
         state = sums.groupBy("region").agg(F.sum("own").alias("weight"), F.max(known).alias("m")).select(
@@ -224,6 +227,7 @@ def split_regions(spaces: DataFrame, leaf: int, eps: float, is_link: Callable, s
             rest = rest.unionByName(same.filter(F.col("weight") > last_leaf).drop("weight"))
         elif how == "rare":
             rest = by_rare_shingles(large, often, sign, stars, round_no)
+            spent.append(large)  # its sets are in the next round's table
         else:
             parts = F.when(F.col("weight") <= last_leaf, F.lit(1)).otherwise(F.ceil(F.col("weight") * 2 / F.lit(last_leaf)))
             cut = _blocks(large, parts, "last").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
