@@ -57,7 +57,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicketlake.llm.common import TwoGenerationCache, discard, map_batches, small, stream_batches, texts_of, without_ids, worker_state, written
+from wicketlake.llm.common import TwoGenerationCache, discard, map_batches, passing_tables, small, stream_batches, texts_of, without_ids, worker_state, written
 from wicketlake.llm.components import connected_components
 from wicketlake.llm.regions import split_regions
 
@@ -316,10 +316,10 @@ def _leaves(rows: Iterator[tuple], similarity: tuple[int, int]) -> Iterator[tupl
     yield from leaf_links(keys, sets, similarity)
 
 
-def jaccard_components(docs: DataFrame, shingle: int = 4, similarity: tuple[int, int] = SIMILARITY, leaf: int = LEAF,
-                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` of every document; the component
-    id is the smallest doc_id reachable by links."""
+def _keys_and_groups(docs: DataFrame, shingle: int, similarity: tuple[int, int], leaf: int, id_col: str,
+                     text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, n, key)`` of every document, and ``(key, component_id)`` of
+    the sets that more than one document has or links lead to."""
     own = texts_of(docs, id_col, text_col)
     kind = dict(own.dtypes)["doc_id"]
     signed = written(map_batches(own, _sign, f"doc_id {kind}, n bigint, key bigint, signatures array<bigint>", shingle, similarity),
@@ -352,6 +352,15 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, similarity: tuple[int,
     ids = classes.join(joined, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("component", "key"))
     smallest = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     grouped = written(ids.filter("copies > 1 or component is not null").join(smallest, "root").select("key", "component_id"), "jaccard-groups")
+    return signed, grouped
+
+
+def jaccard_components(docs: DataFrame, shingle: int = 4, similarity: tuple[int, int] = SIMILARITY, leaf: int = LEAF,
+                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` of every document; the component
+    id is the smallest doc_id reachable by links."""
+    with passing_tables() as keep:
+        signed, grouped = map(keep, _keys_and_groups(docs, shingle, similarity, leaf, id_col, text_col))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), "key").join(grouped, "key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
                       .alias("component_id"))
@@ -360,9 +369,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, similarity: tuple[int,
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One document of each group: the one with the smallest id, all columns
     as they came. Rows without an id stay; rows with equal ids go together."""
-    groups = jaccard_components(docs, id_col=id_col, **options)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return without_ids(docs, written(gone, "jaccard-gone"), id_col)
+    with passing_tables() as keep:
+        groups = jaccard_components(docs, id_col=id_col, **options)
+        gone = keep(written(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "jaccard-gone"))
+    return without_ids(docs, gone, id_col)
 
 
 ORACLE = r"""

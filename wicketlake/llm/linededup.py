@@ -57,6 +57,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations, groupby
 
 import pyarrow as pa
@@ -64,8 +65,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicketlake.llm.common import (BROADCAST_IDS, BROADCAST_ROWS, TwoGenerationCache, map_batches, small, stream_batches, worker_state,
-                                   written)
+from wicketlake.llm.common import (BROADCAST_IDS, BROADCAST_ROWS, TwoGenerationCache, discard, map_batches, passing_tables, small, stream_batches,
+                                   worker_state, written)
 from wicketlake.llm.components import connected_components
 
 MAX_BITS = 3
@@ -79,6 +80,8 @@ _MASK = (1 << 64) - 1
 RUN, ANCHORS, RUN_BITS, RUN_FROM, DELETE_TO = 3, 12, 24, 8, 9
 #: SimHashes that share a run and are compared in one place.
 RUN_GROUP = 20_000
+#: Words up to which edits are counted by bits: a bit for each word and distinct word, 50 MB at most.
+BITS_TO = 20_000
 #: Bytes and number of the lines that are compared with each other in one place.
 LEAF_BYTES, LEAF_LINES = 4 << 20, 1000
 #: Rounds in which the words of lines are dealt to their leaves, and rows of a round at least: a round's words lie on
@@ -456,10 +459,17 @@ def run_forest(meets: DataFrame, group: int = RUN_GROUP) -> DataFrame:
     return edges.unionByName(searched(cut.select(region.alias("at"), "sim"), None).select("a", "b"))
 
 
+def too_many_own(a: frozenset, b: frozenset, limit: int) -> bool:
+    """Whether one of the sets of words has more than ``limit`` words of its
+    own. An edit takes one word away at most, and brings in one at most, so
+    lists of these words are more than ``limit`` edits apart then."""
+    return len(a) > limit + len(b) or len(b) > limit + len(a) or len(a) - (both := len(a & b)) > limit or len(b) - both > limit
+
+
 def within_edits(a: list, b: list, limit: int) -> bool:
     """Whether at most ``limit`` insertions, deletions and substitutions turn
-    one list into the other: furthest reach per diagonal after the common
-    ends are taken off."""
+    one list into the other: the distance by columns of bits (Myers) after
+    the common ends are taken off."""
     if abs(len(a) - len(b)) > limit:
         return False
     low, n = 0, min(len(a), len(b))
@@ -471,6 +481,31 @@ def within_edits(a: list, b: list, limit: int) -> bool:
     a, b = a[low:len(a) - high], b[low:len(b) - high]
     if not a or not b:
         return max(len(a), len(b)) <= limit
+    if too_many_own(frozenset(a), frozenset(b), limit):
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) > BITS_TO:
+        return _within_edits_by_diagonals(a, b, limit)
+    # A column of the distance table at a time: which entries are one more, which one less than the entry above.
+    places, mask, last = {}, (1 << len(a)) - 1, 1 << len(a) - 1
+    for k, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << k
+    more, less, score, left = mask, 0, len(a), len(b)
+    for w in b:
+        equal, left = places.get(w, 0), left - 1
+        level = ((equal & more) + more ^ more) | equal
+        up, down = less | mask & ~(level | more), more & level
+        score += bool(up & last) - bool(down & last)
+        if score - left > limit:
+            return False
+        up = up << 1 | 1
+        more, less = (down << 1 | ~(equal | less | up)) & mask, up & (equal | less) & mask
+    return score <= limit
+
+
+def _within_edits_by_diagonals(a: list, b: list, limit: int) -> bool:
+    """The same by the furthest reach per diagonal, in memory of the limit."""
     goal, far = len(b) - len(a), {}
     for edits in range(limit + 1):
         reach = {}
@@ -487,8 +522,13 @@ def within_edits(a: list, b: list, limit: int) -> bool:
     return False
 
 
+def edits_allowed(longer, share: float):
+    """Edits of two lists at a similarity of ``share``, by the longer length."""
+    return (1 - share) * longer + 1e-9
+
+
 def similar_words(x: list, y: list, share: float) -> bool:
-    return within_edits(x, y, int((1 - share) * max(len(x), len(y)) + 1e-9))
+    return within_edits(x, y, int(edits_allowed(max(len(x), len(y)), share)))
 
 
 def similar(a: bytes, b: bytes, share: float) -> bool:
@@ -529,10 +569,15 @@ def line_groups(docs: DataFrame, min_words: int, min_similarity: float, wide: bo
     wanted = (distinct.join(ends, "line_key").groupBy(F.col("first.doc_id").alias("doc_id"))
               .agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "line_key")).alias("wanted")))
     bearers = docs.join(small(wanted.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
-    texts = written(map_batches(bearers.join(wanted, "doc_id").select("text", "wanted"), _fetch, "line_key bigint, words binary")
+    texts = written(map_batches(bearers.join(wanted, "doc_id").select("text", "wanted"), _fetch, "line_key bigint, words binary, length int")
                     .dropDuplicates(["line_key"]), "line-words")
+    # Only words of edges that the lengths of their lines allow are shuffled; of the others it is known that they fail.
+    size = lambda s: texts.select(F.col("line_key").alias(s), F.col("length").alias(f"n{s}"))
+    possible = F.abs(F.col("na") - F.col("nb")) <= F.floor(edits_allowed(F.greatest("na", "nb"), min_similarity))
+    sized = edges.join(size("a"), "a").join(size("b"), "b").select("a", "b", F.when(possible, F.col("a")).alias("x"),
+                                                                F.when(possible, F.col("b")).alias("y"))
     word = lambda s: texts.select(F.col("line_key").alias(s), F.col("words").alias(f"w{s}"))
-    checked = written(map_batches(edges.join(word("a"), "a").join(word("b"), "b").select("a", "b", "wa", "wb"), _verify,
+    checked = written(map_batches(sized.join(word("x"), "x", "left").join(word("y"), "y", "left").select("a", "b", "wx", "wy"), _verify,
                                   "a bigint, b bigint, holds boolean", min_similarity), "line-links")
     held = checked.filter("holds").select("a", "b")
     groups = connected_components(held, "line-held")
@@ -543,8 +588,9 @@ def line_groups(docs: DataFrame, min_words: int, min_similarity: float, wide: bo
         unsure = whole.join(failed.join(whole, "node").select("component").distinct(), "component", "left_semi")
         members = (unsure.join(groups.select("node", F.col("component").alias("joined")), "node", "left")
                    .select(F.col("node").alias("line_key"), "component", F.coalesce("joined", "node").alias("joined"))
-                   .join(distinct.select("line_key", "sim"), "line_key").join(texts, "line_key"))
+                   .join(distinct.select("line_key", "sim"), "line_key").join(texts.drop("length"), "line_key"))
         unsure = written(members, "line-unsure")
+        discard(texts)  # the words that are still wanted are in ``unsure``
         met = written(leaves(unsure, wide=True) if wide else leaves(unsure), "line-meetings")
         groups = connected_components(held.unionByName(rejoined_in_rounds(met, unsure, min_similarity)), "line-rejoined")
     return lines, distinct, groups.select(F.col("node").alias("line_key"), F.col("component").alias("group"))
@@ -609,6 +655,8 @@ def _pairs(leaf: list, share: float) -> Iterator[tuple]:
     sims = np.array([r[6] for r in leaf], dtype=np.int64).view(np.uint64)
     block, joined = np.array([r[2] for r in leaf]), np.array([r[5] for r in leaf], dtype=np.int64)
     words = [r[7].split(b" ") for r in leaf]
+    lengths = np.array([len(w) for w in words])
+    held = cache(lambda k: frozenset(words[k]))
     for u in range(len(leaf) - 1):
         bits = sims[u + 1:] ^ sims[u]
         apart = np.bitwise_count(bits)
@@ -618,32 +666,42 @@ def _pairs(leaf: list, share: float) -> Iterator[tuple]:
             near &= (bits & np.uint64(earlier & _MASK)) != 0
         if not own:
             near &= block[u + 1:] != block[u]
+        limits = edits_allowed(np.maximum(lengths[u + 1:], lengths[u]), share).astype(np.int64)
+        near &= np.abs(lengths[u + 1:] - lengths[u]) <= limits
         for v in np.flatnonzero(near) + u + 1:
-            if joined[v] != joined[u] and similar_words(words[u], words[v], share):
+            limit = int(limits[v - u - 1])
+            if joined[v] != joined[u] and not too_many_own(held(u), held(int(v)), limit) and within_edits(words[u], words[v], limit):
                 yield leaf[u][4], leaf[v][4]
                 joined[joined == joined[v]] = joined[u]
 
 
 def _fetch(columns: list[list]) -> list[list]:
-    keys, words = [], []
+    keys, words, lengths = [], [], []
     for text, wanted in zip(*columns):
         lines = normalised(text).split(b"\n")
         for w in wanted:
             if w["line"] < len(lines):
+                found = _WORD.findall(lines[w["line"]])
                 keys.append(w["line_key"])
-                words.append(b" ".join(_WORD.findall(lines[w["line"]])))
-    return [keys, words]
+                words.append(b" ".join(found))
+                lengths.append(len(found))
+    return [keys, words, lengths]
 
 
 def _verify(columns: list[list], share: float) -> list[list]:
+    """Edges without words are known to fail."""
     a, b, wa, wb = columns
-    return [a, b, [similar(x, y, share) for x, y in zip(wa, wb)]]
+    return [a, b, [x is not None and similar(x, y, share) for x, y in zip(wa, wb)]]
 
 
 def dropped_lines(docs: DataFrame, min_words: int = 5, min_similarity: float = 0.8, wide: bool = False) -> DataFrame:
     """``(doc_id, dropped)``: the line numbers to cut, for the documents that
     lose any. ``docs`` is ``(doc_id, text)`` without nulls."""
-    lines, keys, groups = line_groups(docs, min_words, min_similarity, wide)
+    with passing_tables() as keep:
+        return keep(_dropped_lines(*line_groups(docs, min_words, min_similarity, wide)))
+
+
+def _dropped_lines(lines: DataFrame, keys: DataFrame, groups: DataFrame) -> DataFrame:
     # Of keys that are repeated or grouped, the first occurrence of each group stays.
     grouped = keys.join(groups, "line_key", "left").withColumn("group", F.coalesce("group", "line_key"))
     kept = grouped.groupBy("group").agg(F.sum("n").alias("n"), F.min("first").alias("kept")).filter("n > 1")
