@@ -5,15 +5,49 @@ halves the parent chains until they are flat, and contracts the edges to the
 roots. Edges and chains shrink by a constant factor at least, so the rounds
 are logarithmic in the longest chain. All state is a table under the shared
 checkpoint folder; a node with very many edges is one aggregated row on the
-one side of each join, and Spark splits the other side."""
+one side of each join, and Spark splits the other side. Up to ``ONE_TASK``
+counted edges one task goes these rounds over arrays: dozens of short jobs
+take longer than that."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wicketlake.llm.common import written
 
+#: Edges up to which the components are found in one task, in about 100 MB.
+ONE_TASK = 1_000_000
+
+
+def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(node, component)`` of all edges ``(a, b)``."""
+    import numpy as np
+
+    held = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+    if not held:
+        return
+    ends = np.concatenate([np.concatenate(x) for x in zip(*held)])
+    nodes, at = np.unique(ends, return_inverse=True)
+    a, b = at[:len(at) // 2], at[len(at) // 2:]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        up = np.arange(len(nodes))
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+    for k in range(0, len(nodes), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[k:k + 100_000]), pa.array(nodes[label[k:k + 100_000]])], names=["node", "component"])
+
 
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """``(node, component)`` of every node of ``edges (a, b)``; the component
@@ -22,7 +56,9 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
         return e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     rest = written(contracted(edges), f"{name}-edges")
-    total = None
+    total, count = None, rest.count()
+    if 0 < count <= ONE_TASK and dict(rest.dtypes)["a"] == "bigint":
+        return written(rest.coalesce(1).mapInArrow(_components, "node bigint, component bigint"), f"{name}-components")
     while not rest.isEmpty():
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))

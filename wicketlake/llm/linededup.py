@@ -78,8 +78,13 @@ _MASK = (1 << 64) - 1
 #: Words of a run, anchors of a line, most bits apart of lines that share a run, and from which number of words lines
 #: have runs and up to which they have deletions (at most one edit is allowed there).
 RUN, ANCHORS, RUN_BITS, RUN_FROM, DELETE_TO = 3, 12, 24, 8, 9
-#: SimHashes that share a run and are compared in one place.
+#: Lines that share a run and are compared in one place.
 RUN_GROUP = 20_000
+#: Numbers of 64 bits that mark the words of a line, and their columns.
+MARKS = 4
+MARK_NAMES = [f"mark{k}" for k in range(MARKS)]
+#: Rows that a task sorts by itself, of two numbers each, and lines up to which a group is searched together with others.
+SORT_ROWS, SHIFTED = 2_000_000, 64
 #: Words up to which edits are counted by bits: a bit for each word and distinct word, 50 MB at most.
 BITS_TO = 20_000
 #: Bytes and number of the lines that are compared with each other in one place.
@@ -146,8 +151,8 @@ class Sketcher:
 
     def lines(self, data: bytes, min_words: int, wide: bool = False):
         """``(number, key, simhash)`` arrays of the lines with enough words;
-        with ``wide`` also the places at which they meet, as ``(line, place)``
-        arrays sorted by line."""
+        with ``wide`` also their numbers of words, their marks, and the places
+        at which they meet, as ``(line, place)`` arrays sorted by line."""
         import numpy as np
 
         text = np.frombuffer(data, dtype=np.uint8)
@@ -159,7 +164,7 @@ class Sketcher:
         numbers = np.flatnonzero(counts >= min_words)
         empty = np.zeros(0, dtype=np.int64)
         if not len(numbers):
-            return (empty, empty, empty, (empty, empty)) if wide else (empty, empty, empty)
+            return (empty, empty, empty, empty, np.zeros((0, MARKS), np.int64), (empty, empty)) if wide else (empty, empty, empty)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(text * self._powers(_BASE, len(text)))])
         wanted = counts[line] >= min_words
         starts, ends = starts[wanted], ends[wanted]
@@ -174,11 +179,25 @@ class Sketcher:
 
         # Distinct words of each line: sorted by line and 40 bits of the hash.
         ranked = np.sort(np.repeat(np.arange(len(numbers), dtype=np.uint64), n) << np.uint64(40) | words >> np.uint64(24))
-        ranked = ranked[np.concatenate([[True], ranked[1:] != ranked[:-1]])]
+        fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        marks = self._marks(ranked, fresh, len(numbers)) if wide else None
+        ranked = ranked[fresh]
         sizes = np.bincount((ranked >> np.uint64(40)).astype(np.int64), minlength=len(numbers))
         votes = _mixed((ranked & np.uint64((1 << 40) - 1)) + np.uint64(_BASE))
         found = numbers, keys.view(np.int64), self._vote(votes, sizes)
-        return (*found, self._meeting_places(words, terms, first, n)) if wide else found
+        return (*found, n, marks, self._meeting_places(words, terms, first, n)) if wide else found
+
+    def _marks(self, ranked, fresh, lines: int):
+        """A bit, of ``MARKS`` times 64, for each word of a line and how many
+        times the line had it before, from the words sorted by line and hash."""
+        import numpy as np
+
+        at = np.flatnonzero(fresh)
+        nth = np.arange(len(ranked)) - np.repeat(at, np.diff(np.append(at, len(ranked))))
+        bit = _mixed((ranked & np.uint64((1 << 40) - 1)) * np.uint64(_PLACE) + nth.astype(np.uint64)) % np.uint64(64 * MARKS)
+        held = np.zeros((lines, 64 * MARKS), dtype=bool)
+        held[(ranked >> np.uint64(40)).astype(np.int64), bit.astype(np.int64)] = True
+        return np.packbits(held, axis=1).view(np.int64)
 
     def _meeting_places(self, words, terms, first, n):
         """Long lines meet by runs of words after their anchors, the words of
@@ -264,46 +283,82 @@ def _chunks(texts: list[str]) -> Iterator[list[tuple[int, int, bytes]]]:
         yield held
 
 
-def _lines(columns: list[list], min_words: int) -> list:
+def _lines(columns: list[list], min_words: int, wide: bool = False) -> list:
     """``(doc_id, line, line_key, sim)`` of all lines of a batch, in chunks of
-    joined texts."""
+    joined texts; with ``wide`` also ``(length, mark0, .., places)``. Lines that
+    a task has given already get no places again, as far as a bounded memory
+    reaches."""
     import numpy as np
 
     sketcher = worker_state("linededup", Sketcher)
+    if wide and sketcher.task != (task := TaskContext.get().taskAttemptId()):
+        sketcher.task, sketcher.given = task, TwoGenerationCache(lambda key: True, 100_000)
     ids, texts = columns
-    rows, numbers, keys, sims = [], [], [], []
+    parts = []
     for held in _chunks(texts):
-        found, key, sim = sketcher.lines(b"\n".join(d for _, _, d in held), min_words)
+        number, key, sim, *more = sketcher.lines(b"\n".join(d for _, _, d in held), min_words, wide)
         begin = np.cumsum([0] + [d.count(b"\n") + 1 for _, _, d in held])
-        piece = np.searchsorted(begin, found, side="right") - 1
-        rows.append(np.array([r for r, _, _ in held])[piece])
-        numbers.append(found - begin[piece] + np.array([n for _, n, _ in held])[piece])
-        keys.append(key)
-        sims.append(sim)
-    return [pa.array(ids).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(numbers)),
-            pa.array(np.concatenate(keys)), pa.array(np.concatenate(sims))]
-
-
-def _places(columns: list[list], min_words: int) -> list:
-    """``(at, sim)`` of the lines of a batch; lines that a task has given
-    already are left out, as far as a bounded memory reaches."""
+        piece = np.searchsorted(begin, number, side="right") - 1
+        part = [np.array([r for r, _, _ in held])[piece], number - begin[piece] + np.array([n for _, n, _ in held])[piece], key, sim]
+        if wide:
+            length, marks, (line, place) = more
+            fresh = np.zeros(len(key), bool)
+            for k, x in enumerate(key.tolist()):
+                if x not in sketcher.given:
+                    sketcher.given[x]
+                    fresh[k] = True
+            wanted = fresh[line]
+            part += [length, *marks.T, np.bincount(line[wanted], minlength=len(key)), place[wanted]]
+        parts.append(part)
+    row, *rest = [np.concatenate(x) for x in zip(*parts)]
+    out = [pa.array(ids).take(pa.array(row)), *map(pa.array, rest[:3])]
+    if not wide:
+        return out
+    *kept, counts, places = rest[3:]
+    ends = np.concatenate([[0], np.cumsum(8 * counts)]).astype(np.int32)
+    return [*out, *map(pa.array, kept), pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(places))])]
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(at, sim)`` of the lines ``(sim, places)``."""
     import numpy as np
 
-    sketcher, task = worker_state("linededup", Sketcher), TaskContext.get().taskAttemptId()
-    if sketcher.task != task:
-        sketcher.task, sketcher.given = task, TwoGenerationCache(lambda key: True, 100_000)
-    given, at, of = sketcher.given, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for held in _chunks(columns[0]):
-        _, keys, sims, (line, place) = sketcher.lines(b"\n".join(d for _, _, d in held), min_words, True)
-        fresh = np.zeros(len(keys), bool)
-        for k, key in enumerate(keys.tolist()):
-            if key not in given:
-                given[key]
-                fresh[k] = True
-        wanted = fresh[line]
-        at.append(place[wanted])
-        of.append(sims[line[wanted]])
-    return [pa.array(np.concatenate(at)), pa.array(np.concatenate(of))]
+    for batch in batches:
+        sims, places = batch.columns
+        ends = np.frombuffer(places.buffers()[1], np.int32)[places.offset:places.offset + len(places) + 1] if len(places) else np.zeros(1, np.int32)
+        if ends[-1] > ends[0]:
+            at = np.frombuffer(places.buffers()[2], np.uint8)[ends[0]:ends[-1]].copy().view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.repeat(sims.to_numpy(), np.diff(ends) // 8))], names=["at", "sim"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows ``(at, sim)`` of a partition, each once, whose place two
+    SimHashes or more have: about one in seven."""
+    import numpy as np
+
+    def once(held):
+        at, sim = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        order = np.lexsort((sim, at))
+        at, sim = at[order], sim[order]
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (at[1:] != at[:-1]) | (sim[1:] != sim[:-1])
+        return at[fresh], sim[fresh]
+
+    held, rows, most = [], 0, SORT_ROWS
+    for batch in batches:
+        held.append(tuple(c.to_numpy() for c in batch.columns))
+        rows += batch.num_rows
+        if rows > most:
+            held = [once(held)]
+            rows = len(held[0][0])
+            most = max(most, 2 * rows)
+    if rows:
+        at, sim = once(held)
+        same = at[1:] == at[:-1]
+        met = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        at, sim = at[met], sim[met]
+        for k in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k:k + 100_000]), pa.array(sim[k:k + 100_000])], names=["at", "sim"])
 
 
 def _meet(columns: list[list]) -> list:
@@ -320,7 +375,7 @@ def _meet(columns: list[list]) -> list:
 def block_masks(distinct: int) -> list[int]:
     """Masks of the equal blocks, as signed 64-bit numbers, for a corpus of so
     many distinct SimHashes."""
-    need = max(1, distinct).bit_length() + 3
+    need = max(1, distinct).bit_length() - 5
     b = next((b for b in range(MAX_BITS + 1, 17) if (64 // b) * (b - MAX_BITS) >= need), 16)
     edges = [round(64 * k / b) for k in range(b + 1)]
     blocks = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(b)]
@@ -348,7 +403,7 @@ def near_forest(sims) -> list[tuple[int, int]]:
     return edges
 
 
-def _search(sims, bits: int = MAX_BITS) -> list[tuple[int, int]]:
+def _search(sims) -> list[tuple[int, int]]:
     import numpy as np
 
     edges, left = [], sims
@@ -356,7 +411,7 @@ def _search(sims, bits: int = MAX_BITS) -> list[tuple[int, int]]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             u = queue.pop()
-            near = np.bitwise_count(left ^ u) <= bits
+            near = np.bitwise_count(left ^ u) <= MAX_BITS
             if near.any():
                 found = left[near]
                 edges += [(int(u), int(v)) for v in found]
@@ -365,98 +420,181 @@ def _search(sims, bits: int = MAX_BITS) -> list[tuple[int, int]]:
     return edges
 
 
-def _block_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forest edges of every block's group, from ``(choice, block, sim)``
-    sorted by choice and block."""
+def spanning(a, b, n: int):
+    """Which of the edges ``(a[k], b[k])`` among ``n`` nodes span the same
+    components: the least forest by the order of the edges (Boruvka)."""
     import numpy as np
 
-    def signed(x):
-        return np.array(x, dtype=np.uint64).view(np.int64)
+    chosen, label, rest = np.zeros(len(a), bool), np.arange(n), np.arange(len(a))
+    while True:
+        x, y = label[a[rest]], label[b[rest]]
+        apart = x != y
+        rest, x, y = rest[apart], x[apart], y[apart]
+        if not len(rest):
+            return chosen
+        least = np.full(n, len(a))
+        np.minimum.at(least, x, rest)
+        np.minimum.at(least, y, rest)
+        roots = np.flatnonzero(least < len(a))
+        own = least[roots]
+        chosen[own] = True
+        # Every component follows its least edge; of two that follow the same one, the smaller stays.
+        other = np.where(label[a[own]] == roots, label[b[own]], label[a[own]])
+        up = np.arange(n)
+        up[roots] = other
+        both = roots[(up[other] == roots) & (roots < other)]
+        up[both] = both
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+
+
+def _near_rows(groups, near, most: int):
+    """Pairs of rows ``(i, j)``, i before j, for which ``near`` holds and that
+    have one number in ``groups`` (sorted), over groups of 2 to ``most``."""
+    import numpy as np
 
-    def edges(keys, sims):
-        cuts = np.flatnonzero(np.diff(keys)) + 1
-        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
-        found = []
-        for k in np.flatnonzero(ends - starts > 1):
-            found += near_forest(np.unique(sims[starts[k]:ends[k]]))
-        if found:
-            a, b = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(signed(b))], names=["a", "b"])
+    cuts = np.concatenate([[0], np.flatnonzero(groups[1:] != groups[:-1]) + 1, [len(groups)]])
+    sizes = np.diff(cuts)
+    left = np.repeat(cuts[1:], sizes) - np.arange(len(groups))  # rows from here to the end of the group
+    left[np.repeat(sizes > most, sizes)] = 0
+    rows, found, step = np.flatnonzero(left > 1), [], 1
+    while len(rows):
+        for part in np.array_split(rows, len(rows) // 500_000 + 1):
+            ok = near(part, part + step)
+            found.append((part[ok], part[ok] + step))
+        step += 1
+        rows = rows[left[rows] > step]
+    i, j = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    order = np.lexsort((j, i))
+    return i[order], j[order], [(cuts[k], cuts[k + 1]) for k in np.flatnonzero(sizes > most)]
+
+
+def _block_edges(batches: Iterator[pa.RecordBatch], masks: list[int]) -> Iterator[pa.RecordBatch]:
+    """Forest edges of every block's group, from ``(choice, sim)`` with all
+    rows of a block in this partition."""
+    import numpy as np
 
-    held_k, held_s = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    for batch in batches:
-        choice, block, sim = (c.to_numpy() for c in batch.columns)
-        # One number for choice and block; two blocks that met in it would only be searched together.
-        keys = np.concatenate([held_k, _mixed(block.view(np.uint64) + choice.astype(np.uint64)).view(np.int64)])
-        sims = np.concatenate([held_s, sim.view(np.uint64)])
-        if not len(keys):
+    held = [tuple(c.to_numpy() for c in batch.columns) for batch in batches if batch.num_rows]
+    if not held:
+        return
+    choice, sims = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+    # One number for choice and block; two blocks that met in it would only be searched together.
+    keys = _mixed((sims & np.array(masks, dtype=np.int64)[choice]).view(np.uint64) + choice.astype(np.uint64) * np.uint64(_PLACE))
+    order = np.lexsort((sims, keys))
+    keys, sims = keys[order], sims[order].view(np.uint64)
+    a, b, large = _near_rows(keys, lambda i, j: np.bitwise_count(sims[i] ^ sims[j]) <= MAX_BITS, SHIFTED)
+    chosen = spanning(a, b, len(sims))
+    yield _edge_batch(sims[a[chosen]].view(np.int64), sims[b[chosen]].view(np.int64))
+    for begin, end in large:
+        if found := near_forest(np.unique(sims[begin:end])):
+            yield _edge_batch(*(np.array(x, dtype=np.uint64).view(np.int64) for x in zip(*found)))
+
+
+def _edge_batch(*columns) -> pa.RecordBatch:
+    """``(a, b)``, or ``(a, b, at)`` in which a column of None is null."""
+    n = len(columns[0])
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c) for c in columns], names=["a", "b", "at"][:len(columns)])
+
+
+def _run_edges(batches: Iterator[pa.RecordBatch], share: float, most: int | None) -> Iterator[pa.RecordBatch]:
+    """Forest edges ``(a, b)`` of the lines at each place, from ``(at,
+    line_key, sim, length, mark0, ..)`` sorted by the first two. A group of more
+    than ``most`` is given back as rows ``(line_key, null, at)``."""
+    import numpy as np
+
+    def edges(places, keys, sims, lengths, *marks):
+        sims, *marks = (c.view(np.uint64) for c in (sims, *marks))  # bits of signed numbers are counted without their sign
+        bits = np.where(places & 1, 64, RUN_BITS)
+
+        def near(i, j):
+            ok = np.flatnonzero((np.bitwise_count(sims[i] ^ sims[j]) <= bits[i]) & possible_lengths(lengths[i], lengths[j], share))
+            found, x = np.zeros(len(j), bool), np.broadcast_to(i, j.shape)[ok]
+            found[ok] = few_own([m[x] for m in marks], [m[j[ok]] for m in marks], edits_allowed(np.maximum(lengths[x], lengths[j[ok]]), share))
+            return found
+
+        a, b, large = _near_rows(places, near, SHIFTED)
+        chosen = spanning(a, b, len(places))
+        if chosen.any():
+            yield _edge_batch(keys[a[chosen]], keys[b[chosen]], None)
+        for begin, end in large:
+            if most and end - begin > most:
+                yield _edge_batch(keys[begin:end], None, places[begin:end])
+                continue
+            left, found = np.arange(begin, end), []
+            while len(left):
+                queue, left = [left[0]], left[1:]
+                while queue and len(left):
+                    u = queue.pop()
+                    ok = near(u, left)
+                    if ok.any():
+                        found += [(u, v) for v in left[ok]]
+                        queue += list(left[ok])
+                        left = left[~ok]
+            if found:
+                a, b = np.array(found).T
+                yield _edge_batch(keys[a], keys[b], None)
+
+    held = None
+    for rows in batches:
+        if not rows.num_rows:
             continue
-        last = len(keys) - int(np.argmax(keys[::-1] != keys[-1])) if (keys != keys[-1]).any() else 0  # it may go on in the next batch
+        rows = [c.to_numpy() for c in rows.columns]
+        fresh = np.ones(len(rows[0]), bool)
+        fresh[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+        rows = [c[fresh] for c in rows]
+        if held is not None:
+            if held[0][-1] == rows[0][0] and held[1][-1] == rows[1][0]:
+                rows = [c[1:] for c in rows]
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        last = int(np.searchsorted(rows[0], rows[0][-1]))  # it may go on in the next batch
         if last:
-            yield from edges(keys[:last], sims[:last])
-        held_k, held_s = keys[last:], np.unique(sims[last:])
-        held_k = held_k[:len(held_s)]
-    if len(held_k):
-        yield from edges(held_k, held_s)
+            yield from edges(*(c[:last] for c in rows))
+        held = [c[last:] for c in rows]
+    if held is not None:
+        yield from edges(*held)
 
 
-def _run_edges(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
-    """Forest edges ``(a, b)`` of the SimHashes at each place, from ``(at,
-    sim)`` sorted by both. A group of more than ``most`` is given back as rows
-    ``(sim, null, at)``."""
+def possible_lengths(a, b, share: float):
+    """Whether lists of so many words can be at a similarity of ``share``."""
     import numpy as np
 
-    def edges(places, sims):
-        cuts = np.flatnonzero(np.diff(places)) + 1
-        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(places)]])
-        found = []
-        for k in np.flatnonzero(ends - starts > 1):
-            own = np.unique(sims[starts[k]:ends[k]])
-            if most and len(own) > most:
-                yield batch(own, None, np.full(len(own), places[starts[k]]))
-            elif len(own) > 1:
-                found += _search(own, 64 if places[starts[k]] & 1 else RUN_BITS)
-        if found:
-            yield batch(*(np.array(x, dtype=np.uint64) for x in zip(*found)), None)
-
-    def batch(a, b, at):
-        null = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), null if b is None else pa.array(b.view(np.int64)),
-                                           null if at is None else pa.array(at)], names=["a", "b", "at"])
-
-    held_p, held_s = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    for rows in batches:
-        places, sims = (c.to_numpy() for c in rows.columns)
-        places, sims = np.concatenate([held_p, places]), np.concatenate([held_s, sims.view(np.uint64)])
-        if not len(places):
-            continue
-        last = int(np.searchsorted(places, places[-1]))  # it may go on in the next batch
-        if last:
-            yield from edges(places[:last], sims[:last])
-        held_s = np.unique(sims[last:])
-        held_p = np.full(len(held_s), places[-1])
-    if len(held_p):
-        yield from edges(held_p, held_s)
+    return np.abs(a - b) <= edits_allowed(np.maximum(a, b), share)
 
 
-def run_forest(meets: DataFrame, group: int = RUN_GROUP) -> DataFrame:
+def few_own(a: list, b: list, limit):
+    """Whether marks of lines ``a`` and ``b`` leave each at most ``limit``
+    words of its own: an edit takes one word of a line away at most, and a bit
+    that only one line has is a word that only this line has."""
+    import numpy as np
+
+    own = sum(np.bitwise_count(x & ~y).astype(np.int64) for x, y in zip(a, b))
+    other = sum(np.bitwise_count(y & ~x).astype(np.int64) for x, y in zip(a, b))
+    return np.maximum(own, other) <= limit
+
+
+def run_forest(meets: DataFrame, keys: DataFrame, min_similarity: float, group: int = RUN_GROUP) -> DataFrame:
     """Edges ``(a, b)`` that span, at each place of ``meets (at, sim)``, the
-    components of SimHashes at most ``RUN_BITS`` apart. Groups of more than
-    ``group`` are cut into blocks, and each pair of blocks is searched."""
+    components of the lines of these SimHashes that are at most ``RUN_BITS``
+    apart and whose lengths and marks in ``keys (line_key, sim, length, mark0,
+    ..)`` allow the similarity. Groups of more than ``group`` are cut into
+    blocks, and each pair of blocks is searched."""
+    columns = ["line_key", "sim", "length", *MARK_NAMES]
+
     def searched(df, most):
-        dealt = df.repartition("at").sortWithinPartitions("at", "sim")
-        return dealt.mapInArrow(lambda batches: _run_edges(batches, most), "a bigint, b bigint, at bigint")
+        dealt = df.select("at", *columns).repartition("at").sortWithinPartitions("at", "line_key")
+        return dealt.mapInArrow(lambda batches: _run_edges(batches, min_similarity, most), "a bigint, b bigint, at bigint")
 
-    found = written(searched(meets, group), "line-runs")
-    edges, heavy = found.filter("b is not null").select("a", "b"), found.filter("b is null").select("at", F.col("a").alias("sim"))
+    found = written(searched(meets.join(keys.select(columns), "sim"), group), "line-runs")
+    edges, heavy = found.filter("b is not null").select("a", "b"), found.filter("b is null").select("at", F.col("a").alias("line_key"))
     if heavy.isEmpty():
         return edges
     parts = heavy.groupBy("at").agg(F.ceil(F.count("*") * 2 / group).cast("int").alias("parts"))
-    cut = (heavy.join(parts, "at").withColumn("block", F.pmod(F.xxhash64("sim", F.lit(7)), F.col("parts")).cast("int"))
+    cut = (heavy.join(parts, "at").withColumn("block", F.pmod(F.xxhash64("line_key", F.lit(7)), F.col("parts")).cast("int"))
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
     # The lowest bit says which bound holds at a place.
     region = F.xxhash64("at", F.least("block", "other"), F.greatest("block", "other")).bitwiseAND(F.lit(-2)).bitwiseOR(F.col("at").bitwiseAND(F.lit(1)))
-    return edges.unionByName(searched(cut.select(region.alias("at"), "sim"), None).select("a", "b"))
+    return edges.unionByName(searched(cut.select(region.alias("at"), "line_key").join(keys.select(columns), "line_key"), None).select("a", "b"))
 
 
 def too_many_own(a: frozenset, b: frozenset, limit: int) -> bool:
@@ -537,38 +675,49 @@ def similar(a: bytes, b: bytes, share: float) -> bool:
 
 def line_groups(docs: DataFrame, min_words: int, min_similarity: float, wide: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``lines (doc_id, line, line_key, sim)`` of every occurrence, ``keys
-    (line_key, n, first)`` of the distinct lines, and ``groups (line_key,
-    group)`` of the keys that are in a group of two keys or more."""
+    (line_key, n)`` of the distinct lines, and ``groups (line_key, group)`` of
+    the keys that are in a group of two keys or more."""
     spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)["doc_id"]
-    lines = written(map_batches(docs.select("doc_id", "text"), _lines, f"doc_id {kind}, line bigint, line_key bigint, sim bigint", min_words), "lines")
-    distinct = written(lines.groupBy("line_key").agg(F.min("sim").alias("sim"), F.count("*").alias("n"),
-                                                     F.min(F.struct("doc_id", "line")).alias("first")), "line-keys")
+    schema = f"doc_id {kind}, line bigint, line_key bigint, sim bigint"
+    if wide:
+        schema += f", length bigint, {', '.join(f'{m} bigint' for m in MARK_NAMES)}, places binary"
+    lines = written(map_batches(docs.select("doc_id", "text"), _lines, schema, min_words, wide), "lines")
+    own = ["sim", "length", *MARK_NAMES] if wide else ["sim"]
+    distinct = written(lines.groupBy("line_key").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in own]), "line-keys")
     reps = written(distinct.groupBy("sim").agg(F.min("line_key").alias("rep")), "line-sims")
 
     # Candidate forest over the SimHashes, then over the lines.
-    masks = block_masks(reps.count())
+    count = reps.count()
+    masks = block_masks(count)
     # Only choice and SimHash are shuffled; the block follows from them.
     mask = F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("choice") + 1)
-    block = F.col("sim").bitwiseAND(mask)
     chosen = reps.select(F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("choice"), "sim")
-    blocks = (chosen.repartition("choice", block).select("choice", block.alias("block"), "sim")
-              .sortWithinPartitions("choice", "block"))
-    near = blocks.mapInArrow(_block_edges, "a bigint, b bigint")
-    if wide:
-        # Places are read off the texts again: twelve numbers a line are more to keep than to make.
-        near = near.unionByName(run_forest(map_batches(docs.select("text"), _places, "at bigint, sim bigint", min_words)))
+    blocks = chosen.repartition(max(parts, len(masks) * count // SORT_ROWS), "choice", F.col("sim").bitwiseAND(mask))
+    near = blocks.mapInArrow(lambda batches: _block_edges(batches, masks), "a bigint, b bigint")
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rep = lambda s: reps.select(F.col("sim").alias(s), F.col("rep").alias(f"r{s}"))
     across = near.join(rep("a"), "a").join(rep("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    inside = distinct.join(reps, "sim").filter("line_key <> rep").select(F.col("line_key").alias("a"), F.col("rep").alias("b"))
-    edges = written(across.unionByName(inside), "line-edges")
+    inside = distinct.select("line_key", "sim").join(reps, "sim").filter("line_key <> rep").select(F.col("line_key").alias("a"), F.col("rep").alias("b"))
+    edges = across.unionByName(inside)
+    if wide:
+        # Most places have one line alone; only the others are joined with what tells their lines apart.
+        spread = lines.select("sim", "places").mapInArrow(_spread, "at bigint, sim bigint")
+        meets = spread.repartition(max(parts, lines.count() * (ANCHORS + 1) // SORT_ROWS), "at").mapInArrow(_shared, "at bigint, sim bigint")
+        edges = edges.unionByName(run_forest(meets, distinct, min_similarity))
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-edges")
 
     # Words of the candidate lines, from the documents of their first occurrences.
-    ends = edges.select(F.explode(F.array("a", "b")).alias("line_key")).distinct()
-    wanted = (distinct.join(ends, "line_key").groupBy(F.col("first.doc_id").alias("doc_id"))
-              .agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "line_key")).alias("wanted")))
-    bearers = docs.join(small(wanted.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
+    ends = written(edges.select(F.explode(F.array("a", "b")).alias("line_key")).distinct(), "line-ends")
+    firsts = (lines.select("doc_id", "line", "line_key").join(small(ends), "line_key", "left_semi")
+              .groupBy("line_key").agg(F.min(F.struct("doc_id", "line")).alias("first")))
+    wanted = written(firsts.groupBy(F.col("first.doc_id").alias("doc_id"))
+                     .agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "line_key")).alias("wanted")), "line-wanted")
+    if ends.count() <= BROADCAST_ROWS:
+        bearers, wanted = docs, F.broadcast(wanted)
+    else:
+        bearers = docs.join(small(wanted.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi")
     texts = written(map_batches(bearers.join(wanted, "doc_id").select("text", "wanted"), _fetch, "line_key bigint, words binary, length int")
                     .dropDuplicates(["line_key"]), "line-words")
     # Only words of edges that the lengths of their lines allow are shuffled; of the others it is known that they fail.
@@ -703,10 +852,11 @@ def dropped_lines(docs: DataFrame, min_words: int = 5, min_similarity: float = 0
 
 def _dropped_lines(lines: DataFrame, keys: DataFrame, groups: DataFrame) -> DataFrame:
     # Of keys that are repeated or grouped, the first occurrence of each group stays.
-    grouped = keys.join(groups, "line_key", "left").withColumn("group", F.coalesce("group", "line_key"))
-    kept = grouped.groupBy("group").agg(F.sum("n").alias("n"), F.min("first").alias("kept")).filter("n > 1")
-    doomed = grouped.join(kept.select("group", "kept"), "group").select("line_key", "kept")
-    gone = lines.join(doomed, "line_key").filter("not (doc_id = kept.doc_id and line = kept.line)")
+    doomed = keys.join(small(groups), "line_key", "left").filter("n > 1 or group is not null").select("line_key", F.coalesce("group", "line_key").alias("group"))
+    held = lines.select("doc_id", "line", "line_key").join(small(written(doomed, "lines-doomed")), "line_key").select("doc_id", "line", "group")
+    held = written(held, "lines-held")
+    kept = held.groupBy("group").agg(F.min(F.struct("doc_id", "line")).alias("kept"))
+    gone = held.join(kept, "group").filter("not (doc_id = kept.doc_id and line = kept.line)")
     return written(gone.groupBy("doc_id").agg(F.collect_list("line").alias("dropped")), "lines-dropped")
 
 
@@ -720,7 +870,7 @@ def cut_lines(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_
     text, gone = F.col(f"d.`{text_col}`"), F.col("x.dropped")
     lines = F.split(text, "\n")
     rest = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains(gone, k)), "\n")
-    n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     # Broadcast only when all line numbers together are counted to be few; else both sides are shuffled.
     total = dropped.agg(F.coalesce(F.sum(F.size("dropped")), F.lit(0))).first()[0]
     listed = F.broadcast(dropped) if total <= BROADCAST_ROWS else dropped
