@@ -9,6 +9,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -513,3 +514,72 @@ def test_wide_line_dedup_by_edit_similarity_alone(spark):
         finally:
             linededup.run_forest.__defaults__ = usual
         assert got == kept
+
+
+def test_lines_with_words_of_their_own_are_no_candidates(spark, monkeypatch):
+    """Lines that share a passage and few enough bits, but have more words of
+    their own than edits are allowed, are never edges to verify."""
+    rng = random.Random(12)
+    passage = words(rng, 18)
+    lines = [passage + [f"w{k}_{n}" for n in range(12)] for k in range(40)]
+    sims = [simhash([w.encode() for w in x]) for x in lines]
+    assert sum((a ^ b).bit_count() <= linededup.RUN_BITS for a, b in combinations(sims, 2)) > 100
+    lines += [lines[0][:-1] + ["other"]]
+    edges, kept = [], linededup.written
+
+    def counted(df, name):
+        made = kept(df, name)
+        if name == "line-edges":
+            edges.append(made.count())
+        return made
+
+    monkeypatch.setattr(linededup, "written", counted)
+    got = {r.doc_id for r in linededup.dedup_lines(frame(spark, [" ".join(x) for x in lines]), wide=True).collect() if r.text}
+    assert got == set(range(40)) and edges == [1]
+
+
+def test_lengths_and_marks_allow_every_similar_line():
+    rng = random.Random(13)
+    lines = []
+    for n in (5, 9, 30, 80, 400):
+        base = [rng.choice(words(rng, 12) + [f"x{k}" for k in range(n)]) for _ in range(n)]
+        lines += [base, base[1:], base[::-1], *[mutated(rng, base, k) for k in (1, n // 10, n // 5, n // 3)], words(rng, n)]
+    data = linededup.normalised("\n".join(" ".join(x) for x in lines))
+    numbers, _, _, lengths, marks, _ = linededup.Sketcher().lines(data, 1, True)
+    assert numbers.tolist() == list(range(len(lines))) and lengths.tolist() == [len(x) for x in lines]
+    i, j = np.triu_indices(len(lines), 1)
+    marks = [m.copy().view(np.uint64) for m in marks.T]
+    ok = set(linededup.may_be_similar(i, j, lengths, marks, 0.8).tolist())
+    true = {k for k, (a, b) in enumerate(zip(i, j)) if linededup.similar_words(lines[a], lines[b], 0.8)}
+    assert len(true) > 10 and true <= ok and len(ok) < len(i) / 4
+
+
+def test_block_groups_are_searched_to_the_last_pair():
+    """Pairs at most three bits apart, also where very many SimHashes share a
+    block, are spanned; and large groups of lines are searched as small ones."""
+    rng = random.Random(14)
+    base = [rng.getrandbits(64) for _ in range(150)] + [rng.getrandbits(24) << 40 | 0x123456789A for _ in range(300)]
+    sims = np.array(sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 4))) for b in base for _ in range(4)}), dtype=np.uint64)
+    masks = linededup.block_masks(len(sims))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(masks), dtype=np.int32), len(sims))),
+                                        pa.array(np.tile(sims.view(np.int64), len(masks)))], names=["choice", "sim"])
+    at = {int(s): k for k, s in enumerate(sims.view(np.int64))}
+    found = [(at[a], at[b]) for r in linededup._block_edges(iter([batch]), masks) for a, b in zip(*(c.to_pylist() for c in r.columns))]
+    near = lambda bits: [(i, j) for i in range(len(sims)) for j in i + 1 + np.flatnonzero(np.bitwise_count(sims[i + 1:] ^ sims[i]) <= bits)]
+    assert components(len(sims), found) == components(len(sims), near(3))
+    assert len(sims) > linededup.SHIFTED
+    for begins, ends in (([0], [len(sims)]), ([0, 50], [50, len(sims)])):
+        a, b = linededup._forest(np.array(begins), np.array(ends), sims, np.full(len(sims), 18))
+        own = [(i, j) for i, j in near(18) if any(x <= i and j < y for x, y in zip(begins, ends))]
+        assert components(len(sims), zip(a, b)) == components(len(sims), own) and len(a) <= len(sims)
+
+
+def test_components_in_one_task_equal_those_in_rounds(spark, monkeypatch):
+    from wicketlake.llm import components as parts
+
+    rng = random.Random(15)
+    edges = [(k, k + 1) for k in range(100, 140)] + [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(70)]
+    df = spark.createDataFrame(edges + edges[:5], "a long, b long")
+    once = {(r.node, r.component) for r in connected_components(df, "test").collect()}
+    monkeypatch.setattr(parts, "ONE_TASK", 0)
+    assert once == {(r.node, r.component) for r in connected_components(df, "test").collect()} and len(once) > 100

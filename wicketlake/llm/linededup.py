@@ -9,9 +9,9 @@ Candidates are all pairs of SimHashes at most three bits apart, found exactly
 by the pigeonhole principle: the 64 bits are cut into ``b`` blocks, three
 differing bits leave at least ``b - 3`` blocks equal, and for each choice of
 ``b - 3`` blocks the SimHashes are grouped by those blocks. ``b`` is the
-smallest number for which such a key has three bits more than the count of
-distinct SimHashes needs, so groups stay small at any size; the pairs found
-are the same for every ``b``. Inside a group a search over the unvisited
+smallest number for which such a key has at most five bits less than the count
+of distinct SimHashes needs, and groups of more than eight are cut by parts of
+the other bits; the pairs found are the same for every ``b``. Inside a group a search over the unvisited
 SimHashes emits a spanning forest, never all pairs; a very large group is cut
 by the same principle again.
 
@@ -21,9 +21,12 @@ of 8 words and more at the runs of three words that follow its 12 anchors, the
 words of least hash under 12 hashes (two lines with a fifth of the words
 changed have a given run in common with a chance of about 0.43), a line of up
 to 9 words at what is left when any one word is taken out (exact, as one edit
-is allowed there). SimHashes that share a run and differ in at most 24 bits are
-candidates, searched group by group; groups of more than 20,000 are cut into
-blocks and searched by pairs of blocks.
+is allowed there). Lines that share a run, differ in at most 24 bits and may be
+similar are candidates. Whether they may be is read off their numbers of words
+and 256 marks, a bit for each word and how many times the line had it before: a
+bit that only one line has is a word of its own, of which it has no more than
+edits are allowed. So the pairs that cannot hold, most of them, are no edges.
+Groups of more than 20,000 are cut into blocks and searched by pairs of blocks.
 
 Forest edges, and edges from each line to the first line of its SimHash, are
 verified: edit similarity over words, one minus edits by the longer length,
@@ -33,10 +36,12 @@ joined anew: lines that share a quarter of the SimHash bits meet in leaves of
 bounded size, and pairs that no edge has joined yet are verified. Of each connected group one occurrence stays: the first by document id,
 then line number. The others are cut out of their documents.
 
-Scale. One pass over the texts gives keys of 30 bytes per line; the texts of
-candidate lines are fetched by a second pass over the documents that hold
-them, and the third pass cuts lines out. A repeated line, however frequent, is
-one row after a partial aggregate. Ids of the documents that hold candidates
+Scale. One pass over the texts gives keys, marks and places of about 120 bytes
+per line. Places move as bytes, 16 for each; the six of seven that one SimHash
+has alone go before the rest is joined with the marks. The texts of candidate
+lines are fetched by a second pass over the documents that hold them, and the
+third pass cuts lines out. A repeated line, however frequent, is one row after
+a partial aggregate. Ids of the documents that hold candidates
 are broadcast up to four million, the line numbers to cut up to a million;
 beyond that the same joins shuffle the texts. Components with failed edges are
 cut into leaves of about a thousand lines or 4 MB, which are tasks of their
@@ -319,21 +324,39 @@ def _lines(columns: list[list], min_words: int, wide: bool = False) -> list:
     return [*out, *map(pa.array, kept), pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(places))])]
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(at, sim)`` of the lines ``(sim, places)``."""
+def _spread(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """``(part, rows)`` of the lines ``(sim, places)``: places and SimHashes as
+    bytes, dealt to ``parts`` by place. Spark moves them as a few rows then."""
     import numpy as np
 
+    def dealt(held):
+        at, sim = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        part = (_mixed(at.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        begins, ends = _groups(part[order])
+        rows = np.stack([at[order], sim[order]], axis=1)
+        for k in range(0, len(begins), 200):
+            own = list(zip(begins[k:k + 200], ends[k:k + 200]))
+            yield pa.RecordBatch.from_arrays([pa.array(part[order[begins[k:k + 200]]]), pa.array([rows[x:y].tobytes() for x, y in own], pa.binary())], names=["part", "rows"])
+
+    held, n = [], 0
     for batch in batches:
         sims, places = batch.columns
         ends = np.frombuffer(places.buffers()[1], np.int32)[places.offset:places.offset + len(places) + 1] if len(places) else np.zeros(1, np.int32)
         if ends[-1] > ends[0]:
             at = np.frombuffer(places.buffers()[2], np.uint8)[ends[0]:ends[-1]].copy().view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.repeat(sims.to_numpy(), np.diff(ends) // 8))], names=["at", "sim"])
+            held.append((at, np.repeat(sims.to_numpy(), np.diff(ends) // 8)))
+            n += len(at)
+        if n > SORT_ROWS:
+            yield from dealt(held)
+            held, n = [], 0
+    if held:
+        yield from dealt(held)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows ``(at, sim)`` of a partition, each once, whose place two
-    SimHashes or more have: about one in seven."""
+    """The rows ``(at, sim)`` of a partition of ``(part, rows)``, each once,
+    whose place two SimHashes or more have: about one in seven."""
     import numpy as np
 
     def once(held):
@@ -346,8 +369,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held, rows, most = [], 0, SORT_ROWS
     for batch in batches:
-        held.append(tuple(c.to_numpy() for c in batch.columns))
-        rows += batch.num_rows
+        held += [np.frombuffer(x, np.int64).reshape(-1, 2).T for x in batch.column(1).to_pylist()]
+        rows = sum(len(x[0]) for x in held)
         if rows > most:
             held = [once(held)]
             rows = len(held[0][0])
@@ -422,7 +445,8 @@ def _search(sims) -> list[tuple[int, int]]:
 
 def spanning(a, b, n: int):
     """Which of the edges ``(a[k], b[k])`` among ``n`` nodes span the same
-    components: the least forest by the order of the edges (Boruvka)."""
+    components, the least forest by the order of the edges (Boruvka), and the
+    component of each node."""
     import numpy as np
 
     chosen, label, rest = np.zeros(len(a), bool), np.arange(n), np.arange(len(a))
@@ -431,7 +455,7 @@ def spanning(a, b, n: int):
         apart = x != y
         rest, x, y = rest[apart], x[apart], y[apart]
         if not len(rest):
-            return chosen
+            return chosen, label
         least = np.full(n, len(a))
         np.minimum.at(least, x, rest)
         np.minimum.at(least, y, rest)
@@ -449,25 +473,70 @@ def spanning(a, b, n: int):
         label = up[label]
 
 
-def _near_rows(groups, near, most: int):
-    """Pairs of rows ``(i, j)``, i before j, for which ``near`` holds and that
-    have one number in ``groups`` (sorted), over groups of 2 to ``most``."""
+def _groups(keys):
+    """Begin and end of each run of equal ``keys``."""
     import numpy as np
 
-    cuts = np.concatenate([[0], np.flatnonzero(groups[1:] != groups[:-1]) + 1, [len(groups)]])
-    sizes = np.diff(cuts)
-    left = np.repeat(cuts[1:], sizes) - np.arange(len(groups))  # rows from here to the end of the group
-    left[np.repeat(sizes > most, sizes)] = 0
+    cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+    return cuts[:-1], cuts[1:]
+
+
+def _pairs_in_small(begins, ends, sims, bits):
+    """Pairs of rows ``(i, j)``, i before j, of the groups of up to
+    ``SHIFTED`` rows whose SimHashes are at most ``bits[i]`` apart: each row is
+    compared with the one so many places further on, for all groups at once."""
+    import numpy as np
+
+    sizes = ends - begins
+    left = np.repeat(np.where(sizes > SHIFTED, 0, ends), sizes) - np.arange(len(sims))  # rows from here to the end of the group
     rows, found, step = np.flatnonzero(left > 1), [], 1
     while len(rows):
-        for part in np.array_split(rows, len(rows) // 500_000 + 1):
-            ok = near(part, part + step)
-            found.append((part[ok], part[ok] + step))
+        if len(rows) > len(sims) // 4:  # most rows: whole arrays, without picking
+            i = np.flatnonzero((np.bitwise_count(sims[step:] ^ sims[:-step]) <= bits[:-step]) & (left[:-step] > step))
+        else:
+            i = rows[np.bitwise_count(sims[rows + step] ^ sims[rows]) <= bits[rows]]
+        found.append((i, i + step))
         step += 1
         rows = rows[left[rows] > step]
-    i, j = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    return [np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1)]
+
+
+def _pairs_in_large(begin: int, end: int, sims, bits):
+    """The same in one group, a bounded number of pairs at a time."""
+    import numpy as np
+
+    at, step = begin, max(1, 1_000_000 // (end - begin))
+    while at < end - 1:
+        i, j = np.nonzero(np.bitwise_count(sims[at:at + step, None] ^ sims[None, at + 1:end]) <= bits[at:at + step, None])
+        yield (i + at)[j >= i], (j + at + 1)[j >= i]
+        at += step
+
+
+def _forest(begins, ends, sims, bits, near=None):
+    """Edges ``(i, j)`` between rows that span, in each group, the components
+    of the rows whose SimHashes are at most ``bits`` apart and for which
+    ``near`` holds, as arrays."""
+    import numpy as np
+
+    def kept(i, j):
+        ok = near(i, j) if near else slice(None)
+        return i[ok], j[ok]
+
+    i, j = kept(*_pairs_in_small(begins, ends, sims, bits))
     order = np.lexsort((j, i))
-    return i[order], j[order], [(cuts[k], cuts[k + 1]) for k in np.flatnonzero(sizes > most)]
+    i, j = i[order], j[order]
+    chosen, _ = spanning(i, j, len(sims))
+    edges = [(i[chosen], j[chosen])]
+    for k in np.flatnonzero(ends - begins > SHIFTED):
+        begin, end = begins[k], ends[k]
+        label = np.arange(end - begin)
+        for i, j in _pairs_in_large(begin, end, sims, bits):
+            apart = label[i - begin] != label[j - begin]
+            i, j = kept(i[apart], j[apart])
+            chosen, joined = spanning(label[i - begin], label[j - begin], len(label))
+            edges.append((i[chosen], j[chosen]))
+            label = joined[label]
+    return [np.concatenate([x[k] for x in edges]) for k in (0, 1)]
 
 
 def _block_edges(batches: Iterator[pa.RecordBatch], masks: list[int]) -> Iterator[pa.RecordBatch]:
@@ -481,14 +550,32 @@ def _block_edges(batches: Iterator[pa.RecordBatch], masks: list[int]) -> Iterato
     choice, sims = (np.concatenate([x[k] for x in held]) for k in (0, 1))
     # One number for choice and block; two blocks that met in it would only be searched together.
     keys = _mixed((sims & np.array(masks, dtype=np.int64)[choice]).view(np.uint64) + choice.astype(np.uint64) * np.uint64(_PLACE))
-    order = np.lexsort((sims, keys))
-    keys, sims = keys[order], sims[order].view(np.uint64)
-    a, b, large = _near_rows(keys, lambda i, j: np.bitwise_count(sims[i] ^ sims[j]) <= MAX_BITS, SHIFTED)
-    chosen = spanning(a, b, len(sims))
-    yield _edge_batch(sims[a[chosen]].view(np.int64), sims[b[chosen]].view(np.int64))
-    for begin, end in large:
-        if found := near_forest(np.unique(sims[begin:end])):
-            yield _edge_batch(*(np.array(x, dtype=np.uint64).view(np.int64) for x in zip(*found)))
+    sims = sims.view(np.uint64)
+
+    def edges(keys, sims, most):
+        """Edges of the groups of up to ``most`` rows, and which rows are in larger ones."""
+        order = np.argsort(keys)
+        keys, sims = keys[order], sims[order]
+        begins, ends = _groups(keys)
+        few = np.repeat(ends - begins <= most, ends - begins)
+        a, b = _forest(*_groups(keys[few]), sims[few], np.full(few.sum(), MAX_BITS)) if few.any() else (np.zeros(0, np.int64),) * 2
+        return sims[few][a], sims[few][b], order[~few]
+
+    a, b, rest = edges(keys, sims, 8)
+    found = [(a, b)]
+    # In a large group, three bits leave one of four parts of the other bits equal.
+    keys, sims, choice = keys[rest], sims[rest], choice[rest]
+    others = [[k for k in range(64) if not mask >> k & 1] for mask in masks]
+    for quarter in range(4) if len(rest) else ():
+        part = sims & np.array([sum(1 << k for k in places[quarter::4]) for places in others], dtype=np.uint64)[choice]
+        finer = _mixed(keys + _mixed(part + np.uint64(quarter)))
+        a, b, large = edges(finer, sims, 4096)
+        found.append((a, b))
+        large = large[np.argsort(finer[large], kind="stable")]
+        for x, y in zip(*_groups(finer[large])) if len(large) else ():
+            if near := near_forest(np.unique(sims[large[x:y]])):
+                found.append(tuple(np.array(c, dtype=np.uint64) for c in zip(*near)))
+    yield _edge_batch(*(np.concatenate(c).view(np.int64) for c in zip(*found)))
 
 
 def _edge_batch(*columns) -> pa.RecordBatch:
@@ -505,34 +592,18 @@ def _run_edges(batches: Iterator[pa.RecordBatch], share: float, most: int | None
 
     def edges(places, keys, sims, lengths, *marks):
         sims, *marks = (c.view(np.uint64) for c in (sims, *marks))  # bits of signed numbers are counted without their sign
-        bits = np.where(places & 1, 64, RUN_BITS)
-
-        def near(i, j):
-            ok = np.flatnonzero((np.bitwise_count(sims[i] ^ sims[j]) <= bits[i]) & possible_lengths(lengths[i], lengths[j], share))
-            found, x = np.zeros(len(j), bool), np.broadcast_to(i, j.shape)[ok]
-            found[ok] = few_own([m[x] for m in marks], [m[j[ok]] for m in marks], edits_allowed(np.maximum(lengths[x], lengths[j[ok]]), share))
-            return found
-
-        a, b, large = _near_rows(places, near, SHIFTED)
-        chosen = spanning(a, b, len(places))
-        if chosen.any():
-            yield _edge_batch(keys[a[chosen]], keys[b[chosen]], None)
-        for begin, end in large:
-            if most and end - begin > most:
-                yield _edge_batch(keys[begin:end], None, places[begin:end])
-                continue
-            left, found = np.arange(begin, end), []
-            while len(left):
-                queue, left = [left[0]], left[1:]
-                while queue and len(left):
-                    u = queue.pop()
-                    ok = near(u, left)
-                    if ok.any():
-                        found += [(u, v) for v in left[ok]]
-                        queue += list(left[ok])
-                        left = left[~ok]
-            if found:
-                a, b = np.array(found).T
+        begins, ends = _groups(places)
+        if most:
+            for begin, end in zip(begins, ends) if len(places) > most else ():
+                if end - begin > most:
+                    yield _edge_batch(keys[begin:end], None, places[begin:end])
+            few = np.repeat(ends - begins <= most, ends - begins)
+            if not few.all():
+                places, keys, sims, lengths, *marks = (c[few] for c in (places, keys, sims, lengths, *marks))
+                begins, ends = _groups(places)
+        if len(places):
+            a, b = _forest(begins, ends, sims, np.where(places & 1, 64, RUN_BITS), lambda i, j: may_be_similar(i, j, lengths, marks, share))
+            if len(a):
                 yield _edge_batch(keys[a], keys[b], None)
 
     held = None
@@ -555,22 +626,21 @@ def _run_edges(batches: Iterator[pa.RecordBatch], share: float, most: int | None
         yield from edges(*held)
 
 
-def possible_lengths(a, b, share: float):
-    """Whether lists of so many words can be at a similarity of ``share``."""
-    import numpy as np
-
-    return np.abs(a - b) <= edits_allowed(np.maximum(a, b), share)
-
-
-def few_own(a: list, b: list, limit):
-    """Whether marks of lines ``a`` and ``b`` leave each at most ``limit``
-    words of its own: an edit takes one word of a line away at most, and a bit
-    that only one line has is a word that only this line has."""
+def may_be_similar(i, j, lengths, marks: list, share: float):
+    """Of which pairs of rows ``(i, j)`` the lengths and marks allow the
+    similarity: an edit takes one word of a line away at most, so neither has
+    more words of its own than edits; a bit that only one line has is a word
+    that only this line has."""
     import numpy as np
 
-    own = sum(np.bitwise_count(x & ~y).astype(np.int64) for x, y in zip(a, b))
-    other = sum(np.bitwise_count(y & ~x).astype(np.int64) for x, y in zip(a, b))
-    return np.maximum(own, other) <= limit
+    limits = edits_allowed(np.maximum(lengths[i], lengths[j]), share)
+    ok = np.flatnonzero(np.abs(lengths[i] - lengths[j]) <= limits)
+    i, j, limits = i[ok], j[ok], limits[ok]
+    for part in np.array_split(np.arange(len(ok)), len(ok) // 200_000 + 1):
+        own = sum(np.bitwise_count(m[i[part]] & ~m[j[part]]).astype(np.int64) for m in marks)
+        other = sum(np.bitwise_count(m[j[part]] & ~m[i[part]]).astype(np.int64) for m in marks)
+        ok[part] = np.where(np.maximum(own, other) <= limits[part], ok[part], -1)
+    return ok[ok >= 0]
 
 
 def run_forest(meets: DataFrame, keys: DataFrame, min_similarity: float, group: int = RUN_GROUP) -> DataFrame:
@@ -703,8 +773,9 @@ def line_groups(docs: DataFrame, min_words: int, min_similarity: float, wide: bo
     edges = across.unionByName(inside)
     if wide:
         # Most places have one line alone; only the others are joined with what tells their lines apart.
-        spread = lines.select("sim", "places").mapInArrow(_spread, "at bigint, sim bigint")
-        meets = spread.repartition(max(parts, lines.count() * (ANCHORS + 1) // SORT_ROWS), "at").mapInArrow(_shared, "at bigint, sim bigint")
+        dealt = max(parts, lines.count() * (ANCHORS + 1) // SORT_ROWS)
+        spread = lines.select("sim", "places").mapInArrow(lambda batches: _spread(batches, 4 * dealt), "part bigint, rows binary")
+        meets = spread.repartition(dealt, "part").mapInArrow(_shared, "at bigint, sim bigint")
         edges = edges.unionByName(run_forest(meets, distinct, min_similarity))
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-edges")
 
@@ -737,10 +808,10 @@ def line_groups(docs: DataFrame, min_words: int, min_similarity: float, wide: bo
         unsure = whole.join(failed.join(whole, "node").select("component").distinct(), "component", "left_semi")
         members = (unsure.join(groups.select("node", F.col("component").alias("joined")), "node", "left")
                    .select(F.col("node").alias("line_key"), "component", F.coalesce("joined", "node").alias("joined"))
-                   .join(distinct.select("line_key", "sim"), "line_key").join(texts.drop("length"), "line_key"))
+                   .join(distinct.drop("n", "length"), "line_key").join(texts, "line_key"))
         unsure = written(members, "line-unsure")
         discard(texts)  # the words that are still wanted are in ``unsure``
-        met = written(leaves(unsure, wide=True) if wide else leaves(unsure), "line-meetings")
+        met = written(may_link(leaves(unsure, wide=True), unsure, min_similarity) if wide else leaves(unsure), "line-meetings")
         groups = connected_components(held.unionByName(rejoined_in_rounds(met, unsure, min_similarity)), "line-rejoined")
     return lines, distinct, groups.select(F.col("node").alias("line_key"), F.col("component").alias("group"))
 
@@ -771,6 +842,53 @@ def leaves(members: DataFrame, leaf_bytes: int = LEAF_BYTES, leaf_lines: int = L
             .select("line_key", "region", "part", "block", (F.col("block") == F.col("other")).alias("own"), "joined", "sim"))
 
 
+def may_link(met: DataFrame, members: DataFrame, min_similarity: float) -> DataFrame:
+    """The rows of ``met`` that lengths and marks allow a link with another
+    row of their leaf, by ``members (line_key, length, mark0, ..)``."""
+    columns = met.columns
+    sketched = met.join(members.select("line_key", "length", *MARK_NAMES), "line_key").select(*columns, "length", *MARK_NAMES)
+    dealt = sketched.repartition("region").sortWithinPartitions("region")
+    kinds = ", ".join(f"{c} {t}" for c, t in met.dtypes)
+    return dealt.mapInArrow(lambda batches: _may_link(batches, columns, min_similarity), kinds)
+
+
+def _may_link(batches: Iterator[pa.RecordBatch], columns: list[str], share: float) -> Iterator[pa.RecordBatch]:
+    import numpy as np
+
+    def linked(table: pa.Table) -> list[pa.RecordBatch]:
+        region, part, block, own, joined, sims, lengths = (table[c].to_numpy() for c in ("region", "part", "block", "own", "joined", "sim", "length"))
+        sims, marks = sims.view(np.uint64), [table[m].to_numpy().view(np.uint64) for m in MARK_NAMES]
+        begins, ends = _groups(region)
+        bits = np.where(part < 4, MAX_BITS, np.where(part == 4, RUN_BITS, 64))
+        met = np.zeros(len(region), bool)
+
+        def meet(i, j):
+            ok = (joined[i] != joined[j]) & (own[i] | (block[i] != block[j]))
+            i, j = i[ok], j[ok]
+            ok = may_be_similar(i, j, lengths, marks, share)
+            met[i[ok]] = met[j[ok]] = True
+
+        meet(*_pairs_in_small(begins, ends, sims, bits))
+        for k in np.flatnonzero(ends - begins > SHIFTED):
+            for i, j in _pairs_in_large(begins[k], ends[k], sims, bits):
+                meet(i, j)
+        return table.select(columns).filter(pa.array(met)).combine_chunks().to_batches()
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        region = held["region"].to_numpy()
+        last = int(np.argmax(region == region[-1]))  # it may go on in the next batch
+        if last:
+            yield from linked(held.slice(0, last))
+            held = held.slice(last)
+    if held is not None:
+        yield from linked(held)
+
+
 def rejoined_in_rounds(met: DataFrame, members: DataFrame, min_similarity: float) -> DataFrame:
     """Verified links ``(a, b)`` that join the groups of all leaves ``met``, a
     share of the leaves at a time: a line's words are shuffled to each of its
