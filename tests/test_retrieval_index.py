@@ -193,3 +193,32 @@ def test_previews_honour_k(spark):
             lines = r.context.split("\n")
             assert len(lines) == 2 * team + venue and set(lines) <= texts
     index.unpersist()
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    """Words are counted in the row of their document; documents that share an
+    id and a length, null ids too, are summed as one."""
+    docs = [(1, "b a b a b"), (2, "The the, THE x_1"), (3, None), (4, " .. "), (5, "only")]
+    count = lambda rows: Counter((r.id, r.length, r.term, r.tf) for r in TI.term_counts(spark.createDataFrame(rows, "id long, text string")).collect())
+    plan = TI.term_counts(spark.createDataFrame(docs, "id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan, plan
+    want = Counter([(1, 5, "a", 2), (1, 5, "b", 3), (2, 4, "the", 3), (2, 4, "x_1", 1), (5, 1, "only", 1)])
+    assert count(docs) == want
+    more = [(1, "b c d e f"), (1, "a"), (None, "n m"), (None, "n n"), (3, "z")]
+    want = want - Counter([(1, 5, "b", 3)]) + Counter([(1, 5, "b", 4), (1, 1, "a", 1), (None, 2, "n", 3), (None, 2, "m", 1), (3, 1, "z", 1)]
+                                                      + [(1, 5, t, 1) for t in "cdef"])
+    assert count(docs + more) == want
+
+
+def test_index_and_search_free_what_they_read(spark, monkeypatch):
+    """The term counts are gone when the postings are there; no shuffle file
+    of a written step stays; the parts written in rounds are whole."""
+    read, kept = {}, TI.written
+    monkeypatch.setattr(TI, "written", lambda df, name: read.setdefault(name, kept(df, name)))
+    docs = corpus(200)
+    index = TI.postings(spark.createDataFrame(docs, "id string, text string"))
+    assert spark.read.schema("id string").parquet(read["term-counts"]._folder).count() == 0 and [t.count() for t in index.spent] == [index.count()]
+    assert {(r.term, r.id): r.impact for r in index.collect()} == brute_postings(docs)
+    queries = spark.createDataFrame([("q", "the w0 w280", 3), (None, "the", 2)], "query_id string, question string, k int")
+    found = TI.search(index, queries)
+    assert "search-floors" in read and {r.query_id for r in found.hits.collect()} == {"q"}
